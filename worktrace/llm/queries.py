@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm import exact, mix
+from worktrace.llm import exact, mix, token_counts, token_store
+from worktrace.llm.common import new_path
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +25,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json")).select("doc_id", "_tokens.*")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-store")
+    token_store.write(_table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_store.listing(spark, path).select("doc_id", "start", "n_tokens", token_store.ids_crc32("ids").alias("ids_crc32"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix.copies(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -57,6 +75,8 @@ from drawn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_token_store": op8_token_store,
     "op10_source_mix": op10_source_mix,
 }
 
