@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm import exact, mix, token_counts, token_store
+from worktrace.llm import exact, mix, quality, token_counts, token_store
 from worktrace.llm.common import new_path
 
 
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.score(_table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})  # sums differ in their last bits
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,65 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_CLASS_SQL = ", ".join(
+    f"length(regexp_replace(t, '[^{''.join(chr(92) + c if c in '-' + chr(92) + chr(93) else c for c in chars).replace(chr(39), chr(39) * 2)}]', '', 'g'))" for chars in quality.CLASSES.values()
+)
+
+OP2_SQL = rf"""
+with base as (
+  select row_number() over () as r, doc_id, lang, coalesce(text, '') as t from documents
+), cut as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from base
+), windows as (
+  select r, i, array_to_string(w[i:i + 4], ' ') as s from (select r, w, unnest(range(1, len(w) - 3)) as i from cut)
+), repeated as (
+  select r, count(distinct k)::bigint as n from (
+    select r, unnest(range(i, i + 5)) as k from (select *, count(*) over (partition by r, s) as c from windows) where c > 1
+  ) group by r
+), feature as (
+  select cut.r, doc_id, lang, len(w)::bigint as n_words, list_sum(list_transform(w, lambda x: length(x)))::bigint as wc, length(t) as n_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+         coalesce(repeated.n, 0)::bigint as n_repeat_words, [{_CLASS_SQL}] as known,
+         list_transform(w, lambda x: translate(trim(x, '{quality.MARKS.replace("'", "''")}'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as lw
+  from cut left join repeated on cut.r = repeated.r
+), counted as (
+  select *, coalesce(wc, 0)::bigint as word_chars, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+         list_append(known, n_chars - list_sum(known)::bigint) as classes,
+         list_append(list_transform({_sql_list(quality.VOCABULARY)}, lambda v: len(list_filter(lw, lambda x: x = v))), 
+                     len(list_filter(lw, lambda x: not list_contains({_sql_list(quality.VOCABULARY)}, x)))) as common
+  from feature
+), sums as (
+  select lang, kind, k, sum(v)::double as v from (
+    select lang, 'c' as kind, unnest(classes) as v, generate_subscripts(classes, 1) as k from counted where not base_failed
+    union all
+    select lang, 'w' as kind, unnest(common) as v, generate_subscripts(common, 1) as k from counted where not base_failed
+  ) group by lang, kind, k
+), refs as (
+  select lang, list(v order by k) filter (where kind = 'c') as rc, list(v order by k) filter (where kind = 'w') as rw
+  from sums group by lang having sum(v) filter (where kind = 'w') >= {quality.MIN_REFERENCE_WORDS}
+), pairs as (
+  select counted.*,
+         list_transform(list_zip(classes, rc), lambda z: struct_pack(p := z[1] / list_sum(classes)::double, q := z[2] / list_sum(rc))) as zc,
+         list_transform(list_zip(common, rw), lambda z: struct_pack(p := z[1] / list_sum(common)::double, q := z[2] / list_sum(rw))) as zw
+  from counted left join refs on counted.lang is not distinct from refs.lang
+), far as (
+  select *, case when n_chars >= {quality.MIN_CLASS_CHARS} then sqrt(greatest(0, list_sum(list_transform(zc, lambda z:
+             case when z.p > 0 then z.p * log2(2 * z.p / (z.p + z.q)) else 0 end + case when z.q > 0 then z.q * log2(2 * z.q / (z.p + z.q)) else 0 end)) / 2)) end as class_distance,
+         case when n_words >= {quality.MIN_COMMON_WORDS} then sqrt(greatest(0, list_sum(list_transform(zw, lambda z:
+             case when z.p > 0 then z.p * log2(2 * z.p / (z.p + z.q)) else 0 end + case when z.q > 0 then z.q * log2(2 * z.q / (z.p + z.q)) else 0 end)) / 2)) end as common_distance
+  from pairs
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and coalesce(class_distance, 0) <= {quality.MAX_CLASS_DISTANCE}
+         and (common_distance is null or common_distance <= {quality.MAX_COMMON_DISTANCE} + {quality.COMMON_NOISE} / sqrt(n_words)) as kept,
+       round(class_distance, 6) as class_distance, round(common_distance, 6) as common_distance
+from far
+"""
+
 OP5_SQL = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
        doc_id is not distinct from (max(doc_id) over same) as kept, sha256(coalesce(text, '')) as text_sha256
@@ -74,6 +138,7 @@ from drawn
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_divergence": op2_quality_divergence,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
@@ -81,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_divergence": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op10_source_mix": OP10_SQL,
 }
