@@ -7,16 +7,17 @@ document through the page index and take only the columns they ask for.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worktrace.llm import tokens
-from worktrace.llm.common import quoted, small_batches
+from worktrace.llm.common import lookup_join, materialise, quoted, small_batches
 
 #: Layout of the files: ids in dictionary pages (a vocabulary repeats), falling
 #: back to delta-packed integers; doc_id and offsets delta-packed; small row groups
@@ -101,18 +102,21 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids.
 
-    An empty store gives no rows. The parts' offsets, one row of 16 bytes per
-    file, are broadcast where Spark finds them small and shuffled otherwise.
+    An empty store gives no rows. The parts' offsets, one short row per file, are
+    written first; up to a measured size they are broadcast, so that the ids
+    are not shuffled.
     """
     rows = read(spark, path, columns=["part", "doc_id", "local_start", "n_tokens", "ids"])
-    return rows.join(offsets(spark, path), "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    parts = materialise(offsets(spark, path), "token-store-offsets")
+    return lookup_join(rows, parts, ["part"], F.xxhash64("doc_id", "local_start")).select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
-@F.arrow_udf("long")
-def ids_crc32(ids: pa.Array) -> pa.Array:
+def ids_crc32(ids: Column) -> Column:
     """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-    import zlib
+    return F.arrow_udf(_crc32, "long")(ids)
 
+
+def _crc32(ids: pa.Array) -> pa.Array:
     ids = ids.cast(pa.list_(pa.int32())) if not pa.types.is_list(ids.type) else ids
     values = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
     at = ids.offsets.to_numpy()
