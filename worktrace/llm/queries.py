@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm import exact, mix, quality, token_counts, token_store
+from worktrace.llm import exact, hyperminhash, mix, quality, token_counts, token_store
 from worktrace.llm.common import new_path
 
 
@@ -26,6 +26,10 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})  # sums differ in their last bits
 
 
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +109,25 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from far
 """
 
+OP4_SQL = r"""
+with recursive cut as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingle as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                               when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from cut)
+), sizes as (select doc_id, count(*) as n from shingle group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)
+), reach as (
+  select doc_id as a, doc_id as b from documents union select reach.a, links.b from reach join links on reach.b = links.a
+), found as (select a as doc_id, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join found using (doc_id) left join sizes using (doc_id)
+"""
+
 OP5_SQL = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
        doc_id is not distinct from (max(doc_id) over same) as kept, sha256(coalesce(text, '')) as text_sha256
@@ -139,6 +162,7 @@ from drawn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_divergence": op2_quality_divergence,
+    "op4_hyperminhash": op4_hyperminhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
@@ -147,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_divergence": OP2_SQL,
+    "op4_hyperminhash": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op10_source_mix": OP10_SQL,
 }
