@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm import exact, hyperminhash, mix, quality, token_counts, token_store
+from worktrace.llm import bpe_tree, exact, hyperminhash, mix, quality, token_counts, token_store
 from worktrace.llm.common import new_path
 
 
@@ -45,6 +45,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.listing(spark, path).select("doc_id", "start", "n_tokens", token_store.ids_crc32("ids").alias("ids_crc32"))
 
 
+def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = bpe_tree.encode(docs, _tokenizer("word_bpe_49k.json"))
+    return rows.select("row.doc_id", bpe_tree.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix.copies(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -166,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
+    "op9_bpe_tree": op9_bpe_tree,
     "op10_source_mix": op10_source_mix,
 }
 
