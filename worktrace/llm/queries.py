@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm import bpe_tree, exact, hyperminhash, mix, quality, token_counts, token_store
+from worktrace.llm import bpe_tree, exact, hyperminhash, lines, mix, quality, token_counts, token_store, warc
 from worktrace.llm.common import new_path
 
 
@@ -21,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.page_captures(warc.assemble(warc.read(spark, path)))
+
+
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.score(_table(spark, sf_dir, "documents"))
     return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})  # sums differ in their last bits
@@ -34,6 +40,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign(_table(spark, sf_dir, "documents"))
 
 
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.clean(_table(spark, sf_dir, "pages"), lines.html_text(F.col("html")))
+    return rows.select("row.page_id", "host", "n_lines", "n_dropped", F.sha2("cleaned", 256).alias("cleaned_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json")).select("doc_id", "_tokens.*")
@@ -56,6 +67,35 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+OP1_SQL = """
+with sized as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), first as (
+  select *, min(page_id) over (partition by payload_digest) as f from sized
+)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> f then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> f then f end as refers_to
+from first
+"""
+
+OP6_SQL = rf"""
+with cut as (
+  select page_id, nullif(lower(regexp_extract(url, '{lines._HOST}', 1)), '') as host,
+         list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{lines._HIDDEN}', '', 'g'),
+           '{lines._BLOCK}', chr(10), 'g'), '{lines._TAG}', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') as l
+  from pages
+), totals as (select host, count(*) as pages from cut where host is not null group by host having count(*) >= {lines.MIN_PAGES}
+), seen as (select host, line, count(*) as n from (select host, unnest(list_distinct(l)) as line from cut) group by host, line
+), drops as (select host, list(line) as common from seen join totals using (host) where n > {lines.RATIO}::double * pages group by host
+), kept as (
+  select cut.page_id, cut.host, l, case when common is null then l else list_filter(l, lambda x: not list_contains(common, x)) end as k
+  from cut left join drops on cut.host = drops.host
+)
+select page_id, host, len(l)::bigint as n_lines, (len(l) - len(k))::bigint as n_dropped, sha256(coalesce(array_to_string(k, chr(10)), '')) as cleaned_sha256
+from kept
+"""
+
+
 def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -167,9 +207,11 @@ from drawn
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_transactions": op1_warc_transactions,
     "op2_quality_divergence": op2_quality_divergence,
     "op4_hyperminhash": op4_hyperminhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_site_lines": op6_site_lines,
     "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
     "op9_bpe_tree": op9_bpe_tree,
@@ -177,8 +219,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_transactions": OP1_SQL,
     "op2_quality_divergence": OP2_SQL,
     "op4_hyperminhash": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op6_site_lines": OP6_SQL,
     "op10_source_mix": OP10_SQL,
 }
