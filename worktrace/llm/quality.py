@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,8 @@ def _tables() -> tuple[np.ndarray, dict[str, int]]:
     for k, chars in enumerate(CLASSES.values()):
         of_byte[[ord(c) for c in chars]] = k
     of_byte[0x80:0xC0] = -1  # continuation bytes are no characters
-    return of_byte, {w: i for i, w in enumerate(VOCABULARY)}
+    spellings = {"".join(s): i for i, w in enumerate(VOCABULARY) for s in product(*({c, c.upper()} if c.isascii() else {c} for c in w))}
+    return of_byte, spellings
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -90,11 +92,8 @@ def measure(text: str | None) -> tuple:
     spaces, symbols = list(CLASSES).index("space"), list(CLASSES).index("symbol")
     lines = [line for line in text.split("\n") if _WORD.search(line)]
     common = [0] * (len(VOCABULARY) + 1)
-    for w, n in Counter([w.strip(MARKS) for w in words]).items():
-        k = index.get(w)
-        if k is None:
-            k = index.get(w.encode("utf-8", "replace").lower().decode(), len(VOCABULARY))  # lowers A-Z only
-        common[k] += n
+    for k, n in Counter(map(index.get, [w.strip(MARKS) for w in words])).items():
+        common[-1 if k is None else k] = n
     n_chars = int(classes.sum())
     return (len(words), n_chars - int(classes[spaces]), int(classes[symbols]), len(lines) - len(set(lines)), repeated_words(words), n_chars, classes.tolist(), common)
 
@@ -125,34 +124,34 @@ def references(featured: DataFrame) -> DataFrame:
     """
     sums = [F.sum(F.col("_f.classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     sums += [F.sum(F.col("_f.common")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
-    by = featured.filter(~_base_failed()).groupBy("lang").agg(F.sum("_f.n_words").alias("n"), *sums).filter(F.col("n") >= MIN_REFERENCE_WORDS)
+    by = featured.filter(~_base_failed()).groupBy("lang").agg(F.sum("_f.n_words").alias("ref_words"), F.sum("_f.n_chars").alias("ref_chars"), *sums).filter(F.col("ref_words") >= MIN_REFERENCE_WORDS)
     return by.select(
         "lang",
+        "ref_words",
+        "ref_chars",
         F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
         F.array(*[f"w{i}" for i in range(len(VOCABULARY) + 1)]).alias("ref_common"),
     )
 
 
-def distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of counts; null if either is empty."""
-    add = lambda a, x: a + x
-    total, ref_total = (F.aggregate(c, F.lit(0).cast("long"), add).cast("double") for c in (counts, reference))
+def distance(counts: Column, total: Column, reference: Column, ref_total: Column) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of counts with their totals; null if either is empty."""
 
     def part(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
-    terms = F.zip_with(counts, reference, lambda a, b: (lambda p, q: part(p, q) + part(q, p))(a / total, b / ref_total))
-    divergence = F.aggregate(terms, F.lit(0.0), add) / 2
+    terms = F.zip_with(counts, reference, lambda a, b: (lambda p, q: part(p, q) + part(q, p))(a / total.cast("double"), b / ref_total.cast("double")))
+    divergence = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2
     return F.when((total > 0) & (ref_total > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
 def judged(featured: DataFrame, refs: DataFrame) -> DataFrame:
     """`featured` with base_failed, class_distance, common_distance (null: too short, or no reference) and kept."""
     rows = lookup_join(featured, refs, ["lang"], F.xxhash64("_f.n_chars", "_f.word_chars", "_f.n_words"))
-    rows = rows.withColumn("class_distance", F.when(F.col("_f.n_chars") >= MIN_CLASS_CHARS, distance(F.col("_f.classes"), F.col("ref_classes"))))
-    rows = rows.withColumn("common_distance", F.when(F.col("_f.n_words") >= MIN_COMMON_WORDS, distance(F.col("_f.common"), F.col("ref_common"))))
+    rows = rows.withColumn("class_distance", F.when(F.col("_f.n_chars") >= MIN_CLASS_CHARS, distance(F.col("_f.classes"), F.col("_f.n_chars"), F.col("ref_classes"), F.col("ref_chars"))))
+    rows = rows.withColumn("common_distance", F.when(F.col("_f.n_words") >= MIN_COMMON_WORDS, distance(F.col("_f.common"), F.col("_f.n_words"), F.col("ref_common"), F.col("ref_words"))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("common_distance", F.lit(0.0)) > MAX_COMMON_DISTANCE + COMMON_NOISE / F.sqrt("_f.n_words"))
-    return rows.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~far).drop("ref_classes", "ref_common")
+    return rows.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~far).drop("ref_classes", "ref_common", "ref_chars", "ref_words")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
