@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm import bpe_tree, exact, hyperminhash, lines, mix, quality, token_counts, token_store, warc
+from worktrace.llm import bpe_tree, exact, hyperminhash, lines, mix, quality, suffix, token_counts, token_store, warc
 from worktrace.llm.common import new_path
 
 
@@ -32,6 +32,10 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})  # sums differ in their last bits
 
 
+def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -155,6 +159,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from far
 """
 
+OP3_SQL = r"""
+with cut as (
+  select row_number() over () as r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents where doc_id is not null and text is not null
+), windows as (
+  select r, doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) as s from (select r, doc_id, w, unnest(range(0, len(w) - 49)) as i from cut)
+), twice as (
+  select distinct doc_id, i from (select *, count(*) over (partition by s) as c from windows) where c > 1
+), grouped as (
+  select doc_id, i, sum(case when i <= before + 50 then 0 else 1 end) over (partition by doc_id order by i) as g
+  from (select *, coalesce(lag(i) over (partition by doc_id order by i), -1000) as before from twice)
+)
+select doc_id, min(i)::bigint as start, max(i)::bigint + 50 as "end", max(i)::bigint + 50 - min(i)::bigint as n_words from grouped group by doc_id, g
+"""
+
 OP4_SQL = r"""
 with recursive cut as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
@@ -209,6 +227,7 @@ from drawn
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_transactions": op1_warc_transactions,
     "op2_quality_divergence": op2_quality_divergence,
+    "op3_sparse_suffixes": op3_sparse_suffixes,
     "op4_hyperminhash": op4_hyperminhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_site_lines": op6_site_lines,
@@ -221,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_transactions": OP1_SQL,
     "op2_quality_divergence": OP2_SQL,
+    "op3_sparse_suffixes": OP3_SQL,
     "op4_hyperminhash": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op6_site_lines": OP6_SQL,
