@@ -5,13 +5,17 @@ each bucket's smallest value the register keeps the number of leading zeros and
 MANTISSA bits after the first one bit (16 bits in all). Bands of BAND registers
 deal documents into buckets; pairs get a Jaccard estimate, corrected for registers
 that agree by chance, and those near the threshold or above it are confirmed on the
-full sets. Sets too small to fill the registers meet through their least hashes
-instead (a prefix filter, which is exact).
+full sets. Each shingle of a set up to DENSE goes in under SEEDS seeds, so that
+small sets fill the registers too; larger sets use one. Sets between DENSE and
+DENSE / threshold have both kinds, so any two that could be linked share one.
 
 No bucket emits its pairs. Each sends its members to one hub; members and hub that
 prove alike fall into one component, and pairs inside a component need no look.
-Only pairs of different components remain, and those are enumerated: no pair of
-a bucket is left out, yet a bucket of near copies costs a few rounds of its size.
+Only pairs of different components remain, and those are enumerated, but for pairs
+that the triangle inequality of the Jaccard distance rules out: two members whose
+distances from the hub differ by more than the threshold's are no link. No other
+pair of a bucket is left out, yet a bucket of near copies costs a few rounds of its
+size.
 """
 
 from __future__ import annotations
@@ -23,17 +27,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm.common import WORD, materialise, quoted, small_batches
 
 SHINGLE = 5
 PERCENT = 75  # similarity from which documents are linked
-REGISTERS = 192
+REGISTERS = 360
 MANTISSA = 10
-BAND = 4  # a pair at the threshold misses all 48 bands with probability (1 - 0.75^4)^48 = 1e-8
-SMALL = 64  # sets up to this size are found through their least hashes
+BAND = 6  # a pair at the threshold misses all 60 bands with probability (1 - 0.75^6)^60 = 8e-6
+SEEDS = 8
+DENSE = 1024  # largest set that uses all seeds
+SMALL = 64  # pairs of smaller sets are confirmed whatever the estimate
 MARGIN = 6.0  # pairs up to so many standard deviations below the threshold are confirmed
 HUB_ROUNDS = 6
 PAIRS_PER_MEMBER = 4  # open pairs per bucket member from which another hub round pays
@@ -101,32 +107,26 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return np.unique(h)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of ascending hashes: (leading zeros + 1) << MANTISSA | mantissa; 0: empty."""
+def registers(hashes: np.ndarray, seeds: int) -> np.ndarray:
+    """HyperMinHash registers of distinct hashes: (leading zeros + 1) << MANTISSA | mantissa; 0: empty."""
     out = np.zeros(REGISTERS, dtype="<u2")
     if not len(hashes):
         return out
-    bucket = ((hashes >> _U(32)) * _U(REGISTERS) >> _U(32)).astype(np.int64)  # rises with the hash
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
     with np.errstate(over="ignore"):
-        low = np.minimum.reduceat(_mix(hashes * _U(3)) >> _U(8), first) | _U(1)  # 56 bits
+        items = _mix((hashes[None, :] + _U(1)) * (np.arange(seeds, dtype=_U)[:, None] * _U(0x9E3779B97F4A7C16) + _U(0xD6E8FEB86659FD93))).ravel()
+        values = _mix(items * _U(3)) >> _U(8) | _U(1)  # 56 bits
+    least = np.full(REGISTERS, _U(1 << 56), dtype=_U)
+    np.minimum.at(least, ((items >> _U(32)) * _U(REGISTERS) >> _U(32)).astype(np.int64), values)
+    full = np.flatnonzero(least < _U(1 << 56))
+    low = least[full]
     length = np.frexp(low.astype(np.float64))[1].astype(np.int64)
     length -= (low >> (length - 1).astype(_U)) == 0  # where the float was rounded up
-    zeros = 56 - length
     shift = length - 1 - MANTISSA
     mantissa = np.where(shift >= 0, low >> np.maximum(shift, 0).astype(_U), low << np.maximum(-shift, 0).astype(_U)) & _U((1 << MANTISSA) - 1)
-    out[bucket[first]] = ((zeros + 1) << MANTISSA) | mantissa.astype(np.int64)
+    out[full] = ((56 - length + 1) << MANTISSA) | mantissa.astype(np.int64)
     return out
 
 
-def small_keys(hashes: np.ndarray) -> list[int]:
-    """Prefix keys of a small set: two sets of the threshold's similarity share one of them."""
-    n = len(hashes)
-    if not n or n > SMALL * 100 // PERCENT:
-        return []
-    return hashes[: n - -(-PERCENT * n // 100) + 1].view(np.int64).tolist()
-
-
 def expected_collisions(n: int, m: int) -> float:
     """Expected share of buckets whose registers agree though their minima differ, for set sizes n and m.
 
@@ -145,17 +145,15 @@ def expected_collisions(n: int, m: int) -> float:
 
 @lru_cache(maxsize=4096)
 def _collisions(n: int, m: int) -> float:
-    return expected_collisions(1 << n, 1 << m)
+    return expected_collisions(1 << n, 1 << m) * REGISTERS
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
-    """Collision-corrected Jaccard estimate and the number of registers it rests on."""
-    used = int(((a != 0) | (b != 0)).sum())
-    if not used:
-        return 0.0, 0
-    agree = float(((a == b) & (a != 0)).sum())
-    chance = _collisions(n.bit_length(), m.bit_length()) * REGISTERS
-    return max(0.0, (agree - chance) / used), used
+def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard estimates of rows of registers, and the number of registers each rests on; n, m: items in the sets."""
+    used = ((a != 0) | (b != 0)).sum(axis=1)
+    agree = ((a == b) & (a != 0)).sum(axis=1)
+    chance = np.array([_collisions(int(x).bit_length(), int(y).bit_length()) for x, y in zip(n, m, strict=True)])
+    return np.maximum(agree - chance, 0) / np.maximum(used, 1), used
 
 
 def shingle_set(text: str) -> set[bytes]:
@@ -165,9 +163,10 @@ def shingle_set(text: str) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
 
 
-def linked(a: set, b: set) -> bool:
+def similarity(a: set, b: set) -> tuple[bool, float]:
+    """Whether two sets are linked, and their Jaccard similarity."""
     both = len(a & b)
-    return bool(both) and 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return bool(both) and 100 * both >= PERCENT * (len(a) + len(b) - both), both / max(len(a) + len(b) - both, 1)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,19 +175,25 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column(1):
             data = (t.as_py() or "").encode("utf-8", "replace").lower()  # lowers A-Z only
             hashes = shingle_hashes(word_hashes(data))
-            for column, value in zip(rows, (hashlib.sha256(b" ".join(_WORD.findall(data))).digest(), len(hashes), registers(hashes).tobytes(), small_keys(hashes)), strict=True):
+            n = len(hashes)
+            dense = registers(hashes, SEEDS).tobytes() if n * PERCENT <= DENSE * 100 else None
+            wide = registers(hashes, 1).tobytes() if n > DENSE else None
+            for column, value in zip(rows, (hashlib.sha256(b" ".join(_WORD.findall(data))).digest(), n, dense, wide), strict=True):
                 column.append(value)
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["id", "words", "n", "registers", "small"])
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["id", "words", "n", "dense", "wide"])
 
 
-def _estimated(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-    keep = []
-    for x, y, p, q in zip(a, b, n.to_pylist(), m.to_pylist(), strict=True):
-        j, used = estimate(np.frombuffer(x.as_py(), "<u2"), np.frombuffer(y.as_py(), "<u2"), p, q)
-        t = PERCENT / 100
-        keep.append(100 * min(p, q) >= PERCENT * max(p, q) and (min(p, q) <= SMALL or j >= t - MARGIN * (t * (1 - t) / max(used, 1)) ** 0.5))
-    return pa.array(keep, pa.bool_())
+def _estimated(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array, dense: pa.Array) -> pa.Array:
+    """Bounds of the similarity, MARGIN standard deviations around the estimate; sizes bound it too."""
+    n, m = n.to_numpy(), m.to_numpy()
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (a, b))
+    items = np.where(dense.to_numpy(zero_copy_only=False), SEEDS, 1)
+    j, used = estimates(x, y, n * items, m * items)
+    less, more, t = np.minimum(n, m), np.maximum(n, m), PERCENT / 100
+    slack = MARGIN * np.sqrt(np.maximum(j * (1 - j), t * (1 - t)) / np.maximum(used, 1))
+    low, high = np.where(less <= SMALL, 0.0, np.maximum(j - slack, 0.0)), np.where(less <= SMALL, 1.0, np.minimum(j + slack, 1.0))
+    return pa.StructArray.from_arrays([pa.array(low), pa.array(np.minimum(high, less / more))], names=["low", "high"])
 
 
 @lru_cache(maxsize=32)
@@ -197,22 +202,26 @@ def _cached_set(text: str) -> set[bytes]:
 
 
 def _confirmed(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([linked(shingle_set(x.as_py()), _cached_set(y.as_py())) for x, y in zip(a, b, strict=True)], pa.bool_())
+    found = [similarity(shingle_set(x.as_py()), _cached_set(y.as_py())) for x, y in zip(a, b, strict=True)]
+    return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.float64())], names=["linked", "j"])
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, words (SHA-256 of the lower-cased word sequence), n (set size), registers, small (prefix keys)."""
+    """Per row: id, words (SHA-256 of the lower-cased word sequence), n (set size), and its registers: dense (SEEDS seeds), wide (one)."""
     small_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
-    return rows.mapInArrow(_sketches, "id long, words binary, n long, registers binary, small array<long>")
+    return rows.mapInArrow(_sketches, "id long, words binary, n long, dense binary, wide binary")
 
 
 def bucket_keys(sketches: DataFrame) -> DataFrame:
-    """Rows (key, id): the bands that are not empty, and the prefix keys of small sets."""
+    """Rows (key, id): the bands that are not empty."""
     width = 2 * BAND
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("registers"), i * width + 1, F.lit(width)).alias("r")))
-    full = F.filter(bands, lambda s: s["r"] != F.lit(bytes(width)))
-    keys = F.concat(F.transform(full, lambda s: F.xxhash64(s["i"], s["r"])), F.transform("small", lambda k: F.xxhash64(F.lit(-1), k)))
+
+    def bands(kind: str) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.struct(F.lit(kind).alias("k"), i.alias("i"), F.substring(F.col(kind), i * width + 1, F.lit(width)).alias("r")))
+        return F.filter(each, lambda s: s["r"].isNotNull() & (s["r"] != F.lit(bytes(width))))
+
+    keys = F.transform(F.concat(bands("dense"), bands("wide")), lambda s: F.xxhash64(s["k"], s["i"], s["r"]))
     return sketches.select(F.explode(F.array_distinct(keys)).alias("key"), "id")
 
 
@@ -231,24 +240,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that pass the estimate and are confirmed on the full texts; written to the shared folder."""
-    regs = sketches.select("id", "n", "registers")
-    left, right = (regs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in "ab")
-    close = F.arrow_udf(_estimated, "boolean")("r_a", "r_b", "n_a", "n_b")
-    near = materialise(pairs.join(left, "a").join(right, "b").filter(close).select("a", "b").distinct(), "near-pairs")
-    alike = F.arrow_udf(_confirmed, "boolean")("t_a", "t_b")
-    left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
-    return materialise(near.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "near-links")
+def _scored(pairs: DataFrame, involved: DataFrame) -> DataFrame:
+    """Pairs (a, b) with linked, low, high: exact where the estimate leaves a link open and full texts decide; else bounds. Written to the shared folder."""
+    regs = involved.select("id", "n", "dense", "wide")
+    left, right = (regs.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "dense", "wide")]) for x in "ab")
+    dense = F.col("dense_a").isNotNull() & F.col("dense_b").isNotNull()
+    kinds = [F.when(dense, F.col(f"dense_{x}")).otherwise(F.col(f"wide_{x}")) for x in "ab"]
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", *[k.alias(f"r_{x}") for k, x in zip(kinds, "ab", strict=True)], "n_a", "n_b", dense.alias("dense"))
+    bounds = F.arrow_udf(_estimated, "struct<low:double,high:double>")("r_a", "r_b", "n_a", "n_b", "dense")
+    judged = rows.filter("r_a is not null and r_b is not null").withColumn("e", bounds).select("a", "b", "e.low", "e.high")
+    apart = rows.filter("r_a is null or r_b is null")  # too different in size for a link
+    ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
+    near = materialise(judged.unionByName(apart.select("a", "b", F.lit(0.0).alias("low"), ratio.alias("high"))), "near-pairs")
+    left, right = (involved.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
+    texts = near.filter(F.col("high") >= PERCENT / 100).select("a", "b").distinct().join(left, "a").join(right, "b")
+    exact = texts.withColumn("c", F.arrow_udf(_confirmed, "struct<linked:boolean,j:double>")("t_a", "t_b")).select("a", "b", "c.linked", F.col("c.j").alias("low"), F.col("c.j").alias("high"))
+    far = near.filter(F.col("high") < PERCENT / 100).select("a", "b", F.lit(False).alias("linked"), "low", "high")
+    return materialise(exact.unionByName(far), "near-scored")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, id, label) of buckets that hold more than one component."""
-    labelled = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    """Members of buckets that hold more than one component, with their label."""
+    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     return labelled.join(mixed.select("key"), "key", "left_semi")
 
 
+def _hub_pairs(rest: DataFrame, n: int) -> DataFrame:
+    """Each bucket's open members with another hub, drawn by hash; pairs of one component are left out."""
+    hub = rest.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64(F.lit(n), "id")).alias("h"))
+    return rest.join(hub, "key").filter("label <> h.label").select(F.col("id").alias("a"), F.col("h.id").alias("b"))
+
+
+def _cross_pairs(rest: DataFrame) -> DataFrame:
+    """All pairs (a > b) of a bucket that are of different components and that the distances from the hub don't rule out."""
+    other = rest.select("key", F.col("id").alias("b"), F.col("label").alias("other"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    mine = rest.select("key", F.col("id").alias("a"), "label", "low", "high")
+    apart = F.greatest(F.col("low_b") - F.col("high"), F.col("low") - F.col("high_b"))  # least difference of the distances
+    pairs = mine.join(other, (mine["key"] == other["key"]) & (F.col("a") > F.col("b")) & (F.col("label") != F.col("other")) & (apart <= 1 - PERCENT / 100 + 1e-9))
+    return pairs.select("a", "b").distinct()
+
+
+def _linked(scored: DataFrame) -> DataFrame:
+    return scored.filter("linked").select("a", "b").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -271,8 +307,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keys = bucket_keys(reps)
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
     members = materialise(keys.join(hubs, "key"), "near-members")
-    done = materialise(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "near-done")
-    links = _links(done, sketches, texts)
+    ids = members.select("id").distinct()
+    involved = materialise(texts.join(ids, "id", "left_semi").join(reps.select("id", "n", "dense", "wide"), "id"), "near-involved")
+    scored = _scored(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), involved)
+    bounds = scored.groupBy(F.col("a").alias("id"), F.col("b").alias("hub")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ends = members.join(bounds, ["id", "hub"], "left").select("key", "id", F.coalesce("low", F.lit(1.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+    members = materialise(ends, "near-members")
+    done, links = scored.select("a", "b"), _linked(scored)
     labels = components(links)
     for n in range(HUB_ROUNDS + 1):
         rest = materialise(_open(members, labels), "near-open")
@@ -281,19 +322,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if not open_members:
             break
         last = n == HUB_ROUNDS or open_pairs <= PAIRS_PER_MEMBER * open_members
-        if last:
-            other = rest.select("key", F.col("id").alias("b"), F.col("label").alias("other"))
-            pairs = rest.select("key", F.col("id").alias("a"), "label").join(other, "key").filter("label > other")
-        else:
-            hub = rest.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64(F.lit(n), "id")).alias("h"))
-            pairs = rest.join(hub, "key").filter("label <> h.label").select(F.col("id").alias("a"), F.col("h.id").alias("b"))
+        pairs = _cross_pairs(rest) if last else _hub_pairs(rest, n)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-done")
-        links = links.unionByName(_links(pairs, sketches, texts))
-        labels = components(links)
+        scored = _scored(pairs, involved)
+        fresh = _linked(scored)
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            labels = components(links)
+        elif not last:  # hubs find no more
+            scored = _scored(_cross_pairs(rest).join(done.unionByName(scored.select("a", "b")), ["a", "b"], "left_anti"), involved)
+            links = links.unionByName(_linked(scored))
+            labels, last = components(links), True
         if last:
             break
-        done = done.unionByName(pairs)
+        done = done.unionByName(scored.select("a", "b"))
     found = classes.join(labels, "id", "left").select("words", F.coalesce("label", "id").alias("component_id"))
     rows = sketches.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("words")).alias("words"))
     out = rows.join(found, "words", "left").select(
