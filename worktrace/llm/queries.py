@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
-    return warc.page_captures(warc.assemble(warc.read(spark, path)))
+    return warc.page_captures(warc.assemble(warc.read(spark, path).drop("payload")))
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,19 +156,23 @@ def assemble(records: DataFrame) -> DataFrame:
     A capture is a response or revisit record. Requests and metadata belong to the
     capture that they name in WARC-Concurrent-To or that names them; metadata may
     name the request instead. Records with no capture in reach are left out; a
-    capture without requests or metadata has empty lists.
+    capture without requests or metadata has empty lists. Payloads come along if
+    `records` has them. What is joined, all but the payloads, is written to the
+    shared folder first, so that archives are parsed once, or twice with payloads.
     """
-    captures = records.filter("type in ('response', 'revisit')")
-    side = records.filter("type in ('request', 'metadata')").select("type", "record_id", "target_uri", "block_fields", "concurrent_to")
+    slim = materialise(records.drop("payload"), "warc-records")
+    captures = (records if "payload" in records.columns else slim).filter("type in ('response', 'revisit')")
+    side = slim.filter("type in ('request', 'metadata')").select("type", "record_id", "target_uri", "block_fields", "concurrent_to")
     named = side.select("record_id", F.explode("concurrent_to").alias("other"))
-    naming = captures.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("other"))
+    naming = slim.filter("type in ('response', 'revisit')").select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("other"))
     links = named.unionByName(naming).distinct()
     via = links.select(F.col("record_id").alias("other"), F.col("other").alias("further"))
     reach = links.unionByName(links.join(via, "other").select("record_id", F.col("further").alias("other"))).distinct()
     parts = side.drop("concurrent_to").join(reach, "record_id").groupBy("other").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("record_id", "target_uri", F.map_entries("block_fields").alias("fields"))))).alias(name) for kind, name in (("request", "requests"), ("metadata", "metadata"))]
     )
-    response = F.struct("type", "refers_to", "content_type", "block_fields", "payload", "payload_bytes", "payload_digest")
+    names = ["type", "refers_to", "content_type", "block_fields", "payload", "payload_bytes", "payload_digest"]
+    response = F.struct(*[c for c in names if c in records.columns])
     rows = captures.select(F.col("record_id").alias("capture_id"), "target_uri", "date", response.alias("response"))
     none = F.array().cast("array<struct<record_id:string,target_uri:string,fields:array<struct<key:string,value:string>>>>")
     joined = rows.join(parts, rows["capture_id"] == parts["other"], "left").drop("other")
