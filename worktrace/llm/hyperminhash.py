@@ -42,7 +42,8 @@ DENSE = 1024  # largest set that uses all seeds
 SMALL = 64  # pairs of smaller sets are confirmed whatever the estimate
 MARGIN = 6.0  # pairs up to so many standard deviations below the threshold are confirmed
 HUB_ROUNDS = 6
-PAIRS_PER_MEMBER = 4  # open pairs per bucket member from which another hub round pays
+PAIRS_PER_MEMBER = 64  # open pairs per bucket member from which another hub round pays
+BITS = 256  # registers whose last mantissa bit makes up a document's bit sketch
 
 _WORD = re.compile(WORD.encode())
 _U = np.uint64
@@ -127,6 +128,17 @@ def registers(hashes: np.ndarray, seeds: int) -> np.ndarray:
     return out
 
 
+def bit_sketch(kept: np.ndarray) -> list[int]:
+    """The last bits of BITS registers, as signed 64-bit integers."""
+    return np.packbits((kept[:BITS] & 1).astype(np.uint8)).view("<i8").tolist()
+
+
+def most_different_bits() -> float:
+    """Bits in which two documents at the threshold differ at most: half of the registers that differ, and MARGIN standard deviations."""
+    p = (1 - PERCENT / 100) / 2
+    return BITS * p + MARGIN * (BITS * p * (1 - p)) ** 0.5
+
+
 def expected_collisions(n: int, m: int) -> float:
     """Expected share of buckets whose registers agree though their minima differ, for set sizes n and m.
 
@@ -171,17 +183,18 @@ def similarity(a: set, b: set) -> tuple[bool, float]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         for t in batch.column(1):
             data = (t.as_py() or "").encode("utf-8", "replace").lower()  # lowers A-Z only
             hashes = shingle_hashes(word_hashes(data))
             n = len(hashes)
             dense = registers(hashes, SEEDS).tobytes() if n * PERCENT <= DENSE * 100 else None
             wide = registers(hashes, 1).tobytes() if n > DENSE else None
-            for column, value in zip(rows, (hashlib.sha256(b" ".join(_WORD.findall(data))).digest(), n, dense, wide), strict=True):
+            bits = [None if x is None else bit_sketch(np.frombuffer(x, "<u2")) for x in (dense, wide)]
+            for column, value in zip(rows, (hashlib.sha256(b" ".join(_WORD.findall(data))).digest(), n, dense, wide, bits), strict=True):
                 column.append(value)
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["id", "words", "n", "dense", "wide"])
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["id", "words", "n", "dense", "wide", "bits"])
 
 
 def _estimated(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array, dense: pa.Array) -> pa.Array:
@@ -207,10 +220,10 @@ def _confirmed(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, words (SHA-256 of the lower-cased word sequence), n (set size), and its registers: dense (SEEDS seeds), wide (one)."""
+    """Per row: id, words (SHA-256 of the lower-cased word sequence), n (set size), its registers: dense (SEEDS seeds) and wide (one), and the bit sketches of both."""
     small_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
-    return rows.mapInArrow(_sketches, "id long, words binary, n long, dense binary, wide binary")
+    return rows.mapInArrow(_sketches, "id long, words binary, n long, dense binary, wide binary, bits array<array<long>>")
 
 
 def bucket_keys(sketches: DataFrame) -> DataFrame:
@@ -272,13 +285,23 @@ def _hub_pairs(rest: DataFrame, n: int) -> DataFrame:
     return rest.join(hub, "key").filter("label <> h.label").select(F.col("id").alias("a"), F.col("h.id").alias("b"))
 
 
-def _cross_pairs(rest: DataFrame) -> DataFrame:
-    """All pairs (a > b) of a bucket that are of different components and that the distances from the hub don't rule out."""
-    other = rest.select("key", F.col("id").alias("b"), F.col("label").alias("other"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    mine = rest.select("key", F.col("id").alias("a"), "label", "low", "high")
-    apart = F.greatest(F.col("low_b") - F.col("high"), F.col("low") - F.col("high_b"))  # least difference of the distances
-    pairs = mine.join(other, (mine["key"] == other["key"]) & (F.col("a") > F.col("b")) & (F.col("label") != F.col("other")) & (apart <= 1 - PERCENT / 100 + 1e-9))
-    return pairs.select("a", "b").distinct()
+def _cross_pairs(rest: DataFrame, involved: DataFrame) -> DataFrame:
+    """All pairs (a > b) of a bucket that are of different components, but those that can't be linked.
+
+    Ruled out, before a row is made of the pair: by the sizes of the sets, by
+    the distances from the hub, and by bit sketches that differ in more bits than
+    most_different_bits().
+    """
+    rest = rest.join(involved.select("id", "n", F.col("bits")[0].alias("dense"), F.col("bits")[1].alias("wide")), "id")
+    mine, other = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "low", "high", "n", "dense", "wide")]) for x in "ab")
+    apart = F.greatest(F.col("low_b") - F.col("high_a"), F.col("low_a") - F.col("high_b"))  # least difference of the distances
+    differ = [sum((F.bit_count(F.col(f"{kind}_a")[k].bitwiseXOR(F.col(f"{kind}_b")[k])) for k in range(BITS // 64)), F.lit(0)) for kind in ("dense", "wide")]
+    open_ = (
+        (F.col("id_a") > F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+        & (apart <= 1 - PERCENT / 100 + 1e-9) & (F.coalesce(*differ) <= most_different_bits())
+    )
+    pairs = mine.join(other, (mine["key"] == other["key"]) & open_)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def _linked(scored: DataFrame) -> DataFrame:
@@ -305,10 +328,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes = materialise(real.groupBy("words").agg(F.min("id").alias("id")), "near-classes")
     reps = real.join(classes.select("id"), "id", "left_semi")
     keys = bucket_keys(reps)
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
-    members = materialise(keys.join(hubs, "key"), "near-members")
+    sizes = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+    members = materialise(keys.join(sizes, "key"), "near-buckets")
+    # the hub is the member that meets most others over all its buckets: of edited copies, their original
+    central = members.groupBy("id").agg(F.sum("size").alias("met"))
+    hubs = members.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
+    members = materialise(members.select("key", "id").join(hubs, "key"), "near-members")
     ids = members.select("id").distinct()
-    involved = materialise(texts.join(ids, "id", "left_semi").join(reps.select("id", "n", "dense", "wide"), "id"), "near-involved")
+    involved = materialise(texts.join(ids, "id", "left_semi").join(reps.select("id", "n", "dense", "wide", "bits"), "id"), "near-involved")
     scored = _scored(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), involved)
     bounds = scored.groupBy(F.col("a").alias("id"), F.col("b").alias("hub")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     ends = members.join(bounds, ["id", "hub"], "left").select("key", "id", F.coalesce("low", F.lit(1.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
@@ -322,7 +349,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if not open_members:
             break
         last = n == HUB_ROUNDS or open_pairs <= PAIRS_PER_MEMBER * open_members
-        pairs = _cross_pairs(rest) if last else _hub_pairs(rest, n)
+        pairs = _cross_pairs(rest, involved) if last else _hub_pairs(rest, n)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         scored = _scored(pairs, involved)
         fresh = _linked(scored)
@@ -330,7 +357,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             links = links.unionByName(fresh)
             labels = components(links)
         elif not last:  # hubs find no more
-            scored = _scored(_cross_pairs(rest).join(done.unionByName(scored.select("a", "b")), ["a", "b"], "left_anti"), involved)
+            scored = _scored(_cross_pairs(rest, involved).join(done.unionByName(scored.select("a", "b")), ["a", "b"], "left_anti"), involved)
             links = links.unionByName(_linked(scored))
             labels, last = components(links), True
         if last:
