@@ -27,10 +27,10 @@ KGRAM = 8
 SPREAD = 24
 CORE = LENGTH - SPREAD + 1  # words that copies share from the selected position on
 REST = LENGTH - CORE  # words to extend by, right and left together
-HOT = 50_000  # suffixes with the same core from which they no longer meet in one task
+HOT = 500_000  # suffixes with the same core from which they no longer meet in one task
 
 _U = np.uint64
-_SUFFIX = "core long, id long, at int, left array<string>, right array<string>"
+_SUFFIX = "core long, id long, at int, left string, right string"
 
 
 def _rolled(words: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +87,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = f["at"]
                 if at >= len(cores) or cores[at] != f["core"]:
                     continue  # of another text under the same id
-                rows.append((f["core"], i, at, words[max(at - REST, 0) : at][::-1], words[at + CORE : at + LENGTH]))
+                rows.append((f["core"], i, at, " ".join(words[max(at - REST, 0) : at][::-1]), " ".join(words[at + CORE : at + LENGTH])))
             if len(rows) > 5000:
                 yield _batch(rows)
                 rows = []
@@ -96,20 +96,26 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["core", "id", "at", "left", "right"])
 
 
-def common(a: list[str], b: list[str]) -> int:
+def common(a: str, b: str) -> int:
     """Number of equal words from the start."""
     n = 0
-    for x, y in zip(a, b, strict=False):
+    for x, y in zip(a.split(" ") if a else [], b.split(" ") if b else [], strict=False):
         if x != y:
             break
         n += 1
     return n
 
 
+def first_words(text: str, n: int) -> str | None:
+    """The first n words; None if there are fewer."""
+    words = text.split(" ", n) if text else []
+    return " ".join(words[:n]) if len(words) >= n else None
+
+
 def matches(run: list[tuple]) -> list[tuple[int, int, int]]:
     """(id, start, end) of passages of LENGTH words or more that suffixes of one core, sorted by `right`, share.
 
@@ -131,7 +137,8 @@ def matches(run: list[tuple]) -> list[tuple[int, int, int]]:
         keys = []
         for k, (_, _, lw, rw) in enumerate(run):
             group += shared[k] < right
-            keys.append((group, tuple(lw[:left])) if len(lw) >= left and len(rw) >= right else None)
+            before = first_words(lw, left)
+            keys.append(None if before is None or first_words(rw, right) is None else (group, before))
         counts = Counter(keys)
         out += [(r[0], r[1] - left, r[1] - left + LENGTH) for r, key in zip(run, keys, strict=True) if key is not None and counts[key] > 1]
     return out
@@ -168,8 +175,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hot(suffixes: DataFrame) -> DataFrame:
     """The same spans for cores that very many suffixes share: each passage of LENGTH words is counted by its words, map-side first."""
-    extents = F.transform(F.sequence(F.lit(0), F.lit(REST)), lambda n: n)
-    rows = suffixes.select("core", "id", "at", "left", "right", F.explode(extents).alias("n"))
+    words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    extents = F.explode(F.sequence(F.lit(0), F.lit(REST))).alias("n")
+    rows = suffixes.select("core", "id", "at", words("left").alias("left"), words("right").alias("right"), extents)
     rows = rows.filter(F.expr(f"size(left) >= n and size(right) >= {REST} - n"))
     text = F.concat_ws(" ", F.expr("slice(left, 1, n)"), F.lit("\n"), F.expr(f"slice(right, 1, {REST} - n)"))
     rows = rows.select("core", "n", text.alias("words"), "id", F.expr("cast(at - n as long)").alias("start"))
@@ -209,7 +217,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slim = materialise(texts.mapInArrow(_selected, "core long, id long, at int"), "suffix-positions")
     shared = slim.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core", (F.col("n") >= hot).alias("hot"))
     kept = slim.join(shared, "core")
-    by_text = kept.distinct().groupBy("id").agg(F.collect_list(F.struct("core", "at", "hot")).alias("found"))
+    by_text = kept.groupBy("id").agg(F.collect_set(F.struct("core", "at", "hot")).alias("found"))
     joined = texts.join(by_text, "id")
 
     def suffixes(which: bool) -> DataFrame:
