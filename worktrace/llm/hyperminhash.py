@@ -43,7 +43,7 @@ SMALL = 64  # pairs of smaller sets are confirmed whatever the estimate
 MARGIN = 6.0  # pairs up to so many standard deviations below the threshold are confirmed
 HUB_ROUNDS = 6
 PAIRS_PER_MEMBER = 64  # open pairs per bucket member from which another hub round pays
-BITS = 256  # registers whose last mantissa bit makes up a document's bit sketch
+BITS = 2048  # buckets of the bit sketch, which keeps the last bit of each bucket's smallest value
 
 _WORD = re.compile(WORD.encode())
 _U = np.uint64
@@ -113,11 +113,7 @@ def registers(hashes: np.ndarray, seeds: int) -> np.ndarray:
     out = np.zeros(REGISTERS, dtype="<u2")
     if not len(hashes):
         return out
-    with np.errstate(over="ignore"):
-        items = _mix((hashes[None, :] + _U(1)) * (np.arange(seeds, dtype=_U)[:, None] * _U(0x9E3779B97F4A7C16) + _U(0xD6E8FEB86659FD93))).ravel()
-        values = _mix(items * _U(3)) >> _U(8) | _U(1)  # 56 bits
-    least = np.full(REGISTERS, _U(1 << 56), dtype=_U)
-    np.minimum.at(least, ((items >> _U(32)) * _U(REGISTERS) >> _U(32)).astype(np.int64), values)
+    least = _smallest(hashes, seeds, REGISTERS)
     full = np.flatnonzero(least < _U(1 << 56))
     low = least[full]
     length = np.frexp(low.astype(np.float64))[1].astype(np.int64)
@@ -128,15 +124,31 @@ def registers(hashes: np.ndarray, seeds: int) -> np.ndarray:
     return out
 
 
-def bit_sketch(kept: np.ndarray) -> list[int]:
-    """The last bits of BITS registers, as signed 64-bit integers."""
-    return np.packbits((kept[:BITS] & 1).astype(np.uint8)).view("<i8").tolist()
+def _smallest(hashes: np.ndarray, seeds: int, buckets: int) -> np.ndarray:
+    """The smallest 56-bit value of each bucket, 2^56 where it is empty; each hash goes in under each seed."""
+    with np.errstate(over="ignore"):
+        items = _mix((hashes[None, :] + _U(1)) * (np.arange(seeds, dtype=_U)[:, None] * _U(0x9E3779B97F4A7C16) + _U(0xD6E8FEB86659FD93))).ravel()
+        values = _mix(items * _U(3)) >> _U(8) | _U(1)
+    least = np.full(buckets, _U(1 << 56), dtype=_U)
+    np.minimum.at(least, ((items >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), values)
+    return least
+
+
+def bit_sketch(hashes: np.ndarray, seeds: int) -> list[int]:
+    """A bit of each bucket's smallest value (0: empty), as signed 64-bit integers."""
+    return np.packbits((_smallest(hashes, seeds, BITS) >> _U(5) & _U(1)).astype(np.uint8)).view("<i8").tolist()
 
 
-def most_different_bits() -> float:
-    """Bits in which two documents at the threshold differ at most: half of the registers that differ, and MARGIN standard deviations."""
-    p = (1 - PERCENT / 100) / 2
-    return BITS * p + MARGIN * (BITS * p * (1 - p)) ** 0.5
+def most_different_bits(sizes: Column, seeds: int) -> Column:
+    """In how many bits two documents at the threshold differ at most; sizes: of both sets together.
+
+    Their union fills so many buckets; in one of four the smallest values differ,
+    and then in one of two cases the bits do. MARGIN standard deviations on top.
+    """
+    t = PERCENT / 100
+    filled = BITS * (1 - F.exp(-seeds * sizes / ((1 + t) * BITS)))
+    p = (1 - t) / 2
+    return filled * p + MARGIN * F.sqrt(filled * p * (1 - p))
 
 
 def expected_collisions(n: int, m: int) -> float:
@@ -188,9 +200,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (t.as_py() or "").encode("utf-8", "replace").lower()  # lowers A-Z only
             hashes = shingle_hashes(word_hashes(data))
             n = len(hashes)
-            dense = registers(hashes, SEEDS).tobytes() if n * PERCENT <= DENSE * 100 else None
-            wide = registers(hashes, 1).tobytes() if n > DENSE else None
-            bits = [None if x is None else bit_sketch(np.frombuffer(x, "<u2")) for x in (dense, wide)]
+            used = SEEDS if n * PERCENT <= DENSE * 100 else None, 1 if n > DENSE else None
+            dense, wide = (seeds and registers(hashes, seeds).tobytes() for seeds in used)
+            bits = [seeds and bit_sketch(hashes, seeds) for seeds in used]
             for column, value in zip(rows, (hashlib.sha256(b" ".join(_WORD.findall(data))).digest(), n, dense, wide, bits), strict=True):
                 column.append(value)
         kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
@@ -295,10 +307,11 @@ def _cross_pairs(rest: DataFrame, involved: DataFrame) -> DataFrame:
     rest = rest.join(involved.select("id", "n", F.col("bits")[0].alias("dense"), F.col("bits")[1].alias("wide")), "id")
     mine, other = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "low", "high", "n", "dense", "wide")]) for x in "ab")
     apart = F.greatest(F.col("low_b") - F.col("high_a"), F.col("low_a") - F.col("high_b"))  # least difference of the distances
-    differ = [sum((F.bit_count(F.col(f"{kind}_a")[k].bitwiseXOR(F.col(f"{kind}_b")[k])) for k in range(BITS // 64)), F.lit(0)) for kind in ("dense", "wide")]
+    differ = [F.aggregate(F.zip_with(f"{kind}_a", f"{kind}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) for kind in ("dense", "wide")]
+    few = [d <= most_different_bits(F.col("n_a") + F.col("n_b"), seeds) for d, seeds in zip(differ, (SEEDS, 1), strict=True)]
     open_ = (
         (F.col("id_a") > F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        & (apart <= 1 - PERCENT / 100 + 1e-9) & (F.coalesce(*differ) <= most_different_bits())
+        & (apart <= 1 - PERCENT / 100 + 1e-9) & F.coalesce(*few, F.lit(False))
     )
     pairs = mine.join(other, (mine["key"] == other["key"]) & open_)
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
