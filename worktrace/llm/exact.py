@@ -43,6 +43,14 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     `digest`: another expression that deals texts out (tests use a colliding
     one). Where two texts share a digest, their rows are told apart by text.
     """
+    out = _assigned(docs, id_col, text_col, digest, F.sha2("_text", 256).alias("text_sha256"))
+    return out.select(
+        F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    )
+
+
+def _assigned(docs: DataFrame, id_col: str, text_col: str, digest: Column | None, carried: Column) -> DataFrame:
+    """_id, _digest, keep_id, group_size and a carried column of each row of `docs`."""
     rows = docs.select(*_keyed(docs, id_col, text_col, digest))
     salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     same = Window.partitionBy("_digest")
@@ -55,14 +63,16 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     )
     classes = materialise(classes, "exact-classes")
     clear = classes.filter("_texts = 1").select("_digest", F.explode("_salts").alias("_salt"), "keep_id", "group_size")
-    out = rows.select("_id", "_digest", "_salt", F.sha2("_text", 256).alias("text_sha256")).join(clear, ["_digest", "_salt"])
+    keyed = docs.select(*_keyed(docs, id_col, text_col, digest), packed(docs).alias("_row"))
+    names = ["_id", "_digest", "keep_id", "group_size"]
+    out = keyed.select("_id", "_digest", "_salt", carried).join(clear, ["_digest", "_salt"])
+    out = out.select(*names, *[c for c in out.columns if c not in [*names, "_salt"]])
     shared = classes.filter("_texts > 1")
     if not shared.isEmpty():  # never with SHA-256 as it stands
         shared = shared.select("_digest", "_text", F.explode("_salts").alias("_salt"), "keep_id", "group_size")
-        out = out.unionByName(rows.withColumn("text_sha256", F.sha2("_text", 256)).join(shared, ["_digest", "_salt", "_text"]).drop("_text"))
-    return out.select(
-        F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+        more = keyed.select("_id", "_digest", "_salt", "_text", carried).join(shared, ["_digest", "_salt", "_text"])
+        out = out.unionByName(more.select(*out.columns))
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,16 +83,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     count), so rows that are equal in all columns leave one. A null text that
     stays is returned as null. An empty table stays empty.
     """
-    names = docs.columns
-    ordered = [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and _orderable(f.dataType)]
-    key = F.struct(quoted(id_col).alias("id"), quoted(text_col).isNotNull().alias("has_text"), *[quoted(c).alias(f"o{i}") for i, c in enumerate(ordered)])
-    row = F.struct(quoted(text_col).isNotNull().alias("has_text"), packed(docs, but=[text_col]).alias("row"))
-    rows = docs.select(*_keyed(docs, id_col, text_col, None), key.alias("_key"), row.alias("_row"))
-    best = [F.max_by("_row", "_key").alias("_row"), F.max("_key").alias("_key")]
-    salted = rows.groupBy("_digest", "_salt", "_text").agg(*best)
-    kept = salted.groupBy("_digest", "_text").agg(*best)
-    text = F.when(F.col("_row.has_text"), F.col("_text"))
-    return kept.select(*[text.alias(c) if c == text_col else F.col("_row.row").getField(c).alias(c) for c in names])
+    kept = _assigned(docs, id_col, text_col, None, F.col("_row")).filter(F.col("_id").eqNullSafe(F.col("keep_id")))
+    ids = docs.select(*_keyed(docs, id_col, text_col, None)).groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("_n"))
+    tied = materialise(ids.filter("_n > 1").select(F.col("_id").alias("_tied"), F.col("_digest").alias("_of")), "exact-ties")
+    if not tied.isEmpty():  # rows that repeat an id with the same text
+        same = F.col("_id").eqNullSafe(F.col("_tied")) & (F.col("_digest") == F.col("_of"))
+        ordered = [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and _orderable(f.dataType)]
+        row = F.col("_row")
+        key = F.struct(row.getField(text_col).isNotNull().alias("has_text"), *[row.getField(c).alias(f"o{i}") for i, c in enumerate(ordered)])
+        best = kept.join(tied, same, "left_semi").groupBy("_id", "_digest").agg(F.max_by("_row", key).alias("_row"))
+        kept = kept.join(tied, same, "left_anti").select("_row").unionByName(best.select("_row"))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def _orderable(kind: T.DataType) -> bool:
