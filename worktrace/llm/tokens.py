@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 #: The pre-token pattern of the byte-level vocabularies (fixed value of the format).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 200_000
 
 #: Characters whose letter, number, case and composition properties are the same
 #: in every Unicode version; chunks with any other go to the library whole.
