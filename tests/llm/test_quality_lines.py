@@ -48,6 +48,24 @@ def test_far_documents_go_and_clean_ones_stay(spark):
     assert rows[102].kept and rows[102].common_distance is None  # too short to compare
 
 
+def test_junk_of_a_third_of_the_rows_goes(spark):
+    from itertools import product
+
+    clean = [(i, english(i, 150 + 10 * i), "en", "prose") for i in range(60)]
+    junk = [(200 + i, " | ".join(english(500 + i, 110 + 10 * i).split()), "en", "lists") for i in range(30)]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
+    for f, x in product((lambda d: quality.keep_good(d), lambda d: quality.score(d).filter("kept")), (docs, docs.repartition(3))):
+        assert sorted(r.doc_id for r in f(x).collect()) == list(range(60))
+
+
+def test_a_language_without_documents_near_its_medians_keeps_the_plain_reference(spark):
+    halves = [(i, " ".join("a" * 40 + str(k) if i % 2 else "$" * 40 + "#" * k for k in range(31)), "xx") for i in range(40)]
+    docs = spark.createDataFrame(halves, "doc_id long, text string, lang string")
+    rows = docs.select("lang", quality.features(F.col("text")).alias("_f")).cache()
+    refs = quality.robust_references(rows).collect()
+    assert [(r.lang, r.ref_words) for r in refs] == [("xx", 40 * 31)]
+
+
 def test_distance(spark):
     row = spark.sql("select array(1L, 1L) as a, array(2L, 2L) as b, array(0L, 5L) as c, array(7L, 0L) as d, array(0L, 0L) as e")
     one = lambda x, n, y, m: row.select(quality.distance(F.col(x), F.lit(n), F.col(y), F.lit(m))).first()[0]

@@ -2,8 +2,11 @@
 
 A document's histogram of character classes and its histogram of common words are
 compared with those of its language by the Jensen-Shannon distance. The references
-are summed over all documents of the language that pass the base rules. Short
-documents have noisy histograms; a minimum length guards each comparison.
+are robust: bin by bin the median share over all documents of the language that
+pass the base rules is what junk of less than half of them can't move far, and the
+documents near the medians are summed. (`robust=False`: sums over all that pass the
+base rules, junk included, and looser bounds, as OP2_SQL has them.) Short documents
+have noisy histograms; a minimum length guards each comparison.
 """
 
 from __future__ import annotations
@@ -52,6 +55,12 @@ MAX_CLASS_DISTANCE = 0.30
 #: sampling noise, which falls with the root of n.
 MAX_COMMON_DISTANCE = 0.22
 COMMON_NOISE = 1.4
+#: Bounds around robust references: a constant, and sampling noise of n characters or words.
+MAX_CLASS_SPREAD = 0.12
+CLASS_SPREAD_NOISE = 1.0
+MAX_COMMON_SPREAD = 0.06
+COMMON_SPREAD_NOISE = 3.0
+SHARE_DIGITS = 4  # of the shares whose medians are taken, so that each bin has few values to count
 
 _WORD = re.compile(WORD)
 _FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, classes array<long>, common array<long>"
@@ -134,6 +143,36 @@ def references(featured: DataFrame) -> DataFrame:
     )
 
 
+def centres(featured: DataFrame) -> DataFrame:
+    """lang -> the median share of each bin over its documents that pass the base rules and are long enough, in the columns of references().
+
+    The medians are exact over rounded shares, whose counts combine map-side.
+    """
+
+    def medians(name: str, bins: int, total: str, least: int) -> list[Column]:
+        share = lambda i: F.round(F.col(f"_f.{name}")[i] / F.col(f"_f.{total}"), SHARE_DIGITS)
+        return [F.median(F.when(F.col(f"_f.{total}") >= least, share(i))).alias(f"{name}{i}") for i in range(bins)]
+
+    kinds = {"classes": (len(CLASSES) + 1, "n_chars", MIN_CLASS_CHARS), "common": (len(VOCABULARY) + 1, "n_words", MIN_COMMON_WORDS)}
+    by = featured.filter(~_base_failed()).groupBy("lang").agg(*[m for name, (bins, total, least) in kinds.items() for m in medians(name, bins, total, least)])
+    by = by.select("lang", *[F.array(*[f"{name}{i}" for i in range(bins)]).alias(f"ref_{name}") for name, (bins, _, _) in kinds.items()])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return by.select("lang", total("ref_common").alias("ref_words"), total("ref_classes").alias("ref_chars"), "ref_classes", "ref_common")
+
+
+def robust_references(featured: DataFrame) -> DataFrame:
+    """references() over the documents near their language's centres only.
+
+    `featured` is read several times, so it should be materialised. A language of
+    which too few words are near its centres has the sums over all its documents
+    that pass the base rules.
+    """
+    near = judged(featured, materialise(centres(featured), "quality-centres")).filter("kept").select("lang", "_f")
+    trimmed = materialise(references(near), "quality-trimmed")
+    known = trimmed.select(F.col("lang").alias("_known"))
+    return trimmed.unionByName(references(featured).join(known, F.col("lang").eqNullSafe(F.col("_known")), "left_anti"))
+
+
 def distance(counts: Column, total: Column, reference: Column, ref_total: Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of counts with their totals; null if either is empty."""
 
@@ -145,16 +184,20 @@ def distance(counts: Column, total: Column, reference: Column, ref_total: Column
     return F.when((total > 0) & (ref_total > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def judged(featured: DataFrame, refs: DataFrame) -> DataFrame:
+def judged(featured: DataFrame, refs: DataFrame, robust: bool = True) -> DataFrame:
     """`featured` with base_failed, class_distance, common_distance (null: too short, or no reference) and kept."""
+    if robust:
+        class_bound, common_bound = MAX_CLASS_SPREAD + CLASS_SPREAD_NOISE / F.sqrt("_f.n_chars"), MAX_COMMON_SPREAD + COMMON_SPREAD_NOISE / F.sqrt("_f.n_words")
+    else:
+        class_bound, common_bound = F.lit(MAX_CLASS_DISTANCE), MAX_COMMON_DISTANCE + COMMON_NOISE / F.sqrt("_f.n_words")
     rows = lookup_join(featured, refs, ["lang"], F.xxhash64("_f.n_chars", "_f.word_chars", "_f.n_words"))
     rows = rows.withColumn("class_distance", F.when(F.col("_f.n_chars") >= MIN_CLASS_CHARS, distance(F.col("_f.classes"), F.col("_f.n_chars"), F.col("ref_classes"), F.col("ref_chars"))))
     rows = rows.withColumn("common_distance", F.when(F.col("_f.n_words") >= MIN_COMMON_WORDS, distance(F.col("_f.common"), F.col("_f.n_words"), F.col("ref_common"), F.col("ref_words"))))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("common_distance", F.lit(0.0)) > MAX_COMMON_DISTANCE + COMMON_NOISE / F.sqrt("_f.n_words"))
+    far = F.coalesce(F.col("class_distance") > class_bound, F.lit(False)) | F.coalesce(F.col("common_distance") > common_bound, F.lit(False))
     return rows.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~far).drop("ref_classes", "ref_common", "ref_chars", "ref_words")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", robust: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, the base counts, base_failed, kept, class_distance, common_distance.
 
     Null or empty text has no words and fails the base rule. Texts are read whole,
@@ -165,7 +208,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     small_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(lang_col).alias("lang"), features(quoted(text_col)).alias("_f"))
     rows = materialise(rows, "quality-features")
-    out = judged(rows, materialise(references(rows), "quality-references"))
+    refs = materialise(robust_references(rows) if robust else references(rows), "quality-references")
+    out = judged(rows, refs, robust)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("doc_id", *[f"_f.{c}" for c in base], "base_failed", "kept", "class_distance", "common_distance")
 
@@ -174,6 +218,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """The rows of `docs` that score() keeps, with their columns. Reads texts twice: for the references, then for the verdicts."""
     small_batches(docs.sparkSession)
     rows = docs.select(quoted(lang_col).alias("lang"), features(quoted(text_col)).alias("_f"))
-    refs = materialise(references(rows), "quality-references")
+    refs = materialise(robust_references(materialise(rows, "quality-features")), "quality-references")
     rows = docs.select(quoted(lang_col).alias("lang"), features(quoted(text_col)).alias("_f"), packed(docs).alias("_row"))
     return judged(rows, refs).filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

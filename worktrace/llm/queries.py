@@ -27,11 +27,15 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(warc.assemble(warc.read(spark, path).drop("payload")))
 
 
-def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.score(_table(spark, sf_dir, "documents"))
+def op2_quality_divergence(spark: SparkSession, sf_dir: str, robust: bool = False) -> DataFrame:
+    rows = quality.score(_table(spark, sf_dir, "documents"), robust=robust)
     return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})  # sums differ in their last bits
 
 
+def op2_robust_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_quality_divergence(spark, sf_dir, robust=True)
+
+
 def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -227,6 +231,7 @@ from drawn
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_transactions": op1_warc_transactions,
     "op2_quality_divergence": op2_quality_divergence,
+    "op2_robust_divergence": op2_robust_divergence,
     "op3_sparse_suffixes": op3_sparse_suffixes,
     "op4_hyperminhash": op4_hyperminhash,
     "op5_exact_dedup": op5_exact_dedup,
