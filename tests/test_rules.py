@@ -54,6 +54,24 @@ def test_sample(spark, n):
     assert [r.frame_pos for r in got] == want and [r.sample_pos for r in got] == list(range(len(want)))
 
 
+def test_prompts_have_all_keys_of_an_entry(spark):
+    import json
+
+    from tests.conftest import SF
+    from worktrace.plans.queries import QUERIES
+
+    said = {}
+    for r in QUERIES["timeline_sample30"](spark, SF).collect():
+        said.setdefault(r.video_id, {})[r.sample_pos] = r.audio_context
+    head, _, middle = synthesis.PROMPT.partition("{timeline}")
+    seen = []
+    for r in QUERIES["prompt_entries"](spark, SF).filter("prompt is not null").collect():
+        entries = json.loads(r.prompt[len(head) :].split(middle.split("{manual}")[0])[0])
+        assert [e["audio_context"] for e in entries] == [said[r.video_id][k] for k in sorted(said[r.video_id])]
+        seen += [h for e in entries for h in e["hand_movement_vector"].values()]
+    assert None in seen and any(h and h["landmark_count"] == 21 and len(h["wrist_xy"]) == 2 for h in seen)
+
+
 ITEM = '{"step_number": 1, "status": "SUCCESS", "standard_manual_text": null, "tacit_knowledge_description": "d", "fact_evidence": {"detected_tools": ["car"], "verified_quotes": ["q"]}}'
 
 

@@ -282,6 +282,43 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesis.prompts(timelines, synthesis.with_manual(views.videos(spark, sf_dir), views.manuals(spark, sf_dir)))
 
 
+def _number_sql(x: str) -> str:
+    """A number of 4 digits as Spark's JSON has it."""
+    return f"(case when {x} <> 0 and abs({x}) < 0.00095 then round({x} * 10000)::int || '.0E-4' else ({x})::double::varchar end)"
+
+
+_HAND_SQL = f"""
+hand as (
+  select vec_id, list_transform(range(0, 21), lambda i: round(embedding[i * 3 + 1]::double, 4)) as xs, list_transform(range(0, 21), lambda i: round(embedding[i * 3 + 2]::double, 4)) as ys from embeddings
+), shown as (
+  select vec_id, '{{"wrist_xy":[' || {_number_sql("xs[1]")} || ',' || {_number_sql("ys[1]")} || '],"mean_x":' || {_number_sql("round(list_sum(xs) / 21, 4)")}
+         || ',"mean_y":' || {_number_sql("round(list_sum(ys) / 21, 4)")} || ',"landmark_count":21}}' as hand from hand
+), entry as (
+  select s.*, case when hand_active and (s.video_id + s.frame_pos) % 3 = 0 then hand end as l, case when hand_active and (s.video_id + s.frame_pos) % 3 <> 0 then hand end as r
+  from sampled s left join shown on vec_id = s.video_id + s.frame_pos
+), json as (
+  select video_id, count(*)::int as n_entries, '[' || string_agg('{{"timestamp_ms":' || ts_ms || ',"audio_context":' || coalesce(to_json(audio_context)::varchar, 'null') || ',"labels":' || to_json(labels)::varchar
+         || ',"hand_movement_vector":{{"left_hand":' || coalesce(l, 'null') || ',"right_hand":' || coalesce(r, 'null') || '}}}}', ',' order by sample_pos) || ']' as timeline
+  from entry group by video_id
+)"""
+
+
+@query(
+    f"{_TIMELINE}, {SAMPLED_SQL}, {views.VIDEOS_SQL}, {views.MANUALS_SQL}, {_HAND_SQL} "
+    f"select j.video_id, n_entries, {_literal(_HEAD)} || timeline || {_literal(_MIDDLE)} || {STRIP_SQL.replace('text', 'm.standard_manual_text')} || {_literal(_TAIL)} as prompt "
+    "from json j join videos v on v.video_id = j.video_id left join manuals m on m.ncs_code = nullif(v.ncs_code, '')"
+)
+def prompt_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prompt_table with all keys of an entry. A frame with an active hand has that of the embedding numbered by video and frame, a left one every third time."""
+    found = _hands(spark, sf_dir).select(F.col("id").alias("hand"), hands.rounded(F.col("landmarks")).alias("landmarks"))
+    entries = synthesis.sampled(_relevant(spark, sf_dir)).withColumn("hand", (F.col("video_id") + F.col("frame_pos")).cast("long")).join(found, "hand", "left")
+    left = F.col("hand") % 3 == 0
+    sides = [F.when(F.col("hand_active") & side, F.col("landmarks")) for side in (left, ~left)]
+    entries = synthesis.slim_hands(entries.withColumn("hand_movement_vector", extraction.hand_vector(*sides))).withColumn("timestamp_ms", F.col("ts_ms"))
+    timelines = synthesis.timeline_json(entries, "timestamp_ms", "audio_context", "labels", "hand_movement_vector")
+    return synthesis.prompts(timelines, synthesis.with_manual(views.videos(spark, sf_dir), views.manuals(spark, sf_dir)))
+
+
 _ITEMS = f"with {views.ITEMS_SQL}"
 _VALID = "parsable and not lacks_evidence and status <> 'UNKNOWN'"
 
