@@ -89,6 +89,14 @@ def test_answers(spark):
     assert bad[6, 1] == "status: OTHER" and bad[6, 2].startswith("missing: step_number, ") and bad[10, 0] == "missing: standard_manual_text"
 
 
+def test_steps_that_are_no_numbers_are_reported(spark):
+    steps = ["1", "2.9", "null", '"3"', '"three"', '""', "1e20", '"NaN"']
+    df = spark.createDataFrame([(i, f"[{ITEM.replace('1,', f'{s},', 1)}]") for i, s in enumerate(steps)], "video_id long, raw_response string")
+    assert [r.step_number for r in answers.insights(df).orderBy("video_id").collect()] == [1, 2, None, 3, None, None, None, None]
+    lost = answers.rejected_steps(df).orderBy("video_id").collect()
+    assert [(r.video_id, r.item_pos) for r in lost] == [(4, 0), (5, 0), (6, 0), (7, 0)] and lost[0].step_number == "three"
+
+
 def test_evidence_audit(spark):
     df = spark.createDataFrame([(1, f"[{ITEM}, {ITEM.replace('SUCCESS', 'MISMATCH')}]"), (2, f"[{ITEM}]")], "video_id long, raw_response string")
     labels = spark.createDataFrame([(1, "car")], "video_id long, label string")

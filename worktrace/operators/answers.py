@@ -67,8 +67,15 @@ def insights(answers: DataFrame) -> DataFrame:
 
 
 def step(text: Column) -> Column:
-    """A step number: whole numbers as they are, others cut at the point; null if it is none."""
-    return text.try_cast("double").cast("int")
+    """A step number: whole numbers as they are, others cut at the point; null if it is none or too large."""
+    return text.try_cast("double").try_cast("int")
+
+
+def rejected_steps(answers: DataFrame) -> DataFrame:
+    """Valid items whose step number has a text that is no number: video_id, item_pos, step_number (the text). They stay insights."""
+    text = F.col("item")["step_number"]
+    rows = items(answers).filter(F.col("reason").isNull() & text.isNotNull() & step(text).isNull())
+    return rows.select("video_id", "item_pos", text.alias("step_number"))
 
 
 def rejected_items(answers: DataFrame) -> DataFrame:

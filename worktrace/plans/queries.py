@@ -336,6 +336,11 @@ def answer_items_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.rejected_items(views.answers(spark, sf_dir)).select("video_id", F.col("item_pos").cast("long").alias("item_pos"), "reason")
 
 
+@query(f"{_ITEMS} select video_id, item_pos, step_number::varchar as step_number from described where {_VALID} and step_number is not null and try_cast(step_number as int) is null")
+def answer_steps_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.rejected_steps(views.answers(spark, sf_dir)).select("video_id", F.col("item_pos").cast("long").alias("item_pos"), "step_number")
+
+
 @query(
     f"{_ITEMS} select video_id, case when not bool_or(parsable) then 'not_a_json_array' else 'no_valid_insight' end as reason from described "
     f"group by video_id having not bool_or(parsable) or not bool_or({_VALID})"
