@@ -56,3 +56,13 @@ def test_an_id_with_two_texts(spark):
     rows = [(1, words(1, 80)), (1, words(2, 80)), (2, words(1, 80))]
     got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 80, 80), (2, 0, 80, 80)]
+
+
+def test_control_characters_do_not_part_equal_words(spark):
+    rows = []
+    for k in range(20):
+        w = words(900 + k, 50).split()
+        other = ["other", *w[1:49], w[49] + "\x01", *words(950 + k, 30).split()]
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(w) + " " + words(970 + k, 30)), (3 * k + 2, " ".join(other))]
+    got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in got) == [(3 * k + i, 0, 50) for k in range(20) for i in (0, 1)]

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm.common import WORD, materialise, quoted, small_batches
@@ -100,6 +100,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["core", "id", "at", "left", "right"])
 
 
+def by_words(text: Column) -> Column:
+    """A text that sorts as the list of words of `text` does: nothing comes before the end of a word."""
+    for old, new in (("\x01", "\x01\x02"), ("\x00", "\x01\x01"), (" ", "\x00")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def common(a: str, b: str) -> int:
     """Number of equal words from the start."""
     n = 0
@@ -224,7 +231,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         own = joined.select("id", "text", F.filter("found", lambda f: f["hot"] == F.lit(which)).alias("found")).filter("size(found) > 0")
         return own.mapInArrow(_suffixes, _SUFFIX)
 
-    sorted_runs = suffixes(False).repartition("core").sortWithinPartitions("core", "right")
+    sorted_runs = suffixes(False).repartition("core").sortWithinPartitions("core", by_words(F.col("right")))
     spans = sorted_runs.mapInArrow(_compared, "id long, start long, end long")
     shared = materialise(shared.filter("hot"), "suffix-hot")
     if not shared.isEmpty():
