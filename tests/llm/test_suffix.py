@@ -66,3 +66,9 @@ def test_control_characters_do_not_part_equal_words(spark):
         rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(w) + " " + words(970 + k, 30)), (3 * k + 2, " ".join(other))]
     got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.start, r.end) for r in got) == [(3 * k + i, 0, 50) for k in range(20) for i in (0, 1)]
+
+
+def test_a_suffix_has_one_span_of_all_its_passages():
+    around = words(990, suffix.REST)
+    run = [(i, 100, around, around) for i in range(5)]
+    assert suffix.matches(run) == [(i, 100 - suffix.REST, 100 + suffix.CORE + suffix.REST) for i in range(5)]

@@ -129,15 +129,15 @@ def matches(run: list[tuple]) -> list[tuple[int, int, int]]:
     run: (id, at, left, right). Neighbours in the order share most to the right;
     each pair is extended to both sides. A suffix may share a passage with one that
     is no neighbour because what lies left of it differs; so for each extent to the
-    right, the stretch of neighbours that share it is grouped by what lies left.
+    right, the stretch of neighbours that share it is grouped by what lies left. All
+    passages of a suffix hold its core, so they are one span.
     """
-    out = []
     if len(run) == 2:
         (i, p, la, ra), (j, q, lb, rb) = run
         right, left = common(ra, rb), common(la, lb)
-        if left + right >= REST:
-            out += [(i, p - left, p + CORE + right), (j, q - left, q + CORE + right)]
-        return out
+        return [(i, p - left, p + CORE + right), (j, q - left, q + CORE + right)] if left + right >= REST else []
+    least: dict[int, int] = {}  # number in the run -> extents to the right of its passages
+    most: dict[int, int] = {}
     shared = [0, *(common(run[k - 1][3], run[k][3]) for k in range(1, len(run)))]
     for right in range(REST + 1):
         left, group = REST - right, 0
@@ -147,8 +147,11 @@ def matches(run: list[tuple]) -> list[tuple[int, int, int]]:
             before = first_words(lw, left)
             keys.append(None if before is None or first_words(rw, right) is None else (group, before))
         counts = Counter(keys)
-        out += [(r[0], r[1] - left, r[1] - left + LENGTH) for r, key in zip(run, keys, strict=True) if key is not None and counts[key] > 1]
-    return out
+        for k, key in enumerate(keys):
+            if key is not None and counts[key] > 1:
+                least.setdefault(k, right)
+                most[k] = right
+    return [(run[k][0], run[k][1] - REST + least[k], run[k][1] + CORE + most[k]) for k in least]
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
