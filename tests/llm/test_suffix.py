@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import words
@@ -38,10 +40,10 @@ def fixture():
     return rows + [(200, "a " * 150), (201, None), (202, ""), (203, words(3, 49))]
 
 
-@pytest.mark.parametrize("hot", [suffix.HOT, 2, 6])
-def test_equal_to_counting_all_windows(spark, hot):
+@pytest.mark.parametrize("part", [suffix.PART, 1, 2, 6])
+def test_equal_to_counting_all_windows(spark, part):
     rows = fixture()
-    got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), part=part).collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
 
@@ -68,7 +70,36 @@ def test_control_characters_do_not_part_equal_words(spark):
     assert sorted((r.doc_id, r.start, r.end) for r in got) == [(3 * k + i, 0, 50) for k in range(20) for i in (0, 1)]
 
 
-def test_a_suffix_has_one_span_of_all_its_passages():
-    around = words(990, suffix.REST)
-    run = [(i, 100, around, around) for i in range(5)]
-    assert suffix.matches(run) == [(i, 100 - suffix.REST, 100 + suffix.CORE + suffix.REST) for i in range(5)]
+@pytest.mark.parametrize("part", [suffix.PART, 3])
+def test_a_passage_that_most_documents_share(spark, part):
+    passage = words(700, 70).split()
+    rows = []
+    for k in range(120):  # cut at either end, and with one word replaced in some
+        own = passage[k % 15 : 70 - k % 7]
+        own = own if k % 10 else [*own[:30], f"other{k % 20}", *own[31:]]
+        rows.append((k, words(2000 + k, 30 + k % 40) + " " + " ".join(own) + " " + words(3000 + k, 40)))
+    rows += [(500 + k, words(4000, 300)) for k in range(60)]
+    got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), part=part).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_texts_in_batches_are_hashed_as_alone(monkeypatch):
+    texts = ["", words(1, 70), " ", words(2, 49), words(3, 300) + " " + "y" * 300 + "\x0bz", "\n" + words(1, 70)]
+    alone = [suffix.hashed_words(t.encode())[0].tolist() for t in texts]
+    for size in (1, 500, 1 << 20):
+        monkeypatch.setattr(suffix, "_BATCH_BYTES", size)
+        got = []
+        for _, _, hashes, counts in suffix._texts(pa.array(texts)):
+            got += [h.tolist() for h in np.split(hashes, np.cumsum(counts)[:-1])]
+        assert got == alone
+
+
+def test_selected_positions_hold_each_passage_once():
+    rnd = np.random.default_rng(3)
+    counts = [0, 200, 49, 50, 7, 333, 1000, 0]
+    w = rnd.integers(0, 40, sum(counts)).astype(np.uint64)  # few words, so grams repeat
+    at, first, last = suffix.selected(w, counts)
+    held = sorted(b for a, z in zip(first, last, strict=True) for b in range(a, z + 1))
+    begins = np.cumsum(counts) - np.array(counts)
+    assert held == [b + k for b, n in zip(begins, counts, strict=True) for k in range(n - suffix.LENGTH + 1)]
+    assert ((at - first < suffix.SPREAD) & (at >= last)).all()

@@ -67,21 +67,40 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a UTF-8 text, in pieces that end before white space."""
-    out = []
+    """64-bit hashes of the words of a UTF-8 text."""
+    return hashed_words(data)[0]
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() and the place of each word's first byte; in pieces that end before white space."""
+    out, places, at = [np.empty(0, dtype=_U)], [np.empty(0, dtype=np.int64)], 0
     powers, inverses = _powers()
     for piece in _pieces(data):
         if len(piece) > 2 * _PIECE:  # one word of megabytes
-            out.append(np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in _WORD.findall(piece)], dtype=_U))
-            continue
-        raw = np.frombuffer(piece, dtype=np.uint8)
-        inside = ~((raw == 0x20) | ((raw >= 9) & (raw <= 13)))
-        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([[_U(0)], np.cumsum((raw.astype(_U) + _U(1)) * powers[: len(raw)])])
-            out.append(_mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U)))
-    return np.concatenate(out) if out else np.empty(0, dtype=_U)
+            found = list(_WORD.finditer(piece))
+            out.append(np.array([_long_word(m.group()) for m in found], dtype=_U))
+            places.append(np.array([m.start() for m in found], dtype=np.int64) + at)
+        else:
+            raw = np.frombuffer(piece, dtype=np.uint8)
+            inside = ~((raw == 0x20) | ((raw >= 9) & (raw <= 13)))
+            edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([[_U(0)], np.cumsum((raw.astype(_U) + _U(1)) * powers[: len(raw)])])
+                out.append(_mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U)))
+            places.append(starts + at)
+        at += len(piece)
+    return np.concatenate(out), np.concatenate(places)
+
+
+def _long_word(word: bytes) -> np.uint64:
+    """The hash of a word of any length, piece by piece."""
+    total, powers = 0, _powers()[0]
+    with np.errstate(over="ignore"):
+        for a in range(0, len(word), _PIECE):
+            raw = np.frombuffer(word[a : a + _PIECE], dtype=np.uint8).astype(_U) + _U(1)
+            total += int((raw * powers[: len(raw)]).sum(dtype=_U)) * pow(_BASE, a, 1 << 64)
+        return _mix(np.array([(total + len(word)) % (1 << 64)], dtype=_U))[0]
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
