@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from tests.llm.conftest import words
 from worktrace.llm import hyperminhash as h
@@ -46,17 +45,27 @@ def test_groups_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-@pytest.mark.parametrize("rounds,per", [(0, 0.0), (3, 0.0), (6, 1e9)])
-def test_groups_do_not_depend_on_the_rounds(spark, monkeypatch, rounds, per):
-    monkeypatch.setattr(h, "HUB_ROUNDS", rounds)
-    monkeypatch.setattr(h, "PAIRS_PER_MEMBER", per)
+def test_chains_and_copies_that_miss_their_hub(spark):
     chain = words(7, 200).split()
     rows = [(k, " ".join(chain[4 * k : 4 * k + 120])) for k in range(15)]  # each links to its neighbours only
-    rows += [(100 + k, near(words(8, 150), 0.03, k)) for k in range(20)]
+    rows += [(100 + k, near(words(8, 150), 0.03 + 0.02 * (k % 3), k)) for k in range(40)]
     got = {r.doc_id: r.component_id for r in h.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: c for i, (_, c) in brute(rows).items()}
 
 
+def test_open_pairs_hold_all_links_and_few_others(spark):
+    """Documents of a common passage and little or much else; each is a component of its own at first."""
+    passage, r, rows = words(99, 60), random.Random(4), []
+    for k in range(200):
+        rows.append((k, words(1000 + k, r.choice([1, 3, 6, 12, 30, 60])) + " " + passage))
+    sets = {i: h.shingle_set(t) for i, t in rows}
+    docs = spark.createDataFrame([(i, i, len(sets[i]), t) for i, t in rows], "id long, label long, n long, text string")
+    got = {tuple(sorted(p)) for p in h._open_pairs(docs.select("id", "label"), docs.select("id", "n", "text")).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and h.similarity(sets[a], sets[b])[0]}
+    large = {i for i in sets if len(sets[i]) >= 86}  # 30 or 60 words of their own
+    assert want <= got and not any(set(p) <= large for p in got)
+
+
 def test_edge_rows(edge_docs, no_docs, null_docs):
     rows = h.groups(edge_docs).collect()
     assert len(rows) == edge_docs.count()

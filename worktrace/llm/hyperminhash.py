@@ -9,13 +9,14 @@ full sets. Each shingle of a set up to DENSE goes in under SEEDS seeds, so that
 small sets fill the registers too; larger sets use one. Sets between DENSE and
 DENSE / threshold have both kinds, so any two that could be linked share one.
 
-No bucket emits its pairs. Each sends its members to one hub; members and hub that
-prove alike fall into one component, and pairs inside a component need no look.
-Only pairs of different components remain, and those are enumerated, but for pairs
-that the triangle inequality of the Jaccard distance rules out: two members whose
-distances from the hub differ by more than the threshold's are no link. No other
-pair of a bucket is left out, yet a bucket of near copies costs a few rounds of its
-size.
+No bucket emits its pairs. Each sends its members to one hub, the member that meets
+most others; members and hub that prove alike fall into one component, and pairs
+inside a component need no look. What is left are pairs of different components in
+one bucket. Of the documents in such buckets the shingles are counted, and each
+document shows only its rarest, a quarter of its set: two that are alike at the
+threshold have one of these in common, at places that leave room for all they must
+share. Shingles of a passage that many documents hold are the commonest and are
+shown by none of them but those that hold little else.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from worktrace.llm.common import WORD, materialise, quoted, small_batches
 
@@ -41,9 +43,6 @@ SEEDS = 8
 DENSE = 1024  # largest set that uses all seeds
 SMALL = 64  # pairs of smaller sets are confirmed whatever the estimate
 MARGIN = 6.0  # pairs up to so many standard deviations below the threshold are confirmed
-HUB_ROUNDS = 6
-PAIRS_PER_MEMBER = 64  # open pairs per bucket member from which another hub round pays
-BITS = 2048  # buckets of the bit sketch, which keeps the last bit of each bucket's smallest value
 
 _WORD = re.compile(WORD.encode())
 _U = np.uint64
@@ -153,23 +152,6 @@ def _smallest(hashes: np.ndarray, seeds: int, buckets: int) -> np.ndarray:
     return least
 
 
-def bit_sketch(hashes: np.ndarray, seeds: int) -> list[int]:
-    """A bit of each bucket's smallest value (0: empty), as signed 64-bit integers."""
-    return np.packbits((_smallest(hashes, seeds, BITS) >> _U(5) & _U(1)).astype(np.uint8)).view("<i8").tolist()
-
-
-def most_different_bits(sizes: Column, seeds: int) -> Column:
-    """In how many bits two documents at the threshold differ at most; sizes: of both sets together.
-
-    Their union fills so many buckets; in one of four the smallest values differ,
-    and then in one of two cases the bits do. MARGIN standard deviations on top.
-    """
-    t = PERCENT / 100
-    filled = BITS * (1 - F.exp(-seeds * sizes / ((1 + t) * BITS)))
-    p = (1 - t) / 2
-    return filled * p + MARGIN * F.sqrt(filled * p * (1 - p))
-
-
 def expected_collisions(n: int, m: int) -> float:
     """Expected share of buckets whose registers agree though their minima differ, for set sizes n and m.
 
@@ -214,30 +196,38 @@ def similarity(a: set, b: set) -> tuple[bool, float]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], []]
         for t in batch.column(1):
             data = (t.as_py() or "").encode("utf-8", "replace").lower()  # lowers A-Z only
             hashes = shingle_hashes(word_hashes(data))
             n = len(hashes)
             used = SEEDS if n * PERCENT <= DENSE * 100 else None, 1 if n > DENSE else None
             dense, wide = (seeds and registers(hashes, seeds).tobytes() for seeds in used)
-            bits = [seeds and bit_sketch(hashes, seeds) for seeds in used]
-            for column, value in zip(rows, (hashlib.sha256(b" ".join(_WORD.findall(data))).digest(), n, dense, wide, bits), strict=True):
+            for column, value in zip(rows, (hashlib.sha256(b" ".join(_WORD.findall(data))).digest(), n, dense, wide), strict=True):
                 column.append(value)
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["id", "words", "n", "dense", "wide", "bits"])
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["id", "words", "n", "dense", "wide"])
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, n, text) -> a row (shingle, id, label, n) for each shingle."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            text = (batch.column(3)[i].as_py() or "").encode("utf-8", "replace").lower()
+            hashes = shingle_hashes(word_hashes(text)).view(np.int64)
+            same = [pa.array(np.full(len(hashes), batch.column(k)[i].as_py(), dtype=np.int64)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), *same], names=["shingle", "id", "label", "n"])
 
 
 def _estimated(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array, dense: pa.Array) -> pa.Array:
-    """Bounds of the similarity, MARGIN standard deviations around the estimate; sizes bound it too."""
+    """Whether a pair may be linked: its estimate is not more than MARGIN standard deviations below the threshold, or its sets are small."""
     n, m = n.to_numpy(), m.to_numpy()
     x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (a, b))
     items = np.where(dense.to_numpy(zero_copy_only=False), SEEDS, 1)
     j, used = estimates(x, y, n * items, m * items)
-    less, more, t = np.minimum(n, m), np.maximum(n, m), PERCENT / 100
+    t = PERCENT / 100
     slack = MARGIN * np.sqrt(np.maximum(j * (1 - j), t * (1 - t)) / np.maximum(used, 1))
-    low, high = np.where(less <= SMALL, 0.0, np.maximum(j - slack, 0.0)), np.where(less <= SMALL, 1.0, np.minimum(j + slack, 1.0))
-    return pa.StructArray.from_arrays([pa.array(low), pa.array(np.minimum(high, less / more))], names=["low", "high"])
+    return pa.array((np.minimum(n, m) <= SMALL) | (j + slack >= t))
 
 
 @lru_cache(maxsize=32)
@@ -246,15 +236,14 @@ def _cached_set(text: str) -> set[bytes]:
 
 
 def _confirmed(a: pa.Array, b: pa.Array) -> pa.Array:
-    found = [similarity(shingle_set(x.as_py()), _cached_set(y.as_py())) for x, y in zip(a, b, strict=True)]
-    return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.float64())], names=["linked", "j"])
+    return pa.array([similarity(shingle_set(x.as_py()), _cached_set(y.as_py()))[0] for x, y in zip(a, b, strict=True)], pa.bool_())
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, words (SHA-256 of the lower-cased word sequence), n (set size), its registers: dense (SEEDS seeds) and wide (one), and the bit sketches of both."""
+    """Per row: id, words (SHA-256 of the lower-cased word sequence), n (set size), its registers: dense (SEEDS seeds) and wide (one)."""
     small_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
-    return rows.mapInArrow(_sketches, "id long, words binary, n long, dense binary, wide binary, bits array<array<long>>")
+    return rows.mapInArrow(_sketches, "id long, words binary, n long, dense binary, wide binary")
 
 
 def bucket_keys(sketches: DataFrame) -> DataFrame:
@@ -284,62 +273,60 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _scored(pairs: DataFrame, involved: DataFrame) -> DataFrame:
-    """Pairs (a, b) with linked, low, high: exact where the estimate leaves a link open and full texts decide; else bounds. Written to the shared folder."""
+def _links(pairs: DataFrame, involved: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked: those whose estimate allows it are confirmed on their full sets. Written to the shared folder."""
     regs = involved.select("id", "n", "dense", "wide")
     left, right = (regs.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "dense", "wide")]) for x in "ab")
     dense = F.col("dense_a").isNotNull() & F.col("dense_b").isNotNull()
     kinds = [F.when(dense, F.col(f"dense_{x}")).otherwise(F.col(f"wide_{x}")) for x in "ab"]
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", *[k.alias(f"r_{x}") for k, x in zip(kinds, "ab", strict=True)], "n_a", "n_b", dense.alias("dense"))
-    bounds = F.arrow_udf(_estimated, "struct<low:double,high:double>")("r_a", "r_b", "n_a", "n_b", "dense")
-    judged = rows.filter("r_a is not null and r_b is not null").withColumn("e", bounds).select("a", "b", "e.low", "e.high")
-    apart = rows.filter("r_a is null or r_b is null")  # too different in size for a link
-    ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
-    near = materialise(judged.unionByName(apart.select("a", "b", F.lit(0.0).alias("low"), ratio.alias("high"))), "near-pairs")
+    rows = pairs.join(left, "a").join(right, "b").filter(_sizes_allow("n_a", "n_b"))
+    rows = rows.select("a", "b", *[k.alias(f"r_{x}") for k, x in zip(kinds, "ab", strict=True)], "n_a", "n_b", dense.alias("dense"))
+    rows = rows.filter("r_a is not null and r_b is not null")  # else too different in size for a link
+    near = rows.withColumn("may", F.arrow_udf(_estimated, "boolean")("r_a", "r_b", "n_a", "n_b", "dense"))
+    near = materialise(near.filter("may").select("a", "b"), "near-pairs")
     left, right = (involved.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
-    texts = near.filter(F.col("high") >= PERCENT / 100).select("a", "b").distinct().join(left, "a").join(right, "b")
-    exact = texts.withColumn("c", F.arrow_udf(_confirmed, "struct<linked:boolean,j:double>")("t_a", "t_b")).select("a", "b", "c.linked", F.col("c.j").alias("low"), F.col("c.j").alias("high"))
-    far = near.filter(F.col("high") < PERCENT / 100).select("a", "b", F.lit(False).alias("linked"), "low", "high")
-    return materialise(exact.unionByName(far), "near-scored")
+    texts = near.distinct().join(left, "a").join(right, "b")
+    linked = texts.withColumn("linked", F.arrow_udf(_confirmed, "boolean")("t_a", "t_b")).filter("linked")
+    return materialise(linked.select("a", "b").distinct(), "near-links")
+
+
+def _sizes_allow(n: str, m: str) -> Column:
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with their label."""
+    """Documents (id, label) in buckets that hold more than one component."""
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = materialise(labelled, "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return labelled.join(mixed.select("key"), "key", "left_semi")
-
+    mixed = materialise(mixed.select("key"), "near-mixed")
+    return labelled.join(mixed, "key", "left_semi").select("id", "label").distinct()
 
-def _hub_pairs(rest: DataFrame, n: int) -> DataFrame:
-    """Each bucket's open members with another hub, drawn by hash; pairs of one component are left out."""
-    hub = rest.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64(F.lit(n), "id")).alias("h"))
-    return rest.join(hub, "key").filter("label <> h.label").select(F.col("id").alias("a"), F.col("h.id").alias("b"))
 
+def _open_pairs(rest: DataFrame, involved: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of different components that may be linked; rest: (id, label) of those in question.
 
-def _cross_pairs(rest: DataFrame, involved: DataFrame) -> DataFrame:
-    """All pairs (a > b) of a bucket that are of different components, but those that can't be linked.
-
-    Ruled out, before a row is made of the pair: by the sizes of the sets, by
-    the distances from the hub, and by bit sketches that differ in more bits than
-    most_different_bits().
+    One order holds for all shingles: first those that one component holds, then
+    the others by the number of documents that hold them. What two linked
+    documents have in common fills PERCENT of either set and all of the room
+    behind the first shingle that both hold, so that one stands in the first
+    quarter of both, and the room is large enough.
     """
-    rest = rest.join(involved.select("id", "n", F.col("bits")[0].alias("dense"), F.col("bits")[1].alias("wide")), "id")
-    mine, other = (rest.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "low", "high", "n", "dense", "wide")]) for x in "ab")
-    apart = F.greatest(F.col("low_b") - F.col("high_a"), F.col("low_a") - F.col("high_b"))  # least difference of the distances
-    differ = [F.aggregate(F.zip_with(f"{kind}_a", f"{kind}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) for kind in ("dense", "wide")]
-    few = [d <= most_different_bits(F.col("n_a") + F.col("n_b"), seeds) for d, seeds in zip(differ, (SEEDS, 1), strict=True)]
-    open_ = (
-        (F.col("id_a") > F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        & (apart <= 1 - PERCENT / 100 + 1e-9) & F.coalesce(*few, F.lit(False))
-    )
-    pairs = mine.join(other, (mine["key"] == other["key"]) & open_)
+    texts = rest.join(involved.select("id", "n", "text"), "id").select("id", "label", "n", "text")
+    shown = materialise(texts.mapInArrow(_shown, "shingle long, id long, label long, n long"), "near-shingles")
+    held = shown.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    held = materialise(held.filter("lo <> hi").select("shingle", "c"), "near-held")
+    by_id = Window.partitionBy("id")
+    place = F.row_number().over(by_id.orderBy("c", "shingle")) - 1 + F.col("n") - F.count(F.lit(1)).over(by_id)
+    rare = shown.join(held, "shingle").withColumn("room", F.col("n") - place).filter(100 * F.col("room") >= PERCENT * F.col("n"))
+    rare = materialise(rare.select("shingle", "id", "label", "n", "room"), "near-rare")
+    mine, other = (rare.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "n", "room")]) for x in "ab")
+    both = F.least("room_a", "room_b")
+    fits = (F.col("label_a") > F.col("label_b")) & (100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both))
+    pairs = mine.join(other, (mine["shingle"] == other["shingle"]) & fits)
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def _linked(scored: DataFrame) -> DataFrame:
-    return scored.filter("linked").select("a", "b").distinct()
-
-
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -360,41 +347,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes = materialise(real.groupBy("words").agg(F.min("id").alias("id")), "near-classes")
     reps = real.join(classes.select("id"), "id", "left_semi")
     keys = bucket_keys(reps)
-    sizes = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
-    members = materialise(keys.join(sizes, "key"), "near-buckets")
+    sizes = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    members = materialise(keys.join(materialise(sizes.select("key", "size"), "near-sizes"), "key"), "near-buckets")
     # the hub is the member that meets most others over all its buckets: of edited copies, their original
-    central = members.groupBy("id").agg(F.sum("size").alias("met"))
-    hubs = members.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    members = materialise(members.select("key", "id").join(hubs, "key"), "near-members")
-    ids = members.select("id").distinct()
-    involved = materialise(texts.join(ids, "id", "left_semi").join(reps.select("id", "n", "dense", "wide", "bits"), "id"), "near-involved")
-    scored = _scored(members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), involved)
-    bounds = scored.groupBy(F.col("a").alias("id"), F.col("b").alias("hub")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    ends = members.join(bounds, ["id", "hub"], "left").select("key", "id", F.coalesce("low", F.lit(1.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
-    members = materialise(ends, "near-members")
-    done, links = scored.select("a", "b"), _linked(scored)
+    central = materialise(members.groupBy("id").agg(F.sum("size").alias("met")), "near-central")
+    hubs = members.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("h"))
+    hubs = materialise(hubs.select("key", (-F.col("h.minus")).alias("hub")), "near-hubs")
+    involved = texts.join(central.select("id"), "id", "left_semi").join(reps.select("id", "n", "dense", "wide"), "id")
+    involved = materialise(involved, "near-involved")
+    to_hub = members.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = _links(to_hub, involved)
+    labels = components(links)
+    links = links.unionByName(_links(_open_pairs(_open(members.select("key", "id"), labels), involved), involved))
     labels = components(links)
-    for n in range(HUB_ROUNDS + 1):
-        rest = materialise(_open(members, labels), "near-open")
-        count = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        open_pairs, open_members = count.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.sum("n")).first()
-        if not open_members:
-            break
-        last = n == HUB_ROUNDS or open_pairs <= PAIRS_PER_MEMBER * open_members
-        pairs = _cross_pairs(rest, involved) if last else _hub_pairs(rest, n)
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        scored = _scored(pairs, involved)
-        fresh = _linked(scored)
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = components(links)
-        elif not last:  # hubs find no more
-            scored = _scored(_cross_pairs(rest, involved).join(done.unionByName(scored.select("a", "b")), ["a", "b"], "left_anti"), involved)
-            links = links.unionByName(_linked(scored))
-            labels, last = components(links), True
-        if last:
-            break
-        done = done.unionByName(scored.select("a", "b"))
     found = classes.join(labels, "id", "left").select("words", F.coalesce("label", "id").alias("component_id"))
     rows = sketches.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("words")).alias("words"))
     out = rows.join(found, "words", "left").select(
