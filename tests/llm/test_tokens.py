@@ -5,8 +5,10 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import words
 from worktrace.llm import bpe_tree, token_counts, token_store, tokens
 from worktrace.llm.common import new_path
 
@@ -27,17 +29,43 @@ def test_ids_and_counts_equal_the_library(tokenizer):
     for name, make in (("byte_bpe_50k.json", tokens.byte_level), ("word_bpe_49k.json", tokens.word_level)):
         library, mine = tokens.load(tokenizer(name)), make(tokenizer(name))
         want = [le(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
-        assert [mine.ids(t) for t in texts] == want
+        assert mine.ids(texts) == want and [mine.ids([t])[0] for t in texts] == want
     counter = tokens.ByteLevel(tokenizer("byte_bpe_50k.json"), tokens.whole_tokens(tokenizer("byte_bpe_50k.json")))
     library = tokens.load(tokenizer("byte_bpe_50k.json"))
-    assert [counter.count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_a_small_cache_changes_nothing(tokenizer, monkeypatch):
     texts = odd_texts(300)
-    want = [tokens.word_level(tokenizer("word_bpe_49k.json")).ids(t) for t in texts]
-    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 6)
-    assert [tokens.WordLevel(tokenizer("word_bpe_49k.json")).ids(t) for t in texts] == want
+    want = tokens.word_level(tokenizer("word_bpe_49k.json")).ids(texts)
+    monkeypatch.setattr(tokens, "CACHE", 6)
+    assert tokens.WordLevel(tokenizer("word_bpe_49k.json")).ids(texts) == want
+
+
+def test_plain_pre_tokens_are_those_of_the_patterns():
+    r = random.Random(8)
+    plain = ["a", "The", "é", "ß", " ", "  ", "\n", "\t", "\r", "'", "'s", "'re", "'l", "'ll", "1", "23", "½", "!", "#'", "s", "ve", "d"]
+    for _ in range(300):
+        texts = ["".join(r.choices(plain, k=r.randint(0, 12))) for _ in range(r.randint(1, 6))]
+        for attach, pattern in ((True, tokens.BYTE_LEVEL_PATTERN), (False, tokens.WordLevel.PATTERN)):
+            joined = "\0".join([*texts, ""])
+            at, kind = tokens.pre_tokens(np.frombuffer(joined.encode("utf-32-le"), "<u4"), attach)
+            cut = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)], strict=True)]
+            cut = [c for c, k in zip(cut, kind, strict=True) if attach or k != tokens._SPACE]
+            assert cut == [x for t in texts for x in [*regex.findall(pattern, t), "\0"]]
+
+
+def test_texts_of_megabytes(tokenizer):
+    """Runs without a place to cut, and a long text with many different chunks, that the cache does not keep."""
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, "a" * n, " " * n + "x", "ab" * n]
+    for name, make in (("byte_bpe_50k.json", tokens.ByteLevel), ("word_bpe_49k.json", tokens.WordLevel)):
+        library, mine = tokens.load(tokenizer(name)), make(tokenizer(name))
+        for t in texts:
+            assert mine.ids([t])[0] == le(library.encode(t, add_special_tokens=False).ids)
+        long = [chr(97 + k) * 500_000 for k in range(8)] + [words(k, 40_000) for k in range(3)]
+        assert [len(x) for x in mine.ids(long)] == [4 * len(library.encode(t, add_special_tokens=False).ids) for t in long]
+        assert len(mine._ids.cache.new) + len(mine._ids.cache.old) <= tokens.CACHE
 
 
 def test_whole_tokens_are_proven(tokenizer):
@@ -134,3 +162,31 @@ def test_op9_digests(spark, tokenizer):
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(le(ids)).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def _documents(spark):
+    from tests.conftest import SF
+
+    return SF, sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+
+
+def test_op7_counts(spark, tokenizer):
+    from worktrace.llm.queries import QUERIES
+
+    library, (sf, docs) = tokens.load(tokenizer("byte_bpe_50k.json")), _documents(spark)
+    want = [(i, len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 512) for i, t in docs]
+    rows = QUERIES["op7_token_counts"](spark, sf).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()
+    assert sorted(map(tuple, rows)) == want
+
+
+def test_op8_listing(spark, tokenizer):
+    from worktrace.llm.queries import QUERIES
+
+    library, (sf, docs) = tokens.load(tokenizer("byte_bpe_50k.json")), _documents(spark)
+    want, start = [], 0
+    for i, t in docs:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(le(ids))))
+        start += len(ids)
+    rows = QUERIES["op8_token_store"](spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, rows)) == want

@@ -154,7 +154,7 @@ def parts(text: str, path: str, segment: int = SEGMENT, unsplit: int = UNSPLIT)
 def encode_part(kind: str, content: str, path: str) -> bytes:
     """The ids of one part or leaf, as little-endian 32-bit integers."""
     if kind == "text":
-        return tokens.word_level(path).ids(content)
+        return tokens.word_level(path).ids([content])[0]
     if kind == "ids":
         return np.array(content.split(), "<u4").tobytes()
     merges = _merges(path)
@@ -203,8 +203,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", segment: int
     is_long = F.coalesce((F.length(text) > segment) | (long_run & text.rlike(r"[\S\x1c-\x1f]{%d}" % (unsplit + 1))), F.lit(False))
 
     def whole(texts: pa.Array) -> pa.Array:
-        encoder = tokens.word_level(tokenizer)
-        return _struct([encoder.ids(t.as_py()) for t in texts], tokenizer)
+        return _struct(tokens.word_level(tokenizer).ids(texts.to_pylist()), tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

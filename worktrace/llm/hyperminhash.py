@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worktrace.llm.common import WORD, materialise, quoted, small_batches
+from worktrace.llm.hashing import mix, word_hashes
 
 SHINGLE = 5
 PERCENT = 75  # similarity from which documents are linked
@@ -48,71 +49,6 @@ _WORD = re.compile(WORD.encode())
 _U = np.uint64
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
-
-
-_BASE, _PIECE = 0x9E3779B97F4A7C15 | 1, 1 << 20
-
-
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """_BASE to the power of 0, 1, 2, ... and its inverses, modulo 2^64."""
-    with np.errstate(over="ignore"):
-        both = [np.cumprod(np.concatenate([[_U(1)], np.full(2 * _PIECE, _U(b))])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return both[0], both[1]
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a UTF-8 text."""
-    return hashed_words(data)[0]
-
-
-def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes() and the place of each word's first byte; in pieces that end before white space."""
-    out, places, at = [np.empty(0, dtype=_U)], [np.empty(0, dtype=np.int64)], 0
-    powers, inverses = _powers()
-    for piece in _pieces(data):
-        if len(piece) > 2 * _PIECE:  # one word of megabytes
-            found = list(_WORD.finditer(piece))
-            out.append(np.array([_long_word(m.group()) for m in found], dtype=_U))
-            places.append(np.array([m.start() for m in found], dtype=np.int64) + at)
-        else:
-            raw = np.frombuffer(piece, dtype=np.uint8)
-            inside = ~((raw == 0x20) | ((raw >= 9) & (raw <= 13)))
-            edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([[_U(0)], np.cumsum((raw.astype(_U) + _U(1)) * powers[: len(raw)])])
-                out.append(_mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U)))
-            places.append(starts + at)
-        at += len(piece)
-    return np.concatenate(out), np.concatenate(places)
-
-
-def _long_word(word: bytes) -> np.uint64:
-    """The hash of a word of any length, piece by piece."""
-    total, powers = 0, _powers()[0]
-    with np.errstate(over="ignore"):
-        for a in range(0, len(word), _PIECE):
-            raw = np.frombuffer(word[a : a + _PIECE], dtype=np.uint8).astype(_U) + _U(1)
-            total += int((raw * powers[: len(raw)]).sum(dtype=_U)) * pow(_BASE, a, 1 << 64)
-        return _mix(np.array([(total + len(word)) % (1 << 64)], dtype=_U))[0]
-
-
-def _pieces(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while len(data) - at > _PIECE:
-        cut = max(data.rfind(b, at + 1, at + _PIECE) for b in (b" ", b"\n", b"\t"))
-        if cut < 0:
-            cut = min((k for k in (data.find(b, at + _PIECE) for b in (b" ", b"\n", b"\t")) if k >= 0), default=len(data))
-        yield data[at:cut]
-        at = cut
-    yield data[at:]
-
-
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; a shorter text is one shingle."""
     n = len(words)
@@ -122,7 +58,7 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.full(n - width + 1, _U(width), dtype=_U)
         for k in range(width):
-            h = _mix(h * _U(0x9FB21C651E98DF25) + words[k : n - width + 1 + k])
+            h = mix(h * _U(0x9FB21C651E98DF25) + words[k : n - width + 1 + k])
     return np.unique(h)
 
 
@@ -145,8 +81,8 @@ def registers(hashes: np.ndarray, seeds: int) -> np.ndarray:
 def _smallest(hashes: np.ndarray, seeds: int, buckets: int) -> np.ndarray:
     """The smallest 56-bit value of each bucket, 2^56 where it is empty; each hash goes in under each seed."""
     with np.errstate(over="ignore"):
-        items = _mix((hashes[None, :] + _U(1)) * (np.arange(seeds, dtype=_U)[:, None] * _U(0x9E3779B97F4A7C16) + _U(0xD6E8FEB86659FD93))).ravel()
-        values = _mix(items * _U(3)) >> _U(8) | _U(1)
+        items = mix((hashes[None, :] + _U(1)) * (np.arange(seeds, dtype=_U)[:, None] * _U(0x9E3779B97F4A7C16) + _U(0xD6E8FEB86659FD93))).ravel()
+        values = mix(items * _U(3)) >> _U(8) | _U(1)
     least = np.full(buckets, _U(1 << 56), dtype=_U)
     np.minimum.at(least, ((items >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), values)
     return least

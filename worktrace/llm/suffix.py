@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worktrace.llm.common import materialise, quoted, small_batches
-from worktrace.llm.hyperminhash import _mix, hashed_words
+from worktrace.llm.hashing import hashed_words, mix
 
 LENGTH = 50  # words of the shortest passage reported
 KGRAM = 8  # a power of two
@@ -43,7 +43,7 @@ _COMPARED = "id long, start long, end long, passage long"
 
 
 def _step(h: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(h * _U(0x9FB21C651E98DF25) + word)
+    return mix(h * _U(0x9FB21C651E98DF25) + word)
 
 
 def _grams(words: np.ndarray) -> np.ndarray:

@@ -54,7 +54,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         for batch in batches:
             for k in range(0, batch.num_rows, _ROWS):
                 some = batch.slice(k, _ROWS)
-                parts = [encoder.ids(t.as_py()) + end for t in some.column(1)]
+                parts = [ids + end for ids in encoder.ids(some.column(1).to_pylist())]
                 offsets = [0]
                 for p in parts:
                     offsets.append(offsets[-1] + len(p) // 4)

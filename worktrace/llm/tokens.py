@@ -1,34 +1,41 @@
-"""Token ids as the tokenizers library gives them, with a cache of text chunks.
-
-A text falls into chunks at places where the library's own pre-tokenizer always
-splits, so the ids of the text are those of its chunks in a row. Chunks repeat,
-so most are found in a dict; the library's model encodes those missing. The dict
-holds CACHE_CHUNKS entries at most, which bounds a worker's memory and changes no
-result.
+"""Token ids as the tokenizers library gives them, with a cache of pre-tokens.
+
+Texts of plain characters are cut into pre-tokens where the library's own pattern
+cuts them, all texts of a batch at once as arrays of code points; other texts fall
+into chunks at places where the pattern always splits, and chunks with an odd
+character go to the library whole. Equal pre-tokens are found by their 64-bit hashes,
+and a batch asks for each once. Most are in a dict; the library's model merges those
+missing. The dict holds CACHE entries of pre-tokens of LONGEST characters at most,
+which bounds a worker's memory and changes no result.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import struct
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
 import regex
-import tiktoken
 from tokenizers import Tokenizer
 
+from worktrace.llm.hashing import PIECE, stretch_hashes
+
 #: The pre-token pattern of the byte-level vocabularies (fixed value of the format).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHE_CHUNKS = 200_000
+CACHE = 200_000
+LONGEST = 64
+SEGMENT = 1 << 16  # characters that are cut into pre-tokens at a time
 
 #: Characters whose letter, number, case and composition properties are the same
-#: in every Unicode version; chunks with any other go to the library whole.
+#: in every Unicode version, and the letters and numbers among them.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u0220]*")
+_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u0220"
+_N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _ODD_SPACE = re.compile(r" (?:\s|$)")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(maxsize=4)
@@ -106,122 +113,199 @@ def space_chunks(text: str) -> list[str]:
     return out
 
 
-class _Chunks(dict):
-    """chunk -> value, found on demand. Two generations of CACHE_CHUNKS / 2 entries: what is used again lives on."""
-
-    def __init__(self, path: str, lead: str, pattern: str, whole: Mapping[str, int]):
-        super().__init__()
-        self.tokenizer, self.lead, self.whole, self.old = load(path), lead, whole, {}
-        self.model, self.pattern = self.tokenizer.model, regex.compile(pattern)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def __missing__(self, chunk: str):
-        value = self.old.get(chunk)
-        if value is None:
-            value = self.of(chunk)
-        if len(self) >= CACHE_CHUNKS // 2:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = value
-        return value
-
-    def normal(self, chunk: str) -> str:
-        return chunk
-
-    def pre_tokens(self, chunk: str) -> list[str] | None:
-        """Of lead + chunk; None if the library has to look at the whole of it."""
-        if chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\u0220" and "\u0130" not in chunk):
-            return [self.lead + self.normal(chunk)]  # letters only: the pattern takes them in one piece
-        text = self.lead + chunk
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        return self.pattern.findall(self.normal(text))
-
-    def stem(self, chunk: str) -> str | None:
-        """The letters before one closing mark, which the pattern always splits off; None if it is anything else."""
-        return chunk[:-1] if chunk[-1:] in _MARKS and chunk[:-1].isalpha() else None
-
-
-_MARKS = frozenset(",.;:!?")
-
-
-class _Counts(_Chunks):
-    """Number of tokens: one for each whole-token pre-token, the merges' number for the rest."""
-
-    def of(self, chunk: str) -> int:
-        stem = self.stem(chunk)
-        if stem is not None and chunk[-1] in self.whole:
-            return self[stem] + 1
-        found = self.pre_tokens(chunk)
-        if found is None:
-            return len(self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids)
-        return sum(1 if w in self.whole else len(self.model.tokenize(to_letters(w))) for w in found)
-
-
-class _Ids(_Chunks):
-    """Ids as little-endian 32-bit integers."""
-
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in _MARKS}
-
-    def of(self, chunk: str) -> bytes:
-        stem = self.stem(chunk)
-        if stem is not None:
-            return self[stem] + self.marks[chunk[-1]]
-        found = self.pre_tokens(chunk)
-        if found is None:
-            ids = self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids
-        else:
-            ids = [t.id for w in found for t in self.model.tokenize(to_letters(w))]
-        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+def segments(text: str) -> Iterator[str]:
+    """The text in pieces of about SEGMENT characters, cut before single spaces, where the patterns always split."""
+    at = 0
+    while len(text) - at > SEGMENT and (m := _BETWEEN.search(text, at + SEGMENT)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
 
 
-class _WordIds(_Ids):
-    def normal(self, chunk: str) -> str:
-        return chunk.lower()
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+
+class _Cache:
+    """Values by the hash of a pre-token. Two generations of CACHE / 2 entries: what is used again lives on. Long ones are not kept."""
+
+    def __init__(self, find: Callable):
+        self.find, self.new, self.old = find, {}, {}
+
+    def get(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> list:
+        """The values of the stretches of `text` from starts to ends."""
+        out, new, old = [], self.new, self.old
+        for h, a, b in zip(hashes.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            value = new.get(h)
+            if value is None:
+                value = old.get(h)
+                if value is None:
+                    value = self.find(text[a:b])
+                if b - a <= LONGEST:
+                    new[h] = value
+                    if len(new) >= CACHE // 2:
+                        self.old, self.new = old, new = new, {}
+            out.append(value)
+        return out
 
 
-def ranks(path: str) -> dict[bytes, int]:
-    """The file's vocabulary as bytes -> rank. Its ids are ranks if each merge makes the next id; else ValueError."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    vocab, first = model["vocab"], len(model["vocab"]) - len(model["merges"])
-    if any(vocab["".join(m)] != first + i for i, m in enumerate(model["merges"])):
-        raise ValueError(f"the merges of {path} are not in the order of its ids")
-    return {from_letters(token): i for token, i in vocab.items()}
+_SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
+_END_MARK = "\0"  # ends each text of a batch; no plain character
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of each plain code point."""
+    of = np.full(0x221, _OTHER, dtype=np.int8)
+    for c in range(len(of)):
+        of[c] = next((k for k, chars in ((_SPACE, r"\s"), (_LETTER, f"[{_L}]"), (_NUMBER, f"[{_N}]")) if re.fullmatch(chars, chr(c))), _OTHER)
+    of[0] = _END
+    return of
+
+
+def pre_tokens(points: np.ndarray, attach: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where pre-tokens of plain texts begin, each text closed by an end mark, and of which class their last character is.
+
+    attach: as BYTE_LEVEL_PATTERN cuts, a space goes with the pre-token behind it
+    and other white space is pre-tokens; else as WordLevel.PATTERN does, which
+    drops white space and takes numbers one by one.
+    """
+    kind = _classes()[points]
+    first = np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == _END)
+    if not attach:
+        first |= kind == _NUMBER
+    begins = first.copy()
+    solid = np.flatnonzero(first & (kind != _SPACE) & (kind != _END))
+    if attach:
+        behind = solid[(solid > 0) & (kind[solid - 1] == _SPACE)]
+        begins[behind - 1] = True
+        begins[behind[points[behind - 1] == 0x20]] = False
+    # an apostrophe alone takes s, t, m, d, re, ve or ll with it
+    mark = solid[(points[solid] == 0x27) & begins[solid]]
+    mark = mark[kind[mark + 1] == _LETTER]
+    one, two = points[mark + 1], points[np.minimum(mark + 2, len(points) - 1)]
+    short = np.isin(one, [0x73, 0x74, 0x6D, 0x64])
+    long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+    for some, n in ((mark[short], 2), (mark[long], 3)):
+        begins[some + 1] = False
+        rest = some + n
+        begins[rest[kind[rest] == _LETTER]] = True
+    at = np.flatnonzero(begins)
+    return at, kind[np.concatenate([at[1:], [len(points)]]) - 1]
+
+
+class _Pieces:
+    """Values of whole texts, from those of their pre-tokens and of chunks that the library takes whole.
+
+    of_plain and of_odd give the value of one; `joined` those of a text from its
+    pieces'; `sized` a number that adds up over them.
+    """
+
+    def __init__(self, path: str, attach: bool, of_plain: Callable, of_odd: Callable):
+        self.special = [t.content for t in load(path).get_added_tokens_decoder().values()]
+        self.attach, self.of_odd, self.cache = attach, of_odd, _Cache(of_plain)
+
+    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
+        """(is_plain, piece) in order."""
+        special = [s for s in self.special if s in text]
+        if not special and _PLAIN.fullmatch(text):
+            yield from ((True, s) for s in segments(text))
+            return
+        if self.attach:
+            head, *rest = space_chunks(text)
+            chunks = [head, *(" " + c for c in rest)]
+        else:
+            chunks = [w + " " for w in words(text)]
+        run: list[str] = []
+        for chunk in chunks:
+            if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in special):
+                run.append(chunk)
+                continue
+            if run:
+                yield from ((True, s) for s in segments("".join(run)))
+                run = []
+            yield False, chunk
+        if run:
+            yield from ((True, s) for s in segments("".join(run)))
+
+    def of_texts(self, texts: Sequence[str | None]) -> list:
+        """The value of each text."""
+        parts = [list(self.pieces(t)) if t else [] for t in texts]
+        plain = [s for p in parts for is_plain, s in p if is_plain]
+        values = iter(self.of_plain_pieces(plain))
+        return [self.joined([next(values) if is_plain else self.of_odd(s) for is_plain, s in p]) for p in parts]
+
+    def of_plain_pieces(self, pieces: list[str]) -> Iterator:
+        a = 0
+        while a < len(pieces):
+            b, size = a + 1, len(pieces[a])
+            while b < len(pieces) and size + len(pieces[b]) < PIECE:
+                size += len(pieces[b]) + 1
+                b += 1
+            yield from self.together(pieces[a:b])
+            a = b
+
+    def together(self, pieces: list[str]) -> Iterator:
+        text = _END_MARK.join([*pieces, ""])
+        text = text if self.attach else text.lower()
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        starts, kind = pre_tokens(points, self.attach)
+        ends = np.concatenate([starts[1:], [len(points)]])
+        of_piece, real = np.cumsum(kind == _END), kind != _END
+        if not self.attach:
+            real &= kind != _SPACE
+        starts, ends, of_piece = starts[real], ends[real], of_piece[real]
+        if len(points) > 2 * PIECE:  # a text of megabytes without a place to cut
+            values, each = [self.cache.find(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.arange(len(starts))
+        else:
+            hashes, first, each = np.unique(stretch_hashes(points, starts, ends), return_index=True, return_inverse=True)
+            values = self.cache.get(hashes, starts[first], ends[first], text)
+        return self.dealt(values, each, np.bincount(of_piece, minlength=len(pieces))[: len(pieces)])
+
+
+class _Counts(_Pieces):
+    joined = staticmethod(sum)
+
+    def dealt(self, values: list[int], each: np.ndarray, counts: np.ndarray) -> Iterator[int]:
+        total = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[each])])
+        return iter(np.diff(total[np.cumsum(counts)], prepend=0).tolist())
+
+
+class _Ids(_Pieces):
+    joined = staticmethod(b"".join)
+
+    def dealt(self, values: list[bytes], each: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
+        size = np.array([len(v) // 4 for v in values], dtype=np.int64)
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(values), "<u4")
+        size, begin = size[each], begin[each]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)].tobytes()
+        at = 0
+        for end in (4 * total[np.cumsum(counts)]).tolist():
+            yield ids[at:end]
+            at = end
 
 
 class ByteLevel:
     """Counts and ids of whole texts for a byte-level BPE file. `whole`: the proven set of whole_tokens(), or none."""
 
     def __init__(self, path: str, whole: Mapping[str, int] | None = None):
-        args = BYTE_LEVEL_PATTERN, whole or {}
-        self.counts = _Counts(path, "", *args), _Counts(path, " ", *args)
-        self.tokenizer, self.special = load(path), self.counts[0].special
-        self.plain = tiktoken.Encoding("plain", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks(path), special_tokens={})
-
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        first, *rest = space_chunks(text)
-        return self.counts[0][first] + sum(map(self.counts[1].__getitem__, rest))
-
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian 32-bit integers, as the tokenizers library gives them.
-
-        tiktoken runs the same merges several times faster; it gets the texts of
-        plain characters, on whose classes all libraries agree, without special
-        strings. All other texts go through the tokenizers library.
-        """
-        if not text:
-            return b""
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        tokenizer, known = load(path), whole or {}
+        encode, merge = tokenizer.encode, tokenizer.model.tokenize
+        self._counts = _Counts(path, True, lambda w: 1 if w in known else len(merge(to_letters(w))), lambda c: len(encode(c, add_special_tokens=False).ids))
+        self._ids = _Ids(path, True, lambda w: packed([t.id for t in merge(to_letters(w))]), lambda c: packed(encode(c, add_special_tokens=False).ids))
+
+    def counts(self, texts: Sequence[str | None]) -> list[int]:
+        """Numbers of tokens."""
+        return self._counts.of_texts(texts)
+
+    def ids(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Little-endian 32-bit integers, as the tokenizers library gives them."""
+        return self._ids.of_texts(texts)
 
 
 _WORD_SPLIT = re.compile(r"[ \t\n\r\v\f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -240,11 +324,13 @@ class WordLevel:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
-        self.chunks = _WordIds(path, "", self.PATTERN, {})
+        tokenizer = load(path)
+        encode, merge = tokenizer.encode, tokenizer.model.tokenize
+        self._ids = _Ids(path, False, lambda w: packed([t.id for t in merge(to_letters(w))]), lambda c: packed(encode(c, add_special_tokens=False).ids))
 
-    def ids(self, text: str | None) -> bytes:
+    def ids(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 32-bit integers."""
-        return b"".join(map(self.chunks.__getitem__, words(text))) if text else b""
+        return self._ids.of_texts(texts)
 
 
 @lru_cache(maxsize=4)
