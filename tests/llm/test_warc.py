@@ -78,3 +78,39 @@ def test_links_in_either_direction_and_through_the_request(spark, tmp_path):
     assert bytes(rows["r1"].response.payload) == b"body\xff"
     df = spark.createDataFrame([(rows["r1"].metadata,)], "m array<struct<record_id:string,target_uri:string,fields:array<struct<key:string,value:string>>>>")
     assert df.select(warc.field(F.col("m"), "a"), warc.field(F.col("m"), "z")).first() == ("1", None)
+
+
+def test_blocks_with_line_ends_are_put_together():
+    blocks = [b"", b"\r\n", b"\r", b"a\r\n", b"\r\n\r\nWARC/1.1\r\n", b"x\r\r\n\ny", b"\n", b"end\r\n\r\n"]
+    data = b"".join(record(b"response", b"%d" % k, b) for k, b in enumerate(blocks))
+    found = list(warc.parse(data.split(b"\r\n")))
+    assert [b for _, _, _, b in found] == blocks and not any(e for _, e, _, _ in found)
+    assert [data[o : o + 8] for o, _, _, _ in found] == [b"WARC/1.1"] * len(blocks)
+
+
+def test_damaged_archives_give_reject_rows(spark, tmp_path):
+    good, http = record(b"response", b"ok", b"HTTP/1.1 200 OK\r\n\r\nbody"), b"HTTP/1.1 200 OK\r\n\r\nbody"
+    headless = b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"
+    cut = record(b"response", b"cut", http * 50)[:-100]
+    files = {
+        "a.warc.gz": gzip.compress(headless + good), "b.warc.gz": gzip.compress(good + cut), "c.warc.gz": gzip.compress(good) + gzip.compress(cut * 400)[:-30],
+        "d.warc.gz": b"no archive", "e.warc": good + b"WARC/1.1\r\nWARC-Type: resp", "f.warc": b"", "g.warc.gz": gzip.compress(good),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    assert len([r for r in rows if r.record_id == "ok"]) == 5 and all(r.payload == b"body" for r in rows if r.record_id == "ok")
+    bad = {(r.file.rpartition("/")[2], r.error): r.offset for r in warc.rejected(spark, f"file://{tmp_path}").collect()}
+    assert bad.pop(("c.warc.gz", "damaged")) > len(good)
+    bad.pop(("c.warc.gz", "truncated"), None)  # if the reader got that far
+    assert bad == {
+        ("a.warc.gz", "no_content_length"): 0, ("b.warc.gz", "truncated"): len(good), ("d.warc.gz", "no_record"): 0, ("d.warc.gz", "damaged"): 0, ("e.warc", "truncated"): len(good),
+    }
+
+
+def test_archives_are_bounded(spark):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "y" * 5000 + str(k)) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "test-warc")
+    warc.write(pages, path, archive_bytes=60_000)
+    assert len(spark.read.format("binaryFile").load(path).select("path").collect()) >= 5
+    assert warc.page_captures(warc.assemble(warc.read(spark, path))).count() == 60

@@ -1,16 +1,19 @@
 """WARC archives: writing page captures, and assembling transactions from archives.
 
 Archives are written by Spark's text writer, one record per row with the record
-separator as line end, so they can go to any store that Spark writes to. Reading
-takes whole files, splits them by Content-Length and joins request, response and
-metadata records through their WARC-Concurrent-To identifiers.
+separator as line end, so they can go to any store that Spark writes to. Spark's text
+reader also streams them back, by the lines of their headers; records are put
+together by Content-Length one at a time, and request, response and metadata records
+are joined through their WARC-Concurrent-To identifiers.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +25,9 @@ from worktrace.llm.common import materialise, quoted, salt_count
 MIN_REVISIT_BYTES = 100
 _END = "\r\n"
 _BATCH_BYTES = 8 << 20
+ARCHIVE_BYTES = 1 << 30  # of payload in an archive, about
 _SCHEMA = (
-    "type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
+    "file string, offset long, error string, type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
     "content_type string, block_fields map<string,string>, payload binary, payload_bytes long, payload_digest string"
 )
 
@@ -45,7 +49,8 @@ def _record(kind: str, record_id: Column, date: str, content_type: str, block: C
     return F.concat(*head, F.lit(f"Content-Type: {content_type}{_END}"), line("Content-Length", F.octet_length(block).cast("string")), F.lit(_END), block)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z",
+          archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a response (or revisit), a request and a metadata record per row of `pages`.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of at least
@@ -54,24 +59,23 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     the one revisited, unless none has an id: then all are responses. Rows equal
     in id, url and html are captures of their own. Control characters and spaces
     in a URL are percent-encoded, since it stands in headers. An empty table
-    writes an archive without records.
+    writes an archive without records. An archive holds about `archive_bytes` of
+    payload at most, by the mean size of payloads.
     """
     salts = salt_count(pages.sparkSession)
     url = F.regexp_replace(quoted(url_col), r"[\x00-\x20\x7F]", "%20")
     html = F.coalesce(quoted(html_col), F.lit(""))
     rows = pages.select(quoted(id_col).cast("long").alias("id"), url.alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
-    large = rows.filter((F.col("size") >= MIN_REVISIT_BYTES) & F.col("id").isNotNull())
-    salted = large.groupBy("digest", "salt").agg(F.min(F.struct("id", "url")).alias("first"))
-    firsts = salted.groupBy("digest").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts"))
-    # a row without id has no salt among those of the firsts; the digest alone answers it
-    first_of = materialise(firsts, "warc-firsts")
-    with_id = rows.filter("id is not null").join(first_of.select("digest", "first", F.explode("salts").alias("salt")), ["digest", "salt"], "left")
-    without = rows.filter("id is null").join(first_of.select("digest", "first"), "digest", "left").withColumn("first", F.when(F.col("size") >= MIN_REVISIT_BYTES, F.col("first")))
-    both = with_id.select("id", "url", "payload", "digest", "size", "salt", "first").unionByName(without.select("id", "url", "payload", "digest", "size", "salt", "first"))
+    large = F.col("size") >= MIN_REVISIT_BYTES
+    known = F.when(F.col("id").isNotNull(), F.struct("id", "url"))
+    salted = rows.filter(large).groupBy("digest", "salt").agg(F.min(known).alias("first"))
+    firsts = materialise(salted.groupBy("digest").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts")), "warc-firsts")
+    both = rows.join(firsts.select("digest", "first", F.explode("salts").alias("salt")), ["digest", "salt"], "left")
+    both = both.withColumn("first", F.when(large, F.col("first")))
     copy = F.row_number().over(Window.partitionBy("digest", "salt", "id", "url").orderBy("size"))
     both = both.withColumn("me", _record_id(F.col("id"), F.col("url"), F.col("digest"), copy))
-    revisit = (F.col("size") >= MIN_REVISIT_BYTES) & F.col("first").isNotNull() & ~F.coalesce(F.col("id") == F.col("first.id"), F.lit(False))
+    revisit = large & F.col("first").isNotNull() & ~F.coalesce(F.col("id") == F.col("first.id"), F.lit(False))
     target = _record_id(F.col("first.id"), F.col("first.url"), F.col("digest"), F.lit(1))
     me, uri, named = F.col("me"), F.col("url"), F.concat(F.lit("sha256:"), F.col("digest"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("size").cast("string"), F.lit(_END + _END))
@@ -86,23 +90,50 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("id").cast("string"), F.lit(_END)), F.lit("")), F.lit("charset: utf-8" + _END))
     metadata = _record("metadata", _uuid(me, F.lit("metadata")), date, "application/warc-fields", fields, Target_URI=uri, Concurrent_To=concurrent)
     records = both.select(F.explode(F.array(F.when(revisit, again).otherwise(response), request, metadata)).alias("value"))
-    records.write.option("lineSep", _END + _END).option("compression", "gzip").text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """(headers, block) of each record; header names in lower case. Plain or gzipped archives, gzip members of any size."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        headers: dict[str, list[str]] = {}
-        for line in data[at:end].decode("utf-8", "replace").split(_END)[1:]:
-            name, _, value = line.partition(":")
+    total = rows.agg(F.avg("size").alias("size")).first()
+    most = max(3, int(3 * archive_bytes / ((total["size"] or 0) + 1000)))
+    records.write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def parse(lines: Iterable[bytes]) -> Iterator[tuple[int, str | None, dict[str, list[str]], bytes]]:
+    """(offset, error, headers, block) of each record of an archive, from its pieces between line ends (CR LF).
+
+    Header names are in lower case. error is null, or says why a record can't be
+    used: no_content_length (none, or no number), truncated (the archive ends
+    before it does). After such a record the next line that begins like a record
+    is taken up again.
+    """
+    at, begin, lines = 0, 0, iter(lines)
+    headers: dict[str, list[str]] | None = None
+    for line in lines:
+        here, at = at, at + len(line) + 2
+        if headers is None:
+            if line.startswith(b"WARC/"):
+                begin, headers = here, {}
+        elif line:
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        size = int(headers["content-length"][0])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        else:
+            size = headers.get("content-length", [""])[0]
+            if not (size.isascii() and size.isdigit()):
+                yield begin, "no_content_length", headers, b""
+                headers = None
+                continue
+            parts, left = [], int(size)
+            while left > 0 or not parts and int(size):
+                piece = next(lines, None)
+                if piece is None:
+                    break
+                at += len(piece) + 2
+                left -= len(piece) + 2 * bool(parts)
+                parts.append(piece)
+            if left > 0:
+                break
+            block = _END.encode().join(parts)[: int(size)]
+            yield begin, None, headers, block
+            headers = None
+    if headers is not None:
+        yield begin, "truncated", headers, b""
 
 
 def _row(headers: dict[str, list[str]], block: bytes) -> tuple:
@@ -125,29 +156,104 @@ def _row(headers: dict[str, list[str]], block: bytes) -> tuple:
     )
 
 
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
+_NAMES = [f.split()[0] for f in _SCHEMA.replace("map<string,string>", "map").split(", ")]
+
+
+def _batches(records: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Records (file, offset, error, headers, block) as batches of _SCHEMA of some megabytes."""
+
+    def out() -> pa.RecordBatch:
+        columns = [[list(v.items()) if isinstance(v, dict) else v for v in c] for c in zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
+
+    rows, size = [], 0
+    for file, offset, error, headers, block in records:
+        rows.append((file, offset, error, *_row(headers, block)))
+        size += len(block)
+        if size > _BATCH_BYTES or len(rows) >= 1000:
+            yield out()
+            rows, size = [], 0
+    if rows:
+        yield out()
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, hash of the file's name, name in lines that may begin a record) in order -> records."""
+    lines = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+    def records() -> Iterator[tuple]:
+        for _, own in groupby(lines, key=itemgetter(1)):
+            name: list[str] = []
+
+            def bare(rows: Iterator[tuple], name: list[str] = name) -> Iterator[bytes]:
+                for line, _, file in rows:
+                    if file is not None and not name:
+                        name.append(file)
+                    yield line
+
+            for record in parse(bare(own)):
+                yield (name[0] if name else None, *record)
+
+    return _batches(records())
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content, name) of files -> records."""
+    return _batches((f.as_py(), *record) for batch in batches for content, f in zip(batch.column(0), batch.column(1), strict=True) for record in parse(content.as_py().split(_END.encode())))
+
+
+def parsed(spark: SparkSession, path: str) -> DataFrame:
+    """All records of the archives at `path`, those that can't be used with an error, by file and offset (of the text that was compressed).
+
+    Archives whose names end in .gz are streamed: a record is the most that a task
+    holds. Others, whose names must not end in z, are taken whole. A damaged gzip
+    file ends before the damage, see rejected().
+    """
+    file = F.col("_metadata.file_path")
+    lines = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", _END).option("ignoreCorruptFiles", True).text(path)
+    lines = lines.select(F.col("value").cast("binary"), F.xxhash64(file).alias("f"), F.when(F.col("value").startswith("WARC/"), file).alias("file"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[^z]").load(path).select("content", "path")
+    return lines.mapInArrow(_streamed, _SCHEMA).unionByName(plain.mapInArrow(_whole, _SCHEMA))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives at `path`. Each file is one row on the way, so archives bound the memory."""
-    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
-    names = [f.split()[0] for f in _SCHEMA.replace("map<string,string>", "map").split(", ")]
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = [[list(v.items()) if isinstance(v, dict) else v for v in c] for c in zip(*rows, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-        for batch in batches:
-            for content in batch.column(0):
-                rows, size = [], 0
-                for headers, block in parse(content.as_py()):
-                    rows.append(_row(headers, block))
-                    size += len(block)
-                    if size > _BATCH_BYTES:
-                        yield out(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield out(rows)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, _SCHEMA)
+    """The records of all archives at `path` that can be used; see parsed()."""
+    return parsed(spark, path).filter("error is null").drop("file", "offset", "error")
+
+
+def _damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content, name) of gzip files -> (file, offset, error) of those that don't unpack to their end."""
+    for batch in batches:
+        for content, file in zip(batch.column(0), batch.column(1), strict=True):
+            data, at, whole, offset = memoryview(content.as_buffer()), 0, True, 0
+            while at < len(data):
+                member = zlib.decompressobj(wbits=31)
+                try:
+                    while at < len(data) and not member.eof:
+                        some = data[at : at + (1 << 20)]
+                        offset += len(member.decompress(some))
+                        at += len(some) - len(member.unused_data)
+                except zlib.error:
+                    break
+                whole = member.eof
+            if at < len(data) or not whole:
+                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([offset]), pa.array(["damaged"])], names=["file", "offset", "error"])
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, error of what read() leaves out.
+
+    Errors: no_content_length (none, or no number), truncated (the archive ends
+    before the record does), damaged (a gzip file that unpacks up to the offset
+    only; read() has its records up to somewhere before), no_record (an archive
+    that is not empty, but without any).
+    """
+    rows = materialise(parsed(spark, path).select("file", "offset", "error"), "warc-rejected")
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"))
+    none = files.join(rows.select("file").distinct(), "file", "left_anti").select("file", F.lit(0).cast("long").alias("offset"), F.lit("no_record").alias("error"))
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).filter("length > 0").select("content", "path")
+    return rows.filter("error is not null").unionByName(none).unionByName(packed.mapInArrow(_damage, "file string, offset long, error string"))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -156,12 +262,13 @@ def assemble(records: DataFrame) -> DataFrame:
     A capture is a response or revisit record. Requests and metadata belong to the
     capture that they name in WARC-Concurrent-To or that names them; metadata may
     name the request instead. Records with no capture in reach are left out; a
-    capture without requests or metadata has empty lists. Payloads come along if
-    `records` has them. What is joined, all but the payloads, is written to the
-    shared folder first, so that archives are parsed once, or twice with payloads.
+    capture without requests or metadata has empty lists. Records that repeat an
+    id each count; null ids join nothing. No records: no rows. The records are
+    written to the shared folder first, so that archives are parsed once; a query
+    that takes no payloads from the rows doesn't read them there.
     """
-    slim = materialise(records.drop("payload"), "warc-records")
-    captures = (records if "payload" in records.columns else slim).filter("type in ('response', 'revisit')")
+    records = materialise(records, "warc-records")
+    captures, slim = records.filter("type in ('response', 'revisit')"), records.drop("payload")
     side = slim.filter("type in ('request', 'metadata')").select("type", "record_id", "target_uri", "block_fields", "concurrent_to")
     named = side.select("record_id", F.explode("concurrent_to").alias("other"))
     naming = slim.filter("type in ('response', 'revisit')").select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("other"))
@@ -172,7 +279,7 @@ def assemble(records: DataFrame) -> DataFrame:
         *[F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("record_id", "target_uri", F.map_entries("block_fields").alias("fields"))))).alias(name) for kind, name in (("request", "requests"), ("metadata", "metadata"))]
     )
     names = ["type", "refers_to", "content_type", "block_fields", "payload", "payload_bytes", "payload_digest"]
-    response = F.struct(*[c for c in names if c in records.columns])
+    response = F.struct(*names)
     rows = captures.select(F.col("record_id").alias("capture_id"), "target_uri", "date", response.alias("response"))
     none = F.array().cast("array<struct<record_id:string,target_uri:string,fields:array<struct<key:string,value:string>>>>")
     joined = rows.join(parts, rows["capture_id"] == parts["other"], "left").drop("other")
@@ -188,17 +295,22 @@ def field(records: Column, name: str) -> Column:
 def page_captures(captures: DataFrame) -> DataFrame:
     """Per capture of write()'s archives: page_id, payload_bytes, payload_digest, record_type, refers_to (page_id).
 
-    A revisit has the payload of the response that it refers to.
+    A revisit has the payload of the response that it refers to; one that refers
+    to no response here has null there. Revisits of one response meet it in as many
+    places as they have salts.
     """
     slim = captures.select(
         "capture_id", field(F.col("metadata"), "pageId").cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("refers"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
     )
-    slim = materialise(slim, "warc-captures")
+    salt = F.pmod(F.xxhash64("capture_id"), F.lit(salt_count(captures.sparkSession))).cast("int")
+    slim = materialise(slim.withColumn("salt", salt), "warc-captures")
+    revisits = slim.filter("record_type = 'revisit'")
     origin = slim.filter("record_type = 'response'").select(
         F.col("capture_id").alias("refers"), F.col("page_id").alias("of"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")
     )
-    joined = slim.filter("record_type = 'revisit'").join(origin, "refers", "left")
+    needed = materialise(revisits.select("refers", "salt").distinct().join(origin, "refers"), "warc-origins")
+    joined = revisits.join(needed, ["refers", "salt"], "left")
     again = joined.select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", F.col("of").alias("refers_to"))
     own = slim.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     return own.unionByName(again)
