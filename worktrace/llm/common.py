@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -20,9 +21,11 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where one machine does all, a temporary one if it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _own_dir[0]

@@ -215,9 +215,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` that score() keeps, with their columns. Reads texts twice: for the references, then for the verdicts."""
+    """The rows of `docs` that score() keeps, with all their columns.
+
+    Texts are measured once: rows are written to the shared folder with their
+    counts, which feed both the references and the verdicts. Null and empty texts
+    go, repeated rows each get the same verdict, an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(quoted(lang_col).alias("lang"), features(quoted(text_col)).alias("_f"))
-    refs = materialise(robust_references(materialise(rows, "quality-features")), "quality-references")
     rows = docs.select(quoted(lang_col).alias("lang"), features(quoted(text_col)).alias("_f"), packed(docs).alias("_row"))
+    rows = materialise(rows, "quality-rows")
+    refs = materialise(robust_references(rows.select("lang", "_f")), "quality-references")
     return judged(rows, refs).filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
