@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from worktrace import schemas
-from worktrace.operators import access, highlights, load
+from worktrace.operators import access, answers, highlights, load
 from worktrace.sources import documents, tables
 from worktrace.streaming import file_drop
 
@@ -48,9 +49,53 @@ def test_highlights_and_tables(spark, tmp_path):
     assert documents.read_highlights(spark, None).columns == documents.COLUMNS
     rows = load.frame_rows(frames).orderBy("frame_timestamp").collect()
     assert rows[0].detected_tools == "null" and json.loads(rows[7].hand_movement_vector) == {"left_hand": HAND, "right_hand": None}
+    assert [c for c in spark.read.parquet(f"file://{tmp_path}/h").columns if c != "highlight_type"] == ["video_id", *[c for c in documents.COLUMNS if c != "highlight_type"]]
+    documents.write_highlights(found, f"file://{tmp_path}/j", "json")
+    read = documents.read_highlights(spark, f"file://{tmp_path}/j/highlight_type=active_hands").first()
+    assert (float(read.timestamp_sec), read.hand_active) == (3.5, True) and "발화 없는" in read.feature_description
+
+
+def four_tables(spark, tmp_path):
+    dropped(tmp_path / "in", "one", 10)
+    f = load.video_keys(documents.read_features(spark, f"file://{tmp_path}/in").withColumn("ncs_code", F.lit("")))
+    frames = documents.frames(f, "video_id")
+    found = highlights.highlights(documents.segments(f, "video_id"), highlights.slim_frames(frames))
+    raw = json.dumps([{"step_number": 2, "status": "SUCCESS", "standard_manual_text": "m", "tacit_knowledge_description": "d", "fact_evidence": {}}])
+    insights = answers.insights(f.select("video_id", F.lit(raw).alias("raw_response")))
+    return {
+        "video_metadata": f.select("video_id", "ncs_code", "file_path"), "frame_features": load.frame_rows(frames),
+        "tacit_knowledge_insights": load.insight_rows(insights), "behavioral_highlights": load.highlight_rows(found),
+    }
+
+
+def test_load_publishes_all_tables_or_none(spark, tmp_path):
+    root, four = f"file://{tmp_path}/db", four_tables(spark, tmp_path)
+    sizes = {"video_metadata": 1, "frame_features": 10, "tacit_knowledge_insights": 1, "behavioral_highlights": 2}
     for _ in range(2):  # a rerun replaces the batch
-        tables.write_parquet({"frame_features": load.frame_rows(frames), "behavioral_highlights": load.highlight_rows(found)}, f"file://{tmp_path}/db", "b1")
-    assert spark.read.parquet(f"file://{tmp_path}/db/frame_features").count() == 10
+        tables.write_parquet(four, root, "b1")
+        assert {n: tables.read_parquet(spark, root, n).count() for n in sizes} == sizes
+    broken = four | {"behavioral_highlights": four["behavioral_highlights"].withColumn("hand_active", F.raise_error(F.lit("lost")).cast("int"))}
+    with pytest.raises(Exception, match="lost"):
+        tables.write_parquet(broken, root, "b2")
+    assert {n: tables.read_parquet(spark, root, n).count() for n in sizes} == sizes
+    some = access.in_range(access.of_video(tables.read_parquet(spark, root, "frame_features"), four["video_metadata"].first().video_id), 1, 2, "frame_timestamp")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters: [IsNotNull(video_id)") :].split("ReadSchema")[0]
+    assert some.count() == 3 and "EqualTo(video_id" in pushed and "frame_timestamp" in pushed, plan
+
+
+def test_jdbc_load_and_manual_master(spark, tmp_path):
+    url, four = f"jdbc:derby:memory:{tmp_path.name};create=true", four_tables(spark, tmp_path)
+    four["tacit_knowledge_insights"] = four["tacit_knowledge_insights"].drop("insight_embedding")  # Derby has no arrays
+    sizes = {"video_metadata": 1, "frame_features": 10, "tacit_knowledge_insights": 1, "behavioral_highlights": 2}
+    for _ in range(2):
+        tables.write_jdbc(four, url, "b1")
+        assert {n: tables.read_jdbc(spark, url, n).count() for n in sizes} == sizes
+    master = spark.createDataFrame([("c1", "m", "text")], schemas.NCS_MODULES)
+    master.write.parquet(f"file://{tmp_path}/master")
+    master.write.jdbc(url, "ncs_modules")
+    assert documents.read_manuals(spark, f"file://{tmp_path}/master").collect() == master.collect()
+    assert [tuple(r) for r in documents.read_manuals(spark, url=url, dbtable="ncs_modules").collect()] == [("c1", "m", "text")]
 
 
 def test_insights_and_manual_text(spark, tmp_path):
@@ -59,6 +104,8 @@ def test_insights_and_manual_text(spark, tmp_path):
     (tmp_path / "m.txt").write_text("line 1\nline 2")
     read = documents.read_insights(spark, f"file://{tmp_path}/x_insights.json")
     assert read.count() == 3 and read.first().stem == "x"
+    documents.write_insights(read.drop("source_path", "stem"), f"file://{tmp_path}/out")
+    assert spark.read.schema(schemas.INSIGHT).json(f"file://{tmp_path}/out").collect() == read.drop("source_path", "stem").collect()
     assert documents.read_manual_text(spark, f"file://{tmp_path}/m.txt").first().manual_text == "line 1\nline 2"
 
 
@@ -67,10 +114,12 @@ def test_file_drop_takes_each_document_once(spark, tmp_path):
     for name in ("one", "two"):
         dropped(tmp_path / "in", name, 10)
         file_drop.highlights_on_arrival(spark, *where).awaitTermination(120)
-    assert spark.read.parquet(where[1]).count() == 4
+    found = spark.read.parquet(where[1])
+    assert found.count() == 4 and {r.video_id for r in found.collect()} == {r.id for r in spark.createDataFrame([("/v/one.mp4",), ("/v/two.mp4",)], "p string").select(load.video_key(F.col("p")).alias("id")).collect()}
 
 
 def test_most_similar_in_blocks(spark):
     rows = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 7)]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])], "id long, embedding array<float>")
     one = access.most_similar(rows, rows.repartition(3), 4).collect()
     assert sorted(one) == sorted(access.most_similar(rows, rows.repartition(5), 4, block=7).collect()) and len(one) == 160
+    assert sorted(one) == sorted(access.most_similar(rows, rows, 4, block=7, part=9).collect())

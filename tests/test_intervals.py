@@ -39,3 +39,18 @@ def test_no_join_is_a_product(spark):
     for df in (intervals.first_match(f, s), intervals.overlap(s, f), intervals.outside(f, s)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
+
+
+def test_very_long_segments_and_a_hot_video(spark):
+    r = random.Random(5)
+    segs = [(1, 0, 0, 10**9, "days"), (1, 1, 5_000, 10**15, "wrong unit"), (1, 2, 10_000, 12_000, "short"), (2, 0, 0, 3_000_000, "hour"), (3, 0, 4_000, 9_000, "s")]
+    frames = [(v, k, r.choice([r.randint(0, 60_000), r.randint(0, 2 * 10**9)]), ["x"], k % 3 == 0) for v, n in ((1, 200), (2, 60), (3, 40)) for k in range(n)]
+    s, f = spark.createDataFrame(segs, SEG), spark.createDataFrame(frames, FRAME)
+    copies = intervals._bucketed(s, intervals.BUCKET_MS).groupBy("video_id", "seg_pos").count().collect()
+    assert all(c["count"] <= intervals.MOST + 1 for c in copies)
+    want = {(v, k): next((x for w, _, a, b, x in segs if w == v and a <= t < b), None) for v, k, t, *_ in frames}
+    assert {(x.video_id, x.frame_pos): x.audio_context for x in intervals.first_match(f, s).collect()} == want
+    inside = {(w, p): sum(v == w and a <= t <= b for v, _, t, *_ in frames) for w, p, a, b, _ in segs}
+    assert {(x.video_id, x.seg_pos): x.n_frames for x in intervals.overlap(s, f).collect()} == inside
+    out = sorted((v, k) for v, k, t, *_ in frames if not any(w == v and a <= t <= b for w, _, a, b, _ in segs))
+    assert sorted((x.video_id, x.frame_pos) for x in intervals.outside(f, s).collect()) == out

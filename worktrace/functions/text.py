@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A number, a unit, and the keywords in their order.
+# A number, a unit, the keywords in their order, the domain's labels, and below the
+# texts of descriptions and triggers.
 NUMBER = r"(?:\b\d+\.?\d*|\b(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|twenty|thirty|forty|fifty|quarter|half|hundred))"
 UNIT = (
     r"(?:ft[-\s]?lb|foot[-\s]?pound|n[-\s]?m|newton[-\s]?meter|mm|cm|inch(?:es)?|in\b|rpm|degree|°[cCfF]|bar|psi|"
@@ -24,9 +25,13 @@ DOMAIN_LABELS = ["person", "car", "truck", "motorcycle", "bicycle", "bus", "scis
 MEASUREMENT = f"(?U)(?i){NUMBER}\\s*{UNIT}"
 
 
+#: White space of any script.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space (of any script) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def measurements(text: Column) -> Column:

@@ -13,7 +13,7 @@ def of_video(table: DataFrame, video_id: int) -> DataFrame:
 
 
 def in_range(frames: DataFrame, first: int, last: int, column: str = "ts_ms") -> DataFrame:
-    """Frames with first <= time <= last; the filter reaches the scan."""
+    """Frames with first <= time <= last. On tables of tables.write_parquet() the filter reaches the scan, whose files are sorted by video and time."""
     return frames.filter(F.col(column).between(first, last))
 
 
@@ -28,16 +28,19 @@ def dot(a: Column, b: Column) -> Column:
 
 #: Queries that a task holds at a time.
 QUERY_BLOCK = 2_000
+#: Vectors that meet a block in one task.
+PART = 20_000
 
 
-def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = QUERY_BLOCK, part: int = PART) -> DataFrame:
     """query_id, id, similarity, rank: the k nearest of `vectors` (id, embedding) by cosine, for each of `queries` (the same columns).
 
     Counts the queries first. One block of them is broadcast; more blocks meet the
-    vectors in a join by block, so no task holds all queries. Each task ranks its
-    vectors for each query and keeps k, so what meets per query is k rows per part.
-    A vector does not answer itself; ties go to the smaller id; zero vectors have
-    no neighbours.
+    vectors in a join by block and part, where a part holds PART of the vectors or
+    so: each vector is copied once per block and each query once per part, so no
+    task holds all of either. Each task ranks its vectors for each query and keeps
+    k, so what meets per query is k rows per part. A vector does not answer itself;
+    ties go to the smaller id; zero vectors have no neighbours.
     """
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).withColumn("nq", norm("q")).filter("nq > 0")
@@ -46,9 +49,11 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int
     if blocks <= 1:
         pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
     else:
-        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        v = v.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = v.join(q, "_block").filter("id <> query_id")
+        parts = -(-vectors.count() // part)
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", each(parts))
+        v = v.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(max(parts, 1)))).withColumn("_block", each(blocks))
+        pairs = v.join(q, ["_block", "_part"]).filter("id <> query_id")
     pairs = pairs.withColumn("similarity", dot(F.col("q"), F.col("embedding")) / (F.col("nq") * F.col("nv")))
     order = [F.col("similarity").desc(), F.col("id")]
     local = pairs.select("query_id", "_part", "id", "similarity").withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).filter(F.col("_r") <= k)

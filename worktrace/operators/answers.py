@@ -13,20 +13,23 @@ STATUSES = ["SUCCESS", "MISMATCH", "STANDARD_COMPLIANCE"]
 NOTHING = "해당 없음"
 
 
-def unfenced(raw: Column) -> Column:
-    """The answer without a Markdown fence: its first line goes, its last one only if it is a fence."""
-    clean = strip(raw)
-    lines = F.split(clean, r"\r\n|\n|\r")
-    ends = strip(F.element_at(lines, -1)) == "```"
-    n = F.size(lines) - F.when(ends, 2).otherwise(1)
-    return F.when(clean.startswith("```"), F.array_join(F.slice(lines, F.lit(2), F.greatest(n, F.lit(0))), "\n")).otherwise(clean)
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """`rows` with a column that filters and generators above don't compute again, as they do with what a projection holds."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def unfenced(clean: Column) -> Column:
+    """A stripped answer without a Markdown fence: its first line goes, its last one only if it is a fence."""
+    opened = F.regexp_replace(clean, r"^[^\r\n]*(?:\r\n|\r|\n)?", "")
+    return F.when(clean.startswith("```"), F.regexp_replace(opened, r"(?U)(?:^|[\r\n])[^\S\r\n]*```$", "")).otherwise(clean)
 
 
 def parsed(answers: DataFrame) -> DataFrame:
     """`answers` (video_id, raw_response) with items: array of maps; null where the answer is no JSON array of objects."""
-    body = unfenced(F.col("raw_response"))
-    items = F.from_json(body, "array<map<string,string>>")
-    return answers.withColumn("items", F.when(body.rlike(r"(?s)^\s*\[.*\]\s*$"), items))
+    rows = once(answers, "_clean", strip(F.col("raw_response")))
+    rows = once(rows, "_body", F.btrim(unfenced(F.col("_clean")), F.lit(" \t\n\r\x0b\f")))
+    is_array = F.col("_body").startswith("[") & F.col("_body").endswith("]")
+    return once(rows, "items", F.when(is_array, F.from_json("_body", "array<map<string,string>>"))).drop("_clean", "_body")
 
 
 def rejected_answers(answers: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ Intervals are copied to the time buckets they touch; a point lies in one bucket.
 So the join has the equi key (video, bucket), which shuffles or merges like any
 other, the range is a residual condition, and a long video spreads over many
 tasks. Each matching pair comes out once.
+
+An interval that touches more than MOST buckets goes to the first level of coarser
+buckets, each MOST times as wide as the last, where it doesn't. Which levels occur
+is asked of the intervals first; the points meet each of those, mostly one.
 """
 
 from __future__ import annotations
@@ -12,33 +16,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_MS = 10_000
+MOST = 64  # buckets that an interval is copied to, about
+_LEVELS = 9
+
+
+def _level(width: int) -> Column:
+    length = F.col("end_ms") - F.col("start_ms")
+    level = F.lit(_LEVELS - 1)
+    for k in reversed(range(_LEVELS - 1)):
+        level = F.when(length < (MOST - 1) * width * MOST**k, k).otherwise(level)
+    return level
+
+
+def _levels(intervals: DataFrame, width: int) -> list[int]:
+    """The levels that occur, at most _LEVELS of them."""
+    return sorted(r["l"] for r in intervals.filter("end_ms >= start_ms").select(_level(width).alias("l")).distinct().collect())
+
+
+def _bucket(time: Column, level: Column, width: int) -> Column:
+    return F.floor(time / (width * F.pow(F.lit(MOST), level)).cast("long"))
 
 
 def _bucketed(intervals: DataFrame, width: int) -> DataFrame:
-    """Intervals once per bucket; those that end before they start hold no point."""
-    first, last = (F.floor(F.col(c) / width) for c in ("start_ms", "end_ms"))
-    return intervals.filter("end_ms >= start_ms").withColumn("_bucket", F.explode(F.sequence(first, last)))
+    """Intervals once per bucket of their level; those that end before they start hold no point."""
+    rows = intervals.filter("end_ms >= start_ms").withColumn("_level", _level(width))
+    first, last = (_bucket(F.col(c), F.col("_level"), width) for c in ("start_ms", "end_ms"))
+    return rows.withColumn("_bucket", F.explode(F.sequence(first, last)))
 
 
 def _inside(closed: bool) -> Column:
     upper = F.col("p.ts_ms") <= F.col("i.end_ms") if closed else F.col("p.ts_ms") < F.col("i.end_ms")
-    return (F.col("p.video_id") == F.col("i.video_id")) & (F.col("p._bucket") == F.col("i._bucket")) & (F.col("p.ts_ms") >= F.col("i.start_ms")) & upper
+    keys = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in ("video_id", "_level", "_bucket")]
+    return keys[0] & keys[1] & keys[2] & (F.col("p.ts_ms") >= F.col("i.start_ms")) & upper
 
 
-def _points(points: DataFrame, width: int) -> DataFrame:
-    return points.withColumn("_bucket", F.floor(F.col("ts_ms") / width))
+def _points(points: DataFrame, levels: list[int], width: int) -> DataFrame:
+    """Points once per level."""
+    level = F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*map(F.lit, levels or [0])))
+    return points.withColumn("_level", level).withColumn("_bucket", _bucket(F.col("ts_ms"), F.col("_level"), width))
 
 
 def matches(points: DataFrame, intervals: DataFrame, closed: bool, width: int = BUCKET_MS) -> DataFrame:
     """All pairs (point, interval) as structs p and i. points: video_id, ts_ms; intervals: video_id, start_ms, end_ms."""
-    joined = _points(points, width).alias("p").join(_bucketed(intervals, width).alias("i"), _inside(closed))
+    joined = _points(points, _levels(intervals, width), width).alias("p").join(_bucketed(intervals, width).alias("i"), _inside(closed))
     return joined.select(F.struct(*[f"p.{c}" for c in points.columns]).alias("p"), F.struct(*[f"i.{c}" for c in intervals.columns]).alias("i"))
 
 
 def outside(points: DataFrame, intervals: DataFrame, closed: bool = True, width: int = BUCKET_MS) -> DataFrame:
     """The points that lie in no interval."""
     slim = _bucketed(intervals.select("video_id", "start_ms", "end_ms"), width)
-    return _points(points, width).alias("p").join(slim.alias("i"), _inside(closed), "left_anti").drop("_bucket")
+    for level in _levels(intervals, width):
+        some = slim.filter(F.col("_level") == level)
+        points = _points(points, [level], width).alias("p").join(some.alias("i"), _inside(closed), "left_anti").drop("_level", "_bucket")
+    return points
 
 
 def first_match(points: DataFrame, intervals: DataFrame, width: int = BUCKET_MS) -> DataFrame:
@@ -47,7 +77,8 @@ def first_match(points: DataFrame, intervals: DataFrame, width: int = BUCKET_MS)
     Only keys and the text go through the two shuffles; join wide columns back.
     """
     slim = points.select("video_id", "frame_pos", "ts_ms")
-    joined = _points(slim, width).alias("p").join(_bucketed(intervals.select("video_id", "seg_pos", "start_ms", "end_ms", "text"), width).alias("i"), _inside(False), "left")
+    held = _bucketed(intervals.select("video_id", "seg_pos", "start_ms", "end_ms", "text"), width)
+    joined = _points(slim, _levels(intervals, width), width).alias("p").join(held.alias("i"), _inside(False), "left")
     return joined.groupBy("p.video_id", "p.frame_pos").agg(F.min_by("i.text", "i.seg_pos").alias("audio_context"))
 
 

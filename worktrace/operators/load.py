@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def video_key(file_path: Column) -> Column:
+    """The id of a video: the hash of the full path of its recording, in batches and streams alike."""
+    return F.xxhash64(file_path)
+
+
 def video_keys(videos: DataFrame) -> DataFrame:
-    """`videos` with video_id, the hash of the full file path, and an empty code as null. No global numbering."""
-    return videos.withColumn("video_id", F.xxhash64("file_path")).withColumn("ncs_code", F.nullif(F.col("ncs_code"), F.lit("")))
+    """`videos` with video_id, and an empty code as null. No global numbering."""
+    return videos.withColumn("video_id", video_key(F.col("file_path"))).withColumn("ncs_code", F.nullif(F.col("ncs_code"), F.lit("")))
 
 
 def attach_keys(children: DataFrame, videos: DataFrame) -> DataFrame:

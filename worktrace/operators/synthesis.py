@@ -49,15 +49,13 @@ def relevant(timeline: DataFrame) -> DataFrame:
 def sampled(timeline: DataFrame, most: int = SAMPLE, pos: str = "frame_pos") -> DataFrame:
     """At most `most` entries of each video, evenly stepped: every (n div most)-th from the first. With sample_pos.
 
-    Only keys are ranked, in one window per video; wide columns join back.
+    The timeline is read and sorted once, by video; the rows that stay are few.
     """
-    keys = timeline.select("video_id", pos)
     by_video = Window.partitionBy("video_id")
-    ranked = keys.withColumn("_i", F.row_number().over(by_video.orderBy(pos)) - 1).withColumn("_n", F.count(F.lit(1)).over(by_video))
+    ranked = timeline.withColumn("_i", F.row_number().over(by_video.orderBy(pos)) - 1).withColumn("_n", F.count(F.lit(1)).over(by_video))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
     kept = ranked.filter((F.col("_n") <= most) | ((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < most)))
-    kept = kept.select("video_id", pos, F.when(F.col("_n") <= most, F.col("_i")).otherwise(F.floor(F.col("_i") / step)).cast("int").alias("sample_pos"))
-    return timeline.join(kept, ["video_id", pos])
+    return kept.withColumn("sample_pos", F.when(F.col("_n") <= most, F.col("_i")).otherwise(F.floor(F.col("_i") / step)).cast("int")).drop("_i", "_n")
 
 
 def slim_hands(timeline: DataFrame) -> DataFrame:
@@ -77,11 +75,13 @@ def with_manual(videos: DataFrame, manuals: DataFrame, text: Column | None = Non
     """`videos` (ncs_code) with manual_text: the given text, else the file's, else that of the manual master by code.
 
     An empty code is no code. The master has one row per code; Spark broadcasts
-    it when it is small.
+    it when it is small. Else videos without a code stay out of the join, where
+    they would meet in one task.
     """
     coded = videos.withColumn("ncs_code", F.nullif(F.col("ncs_code"), F.lit("")))
     found = manuals.select("ncs_code", F.col("standard_manual_text").alias("_manual"))
-    joined = coded.join(found, "ncs_code", "left")
+    joined = coded.filter("ncs_code is not null").join(found, "ncs_code", "left").select(*coded.columns, "_manual")
+    joined = joined.unionByName(coded.filter("ncs_code is null").withColumn("_manual", F.lit(None).cast("string")))
     given = [F.nullif(c, F.lit("")) for c in (text, file_text) if c is not None]
     return joined.withColumn("manual_text", F.coalesce(*given, F.col("_manual"))).drop("_manual")
 
@@ -89,13 +89,14 @@ def with_manual(videos: DataFrame, manuals: DataFrame, text: Column | None = Non
 def missing_manuals(videos: DataFrame, manuals: DataFrame) -> DataFrame:
     """Videos without a manual, with the reason: no_code or unknown_code."""
     coded = videos.withColumn("ncs_code", F.nullif(F.col("ncs_code"), F.lit("")))
-    lost = coded.join(manuals.select("ncs_code"), "ncs_code", "left_anti")
-    return lost.withColumn("reason", F.when(F.col("ncs_code").isNull(), "no_code").otherwise("unknown_code"))
+    lost = coded.filter("ncs_code is not null").join(manuals.select("ncs_code"), "ncs_code", "left_anti").select(*coded.columns)
+    return lost.withColumn("reason", F.lit("unknown_code")).unionByName(coded.filter("ncs_code is null").withColumn("reason", F.lit("no_code")))
 
 
 def prompts(timelines: DataFrame, videos: DataFrame) -> DataFrame:
-    """video_id, prompt: the template filled with a video's timeline and its manual."""
+    """video_id, prompt: the template filled with a video's timeline and its manual. Videos without a manual have none: see missing_manuals()."""
     head, rest = PROMPT.split("{timeline}")
     middle, tail = rest.split("{manual}")
     text = F.concat(F.lit(head), F.col("timeline"), F.lit(middle), strip(F.col("manual_text")), F.lit(tail))
-    return timelines.join(videos.select("video_id", "manual_text"), "video_id").select("video_id", "n_entries", text.alias("prompt"))
+    known = videos.select("video_id", "manual_text").filter("manual_text is not null")
+    return timelines.join(known, "video_id").select("video_id", "n_entries", text.alias("prompt"))

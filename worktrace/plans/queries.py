@@ -274,7 +274,7 @@ def _literal(value: str) -> str:
     """select video_id, count(*)::int as n_entries, '[' || string_agg('{"timestamp_ms":' || ts_ms || ',"labels":"' || array_to_string(labels, ',') || '"}', ',' order by sample_pos) || ']' as timeline """
     "from sampled group by video_id) "
     f"select j.video_id, n_entries, {_literal(_HEAD)} || timeline || {_literal(_MIDDLE)} || {STRIP_SQL.replace('text', 'm.standard_manual_text')} || {_literal(_TAIL)} as prompt "
-    "from json j join videos v on v.video_id = j.video_id left join manuals m on m.ncs_code = nullif(v.ncs_code, '')"
+    "from json j join videos v on v.video_id = j.video_id join manuals m on m.ncs_code = nullif(v.ncs_code, '')"
 )
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = synthesis.sampled(_relevant(spark, sf_dir)).select("video_id", "sample_pos", F.col("ts_ms").alias("timestamp_ms"), F.array_join("labels", ",").alias("labels"))
@@ -306,7 +306,7 @@ hand as (
 @query(
     f"{_TIMELINE}, {SAMPLED_SQL}, {views.VIDEOS_SQL}, {views.MANUALS_SQL}, {_HAND_SQL} "
     f"select j.video_id, n_entries, {_literal(_HEAD)} || timeline || {_literal(_MIDDLE)} || {STRIP_SQL.replace('text', 'm.standard_manual_text')} || {_literal(_TAIL)} as prompt "
-    "from json j join videos v on v.video_id = j.video_id left join manuals m on m.ncs_code = nullif(v.ncs_code, '')"
+    "from json j join videos v on v.video_id = j.video_id join manuals m on m.ncs_code = nullif(v.ncs_code, '')"
 )
 def prompt_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prompt_table with all keys of an entry. A frame with an active hand has that of the embedding numbered by video and frame, a left one every third time."""
@@ -349,6 +349,11 @@ def answers_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.rejected_answers(views.answers(spark, sf_dir)).select("video_id", "reason")
 
 
+@query(f"{_ITEMS} select video_id, count(*) as n from described where {_VALID} and status = 'SUCCESS' group by video_id")
+def know_how_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.know_how(answers.insights(views.answers(spark, sf_dir))).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"{_ITEMS} select status, count(*) as n from described where {_VALID} group by status")
 def insight_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.outcomes(answers.insights(views.answers(spark, sf_dir)))
@@ -401,12 +406,15 @@ def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_ALL}, ids as (select distinct video_id from seg) select video_id, (select count(*) from seg s where s.video_id = ids.video_id) as n_segments, (select count(*) from frames f where f.video_id = ids.video_id) as n_frames, "
-    "(select count(*) from speech h where h.video_id = ids.video_id) + (select count(*) from quiet q where q.video_id = ids.video_id) as n_highlights from ids"
+    f"{_ALL}, {TIMELINE_SQL}, {RELEVANT_SQL}, {views.ITEMS_SQL}, every as (select video_id, 's' as t from seg union all select video_id, 'f' from frames union all select video_id, 't' from relevant "
+    f"union all select video_id, 'h' from speech union all select video_id, 'h' from quiet union all select video_id, 'i' from described where {_VALID}), ids as (select distinct video_id from seg) "
+    "select ids.video_id, count(*) filter (where t = 's') as n_segments, count(*) filter (where t = 'f') as n_frames, count(*) filter (where t = 't') as n_timeline, "
+    "count(*) filter (where t = 'h') as n_highlights, count(*) filter (where t = 'i') as n_insights from ids left join every on every.video_id = ids.video_id group by ids.video_id"
 )
 def video_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, frames = _both(spark, sf_dir)
-    return load.counts(segments.select("video_id").distinct(), segments=segments, frames=frames, highlights=highlights.highlights(segments, frames))
+    found, said = highlights.highlights(segments, frames), answers.insights(views.answers(spark, sf_dir))
+    return load.counts(segments.select("video_id").distinct(), segments=segments, frames=frames, timeline=_relevant(spark, sf_dir), highlights=found, insights=said)
 
 
 @query("select 'orders/' || o_orderkey || '.mp4' as file_path, nullif(case when o_orderkey % 7 = 0 then '' else cast(o_custkey % 250 as varchar) end, '') as ncs_code, l_linenumber from orders join lineitem on l_orderkey = o_orderkey")
@@ -424,6 +432,11 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"with {views.FRAMES_SQL} select video_id, frame_pos, ts_ms, hand_active from frames where video_id = 7")
+def frames_of_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.of_video(views.frames(spark, sf_dir), 7).select("video_id", "frame_pos", "ts_ms", "hand_active")
+
+
 @query(f"with {views.FRAMES_SQL} select video_id, frame_pos, ts_ms from frames where ts_ms between 5000 and 15000")
 def frames_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.in_range(views.frames(spark, sf_dir), 5000, 15000).select("video_id", "frame_pos", "ts_ms")

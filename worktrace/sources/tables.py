@@ -1,31 +1,69 @@
-"""The relational load: four tables, parent first."""
+"""The relational load: four tables, parent first.
+
+Spark has no transaction across tables. Each run of a batch writes its rows under an
+attempt of its own, and publishes the attempt by one small row when its last table
+is written; readers take the last published attempt of each batch. So a run that
+fails midway shows nothing, and a batch that runs again replaces itself.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Order of the load: rows refer to those of tables before.
 ORDER = ["video_metadata", "frame_features", "tacit_knowledge_insights", "behavioral_highlights"]
+#: Columns by which a table's files are sorted within a video.
+TIMES = ["frame_timestamp", "timestamp_sec", "step_number"]
+PUBLISHED = "published_batches"
 BATCH_ROWS = 500
+_MARK = "batch_id string, attempt string, published_at timestamp"
+
+
+def _mark(spark: SparkSession, batch_id: str, attempt: str) -> DataFrame:
+    return spark.createDataFrame([(batch_id, attempt)], "batch_id string, attempt string").withColumn("published_at", F.current_timestamp())
+
 
+def _last(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("batch_id").agg(F.max_by("attempt", "published_at").alias("attempt"))
 
-def write_parquet(tables: Mapping[str, DataFrame], root: str, batch_id: str) -> None:
-    """Each table under root/name/batch_id=..., clustered by video; a rerun of a batch replaces it.
 
-    Spark has no transaction across tables: check with load.rejected() first, and
-    let readers take a batch once its last table is there.
-    """
+def write_parquet(tables: Mapping[str, DataFrame], root: str, batch_id: str) -> str:
+    """Write the tables of a batch below `root`, each clustered by video and sorted by video and time, then publish them. Gives the attempt."""
+    attempt, spark = uuid.uuid4().hex, next(iter(tables.values())).sparkSession
     for name in ORDER:
         if name in tables:
-            tables[name].repartition("video_id").sortWithinPartitions("video_id").write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+            order = ["video_id", *[c for c in TIMES if c in tables[name].columns]]
+            tables[name].repartition("video_id").sortWithinPartitions(*order).write.parquet(f"{root}/{name}/batch_id={batch_id}/attempt={attempt}")
+    _mark(spark, batch_id, attempt).coalesce(1).write.mode("append").parquet(f"{root}/{PUBLISHED}")
+    return attempt
 
 
-def write_jdbc(tables: Mapping[str, DataFrame], url: str, properties: Mapping[str, str] | None = None, partitions: int = 8) -> None:
-    """Append each table over JDBC, in batches of BATCH_ROWS rows, on at most `partitions` connections."""
+def read_parquet(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table's published rows, with batch_id and attempt."""
+    marks = spark.read.schema(_MARK).parquet(f"{root}/{PUBLISHED}")
+    return spark.read.parquet(f"{root}/{name}").join(_last(marks), ["batch_id", "attempt"], "left_semi")
+
+
+def write_jdbc(tables: Mapping[str, DataFrame], url: str, batch_id: str, properties: Mapping[str, str] | None = None, partitions: int = 8) -> str:
+    """The same over JDBC: append each table, with batch_id and attempt, in batches of BATCH_ROWS rows on at most `partitions` connections."""
+    attempt, spark, options = uuid.uuid4().hex, next(iter(tables.values())).sparkSession, dict(properties or {})
     for name in ORDER:
         if name in tables:
-            stamped = tables[name].withColumn("created_at", F.current_timestamp()) if "created_at" not in tables[name].columns else tables[name]
-            stamped.coalesce(partitions).write.mode("append").option("batchsize", BATCH_ROWS).jdbc(url, name, properties=dict(properties or {}))
+            stamped = tables[name] if "created_at" in tables[name].columns else tables[name].withColumn("created_at", F.current_timestamp())
+            stamped = stamped.withColumn("batch_id", F.lit(batch_id)).withColumn("attempt", F.lit(attempt))
+            stamped.coalesce(partitions).write.mode("append").option("batchsize", BATCH_ROWS).jdbc(url, name, properties=options)
+    _mark(spark, batch_id, attempt).coalesce(1).write.mode("append").jdbc(url, PUBLISHED, properties=options)
+    return attempt
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, properties: Mapping[str, str] | None = None) -> DataFrame:
+    """A table's published rows."""
+    options = dict(properties or {})
+    marks = spark.read.jdbc(url, PUBLISHED, properties=options)
+    marks = marks.toDF(*[c.lower() for c in marks.columns])
+    rows = spark.read.jdbc(url, name, properties=options)
+    return rows.toDF(*[c.lower() for c in rows.columns]).join(_last(marks), ["batch_id", "attempt"], "left_semi")

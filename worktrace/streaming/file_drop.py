@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from worktrace import schemas
-from worktrace.operators import highlights
+from worktrace.operators import highlights, load
 from worktrace.sources import documents
 
 
@@ -19,7 +19,7 @@ def highlights_on_arrival(spark: SparkSession, features_path: str, out_path: str
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        features = batch.withColumnRenamed("file_path", "declared_path").withColumn("video_id", F.xxhash64("source_path"))
+        features = batch.withColumn("video_id", load.video_key(F.coalesce("file_path", "source_path")))
         segments = documents.segments(features, "video_id")
         frames = highlights.slim_frames(documents.frames(features, "video_id"))
         found = highlights.highlights(segments, frames)
