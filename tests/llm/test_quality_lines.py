@@ -61,11 +61,49 @@ def test_junk_of_a_third_of_the_rows_goes(spark):
 def test_a_language_without_documents_near_its_medians_keeps_the_plain_reference(spark):
     halves = [(i, " ".join("a" * 40 + str(k) if i % 2 else "$" * 40 + "#" * k for k in range(31)), "xx") for i in range(40)]
     docs = spark.createDataFrame(halves, "doc_id long, text string, lang string")
-    rows = docs.select("lang", quality.features(F.col("text")).alias("_f")).cache()
+    rows = quality.measured(docs, "text", "lang")
     refs = quality.robust_references(rows).collect()
     assert [(r.lang, r.ref_words) for r in refs] == [("xx", 40 * 31)]
 
 
+def greek(seed, n):
+    import random
+
+    letters = "αβγδεηικλμνοπρστυω"
+    made = lambda k: "".join(random.Random(k).choices(letters, k=3 + k % 6))
+    return " ".join(random.Random(seed).choices([made(k) for k in range(50)], weights=[9] * 12 + [1] * 38, k=n))
+
+
+def test_a_language_without_fixed_words_is_judged_by_its_own(spark):
+    clean = [(i, greek(i, 200 + 10 * i), "el") for i in range(60)] + [(1000 + i, english(i, 200), "en") for i in range(30)]
+    other = [(100, " ".join(w[::-1] + "ξ" for w in greek(900, 300).split()), "el"), (101, "".join(chr(0x430 + (ord(c) - 0x3B1)) if c != " " else c for c in greek(901, 300)), "el")]
+    docs = spark.createDataFrame(clean + other, "doc_id long, text string, lang string")
+    own = quality.vocabulary(docs, F.col("text"), F.col("lang")).collect()
+    counts = Counter(w for _, t, lang in clean + other if lang == "el" for w in t.split())
+    assert [r.lang for r in own] == ["el"]
+    assert own[0].own == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))][: len(quality.VOCABULARY)]
+    rows = {r.doc_id: r for r in quality.score(docs).collect()}
+    assert all(rows[i].kept for i, *_ in clean)
+    assert not rows[100].kept and rows[100].common_distance > rows[0].common_distance
+    assert not rows[101].kept and rows[101].class_distance > 0.5
+
+
+def test_references_of_given_documents(spark):
+    clean = spark.createDataFrame([(i, english(i, 300), "en") for i in range(30)], "doc_id long, text string, lang string")
+    loud = spark.createDataFrame([(i, english(i, 300).upper(), "en") for i in range(30)], "doc_id long, text string, lang string")
+    assert quality.keep_good(loud).count() == 30  # nothing else to compare with
+    assert quality.keep_good(loud, references_of=clean).count() == 0
+    assert quality.score(clean, references_of=clean).filter("kept").count() == 30
+
+
+def test_character_classes():
+    names = [*quality.CLASSES, *quality.SCRIPTS, "other"]
+    text = "aZ1 .#~éλжא漢カ한ก—अ😀\u0300"
+    got = {n: c for n, c in zip(names, quality.character_classes(text).tolist(), strict=True) if c}
+    assert got == {"lower": 1, "upper": 1, "digit": 1, "space": 1, "mark": 1, "symbol": 1, "latin": 1, "greek": 1, "cyrillic": 1, "semitic": 1, "han": 1, "kana": 1, "hangul": 1, "southeast": 1, "punctuation": 1, "indic": 1, "other": 3}
+    assert quality.character_classes("").sum() == 0
+
+
 def test_distance(spark):
     row = spark.sql("select array(1L, 1L) as a, array(2L, 2L) as b, array(0L, 5L) as c, array(7L, 0L) as d, array(0L, 0L) as e")
     one = lambda x, n, y, m: row.select(quality.distance(F.col(x), F.lit(n), F.col(y), F.lit(m))).first()[0]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from functools import lru_cache
 from itertools import product
 
@@ -20,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from worktrace.llm.common import WORD, lookup_join, materialise, packed, quoted, small_batches
 
-# Frequent function words of the languages.
+# Frequent function words of the languages. Of any other language the most
+# frequent words of its documents take their place, see vocabulary().
 COMMON_WORDS = {
     "en": "the of and to in is that for with as was on be by this are at from or an have not it you".split(),
     "fr": "de la le et les des en un du une que est pour qui dans par sur au avec plus ne se pas ce".split(),
@@ -34,7 +37,8 @@ COMMON_WORDS = {
 VOCABULARY = list(dict.fromkeys(w for words in COMMON_WORDS.values() for w in words))
 #: Marks stripped from both ends of a word before it is looked up.
 MARKS = ".,;:!?\"'()"
-#: Bins of the character histogram: ASCII characters by class; one more counts all other characters.
+#: Bins of the character histogram: ASCII characters by class, others by the scripts' ranges of code
+#: points; one more counts all other characters.
 CLASSES = {
     "lower": "abcdefghijklmnopqrstuvwxyz",
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -43,6 +47,19 @@ CLASSES = {
     "mark": ".,;:!?\"'()-",
     "symbol": "#*$%&|<>",
 }
+SCRIPTS = {
+    "latin": [(0x80, 0x2AF)],
+    "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "cyrillic": [(0x400, 0x52F)],
+    "semitic": [(0x590, 0x8FF), (0xFB1D, 0xFDFF), (0xFE70, 0xFEFF)],
+    "indic": [(0x900, 0xDFF)],
+    "southeast": [(0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF)],
+    "punctuation": [(0x2000, 0x206F), (0x3000, 0x303F)],
+    "kana": [(0x3040, 0x30FF)],
+    "han": [(0x2E80, 0x2FDF), (0x3400, 0x9FFF), (0x20000, 0x323AF)],
+    "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
+}
+BINS = len(CLASSES) + len(SCRIPTS) + 1
 
 MIN_WORDS = 10  # base rule
 MAX_REPEAT_PERCENT = 20  # base rule
@@ -67,13 +84,32 @@ _FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, dict[str, int]]:
-    of_byte = np.full(256, len(CLASSES), dtype=np.int64)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """The class of each ASCII character; from which code points on others are of which class; the bins of the fixed words in any case."""
+    of_ascii = np.full(128, BINS - 1, dtype=np.int64)
     for k, chars in enumerate(CLASSES.values()):
-        of_byte[[ord(c) for c in chars]] = k
-    of_byte[0x80:0xC0] = -1  # continuation bytes are no characters
+        of_ascii[[ord(c) for c in chars]] = k
+    ranges = sorted((a, b, len(CLASSES) + k) for k, spans in enumerate(SCRIPTS.values()) for a, b in spans)
+    edges = [(0, BINS - 1), *(e for a, b, k in ranges for e in ((a, k), (b + 1, BINS - 1)))]
+    last = dict(edges)  # a range that begins where another ends wins
+    last |= {a: k for a, _, k in ranges}
+    points = np.array(sorted(last), dtype=np.uint32)
     spellings = {"".join(s): i for i, w in enumerate(VOCABULARY) for s in product(*({c, c.upper()} if c.isascii() else {c} for c in w))}
-    return of_byte, spellings
+    return of_ascii, points, np.array([last[p] for p in points.tolist()], dtype=np.int64), spellings
+
+
+def character_classes(text: str) -> np.ndarray:
+    """The histogram of a text's characters."""
+    of_ascii, edges, of_range, _ = _tables()
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+    low = points < 128
+    if low.all():
+        return np.bincount(of_ascii[points], minlength=BINS)
+    high = of_range[np.searchsorted(edges, points[~low], side="right") - 1]
+    return np.bincount(of_ascii[points[low]], minlength=BINS) + np.bincount(high, minlength=BINS)
+
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -90,34 +126,70 @@ def repeated_words(words: list[str], window: int = WINDOW) -> int:
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
-def measure(text: str | None) -> tuple:
-    """The features of one whole text (None: empty)."""
+def measure(text: str | None, own: Sequence[str] | None = None) -> tuple:
+    """The features of one whole text (None: empty). own: the common words of its language, if it has none of the fixed ones."""
     text = text or ""
     words = _WORD.findall(text)
-    of_byte, index = _tables()
-    data = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
-    shown = of_byte >= 0
-    classes = np.bincount(of_byte[shown], weights=data[shown], minlength=len(CLASSES) + 1).astype(np.int64)
+    classes = character_classes(text)
     spaces, symbols = list(CLASSES).index("space"), list(CLASSES).index("symbol")
     lines = [line for line in text.split("\n") if _WORD.search(line)]
+    bare, index = [w.strip(MARKS) for w in words], _tables()[3]
+    if own is not None:
+        bare, index = [w.translate(_LOWER) for w in bare], {w: k for k, w in enumerate(own)}
     common = [0] * (len(VOCABULARY) + 1)
-    for k, n in Counter(map(index.get, [w.strip(MARKS) for w in words])).items():
+    for k, n in Counter(map(index.get, bare)).items():
         common[-1 if k is None else k] = n
     n_chars = int(classes.sum())
     return (len(words), n_chars - int(classes[spaces]), int(classes[symbols]), len(lines) - len(set(lines)), repeated_words(words), n_chars, classes.tolist(), common)
 
 
-def _measured(texts: pa.Array) -> pa.Array:
-    rows = [measure(t.as_py()) for t in texts]
+def _measured(texts: pa.Array, own: pa.Array | None = None) -> pa.Array:
+    rows = [measure(t.as_py(), None if own is None else own[i].as_py()) for i, t in enumerate(texts)]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
     kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
     names = [f.split()[0] for f in _FEATURES.split(", ")]
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def features(text: Column) -> Column:
-    """measure() of a text column, as a struct."""
-    return F.arrow_udf(_measured, _FEATURES)(text)
+def _measured_alone(texts: pa.Array) -> pa.Array:
+    return _measured(texts)
+
+
+def _measured_with(texts: pa.Array, own: pa.Array) -> pa.Array:
+    return _measured(texts, own)
+
+
+def vocabulary(docs: DataFrame, text: Column, lang: Column, size: int = len(VOCABULARY)) -> DataFrame:
+    """lang -> own: the most frequent words of each language that COMMON_WORDS lacks, over all its documents (null is a language).
+
+    Words are bare of MARKS, with A-Z lowered; of equally frequent ones the first
+    in order. A language's words are ranked in parts, then the best of each.
+    """
+    other = docs.select(lang.alias("lang"), text.alias("t")).filter(~F.coalesce(F.col("lang").isin(*COMMON_WORDS), F.lit(False)))
+    word = F.translate(F.btrim("w", F.lit(MARKS)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = other.select("lang", F.explode(F.split("t", r"[\x20\x09-\x0D]+")).alias("w")).select("lang", word.alias("w")).filter("w <> ''")
+    best = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    for keys in (["lang", F.pmod(F.xxhash64("w"), F.lit(64))], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "w")
+        best = best.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= size)
+    own = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("own"))
+    return own.select("lang", F.transform("own", lambda x: x["w"]).alias("own"))
+
+
+def measured(docs: DataFrame, text_col: str, lang_col: str, **more: Column) -> DataFrame:
+    """`docs` as lang, _f (measure() of the text), and more columns, written to the shared folder. Texts are measured once."""
+    small_batches(docs.sparkSession)
+    text, lang = quoted(text_col), quoted(lang_col)
+    rows = docs.select(lang.alias("lang"), text.alias("_text"), *[c.alias(name) for name, c in more.items()])
+    others = docs.select(lang.alias("lang")).filter(~F.coalesce(F.col("lang").isin(*COMMON_WORDS), F.lit(False)))
+    if others.isEmpty():
+        feature = F.arrow_udf(_measured_alone, _FEATURES)("_text")
+    else:
+        own = materialise(vocabulary(docs, text, lang), "quality-vocabulary")
+        rows = lookup_join(rows, own, ["lang"], F.xxhash64("_text"))
+        fixed = F.coalesce(F.col("lang").isin(*COMMON_WORDS), F.lit(False))
+        feature = F.arrow_udf(_measured_with, _FEATURES)("_text", F.when(~fixed, F.coalesce("own", F.array().cast("array<string>"))))
+    return materialise(rows.select("lang", feature.alias("_f"), *more), "quality-rows")
 
 
 def _base_failed(f: str = "_f") -> Column:
@@ -131,14 +203,14 @@ def references(featured: DataFrame) -> DataFrame:
     `featured`: rows with lang and the struct _f. Languages of fewer than
     MIN_REFERENCE_WORDS words have no reference. Null is a language of its own.
     """
-    sums = [F.sum(F.col("_f.classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    sums = [F.sum(F.col("_f.classes")[i]).alias(f"c{i}") for i in range(BINS)]
     sums += [F.sum(F.col("_f.common")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
     by = featured.filter(~_base_failed()).groupBy("lang").agg(F.sum("_f.n_words").alias("ref_words"), F.sum("_f.n_chars").alias("ref_chars"), *sums).filter(F.col("ref_words") >= MIN_REFERENCE_WORDS)
     return by.select(
         "lang",
         "ref_words",
         "ref_chars",
-        F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"),
+        F.array(*[f"c{i}" for i in range(BINS)]).alias("ref_classes"),
         F.array(*[f"w{i}" for i in range(len(VOCABULARY) + 1)]).alias("ref_common"),
     )
 
@@ -153,7 +225,7 @@ def centres(featured: DataFrame) -> DataFrame:
         share = lambda i: F.round(F.col(f"_f.{name}")[i] / F.col(f"_f.{total}"), SHARE_DIGITS)
         return [F.median(F.when(F.col(f"_f.{total}") >= least, share(i))).alias(f"{name}{i}") for i in range(bins)]
 
-    kinds = {"classes": (len(CLASSES) + 1, "n_chars", MIN_CLASS_CHARS), "common": (len(VOCABULARY) + 1, "n_words", MIN_COMMON_WORDS)}
+    kinds = {"classes": (BINS, "n_chars", MIN_CLASS_CHARS), "common": (len(VOCABULARY) + 1, "n_words", MIN_COMMON_WORDS)}
     by = featured.filter(~_base_failed()).groupBy("lang").agg(*[m for name, (bins, total, least) in kinds.items() for m in medians(name, bins, total, least)])
     by = by.select("lang", *[F.array(*[f"{name}{i}" for i in range(bins)]).alias(f"ref_{name}") for name, (bins, _, _) in kinds.items()])
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -197,32 +269,40 @@ def judged(featured: DataFrame, refs: DataFrame, robust: bool = True) -> DataFra
     return rows.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~far).drop("ref_classes", "ref_common", "ref_chars", "ref_words")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", robust: bool = True) -> DataFrame:
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", robust: bool = True, references_of: DataFrame | None = None
+) -> DataFrame:
     """One row per row of `docs`: doc_id, the base counts, base_failed, kept, class_distance, common_distance.
 
     Null or empty text has no words and fails the base rule. Texts are read whole,
     once: their counts are written to the shared folder and feed both the
     references and the verdicts. Repeated rows count each time. Empty table: no
     rows. Other columns are ignored, whatever their names.
+
+    references_of: documents (the same columns) to take the references from, in
+    place of `docs`; the four fixed languages only, whose bins don't depend on them.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(lang_col).alias("lang"), features(quoted(text_col)).alias("_f"))
-    rows = materialise(rows, "quality-features")
-    refs = materialise(robust_references(rows) if robust else references(rows), "quality-references")
-    out = judged(rows, refs, robust)
+    rows = measured(docs, text_col, lang_col, doc_id=quoted(id_col))
+    out = judged(rows, _references(rows, text_col, lang_col, robust, references_of), robust)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("doc_id", *[f"_f.{c}" for c in base], "base_failed", "kept", "class_distance", "common_distance")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def _references(rows: DataFrame, text_col: str, lang_col: str, robust: bool, references_of: DataFrame | None) -> DataFrame:
+    rows = rows.select("lang", "_f")
+    if references_of is not None:
+        given = references_of.filter(quoted(lang_col).isin(*COMMON_WORDS))
+        rows = measured(given, text_col, lang_col)
+    return materialise(robust_references(rows) if robust else references(rows), "quality-references")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", references_of: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` that score() keeps, with all their columns.
 
     Texts are measured once: rows are written to the shared folder with their
     counts, which feed both the references and the verdicts. Null and empty texts
     go, repeated rows each get the same verdict, an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(quoted(lang_col).alias("lang"), features(quoted(text_col)).alias("_f"), packed(docs).alias("_row"))
-    rows = materialise(rows, "quality-rows")
-    refs = materialise(robust_references(rows.select("lang", "_f")), "quality-references")
+    rows = measured(docs, text_col, lang_col, _row=packed(docs))
+    refs = _references(rows, text_col, lang_col, True, references_of)
     return judged(rows, refs).filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -109,7 +109,11 @@ def _sql_list(values: list[str]) -> str:
 
 
 _CLASS_SQL = ", ".join(
-    f"length(regexp_replace(t, '[^{''.join(chr(92) + c if c in '-' + chr(92) + chr(93) else c for c in chars).replace(chr(39), chr(39) * 2)}]', '', 'g'))" for chars in quality.CLASSES.values()
+    f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
+    for chars in [
+        *("".join(chr(92) + c if c in "-" + chr(92) + chr(93) else c for c in chars).replace(chr(39), chr(39) * 2) for chars in quality.CLASSES.values()),
+        *("".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) for spans in quality.SCRIPTS.values()),
+    ]
 )
 
 OP2_SQL = rf"""
