@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.llm import tokens
-from worktrace.llm.common import packed, quoted, small_batches
+from worktrace.llm.common import materialise, packed, quoted, salt_count, small_batches
 
 SEGMENT = 1 << 16  # characters of a text, and of a part
 UNSPLIT = 4096  # characters without white space, and symbols of a pre-token
@@ -194,7 +194,9 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", segment: int
     not added, as little-endian unsigned 32-bit integers; decoded is the library's
     decode of them, special tokens kept. Null and empty texts have no ids and
     decode to the empty text. Repeated rows each get their own. An empty table
-    gives no rows. Each different long text is encoded once.
+    gives no rows. Each different long text is encoded once, its parts in parallel;
+    the encoded parts of one text, some bytes a token, meet in one task. Rows of
+    one long text take its ids in as many places as they have salts.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -222,14 +224,16 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", segment: int
         return _struct([assemble(r, tokenizer) for r in rows], tokenizer)
 
     short = docs.filter(~is_long).select(packed(docs).alias("row"), F.arrow_udf(whole, _CODED)(text).alias("c"))
-    rows = docs.filter(is_long).select(packed(docs).alias("row"), F.sha2(text, 256).alias("digest"), text.alias("text"))
-    texts = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salt_count(spark))).cast("int")
+    rows = materialise(docs.filter(is_long).select(packed(docs).alias("row"), F.sha2(text, 256).alias("digest"), salt.alias("salt")), "bpe-long")
+    texts = rows.groupBy("digest").agg(F.first(F.col("row").getField(text_col)).alias("text"))
     pieces = texts.mapInArrow(cut, "digest string, part int, leaf int, kind string, content string")
     spread = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest", "part", "leaf")
     coded = spread.withColumn("ids", F.arrow_udf(each, "binary")("kind", "content"))
     lists = coded.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("part", "leaf", "kind", "ids"))).alias("parts"))
     whole_again = lists.select("digest", F.arrow_udf(joined, _CODED)("parts").alias("c"))
-    long = rows.select("row", "digest").join(whole_again, "digest").select("row", "c")
+    needed = whole_again.join(rows.select("digest", "salt").distinct(), "digest")
+    long = rows.join(needed, ["digest", "salt"]).select("row", "c")
     return short.unionByName(long).select("row", "c.ids", "c.decoded")
 
 

@@ -305,7 +305,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each group that with the smallest id, and all rows without id; all columns."""
+    """The rows of `docs` that stay, with all their columns: of each group those with the smallest id, and all rows without id.
+
+    Rows that repeat the smallest id all stay. Null, empty and wordless texts are
+    in no group and stay. Empty table: no rows.
+    """
     dropped = materialise(groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "near-dropped")
     return docs.join(dropped, quoted(id_col).cast("long") == F.col("_dropped"), "left_anti")
 

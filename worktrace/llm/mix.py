@@ -30,8 +30,9 @@ def source_plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: flo
     That ends where every target is min(cap x size, level x weight), and the
     capped sources are those with the least cap/weight: one ordered running sum
     finds them, instead of a loop of jobs. The windows without a key order the
-    source totals only, one narrow row per source. A source of size 0 has target
-    and rate 0.
+    source totals only, one narrow row per source, in one task: sources may number
+    some millions, but not one per document. A source of size 0 has target and
+    rate 0.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = totals.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -81,7 +82,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as its copies say, with the columns of `docs`."""
+    """The mix itself: each row of `docs` as often as its copies say, with the columns of `docs`.
+
+    Null or empty texts have no words, but are drawn like any other; repeated rows
+    draw the same number, so all of them go or stay. A null source is a source.
+    Empty table: no rows.
+    """
     out = copies(docs, **options).filter("copies > 0")
     out = out.select(F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_"), "row")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
