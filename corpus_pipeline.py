@@ -16,27 +16,48 @@ from worktrace.llm.common import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie far from their language's reference go."""
+    """Documents that fail the base rules or lie far from their language's reference go.
+
+    Null and empty texts fail; repeated rows share their verdict; a null language
+    is a language. An empty table gives an empty one.
+    """
     return quality.keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays.
+
+    Null text equals empty text; of rows that repeat an id and a text one stays,
+    that with the largest values in the other columns; rows without id stay if no
+    row of their text has one. An empty table gives an empty one.
+    """
     return exact.deduplicate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays.
+
+    Null, empty and wordless texts and rows without id are in no group and stay. An
+    empty table gives an empty one.
+    """
     return hyperminhash.deduplicate(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, or left out, so that sources come near their target weights."""
+    """Documents repeated, or left out, so that sources come near their target weights.
+
+    A null source is a source; null and empty texts have no words and weigh nothing,
+    but are drawn like others; equal rows draw alike. An empty table gives an empty one.
+    """
     return mix.mix(docs)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Token ids of each document of the mix (binary, little-endian 32-bit), and digests of ids and decoded text."""
+    """Token ids of each document of the mix (binary, little-endian 32-bit), and digests of ids and decoded text.
+
+    Null and empty texts have no ids; repeated rows each get theirs; the columns
+    doc_id and source pass through, nulls included. An empty table gives an empty one.
+    """
     if tokenizer is None:
         import public_tokenizers
 
