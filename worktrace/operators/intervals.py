@@ -17,19 +17,19 @@ from pyspark.sql import functions as F
 
 BUCKET_MS = 10_000
 MOST = 64  # buckets that an interval is copied to, about
-_LEVELS = 9
 
 
 def _level(width: int) -> Column:
     length = F.col("end_ms") - F.col("start_ms")
-    level = F.lit(_LEVELS - 1)
-    for k in reversed(range(_LEVELS - 1)):
+    most = next(k for k in range(64) if (MOST * width) * MOST**k >= 1 << 56)  # longer than any time
+    level = F.lit(most)
+    for k in reversed(range(most)):
         level = F.when(length < (MOST - 1) * width * MOST**k, k).otherwise(level)
     return level
 
 
 def _levels(intervals: DataFrame, width: int) -> list[int]:
-    """The levels that occur, at most _LEVELS of them."""
+    """The levels that occur, some ten at most."""
     return sorted(r["l"] for r in intervals.filter("end_ms >= start_ms").select(_level(width).alias("l")).distinct().collect())
 
 
