@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worktrace.functions.columns import once
 from worktrace.functions.text import strip
 
 # Fixed values of the answer format.
@@ -13,11 +14,6 @@ STATUSES = ["SUCCESS", "MISMATCH", "STANDARD_COMPLIANCE"]
 NOTHING = "해당 없음"
 
 
-def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """`rows` with a column that filters and generators above don't compute again, as they do with what a projection holds."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def unfenced(clean: Column) -> Column:
     """A stripped answer without a Markdown fence: its first line goes, its last one only if it is a fence."""
     opened = F.regexp_replace(clean, r"^[^\r\n]*(?:\r\n|\r|\n)?", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktrace.functions import text
+from worktrace.functions.columns import once
 from worktrace.operators import intervals
 
 COLUMNS = ["timestamp_sec", "highlight_type", "trigger_reason", "feature_description", "speech_quote", "detected_tools", "hand_active"]
@@ -31,10 +32,11 @@ def classified(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """Per segment with text: its measurements, keywords, domain labels and highlight_type (null: no rule holds)."""
     segments = segments.withColumn("start_ms", F.coalesce("start_ms", F.lit(0).cast("long"))).withColumn("end_ms", F.coalesce("end_ms", F.lit(0).cast("long")))
     spoken = segments.withColumn("text", text.strip(F.coalesce("text", F.lit("")))).filter(F.length("text") > 0)
-    seen = intervals.overlap(spoken, frames.withColumn("ts_ms", F.coalesce("ts_ms", F.lit(-1000).cast("long"))))
-    rows = spoken.join(seen, ["video_id", "seg_pos"]).select(
+    seen = intervals.overlap(spoken, frames.withColumn("ts_ms", F.coalesce("ts_ms", F.lit(-1000).cast("long"))), keep=("text", "start_ms", "end_ms"))
+    rows = once(once(seen, "measurements", text.measurements(F.col("text"))), "keywords", text.keywords(F.col("text")))
+    rows = rows.select(
         "video_id", "seg_pos", "text", midpoint(F.col("start_ms"), F.col("end_ms")).alias("ts_ms"), "hand_active",
-        text.domain_labels(F.col("labels")).alias("detected_tools"), text.measurements(F.col("text")).alias("measurements"), text.keywords(F.col("text")).alias("keywords"),
+        text.domain_labels(F.col("labels")).alias("detected_tools"), "measurements", "keywords",
     )
     kind = (
         F.when(F.size("measurements") > 0, "measurement_speech").when(F.size("keywords") > 0, "procedural_speech").when(F.size("detected_tools") > 0, "tool_active_speech")

@@ -12,6 +12,8 @@ is asked of the intervals first; the points meet each of those, mostly one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +84,8 @@ def first_match(points: DataFrame, intervals: DataFrame, width: int = BUCKET_MS)
     return joined.groupBy("p.video_id", "p.frame_pos").agg(F.min_by("i.text", "i.seg_pos").alias("audio_context"))
 
 
-def overlap(segments: DataFrame, frames: DataFrame, width: int = BUCKET_MS) -> DataFrame:
-    """Per segment: video_id, seg_pos, n_frames, labels (distinct, sorted), hand_active, from the frames with start <= ts <= end.
+def overlap(segments: DataFrame, frames: DataFrame, width: int = BUCKET_MS, keep: Sequence[str] = ()) -> DataFrame:
+    """Per segment: video_id, seg_pos, n_frames, labels (distinct, sorted), hand_active, from the frames with start <= ts <= end, and columns to keep.
 
     frames: video_id, ts_ms, labels, hand_active. Segments without frames are kept.
     """
@@ -91,9 +93,10 @@ def overlap(segments: DataFrame, frames: DataFrame, width: int = BUCKET_MS) -> D
     by = seen.groupBy(F.col("i.video_id").alias("video_id"), F.col("i.seg_pos").alias("seg_pos")).agg(
         F.count(F.lit(1)).alias("n_frames"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("p.labels")))).alias("labels"), F.bool_or("p.hand_active").alias("hand_active")
     )
-    return segments.select("video_id", "seg_pos").join(by, ["video_id", "seg_pos"], "left").select(
+    return segments.select("video_id", "seg_pos", *keep).join(by, ["video_id", "seg_pos"], "left").select(
         "video_id",
         "seg_pos",
+        *keep,
         F.coalesce("n_frames", F.lit(0)).alias("n_frames"),
         F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
         F.coalesce("hand_active", F.lit(False)).alias("hand_active"),
