@@ -122,6 +122,7 @@ def test_quality_tables_without_rows_or_values(no_docs, null_docs, edge_docs):
 def test_lines_equal_brute_force(spark):
     pages = [(i, f"http://h{i % 2}.example/{i}", f"menu\n  body {i}\n\nmenu\nfoot {i % 4}\n{'x' * (i % 3)}") for i in range(40)]
     pages += [(100, None, "menu\nx"), (101, "no url", "menu"), (102, "http://small/1", "a"), (103, "http://small/2", "a"), (104, "HTTP://u:p@H0.example:80", None), (105, "http://h1.example", ""), pages[0]]
+    pages += [(106, "http://h0.example/long", "\n".join(f"line {k}" for k in range(60_000)) + "\nmenu\n" + "z" * 2_000_000)]
     df = spark.createDataFrame([(*p, "h", [1], "c") for p in pages], "page_id long, url string, body string, host string, lines array<int>, common string")
     hosts, seen = Counter(), defaultdict(Counter)
     cut = []

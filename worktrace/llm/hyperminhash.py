@@ -51,15 +51,20 @@ _U = np.uint64
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; a shorter text is one shingle."""
-    n = len(words)
-    if not n:
+    if not len(words):
         return words
-    width = min(SHINGLE, n)
+    left = min(SHINGLE, len(words))
     with np.errstate(over="ignore"):
-        h = np.full(n - width + 1, _U(width), dtype=_U)
-        for k in range(width):
-            h = mix(h * _U(0x9FB21C651E98DF25) + words[k : n - width + 1 + k])
-    return np.unique(h)
+        h, done, run, width = np.full(len(words), _U(left), dtype=_U), 0, words, 1
+        while True:  # runs of 1, 2, 4, ... words, each from its halves
+            if left & width:
+                n = len(words) - done - width + 1
+                h = mix(h[:n] * _U(0x9FB21C651E98DF25) + run[done : done + n])
+                done += width
+            width *= 2
+            if width > left:
+                return np.unique(h)
+            run = mix(run[: -width // 2] * _U(0x9FB21C651E98DF25) + run[width // 2 :])
 
 
 def registers(hashes: np.ndarray, seeds: int) -> np.ndarray:
@@ -139,7 +144,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(hashes)
             used = SEEDS if n * PERCENT <= DENSE * 100 else None, 1 if n > DENSE else None
             dense, wide = (seeds and registers(hashes, seeds).tobytes() for seeds in used)
-            for column, value in zip(rows, (hashlib.sha256(b" ".join(_WORD.findall(data))).digest(), n, dense, wide), strict=True):
+            for column, value in zip(rows, (hashlib.sha256(b" ".join(data.split())).digest(), n, dense, wide), strict=True):
                 column.append(value)
         kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["id", "words", "n", "dense", "wide"])
