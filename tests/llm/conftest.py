@@ -16,10 +16,16 @@ def words(seed: int, n: int) -> str:
 def edge_rows():
     """Nulls, empty, blank, very long, repeated and tied rows; a text in many copies."""
     base, long = words(1, 120), words(2, 30_000) + " " + "x" * 9000 + "," + "é" * 5000
-    texts = {1: "", 2: None, 3: " \n\t ", 4: base, 5: base, 6: base + " " + words(3, 5), 7: words(4, 3), 8: words(4, 3), 9: long, 10: long, 11: "a\n\na\na <|endoftext|> İ‍漢", 12: words(5, 60)}
+    texts = {
+        1: "", 2: None, 3: " \n\t ", 4: base, 5: base, 6: base + " " + words(3, 5), 7: words(4, 3), 8: words(4, 3), 9: long,
+        10: long, 11: "a\n\na\na <|endoftext|> İ‍漢", 12: words(5, 60),
+    }
     rows = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else f"src{i % 3}", None, "r", i, "z", None, 7, "d", None) for i, t in texts.items()]
     rows += [rows[3], rows[3], rows[1]]  # repeated rows
-    rows += [(None, base, None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None)]
+    rows += [
+        (None, base, None, None, None, None, None, None, None, None, None, None),
+        (None, None, None, None, None, None, None, None, None, None, None, None),
+    ]
     rows += [(100 + i, words(6, 80), "en", "hot", 1, "r", 1, "z", True, 1, "d", "x") for i in range(40)]
     return rows
 

@@ -20,7 +20,10 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("digest", [lambda: None, lambda: F.lit("same"), lambda: F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 1)], ids=["sha", "one", "four_bits"])
+@pytest.mark.parametrize(
+    "digest", [lambda: None, lambda: F.lit("same"), lambda: F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 1)],
+    ids=["sha", "one", "four_bits"],
+)
 def test_assign_equals_brute_force_whatever_the_digest(edge_docs, edge_rows, digest):
     got = sorted(map(tuple, exact.assign(edge_docs, digest=digest()).collect()), key=str)
     assert got == brute(edge_rows)
@@ -89,7 +92,10 @@ def test_targets_of_many_sources(spark):
 
 
 def test_mix_repeats_rows_and_comes_near_targets(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"))
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"),
+        F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"),
+    )
     rows = mix.copies(docs)
     for r in rows.groupBy("row.source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect():
         assert abs(r.n - r.t) < 0.03 * r.t

@@ -39,7 +39,10 @@ def test_groups_equal_brute_force(spark):
             rows.append((i := i + 1, near(base, [0, 0.01, 0.02, 0.03, 0.05, 0.1, 0.3, 0.02][k], 100 * s + k)))
     passage = words(99, 60)
     rows += [(i := i + 1, words(1000 + k, 40) + " " + passage) for k in range(25)]
-    rows += [(i := i + 1, words(50, 300).upper()), (i := i + 1, words(50, 300)), (i := i + 1, None), (i := i + 1, "one two"), (i := i + 1, "ONE  two")]
+    rows += [
+        (i := i + 1, words(50, 300).upper()), (i := i + 1, words(50, 300)), (i := i + 1, None), (i := i + 1, "one two"),
+        (i := i + 1, "ONE  two"),
+    ]
     got = h.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want

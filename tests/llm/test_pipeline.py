@@ -19,7 +19,10 @@ def stages(spark):
     """The output of each stage over the documents table and some edge rows."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'x' as `row`", "1 as size", "true as kept")
     one = docs.filter("doc_id = 1").first()
-    extra = [(9001, None, None, None, None, "x", 1, True), (9002, "", "en", None, 0, "x", 1, True), (9003, one.text, "en", None, None, "x", 1, True), (9003, one.text, "en", None, None, "x", 1, True)]
+    extra = [
+        (9001, None, None, None, None, "x", 1, True), (9002, "", "en", None, 0, "x", 1, True),
+        (9003, one.text, "en", None, None, "x", 1, True), (9003, one.text, "en", None, None, "x", 1, True),
+    ]
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     out = [docs]
     for _, stage in corpus_pipeline.STAGES:
@@ -69,7 +72,9 @@ def good_documents(rows):
         return keep
 
     def summed(own):
-        return [[sum(x) for x in zip(*(d[c] for d in own), strict=True)] for c in (2, 3)] if sum(d[5] for d in own) >= quality.MIN_REFERENCE_WORDS else None
+        return [
+            [sum(x) for x in zip(*(d[c] for d in own), strict=True)] for c in (2, 3)
+        ] if sum(d[5] for d in own) >= quality.MIN_REFERENCE_WORDS else None
 
     kept = set()
     for lang in {d[1] for d in docs}:
@@ -123,7 +128,10 @@ def test_each_stage_equals_brute_force_on_its_own_input(stages, tokenizer):
     for r in rows[4]:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         data = np.array(ids, "<u4").tobytes()
-        coded[r.doc_id, r.source, len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), data] += 1
+        coded[
+            r.doc_id, r.source, len(ids), hashlib.sha256(data).hexdigest(),
+            hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), data,
+        ] += 1
     assert Counter((*tuple(r)[:5], bytes(r.ids)) for r in rows[5]) == coded
 
 

@@ -40,7 +40,10 @@ def english(seed, n):
 
 def test_far_documents_go_and_clean_ones_stay(spark):
     clean = [(i, english(i, 150 + 10 * i), "en") for i in range(60)]
-    odd = [(100, "### *** " * 3 + " ".join(f"{w}%%%$$$" for w in english(7, 150).split()), "en"), (101, words(77, 400), "en"), (102, "## $$ %% && " + words(9, 12), "en")]
+    odd = [
+        (100, "### *** " * 3 + " ".join(f"{w}%%%$$$" for w in english(7, 150).split()), "en"), (101, words(77, 400), "en"),
+        (102, "## $$ %% && " + words(9, 12), "en"),
+    ]
     rows = {r.doc_id: r for r in quality.score(spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")).collect()}
     assert all(rows[i].kept for i in range(60))
     assert not rows[100].kept and rows[100].class_distance > quality.MAX_CLASS_DISTANCE
@@ -76,7 +79,10 @@ def greek(seed, n):
 
 def test_a_language_without_fixed_words_is_judged_by_its_own(spark):
     clean = [(i, greek(i, 200 + 10 * i), "el") for i in range(60)] + [(1000 + i, english(i, 200), "en") for i in range(30)]
-    other = [(100, " ".join(w[::-1] + "ξ" for w in greek(900, 300).split()), "el"), (101, "".join(chr(0x430 + (ord(c) - 0x3B1)) if c != " " else c for c in greek(901, 300)), "el")]
+    other = [
+        (100, " ".join(w[::-1] + "ξ" for w in greek(900, 300).split()), "el"),
+        (101, "".join(chr(0x430 + (ord(c) - 0x3B1)) if c != " " else c for c in greek(901, 300)), "el")
+    ]
     docs = spark.createDataFrame(clean + other, "doc_id long, text string, lang string")
     own = quality.vocabulary(docs, F.col("text"), F.col("lang")).collect()
     counts = Counter(w for _, t, lang in clean + other if lang == "el" for w in t.split())
@@ -100,7 +106,10 @@ def test_character_classes():
     names = [*quality.CLASSES, *quality.SCRIPTS, "other"]
     text = "aZ1 .#~éλжא漢カ한ก—अ😀\u0300"
     got = {n: c for n, c in zip(names, quality.character_classes(text).tolist(), strict=True) if c}
-    assert got == {"lower": 1, "upper": 1, "digit": 1, "space": 1, "mark": 1, "symbol": 1, "latin": 1, "greek": 1, "cyrillic": 1, "semitic": 1, "han": 1, "kana": 1, "hangul": 1, "southeast": 1, "punctuation": 1, "indic": 1, "other": 3}
+    assert got == {
+        "lower": 1, "upper": 1, "digit": 1, "space": 1, "mark": 1, "symbol": 1, "latin": 1, "greek": 1, "cyrillic": 1,
+        "semitic": 1, "han": 1, "kana": 1, "hangul": 1, "southeast": 1, "punctuation": 1, "indic": 1, "other": 3,
+    }
     assert quality.character_classes("").sum() == 0
 
 
@@ -121,9 +130,15 @@ def test_quality_tables_without_rows_or_values(no_docs, null_docs, edge_docs):
 
 def test_lines_equal_brute_force(spark):
     pages = [(i, f"http://h{i % 2}.example/{i}", f"menu\n  body {i}\n\nmenu\nfoot {i % 4}\n{'x' * (i % 3)}") for i in range(40)]
-    pages += [(100, None, "menu\nx"), (101, "no url", "menu"), (102, "http://small/1", "a"), (103, "http://small/2", "a"), (104, "HTTP://u:p@H0.example:80", None), (105, "http://h1.example", ""), pages[0]]
+    pages += [
+        (100, None, "menu\nx"), (101, "no url", "menu"), (102, "http://small/1", "a"), (103, "http://small/2", "a"),
+        (104, "HTTP://u:p@H0.example:80", None), (105, "http://h1.example", ""), pages[0],
+    ]
     pages += [(106, "http://h0.example/long", "\n".join(f"line {k}" for k in range(60_000)) + "\nmenu\n" + "z" * 2_000_000)]
-    df = spark.createDataFrame([(*p, "h", [1], "c") for p in pages], "page_id long, url string, body string, host string, lines array<int>, common string")
+    df = spark.createDataFrame(
+        [(*p, "h", [1], "c") for p in pages],
+        "page_id long, url string, body string, host string, lines array<int>, common string",
+    )
     hosts, seen = Counter(), defaultdict(Counter)
     cut = []
     for i, url, text in pages:

@@ -12,7 +12,10 @@ from tests.llm.conftest import words
 from worktrace.llm import bpe_tree, token_counts, token_store, tokens
 from worktrace.llm.common import new_path
 
-PIECES = ["a", "the", "ing", "é", "İ", "ß", " ", "  ", "   ", "\n", "\t", "\r\n", "'s", "'ll", "12", "½", "<|endoftext|>", "<|startoftext|>", "\xa0", "\x1c", "\x85", "é", "漢字", "😀", "!!", "‍", "Σ", "\x00", "K"]
+PIECES = [
+    "a", "the", "ing", "é", "İ", "ß", " ", "  ", "   ", "\n", "\t", "\r\n", "'s", "'ll", "12", "½", "<|endoftext|>",
+    "<|startoftext|>", "\xa0", "\x1c", "\x85", "é", "漢字", "😀", "!!", "‍", "Σ", "\x00", "K",
+]
 
 
 def odd_texts(n=3000):

@@ -27,8 +27,14 @@ def brute(rows):
 
 def edge_pages():
     big, nasty = "<p>é漢 WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n</p>" * 5, "x" * 99
-    rows = [(5, "http://a/1", big), (3, "http://a/2", big), (3, "http://a/2", big), (9, None, big), (None, "http://b/", big), (1, "http://c/\r\nEvil: 1 x", None), (2, "", ""), (4, "http://d", nasty), (6, "http://e", nasty)]
-    rows += [(7, "http://f", nasty + "é"), (8, "http://g", nasty + "é"), (None, None, None), (None, "u", "only without an id " * 9), (10, "http://h", "long " * 400_000)]
+    rows = [
+        (5, "http://a/1", big), (3, "http://a/2", big), (3, "http://a/2", big), (9, None, big), (None, "http://b/", big),
+        (1, "http://c/\r\nEvil: 1 x", None), (2, "", ""), (4, "http://d", nasty), (6, "http://e", nasty),
+    ]
+    rows += [
+        (7, "http://f", nasty + "é"), (8, "http://g", nasty + "é"), (None, None, None), (None, "u", "only without an id " * 9),
+        (10, "http://h", "long " * 400_000),
+    ]
     return [(*r, "d", 1, "f", "m") for r in rows]
 
 
@@ -60,15 +66,22 @@ def test_empty_and_null_tables(spark):
 
 
 def record(kind, i, block, **more):
-    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: <" + i + b">", *[b"WARC-" + k.replace("_", "-").encode() + b": <" + v + b">" for k, v in more.items()]]
+    head = [
+        b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: <" + i + b">",
+        *[b"WARC-" + k.replace("_", "-").encode() + b": <" + v + b">" for k, v in more.items()]
+    ]
     kinds = {b"metadata": b"application/warc-fields"}
     return b"\r\n".join([*head, b"Content-Type: " + kinds.get(kind, b"application/http"), b"Content-Length: %d" % len(block), b"", block, b"", b""])
 
 
 def test_links_in_either_direction_and_through_the_request(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\n\r\nbody\xff"
-    one = record(b"response", b"r1", http, Concurrent_To=b"q1") + record(b"request", b"q1", b"GET / HTTP/1.1\r\n\r\n") + record(b"metadata", b"m1", b"a: 1\r\n", Concurrent_To=b"q1")
-    two = record(b"metadata", b"m2", b"b: 2", Concurrent_To=b"r2") + record(b"response", b"r2", http) + record(b"metadata", b"lost", b"", Concurrent_To=b"nobody")
+    one = record(b"response", b"r1", http, Concurrent_To=b"q1") + record(b"request", b"q1", b"GET / HTTP/1.1\r\n\r\n") + record(
+        b"metadata", b"m1", b"a: 1\r\n", Concurrent_To=b"q1",
+    )
+    two = record(b"metadata", b"m2", b"b: 2", Concurrent_To=b"r2") + record(b"response", b"r2", http) + record(
+        b"metadata", b"lost", b"", Concurrent_To=b"nobody",
+    )
     (tmp_path / "one.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two[: two.index(b"WARC/1.1", 5)]))
     (tmp_path / "two.warc").write_bytes(two[two.index(b"WARC/1.1", 5) :])
     rows = {r.capture_id: r for r in warc.assemble(warc.read(spark, f"file://{tmp_path}")).collect()}
@@ -76,7 +89,10 @@ def test_links_in_either_direction_and_through_the_request(spark, tmp_path):
     assert [r.record_id for r in rows["r1"].requests] == ["q1"] and [r.record_id for r in rows["r1"].metadata] == ["m1"]
     assert rows["r2"].requests == [] and [r.record_id for r in rows["r2"].metadata] == ["m2"]
     assert bytes(rows["r1"].response.payload) == b"body\xff"
-    df = spark.createDataFrame([(rows["r1"].metadata,)], "m array<struct<record_id:string,target_uri:string,fields:array<struct<key:string,value:string>>>>")
+    df = spark.createDataFrame(
+        [(rows["r1"].metadata,)],
+        "m array<struct<record_id:string,target_uri:string,fields:array<struct<key:string,value:string>>>>",
+    )
     assert df.select(warc.field(F.col("m"), "a"), warc.field(F.col("m"), "z")).first() == ("1", None)
 
 
@@ -93,7 +109,8 @@ def test_damaged_archives_give_reject_rows(spark, tmp_path):
     headless = b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"
     cut = record(b"response", b"cut", http * 50)[:-100]
     files = {
-        "a.warc.gz": gzip.compress(headless + good), "b.warc.gz": gzip.compress(good + cut), "c.warc.gz": gzip.compress(good) + gzip.compress(cut * 400)[:-30],
+        "a.warc.gz": gzip.compress(headless + good), "b.warc.gz": gzip.compress(good + cut),
+        "c.warc.gz": gzip.compress(good) + gzip.compress(cut * 400)[:-30],
         "d.warc.gz": b"no archive", "e.warc": good + b"WARC/1.1\r\nWARC-Type: resp", "f.warc": b"", "g.warc.gz": gzip.compress(good),
     }
     for name, data in files.items():
@@ -104,7 +121,8 @@ def test_damaged_archives_give_reject_rows(spark, tmp_path):
     assert bad.pop(("c.warc.gz", "damaged")) > len(good)
     bad.pop(("c.warc.gz", "truncated"), None)  # if the reader got that far
     assert bad == {
-        ("a.warc.gz", "no_content_length"): 0, ("b.warc.gz", "truncated"): len(good), ("d.warc.gz", "no_record"): 0, ("d.warc.gz", "damaged"): 0, ("e.warc", "truncated"): len(good),
+        ("a.warc.gz", "no_content_length"): 0, ("b.warc.gz", "truncated"): len(good), ("d.warc.gz", "no_record"): 0,
+        ("d.warc.gz", "damaged"): 0, ("e.warc", "truncated"): len(good),
     }
 
 

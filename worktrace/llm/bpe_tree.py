@@ -181,7 +181,9 @@ def decode_ids(ids: bytes, path: str) -> str:
 
 
 def _struct(ids: list[bytes], path: str) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([decode_ids(i, path) for i in ids], pa.string())], names=["ids", "decoded"])
+    return pa.StructArray.from_arrays(
+        [pa.array(ids, pa.binary()), pa.array([decode_ids(i, path) for i in ids], pa.string())], names=["ids", "decoded"],
+    )
 
 
 _CODED = "ids binary, decoded string"

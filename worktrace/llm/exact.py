@@ -101,4 +101,6 @@ def _orderable(kind: T.DataType) -> bool:
         return _orderable(kind.elementType)
     if isinstance(kind, T.StructType):
         return all(_orderable(f.dataType) for f in kind.fields)
-    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType)) if hasattr(T, "CalendarIntervalType") else not isinstance(kind, (T.MapType, T.VariantType))
+    return not isinstance(
+        kind, (T.MapType, T.VariantType, T.CalendarIntervalType),
+    ) if hasattr(T, "CalendarIntervalType") else not isinstance(kind, (T.MapType, T.VariantType))

@@ -147,7 +147,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(rows, (hashlib.sha256(b" ".join(data.split())).digest(), n, dense, wide), strict=True):
                 column.append(value)
         kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["id", "words", "n", "dense", "wide"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]],
+            names=["id", "words", "n", "dense", "wide"],
+        )
 
 
 def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +195,10 @@ def bucket_keys(sketches: DataFrame) -> DataFrame:
     width = 2 * BAND
 
     def bands(kind: str) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.struct(F.lit(kind).alias("k"), i.alias("i"), F.substring(F.col(kind), i * width + 1, F.lit(width)).alias("r")))
+        each = F.transform(
+            F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)),
+            lambda i: F.struct(F.lit(kind).alias("k"), i.alias("i"), F.substring(F.col(kind), i * width + 1, F.lit(width)).alias("r")),
+        )
         return F.filter(each, lambda s: s["r"].isNotNull() & (s["r"] != F.lit(bytes(width))))
 
     keys = F.transform(F.concat(bands("dense"), bands("wide")), lambda s: F.xxhash64(s["k"], s["i"], s["r"]))
@@ -202,10 +208,15 @@ def bucket_keys(sketches: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of all ids in `links` (a, b): the smallest id that can be reached. Labels spread and jump until none changes."""
     edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "near-labels")
+    labels = materialise(
+        edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")),
+        "near-labels",
+    )
     while True:
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        spread = labels.join(near, labels["id"] == near["a"], "left").select(
+            "id", F.col("label").alias("old"), F.least("label", "near").alias("label"),
+        )
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
         spread = spread.join(jump, "label", "left").select("id", "old", F.least("label", "next").alias("label"))
         spread = materialise(spread, "near-labels")
@@ -304,7 +315,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = classes.join(labels, "id", "left").select("words", F.coalesce("label", "id").alias("component_id"))
     rows = sketches.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("words")).alias("words"))
     out = rows.join(found, "words", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
     )
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 

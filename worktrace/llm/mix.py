@@ -73,7 +73,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     sizes = docs.select(quoted(source_col).alias("source"), n_words(text).alias("size"))
     plans = materialise(source_plan(sizes, **plan), "mix-plan")
     rows = docs.select(
-        quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), n_words(text).alias("size"), draw(quoted(id_col), text, seed).alias("_u"), packed(docs).alias("row")
+        quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), n_words(text).alias("size"),
+        draw(quoted(id_col), text, seed).alias("_u"), packed(docs).alias("row")
     )
     joined = lookup_join(rows, plans, ["source"], F.xxhash64("doc_id", "_u"))
     whole = F.floor("rate")

@@ -140,7 +140,10 @@ def measure(text: str | None, own: Sequence[str] | None = None) -> tuple:
     for k, n in Counter(map(index.get, bare)).items():
         common[-1 if k is None else k] = n
     n_chars = int(classes.sum())
-    return (len(words), n_chars - int(classes[spaces]), int(classes[symbols]), len(lines) - len(set(lines)), repeated_words(words), n_chars, classes.tolist(), common)
+    return (
+        len(words), n_chars - int(classes[spaces]), int(classes[symbols]), len(lines) - len(set(lines)), repeated_words(words),
+        n_chars, classes.tolist(), common,
+    )
 
 
 def _measured(texts: pa.Array, own: pa.Array | None = None) -> pa.Array:
@@ -205,7 +208,9 @@ def references(featured: DataFrame) -> DataFrame:
     """
     sums = [F.sum(F.col("_f.classes")[i]).alias(f"c{i}") for i in range(BINS)]
     sums += [F.sum(F.col("_f.common")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
-    by = featured.filter(~_base_failed()).groupBy("lang").agg(F.sum("_f.n_words").alias("ref_words"), F.sum("_f.n_chars").alias("ref_chars"), *sums).filter(F.col("ref_words") >= MIN_REFERENCE_WORDS)
+    by = featured.filter(~_base_failed()).groupBy("lang").agg(
+        F.sum("_f.n_words").alias("ref_words"), F.sum("_f.n_chars").alias("ref_chars"), *sums,
+    ).filter(F.col("ref_words") >= MIN_REFERENCE_WORDS)
     return by.select(
         "lang",
         "ref_words",
@@ -226,7 +231,9 @@ def centres(featured: DataFrame) -> DataFrame:
         return [F.median(F.when(F.col(f"_f.{total}") >= least, share(i))).alias(f"{name}{i}") for i in range(bins)]
 
     kinds = {"classes": (BINS, "n_chars", MIN_CLASS_CHARS), "common": (len(VOCABULARY) + 1, "n_words", MIN_COMMON_WORDS)}
-    by = featured.filter(~_base_failed()).groupBy("lang").agg(*[m for name, (bins, total, least) in kinds.items() for m in medians(name, bins, total, least)])
+    by = featured.filter(~_base_failed()).groupBy("lang").agg(
+        *[m for name, (bins, total, least) in kinds.items() for m in medians(name, bins, total, least)]
+    )
     by = by.select("lang", *[F.array(*[f"{name}{i}" for i in range(bins)]).alias(f"ref_{name}") for name, (bins, _, _) in kinds.items()])
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return by.select("lang", total("ref_common").alias("ref_words"), total("ref_classes").alias("ref_chars"), "ref_classes", "ref_common")
@@ -263,14 +270,23 @@ def judged(featured: DataFrame, refs: DataFrame, robust: bool = True) -> DataFra
     else:
         class_bound, common_bound = F.lit(MAX_CLASS_DISTANCE), MAX_COMMON_DISTANCE + COMMON_NOISE / F.sqrt("_f.n_words")
     rows = lookup_join(featured, refs, ["lang"], F.xxhash64("_f.n_chars", "_f.word_chars", "_f.n_words"))
-    rows = rows.withColumn("class_distance", F.when(F.col("_f.n_chars") >= MIN_CLASS_CHARS, distance(F.col("_f.classes"), F.col("_f.n_chars"), F.col("ref_classes"), F.col("ref_chars"))))
-    rows = rows.withColumn("common_distance", F.when(F.col("_f.n_words") >= MIN_COMMON_WORDS, distance(F.col("_f.common"), F.col("_f.n_words"), F.col("ref_common"), F.col("ref_words"))))
+    rows = rows.withColumn(
+        "class_distance",
+        F.when(F.col("_f.n_chars") >= MIN_CLASS_CHARS, distance(F.col("_f.classes"), F.col("_f.n_chars"), F.col("ref_classes"), F.col("ref_chars"))),
+    )
+    rows = rows.withColumn(
+        "common_distance",
+        F.when(F.col("_f.n_words") >= MIN_COMMON_WORDS, distance(F.col("_f.common"), F.col("_f.n_words"), F.col("ref_common"), F.col("ref_words"))),
+    )
     far = F.coalesce(F.col("class_distance") > class_bound, F.lit(False)) | F.coalesce(F.col("common_distance") > common_bound, F.lit(False))
-    return rows.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~far).drop("ref_classes", "ref_common", "ref_chars", "ref_words")
+    return rows.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~far).drop(
+        "ref_classes", "ref_common", "ref_chars", "ref_words",
+    )
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", robust: bool = True, references_of: DataFrame | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", robust: bool = True,
+    references_of: DataFrame | None = None
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, the base counts, base_failed, kept, class_distance, common_distance.
 

@@ -67,7 +67,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = bpe_tree.encode(docs, _tokenizer("word_bpe_49k.json"))
-    return rows.select("row.doc_id", bpe_tree.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select(
+        "row.doc_id", bpe_tree.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +114,11 @@ def _sql_list(values: list[str]) -> str:
 _CLASS_SQL = ", ".join(
     f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
     for chars in [
-        *("".join(chr(92) + c if c in "-" + chr(92) + chr(93) else c for c in chars).replace(chr(39), chr(39) * 2) for chars in quality.CLASSES.values()),
+        *(
+            "".join(
+                chr(92) + c if c in "-" + chr(92) + chr(93) else c for c in chars
+            ).replace(chr(39), chr(39) * 2) for chars in quality.CLASSES.values()
+        ),
         *("".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) for spans in quality.SCRIPTS.values()),
     ]
 )

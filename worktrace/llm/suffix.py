@@ -178,7 +178,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             at, before, least, i = at[same], before[same], least[same], ids[a:b][text[same]]
             columns = [pa.array(c[same]), pa.array(p[same]), pa.array(i), pa.array(at - begins[text[same]])]
-            yield pa.RecordBatch.from_arrays([*columns, _binary(words, at - 1, before, -1), _binary(words, at + CORE, REST - least)], names=["core", "part", "id", "at", "left", "right"])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, _binary(words, at - 1, before, -1), _binary(words, at + CORE, REST - least)],
+                names=["core", "part", "id", "at", "left", "right"],
+            )
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +267,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows:
             n = max((len(c) for c in columns if c is not None), default=0)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in columns], names=["id", "start", "end", "passage"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in columns],
+                    names=["id", "start", "end", "passage"],
+                )
 
     held: list[pa.Table] = []
     for batch in batches:
@@ -285,7 +291,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _between_parts(compared: DataFrame) -> DataFrame:
     """Spans of the passages that the parts of a core have only together. A passage has a row of each part at most."""
-    by = compared.filter("passage is not null").groupBy("passage").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "start", "end"))).alias("spans"))
+    by = compared.filter("passage is not null").groupBy("passage").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "start", "end"))).alias("spans"),
+    )
     return by.filter("n > 1").select(F.explode("spans").alias("s")).select("s.*")
 
 
@@ -321,7 +330,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = mixed.groupBy("core", "own").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", order).alias("id"), F.max_by("at", order).alias("at"))
     classes = materialise(classes, "suffix-classes")
     large = materialise(classes.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > part), "suffix-large")
-    dealt = classes.join(large, "core", "left").select("id", F.struct("core", "own", "at", F.coalesce(F.pmod("own", F.ceil(F.col("c") / part)), F.lit(-1)).cast("int").alias("part")).alias("f"))
+    dealt = classes.join(large, "core", "left").select(
+        "id",
+        F.struct("core", "own", "at", F.coalesce(F.pmod("own", F.ceil(F.col("c") / part)), F.lit(-1)).cast("int").alias("part")).alias("f"),
+    )
     by_text = dealt.groupBy("id").agg(F.collect_list("f").alias("found"))
     suffixes = texts.join(by_text, "id").select("id", "text", "found").mapInArrow(_suffixes, _SUFFIX)
     sorted_runs = suffixes.repartition("core", "part").sortWithinPartitions("core", "part", "right")

@@ -82,7 +82,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, **columns: st
     encoded(docs, tokenizer, end_id, **columns).write.options(**LAYOUT).parquet(path)
 
 
-def read(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None, between: tuple[int, int] | None = None, columns: Sequence[str] = ("doc_id", "ids")) -> DataFrame:
+def read(
+    spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None, between: tuple[int, int] | None = None,
+    columns: Sequence[str] = ("doc_id", "ids"),
+) -> DataFrame:
     """Selected columns of selected documents; the filters reach row groups and pages."""
     rows = spark.read.schema(_SCHEMA).parquet(path)
     if doc_ids is not None:
@@ -108,7 +111,9 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = read(spark, path, columns=["part", "doc_id", "local_start", "n_tokens", "ids"])
     parts = materialise(offsets(spark, path), "token-store-offsets")
-    return lookup_join(rows, parts, ["part"], F.xxhash64("doc_id", "local_start")).select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return lookup_join(rows, parts, ["part"], F.xxhash64("doc_id", "local_start")).select(
+        "doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids",
+    )
 
 
 def ids_crc32(ids: Column) -> Column:

@@ -296,8 +296,14 @@ class ByteLevel:
     def __init__(self, path: str, whole: Mapping[str, int] | None = None):
         tokenizer, known = load(path), whole or {}
         encode, merge = tokenizer.encode, tokenizer.model.tokenize
-        self._counts = _Counts(path, True, lambda w: 1 if w in known else len(merge(to_letters(w))), lambda c: len(encode(c, add_special_tokens=False).ids))
-        self._ids = _Ids(path, True, lambda w: packed([t.id for t in merge(to_letters(w))]), lambda c: packed(encode(c, add_special_tokens=False).ids))
+        self._counts = _Counts(
+            path, True, lambda w: 1 if w in known else len(merge(to_letters(w))),
+            lambda c: len(encode(c, add_special_tokens=False).ids),
+        )
+        self._ids = _Ids(
+            path, True, lambda w: packed([t.id for t in merge(to_letters(w))]),
+            lambda c: packed(encode(c, add_special_tokens=False).ids),
+        )
 
     def counts(self, texts: Sequence[str | None]) -> list[int]:
         """Numbers of tokens."""
@@ -326,7 +332,10 @@ class WordLevel:
     def __init__(self, path: str):
         tokenizer = load(path)
         encode, merge = tokenizer.encode, tokenizer.model.tokenize
-        self._ids = _Ids(path, False, lambda w: packed([t.id for t in merge(to_letters(w))]), lambda c: packed(encode(c, add_special_tokens=False).ids))
+        self._ids = _Ids(
+            path, False, lambda w: packed([t.id for t in merge(to_letters(w))]),
+            lambda c: packed(encode(c, add_special_tokens=False).ids),
+        )
 
     def ids(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 32-bit integers."""

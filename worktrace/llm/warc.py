@@ -44,9 +44,15 @@ def _record_id(page_id: Column, url: Column, digest: Column, copy: Column) -> Co
 def _record(kind: str, record_id: Column, date: str, content_type: str, block: Column, **more: Column) -> Column:
     """A record as text; headers whose value is null are left out."""
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(_END)), F.lit(""))
-    head = [F.lit(f"WARC/1.1{_END}WARC-Type: {kind}{_END}"), line("WARC-Record-ID", F.concat(F.lit("<"), record_id, F.lit(">"))), F.lit(f"WARC-Date: {date}{_END}")]
+    head = [
+        F.lit(f"WARC/1.1{_END}WARC-Type: {kind}{_END}"), line("WARC-Record-ID", F.concat(F.lit("<"), record_id, F.lit(">"))),
+        F.lit(f"WARC-Date: {date}{_END}"),
+    ]
     head += [line("WARC-" + name.replace("_", "-"), value) for name, value in more.items()]
-    return F.concat(*head, F.lit(f"Content-Type: {content_type}{_END}"), line("Content-Length", F.octet_length(block).cast("string")), F.lit(_END), block)
+    return F.concat(
+        *head, F.lit(f"Content-Type: {content_type}{_END}"), line("Content-Length", F.octet_length(block).cast("string")),
+        F.lit(_END), block,
+    )
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z",
@@ -65,7 +71,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     salts = salt_count(pages.sparkSession)
     url = F.regexp_replace(quoted(url_col), r"[\x00-\x20\x7F]", "%20")
     html = F.coalesce(quoted(html_col), F.lit(""))
-    rows = pages.select(quoted(id_col).cast("long").alias("id"), url.alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
+    rows = pages.select(
+        quoted(id_col).cast("long").alias("id"), url.alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"),
+        F.octet_length(html).alias("size"),
+    )
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
     large = F.col("size") >= MIN_REVISIT_BYTES
     known = F.when(F.col("id").isNotNull(), F.struct("id", "url"))
@@ -78,15 +87,25 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     revisit = large & F.col("first").isNotNull() & ~F.coalesce(F.col("id") == F.col("first.id"), F.lit(False))
     target = _record_id(F.col("first.id"), F.col("first.url"), F.col("digest"), F.lit(1))
     me, uri, named = F.col("me"), F.col("url"), F.concat(F.lit("sha256:"), F.col("digest"))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("size").cast("string"), F.lit(_END + _END))
-    response = _record("response", me, date, "application/http; msgtype=response", F.concat(http, F.col("payload")), Target_URI=uri, Payload_Digest=named)
+    http = F.concat(
+        F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("size").cast("string"),
+        F.lit(_END + _END),
+    )
+    response = _record(
+        "response", me, date, "application/http; msgtype=response", F.concat(http, F.col("payload")), Target_URI=uri,
+        Payload_Digest=named,
+    )
     again = _record(
         "revisit", me, date, "application/http; msgtype=response", http, Target_URI=uri, Payload_Digest=named,
-        Profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), Refers_To=F.concat(F.lit("<"), target, F.lit(">")), Refers_To_Target_URI=F.col("first.url"),
+        Profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        Refers_To=F.concat(F.lit("<"), target, F.lit(">")), Refers_To_Target_URI=F.col("first.url"),
     )
     get = F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{_END}{_END}"))
     concurrent = F.concat(F.lit("<"), me, F.lit(">"))
-    request = _record("request", _uuid(me, F.lit("request")), date, "application/http; msgtype=request", get, Target_URI=uri, Concurrent_To=concurrent)
+    request = _record(
+        "request", _uuid(me, F.lit("request")), date, "application/http; msgtype=request", get, Target_URI=uri,
+        Concurrent_To=concurrent,
+    )
     fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("id").cast("string"), F.lit(_END)), F.lit("")), F.lit("charset: utf-8" + _END))
     metadata = _record("metadata", _uuid(me, F.lit("metadata")), date, "application/warc-fields", fields, Target_URI=uri, Concurrent_To=concurrent)
     records = both.select(F.explode(F.array(F.when(revisit, again).otherwise(response), request, metadata)).alias("value"))
@@ -151,12 +170,16 @@ def _row(headers: dict[str, list[str]], block: bytes) -> tuple:
             fields[name.strip()] = value.strip()
     whole = payload if kind == "response" else None
     return (
-        kind, bare(one("warc-record-id")), [bare(v) for v in headers.get("warc-concurrent-to", [])], bare(one("warc-refers-to")), one("warc-target-uri"), one("warc-date"),
+        kind, bare(one("warc-record-id")), [bare(v) for v in headers.get("warc-concurrent-to", [])], bare(one("warc-refers-to")),
+        one("warc-target-uri"), one("warc-date"),
         content, fields, whole, None if whole is None else len(whole), None if whole is None else hashlib.sha256(whole).hexdigest(),
     )
 
 
-_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
+_KINDS = [
+    pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(),
+    pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string(),
+]
 _NAMES = [f.split()[0] for f in _SCHEMA.replace("map<string,string>", "map").split(", ")]
 
 
@@ -200,7 +223,10 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(content, name) of files -> records."""
-    return _batches((f.as_py(), *record) for batch in batches for content, f in zip(batch.column(0), batch.column(1), strict=True) for record in parse(content.as_py().split(_END.encode())))
+    return _batches(
+        (f.as_py(), *record) for batch in batches for content,
+        f in zip(batch.column(0), batch.column(1), strict=True) for record in parse(content.as_py().split(_END.encode()))
+    )
 
 
 def parsed(spark: SparkSession, path: str) -> DataFrame:
@@ -238,7 +264,9 @@ def _damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
                 whole = member.eof
             if at < len(data) or not whole:
-                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([offset]), pa.array(["damaged"])], names=["file", "offset", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file.as_py()]), pa.array([offset]), pa.array(["damaged"])], names=["file", "offset", "error"],
+                )
 
 
 def rejected(spark: SparkSession, path: str) -> DataFrame:
@@ -251,7 +279,9 @@ def rejected(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = materialise(parsed(spark, path).select("file", "offset", "error"), "warc-rejected")
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"))
-    none = files.join(rows.select("file").distinct(), "file", "left_anti").select("file", F.lit(0).cast("long").alias("offset"), F.lit("no_record").alias("error"))
+    none = files.join(rows.select("file").distinct(), "file", "left_anti").select(
+        "file", F.lit(0).cast("long").alias("offset"), F.lit("no_record").alias("error"),
+    )
     packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).filter("length > 0").select("content", "path")
     return rows.filter("error is not null").unionByName(none).unionByName(packed.mapInArrow(_damage, "file string, offset long, error string"))
 
@@ -301,7 +331,8 @@ def page_captures(captures: DataFrame) -> DataFrame:
     """
     slim = captures.select(
         "capture_id", field(F.col("metadata"), "pageId").cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
-        F.col("response.refers_to").alias("refers"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.refers_to").alias("refers"), F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
     )
     salt = F.pmod(F.xxhash64("capture_id"), F.lit(salt_count(captures.sparkSession))).cast("int")
     slim = materialise(slim.withColumn("salt", salt), "warc-captures")
@@ -311,6 +342,11 @@ def page_captures(captures: DataFrame) -> DataFrame:
     )
     needed = materialise(revisits.select("refers", "salt").distinct().join(origin, "refers"), "warc-origins")
     joined = revisits.join(needed, ["refers", "salt"], "left")
-    again = joined.select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", F.col("of").alias("refers_to"))
-    own = slim.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    again = joined.select(
+        "page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type",
+        F.col("of").alias("refers_to"),
+    )
+    own = slim.filter("record_type = 'response'").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"),
+    )
     return own.unionByName(again)
