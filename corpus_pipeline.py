@@ -64,7 +64,8 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rows = bpe_tree.encode(docs, tokenizer)
     return rows.select(
-        "row.doc_id", "row.source", bpe_tree.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
+        "row.doc_id", "row.source", bpe_tree.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
     )
 
 

@@ -20,8 +20,12 @@ def spark():
 
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", scratch).config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
+        SparkSession.builder.master("local[4]").appName("tests").config(
+            "spark.sql.shuffle.partitions", "4",
+        ).config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", scratch).config(
+            "spark.sql.warehouse.dir", f"{scratch}/warehouse",
+        )
         .config("spark.checkpoint.dir", f"file://{scratch}/shared").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

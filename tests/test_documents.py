@@ -13,10 +13,18 @@ HAND = [[0.1, 0.2, 0.3]] * 21
 
 def document(path, n):
     tool = {"label": "car", "confidence": 0.9, "x1": 1, "y1": 2, "x2": 3, "y2": 4}
-    frames = [{"timestamp_sec": 0.5 * k, "detected_tools": [tool] if k % 2 else None, "hand_movement_vector": {"left_hand": HAND if k == 7 else None, "right_hand": None}} for k in range(n)]
+    frames = [
+        {
+            "timestamp_sec": 0.5 * k, "detected_tools": [tool] if k % 2 else None,
+            "hand_movement_vector": {"left_hand": HAND if k == 7 else None, "right_hand": None},
+        } for k in range(n)
+    ]
     entry = [{**f, "audio_context": None, "detected_tools": [{"label": "car", "confidence": 0.9, "bbox": [1, 2, 3, 4]}]} for f in frames]
     segments = [{"start_sec": 0.0, "end_sec": 1.234, "text": "first 10 mm"}, {"text": "no times"}]
-    return {"file_path": path, "duration_sec": 5.0, "fps": 30.0, "total_frames": 150, "audio_transcript": segments, "frame_features": frames, "integrated_timeline": entry}
+    return {
+        "file_path": path, "duration_sec": 5.0, "fps": 30.0, "total_frames": 150, "audio_transcript": segments,
+        "frame_features": frames, "integrated_timeline": entry,
+    }
 
 
 def dropped(folder, name, n):
@@ -49,7 +57,9 @@ def test_highlights_and_tables(spark, tmp_path):
     assert documents.read_highlights(spark, None).columns == documents.COLUMNS
     rows = load.frame_rows(frames).orderBy("frame_timestamp").collect()
     assert rows[0].detected_tools == "null" and json.loads(rows[7].hand_movement_vector) == {"left_hand": HAND, "right_hand": None}
-    assert [c for c in spark.read.parquet(f"file://{tmp_path}/h").columns if c != "highlight_type"] == ["video_id", *[c for c in documents.COLUMNS if c != "highlight_type"]]
+    assert [
+        c for c in spark.read.parquet(f"file://{tmp_path}/h").columns if c != "highlight_type"
+    ] == ["video_id", *[c for c in documents.COLUMNS if c != "highlight_type"]]
     documents.write_highlights(found, f"file://{tmp_path}/j", "json")
     read = documents.read_highlights(spark, f"file://{tmp_path}/j/highlight_type=active_hands").first()
     assert (float(read.timestamp_sec), read.hand_active) == (3.5, True) and "발화 없는" in read.feature_description
@@ -78,7 +88,10 @@ def test_load_publishes_all_tables_or_none(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         tables.write_parquet(broken, root, "b2")
     assert {n: tables.read_parquet(spark, root, n).count() for n in sizes} == sizes
-    some = access.in_range(access.of_video(tables.read_parquet(spark, root, "frame_features"), four["video_metadata"].first().video_id), 1, 2, "frame_timestamp")
+    some = access.in_range(
+        access.of_video(tables.read_parquet(spark, root, "frame_features"), four["video_metadata"].first().video_id), 1, 2,
+        "frame_timestamp",
+    )
     plan = some._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters: [IsNotNull(video_id)") :].split("ReadSchema")[0]
     assert some.count() == 3 and "EqualTo(video_id" in pushed and "frame_timestamp" in pushed, plan
@@ -99,7 +112,12 @@ def test_jdbc_load_and_manual_master(spark, tmp_path):
 
 
 def test_insights_and_manual_text(spark, tmp_path):
-    items = [{"step_number": 1, "status": "SUCCESS", "standard_manual_text": None, "tacit_knowledge_description": "d", "fact_evidence": {"detected_tools": ["car"], "verified_quotes": []}}] * 3
+    items = [
+        {
+            "step_number": 1, "status": "SUCCESS", "standard_manual_text": None, "tacit_knowledge_description": "d",
+            "fact_evidence": {"detected_tools": ["car"], "verified_quotes": []},
+        }
+    ] * 3
     (tmp_path / "x_insights.json").write_text(json.dumps(items, indent=2))
     (tmp_path / "m.txt").write_text("line 1\nline 2")
     read = documents.read_insights(spark, f"file://{tmp_path}/x_insights.json")
@@ -115,11 +133,15 @@ def test_file_drop_takes_each_document_once(spark, tmp_path):
         dropped(tmp_path / "in", name, 10)
         file_drop.highlights_on_arrival(spark, *where).awaitTermination(120)
     found = spark.read.parquet(where[1])
-    assert found.count() == 4 and {r.video_id for r in found.collect()} == {r.id for r in spark.createDataFrame([("/v/one.mp4",), ("/v/two.mp4",)], "p string").select(load.video_key(F.col("p")).alias("id")).collect()}
+    assert found.count() == 4 and {r.video_id for r in found.collect()} == {
+        r.id for r in spark.createDataFrame([("/v/one.mp4",), ("/v/two.mp4",)], "p string").select(load.video_key(F.col("p")).alias("id")).collect()
+    }
 
 
 def test_most_similar_in_blocks(spark):
-    rows = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 7)]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])], "id long, embedding array<float>")
+    rows = spark.createDataFrame(
+        [(i, [float(i % 5), 1.0, float(i % 7)]) for i in range(40)] + [(99, [0.0, 0.0, 0.0])], "id long, embedding array<float>",
+    )
     one = access.most_similar(rows, rows.repartition(3), 4).collect()
     assert sorted(one) == sorted(access.most_similar(rows, rows.repartition(5), 4, block=7).collect()) and len(one) == 160
     assert sorted(one) == sorted(access.most_similar(rows, rows, 4, block=7, part=9).collect())

@@ -10,7 +10,9 @@ FRAME = "video_id long, frame_pos long, ts_ms long, labels array<string>, hand_a
 
 def data(spark, seed):
     r = random.Random(seed)
-    segs = [(v, p, s := r.randint(0, 60_000), s + r.choice([-5, 0, 1, 500, 9_000, 45_000]), f"t{p}") for v in range(3) for p in range(r.randint(0, 9))]
+    segs = [
+        (v, p, s := r.randint(0, 60_000), s + r.choice([-5, 0, 1, 500, 9_000, 45_000]), f"t{p}") for v in range(3) for p in range(r.randint(0, 9))
+    ]
     segs += [(0, 50, 10_000, 20_000, "a"), (0, 51, 20_000, 30_000, "b"), (0, 52, 20_000, 20_000, "zero")]
     times = [0, 10_000, 19_999, 20_000, 30_000, *(r.randint(0, 70_000) for _ in range(30))]
     frames = [(v, k, t, r.choices(["x", "y", "y"], k=r.randint(0, 3)), r.random() < 0.3) for v in range(4) for k, t in enumerate(times)]
@@ -43,8 +45,14 @@ def test_no_join_is_a_product(spark):
 
 def test_very_long_segments_and_a_hot_video(spark):
     r = random.Random(5)
-    segs = [(1, 0, 0, 10**9, "days"), (1, 1, 5_000, 10**15, "wrong unit"), (1, 2, 10_000, 12_000, "short"), (2, 0, 0, 3_000_000, "hour"), (3, 0, 4_000, 9_000, "s")]
-    frames = [(v, k, r.choice([r.randint(0, 60_000), r.randint(0, 2 * 10**9)]), ["x"], k % 3 == 0) for v, n in ((1, 200), (2, 60), (3, 40)) for k in range(n)]
+    segs = [
+        (1, 0, 0, 10**9, "days"), (1, 1, 5_000, 10**15, "wrong unit"), (1, 2, 10_000, 12_000, "short"),
+        (2, 0, 0, 3_000_000, "hour"), (3, 0, 4_000, 9_000, "s"),
+    ]
+    frames = [
+        (v, k, r.choice([r.randint(0, 60_000), r.randint(0, 2 * 10**9)]), ["x"], k % 3 == 0) for v,
+        n in ((1, 200), (2, 60), (3, 40)) for k in range(n)
+    ]
     s, f = spark.createDataFrame(segs, SEG), spark.createDataFrame(frames, FRAME)
     copies = intervals._bucketed(s, intervals.BUCKET_MS).groupBy("video_id", "seg_pos").count().collect()
     assert all(c["count"] <= intervals.MOST + 1 for c in copies)

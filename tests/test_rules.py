@@ -11,14 +11,18 @@ def column(spark, values, expression, kind="string"):
 
 def test_measurements(spark):
     cases = {
-        "10 mm": ["10 mm"], "half inch": ["half inch"], "5 barrels": ["5 bar"], "1,000 rpm": ["000 rpm"], "M10 bolt": [], "five minutes": [], "twenty-one in": ["one in"],
+        "10 mm": ["10 mm"], "half inch": ["half inch"], "5 barrels": ["5 bar"], "1,000 rpm": ["000 rpm"], "M10 bolt": [],
+        "five minutes": [], "twenty-one in": ["one in"],
         "10\xa0mm": ["10\xa0mm"], "5\nmm": ["5\nmm"], "3.5 KG and 20 Ft-Lb": ["3.5 KG", "20 Ft-Lb"], "": [],
     }
     assert column(spark, cases, text.measurements) == list(cases.values())
 
 
 def test_keywords(spark):
-    cases = {"FIRST, strengthen": ["first", "then"], "monkey": ["key"], "그다음": ["다음", "그다음"], "nothing": [], "after that be sure": ["after that", "be sure"]}
+    cases = {
+        "FIRST, strengthen": ["first", "then"], "monkey": ["key"], "그다음": ["다음", "그다음"], "nothing": [],
+        "after that be sure": ["after that", "be sure"],
+    }
     assert column(spark, cases, text.keywords) == list(cases.values())
 
 
@@ -31,13 +35,20 @@ def test_text_of_lists_and_numbers(spark):
 
 
 def test_priority_and_order_of_highlights(spark):
-    segs = [(1, 0, 0, 1001, " tighten to 10 mm, then check "), (1, 1, 2000, 3000, "then next"), (1, 2, 4000, 5000, "hello"), (1, 3, 6000, 7000, "hello"), (1, 4, 8000, 9000, " ")]
-    frames = [(1, 0, 500, ["chair", "car", "car", "bus"], True), (1, 1, 4000, ["knife"], False), (1, 2, 6500, ["chair"], False), (1, 3, 8500, ["car"], True), (1, 4, 20250, ["bus", "chair", "bus"], True)]
+    segs = [
+        (1, 0, 0, 1001, " tighten to 10 mm, then check "), (1, 1, 2000, 3000, "then next"), (1, 2, 4000, 5000, "hello"),
+        (1, 3, 6000, 7000, "hello"), (1, 4, 8000, 9000, " "),
+    ]
+    frames = [
+        (1, 0, 500, ["chair", "car", "car", "bus"], True), (1, 1, 4000, ["knife"], False), (1, 2, 6500, ["chair"], False),
+        (1, 3, 8500, ["car"], True), (1, 4, 20250, ["bus", "chair", "bus"], True),
+    ]
     s = spark.createDataFrame(segs, "video_id long, seg_pos long, start_ms long, end_ms long, text string")
     f = spark.createDataFrame(frames, "video_id long, frame_pos long, ts_ms long, labels array<string>, hand_active boolean")
     rows = highlights.highlights(s, f).orderBy("section", "pos").collect()
     assert [(r.pos, r.highlight_type, r.ts_ms, r.detected_tools, r.hand_active) for r in rows] == [
-        (0, "measurement_speech", 501, ["bus", "car"], True), (1, "procedural_speech", 2500, [], False), (2, "tool_active_speech", 4500, ["knife"], False), (4, "active_hands", 20250, ["bus", "bus"], True)
+        (0, "measurement_speech", 501, ["bus", "car"], True), (1, "procedural_speech", 2500, [], False),
+        (2, "tool_active_speech", 4500, ["knife"], False), (4, "active_hands", 20250, ["bus", "bus"], True)
     ]
     assert rows[0].trigger_reason == "수치 단위 발화: ['10 mm']" and rows[0].feature_description == "[0.5초] 정비 수치 발화 감지 — 10 mm 언급, 손 동작 활성"
     assert rows[1].trigger_reason == "절차 키워드 발화: ['then', 'next']" and rows[1].feature_description == "[2.5초] 작업 절차/주의사항 발화 — 키워드: then, next"
@@ -77,14 +88,18 @@ ITEM = '{"step_number": 1, "status": "SUCCESS", "standard_manual_text": null, "t
 
 def test_answers(spark):
     raw = [
-        f"[{ITEM}]", f"```json\n[{ITEM}]\n```", f"```\n[{ITEM}]", ITEM, "[1, 2]", f"[{ITEM}] and more", f"[{ITEM}, {ITEM.replace('SUCCESS', 'OTHER')}, {{}}]", "[]", "", f" \n[{ITEM.replace('1,', '2.9,', 1)}]\n",
+        f"[{ITEM}]", f"```json\n[{ITEM}]\n```", f"```\n[{ITEM}]", ITEM, "[1, 2]", f"[{ITEM}] and more",
+        f"[{ITEM}, {ITEM.replace('SUCCESS', 'OTHER')}, {{}}]", "[]", "", f" \n[{ITEM.replace('1,', '2.9,', 1)}]\n",
         f"[{ITEM.replace('standard_manual_text', 'other')}]",
     ]
     df = spark.createDataFrame(list(enumerate(raw)), "video_id long, raw_response string")
     got = answers.insights(df).orderBy("video_id", "item_pos").collect()
     assert [(r.video_id, r.step_number) for r in got] == [(0, 1), (1, 1), (2, 1), (6, 1), (9, 2)]
     assert got[0].fact_evidence.detected_tools == ["car"] and got[0].standard_manual_text is None
-    assert {r.video_id: r.reason for r in answers.rejected_answers(df).collect()} == {3: "not_a_json_array", 4: "not_a_json_array", 5: "not_a_json_array", 7: "no_valid_insight", 8: "not_a_json_array", 10: "no_valid_insight"}
+    assert {r.video_id: r.reason for r in answers.rejected_answers(df).collect()} == {
+        3: "not_a_json_array", 4: "not_a_json_array", 5: "not_a_json_array", 7: "no_valid_insight", 8: "not_a_json_array",
+        10: "no_valid_insight",
+    }
     bad = {(r.video_id, r.item_pos): r.reason for r in answers.rejected_items(df).collect()}
     assert bad[6, 1] == "status: OTHER" and bad[6, 2].startswith("missing: step_number, ") and bad[10, 0] == "missing: standard_manual_text"
 
@@ -109,12 +124,19 @@ def test_hands(spark):
     points = [[0.1, 0.2, 0.3], [0.5, 0.7, 0.0], [9.0]]
     assert column(spark, [points, [], None], hands.summary, "array<array<double>>") == [([0.1, 0.2], 0.3, 0.45, 3), None, None]
     rows = [(1, "Left", [[0.12345]], 0), (1, "Left", [[0.5]], 2), (1, "odd", [[0.7]], 1), (2, None, [[1.0]], 0)]
-    got = extraction.hands_by_side(spark.createDataFrame(rows, "frame long, handedness string, landmarks array<array<double>>, hand_pos int"), "frame").collect()
+    got = extraction.hands_by_side(
+        spark.createDataFrame(rows, "frame long, handedness string, landmarks array<array<double>>, hand_pos int"), "frame",
+    ).collect()
     assert {r.frame: (r.left_hand, r.right_hand) for r in got} == {1: ([[0.5]], [[0.7]]), 2: (None, [[1.0]])}
 
 
 def test_detections_and_sampling(spark):
-    boxes = [[{"label": "a", "confidence": 0.4, "x1": 1.9, "y1": -1.9, "x2": 3.0, "y2": 4.0}, {"label": "b", "confidence": 0.39999, "x1": 0.0, "y1": 0.0, "x2": 0.0, "y2": 0.0}]]
+    boxes = [
+        [
+            {"label": "a", "confidence": 0.4, "x1": 1.9, "y1": -1.9, "x2": 3.0, "y2": 4.0},
+            {"label": "b", "confidence": 0.39999, "x1": 0.0, "y1": 0.0, "x2": 0.0, "y2": 0.0},
+        ]
+    ]
     kind = "array<struct<label:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>"
     assert column(spark, boxes, lambda c: extraction.boxes_as_lists(extraction.confident_boxes(c)), kind) == [[("a", 0.4, [1, -1, 3, 4])]]
     videos = spark.createDataFrame([(1, None, 31), (2, 0.0, 1), (3, 1.0, 3), (4, 25.0, 0)], "video_id long, fps double, total_frames long")
@@ -132,5 +154,7 @@ def test_manual_precedence_and_load(spark):
     assert {r.video_id: r.manual_text for r in own.collect()} == {1: "text A", 2: "file", 3: "given"}
     assert {r.video_id: r.reason for r in synthesis.missing_manuals(videos, manuals).collect()} == {2: "no_code", 3: "unknown_code"}
     some = spark.createDataFrame([(1,), (1,), (2,)], "video_id long")
-    assert {(r.video_id, r.reason) for r in load.rejected(videos, some, some, some.limit(0)).collect()} == {(1, "no_insights"), (2, "no_insights"), (3, "no_timeline"), (3, "no_frames"), (3, "no_insights")}
+    assert {(r.video_id, r.reason) for r in load.rejected(videos, some, some, some.limit(0)).collect()} == {
+        (1, "no_insights"), (2, "no_insights"), (3, "no_timeline"), (3, "no_frames"), (3, "no_insights"),
+    }
     assert load.cascade(some, videos.filter("video_id = 1")).count() == 1 and load.cascaded(some, videos.filter("video_id = 1")).count() == 2

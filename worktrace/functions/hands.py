@@ -24,6 +24,7 @@ def summary(landmarks: Column) -> Column:
         return F.when(F.size(full) > 0, F.round(total / F.size(full), 4))
 
     out = F.struct(
-        F.slice(F.get(landmarks, F.lit(0)), 1, 2).alias("wrist_xy"), mean(0).alias("mean_x"), mean(1).alias("mean_y"), F.size(landmarks).alias("landmark_count")
+        F.slice(F.get(landmarks, F.lit(0)), 1, 2).alias("wrist_xy"), mean(0).alias("mean_x"), mean(1).alias("mean_y"),
+        F.size(landmarks).alias("landmark_count")
     )
     return F.when(F.size(landmarks) > 0, out)

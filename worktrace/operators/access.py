@@ -56,6 +56,8 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int
         pairs = v.join(q, ["_block", "_part"]).filter("id <> query_id")
     pairs = pairs.withColumn("similarity", dot(F.col("q"), F.col("embedding")) / (F.col("nq") * F.col("nv")))
     order = [F.col("similarity").desc(), F.col("id")]
-    local = pairs.select("query_id", "_part", "id", "similarity").withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).filter(F.col("_r") <= k)
+    local = pairs.select("query_id", "_part", "id", "similarity").withColumn(
+        "_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order)),
+    ).filter(F.col("_r") <= k)
     best = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
     return best.select("query_id", "id", "similarity", "rank")

@@ -50,7 +50,8 @@ def items(answers: DataFrame) -> DataFrame:
     rows = parsed(answers).select("video_id", F.posexplode("items").alias("item_pos", "item"))
     lacks = missing_fields(F.col("item"))
     reason = F.when(F.size(lacks) > 0, F.concat(F.lit("missing: "), F.array_join(lacks, ", "))).when(
-        ~F.coalesce(F.col("item")["status"].isin(*STATUSES), F.lit(False)), F.concat(F.lit("status: "), F.coalesce(F.col("item")["status"], F.lit("null")))
+        ~F.coalesce(F.col("item")["status"].isin(*STATUSES), F.lit(False)),
+        F.concat(F.lit("status: "), F.coalesce(F.col("item")["status"], F.lit("null")))
     )
     return rows.withColumn("reason", reason)
 
@@ -60,7 +61,8 @@ def insights(answers: DataFrame) -> DataFrame:
     item = F.col("item")
     evidence = F.from_json(item["fact_evidence"], "detected_tools array<string>, verified_quotes array<string>")
     return items(answers).filter("reason is null").select(
-        "video_id", "item_pos", step(item["step_number"]).alias("step_number"), item["status"].alias("status"), item["standard_manual_text"].alias("standard_manual_text"),
+        "video_id", "item_pos", step(item["step_number"]).alias("step_number"), item["status"].alias("status"),
+        item["standard_manual_text"].alias("standard_manual_text"),
         item["tacit_knowledge_description"].alias("tacit_knowledge_description"), evidence.alias("fact_evidence"),
     )
 
@@ -100,7 +102,9 @@ def evidence_audit(found: DataFrame, labels: DataFrame, segments: DataFrame) ->
     """
     said = found.filter((F.col("status") != "SUCCESS") & (F.coalesce("tacit_knowledge_description", F.lit("")) != NOTHING))
     said = said.select("video_id", "item_pos", F.lit("description").alias("rule"), F.col("tacit_knowledge_description").alias("detail"))
-    tools = found.select("video_id", "item_pos", F.explode("fact_evidence.detected_tools").alias("label")).join(labels.select("video_id", "label").distinct(), ["video_id", "label"], "left_anti")
+    tools = found.select("video_id", "item_pos", F.explode("fact_evidence.detected_tools").alias("label")).join(
+        labels.select("video_id", "label").distinct(), ["video_id", "label"], "left_anti",
+    )
     quotes = found.select("video_id", "item_pos", F.explode("fact_evidence.verified_quotes").alias("text"))
     spoken = segments.select("video_id", strip(F.col("text")).alias("text")).distinct()
     quotes = quotes.withColumn("text", strip(F.col("text"))).join(spoken, ["video_id", "text"], "left_anti")

@@ -31,7 +31,13 @@ def confident(detections: DataFrame, threshold: float = MIN_CONFIDENCE) -> DataF
 def confident_boxes(boxes: Column, threshold: float = MIN_CONFIDENCE) -> Column:
     """The same on an array of boxes."""
     kept = F.filter(boxes, lambda b: b["confidence"] >= threshold)
-    return F.transform(kept, lambda b: F.struct(b["label"].alias("label"), F.round(b["confidence"], 4).alias("confidence"), *[b[c].cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]))
+    return F.transform(
+        kept,
+        lambda b: F.struct(
+            b["label"].alias("label"), F.round(b["confidence"], 4).alias("confidence"),
+            *[b[c].cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]
+        )
+    )
 
 
 def usable_fps(fps: Column) -> Column:
@@ -59,7 +65,9 @@ def sampled_frames(frames: DataFrame) -> DataFrame:
 def sampling_grid(videos: DataFrame) -> DataFrame:
     """One row per sampled frame of each video (fps, total_frames): frame_idx, timestamp_sec."""
     fps = usable_fps(F.col("fps").cast("double"))
-    grid = videos.filter("total_frames > 0").withColumn("frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames").cast("long") - 1, frame_step(fps))))
+    grid = videos.filter("total_frames > 0").withColumn(
+        "frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames").cast("long") - 1, frame_step(fps))),
+    )
     return grid.withColumn("timestamp_sec", F.round(F.col("frame_idx") / fps, 3))
 
 
@@ -83,7 +91,10 @@ def hand_vector(left: Column, right: Column) -> Column:
 
 def boxes_as_lists(boxes: Column) -> Column:
     """Boxes with their corners as one list."""
-    return F.transform(boxes, lambda b: F.struct(b["label"].alias("label"), b["confidence"].alias("confidence"), F.array(b["x1"], b["y1"], b["x2"], b["y2"]).alias("bbox")))
+    return F.transform(
+        boxes,
+        lambda b: F.struct(b["label"].alias("label"), b["confidence"].alias("confidence"), F.array(b["x1"], b["y1"], b["x2"], b["y2"]).alias("bbox")),
+    )
 
 
 def timeline(frames: DataFrame, segments: DataFrame) -> DataFrame:

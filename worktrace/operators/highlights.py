@@ -30,7 +30,9 @@ def midpoint(start: Column, end: Column) -> Column:
 
 def classified(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """Per segment with text: its measurements, keywords, domain labels and highlight_type (null: no rule holds)."""
-    segments = segments.withColumn("start_ms", F.coalesce("start_ms", F.lit(0).cast("long"))).withColumn("end_ms", F.coalesce("end_ms", F.lit(0).cast("long")))
+    segments = segments.withColumn(
+        "start_ms", F.coalesce("start_ms", F.lit(0).cast("long")),
+    ).withColumn("end_ms", F.coalesce("end_ms", F.lit(0).cast("long")))
     spoken = segments.withColumn("text", text.strip(F.coalesce("text", F.lit("")))).filter(F.length("text") > 0)
     seen = intervals.overlap(spoken, frames.withColumn("ts_ms", F.coalesce("ts_ms", F.lit(-1000).cast("long"))), keep=("text", "start_ms", "end_ms"))
     rows = once(once(seen, "measurements", text.measurements(F.col("text"))), "keywords", text.keywords(F.col("text")))
@@ -39,7 +41,9 @@ def classified(segments: DataFrame, frames: DataFrame) -> DataFrame:
         text.domain_labels(F.col("labels")).alias("detected_tools"), "measurements", "keywords",
     )
     kind = (
-        F.when(F.size("measurements") > 0, "measurement_speech").when(F.size("keywords") > 0, "procedural_speech").when(F.size("detected_tools") > 0, "tool_active_speech")
+        F.when(F.size("measurements") > 0, "measurement_speech").when(F.size("keywords") > 0, "procedural_speech").when(
+            F.size("detected_tools") > 0, "tool_active_speech",
+        )
     )
     return rows.withColumn("highlight_type", kind)
 
@@ -47,8 +51,10 @@ def classified(segments: DataFrame, frames: DataFrame) -> DataFrame:
 def _shaped(rows: DataFrame, hits: Column, section: int, pos: str, quote: Column) -> DataFrame:
     kind = F.col("highlight_type")
     return rows.select(
-        "video_id", F.lit(section).alias("section"), F.col(pos).cast("long").alias("pos"), "ts_ms", (F.col("ts_ms") / 1000).cast("decimal(12,3)").alias("timestamp_sec"), kind,
-        text.trigger(kind, hits).alias("trigger_reason"), text.describe(kind, F.col("ts_ms"), hits, F.col("hand_active")).alias("feature_description"),
+        "video_id", F.lit(section).alias("section"), F.col(pos).cast("long").alias("pos"), "ts_ms",
+        (F.col("ts_ms") / 1000).cast("decimal(12,3)").alias("timestamp_sec"), kind,
+        text.trigger(kind, hits).alias("trigger_reason"),
+        text.describe(kind, F.col("ts_ms"), hits, F.col("hand_active")).alias("feature_description"),
         quote.alias("speech_quote"), "detected_tools", "hand_active",
     )
 
@@ -56,20 +62,27 @@ def _shaped(rows: DataFrame, hits: Column, section: int, pos: str, quote: Column
 def speech_highlights(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """One highlight per segment for which a rule holds: measurement before keyword before tool."""
     rows = classified(segments, frames).filter("highlight_type is not null")
-    hits = F.when(F.col("highlight_type") == "measurement_speech", F.col("measurements")).when(F.col("highlight_type") == "procedural_speech", F.col("keywords"))
+    hits = F.when(
+        F.col("highlight_type") == "measurement_speech", F.col("measurements"),
+    ).when(F.col("highlight_type") == "procedural_speech", F.col("keywords"))
     return _shaped(rows, F.coalesce(hits, F.col("detected_tools")), 0, "seg_pos", F.col("text"))
 
 
 def silent_hands(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames with an active hand outside all segments, blank ones included."""
     active = frames.filter("hand_active").withColumn("ts_ms", F.coalesce("ts_ms", F.lit(0).cast("long")))
-    spans = segments.select("video_id", F.coalesce("start_ms", F.lit(0).cast("long")).alias("start_ms"), F.coalesce("end_ms", F.lit(0).cast("long")).alias("end_ms"))
+    spans = segments.select(
+        "video_id", F.coalesce("start_ms", F.lit(0).cast("long")).alias("start_ms"),
+        F.coalesce("end_ms", F.lit(0).cast("long")).alias("end_ms"),
+    )
     return intervals.outside(active, spans)
 
 
 def silent_highlights(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """One highlight per silent frame with an active hand; labels keep frame order and repeats."""
-    rows = silent_hands(segments, frames).withColumn("highlight_type", F.lit("active_hands")).withColumn("detected_tools", text.domain_labels(F.col("labels")))
+    rows = silent_hands(segments, frames).withColumn("highlight_type", F.lit("active_hands")).withColumn(
+        "detected_tools", text.domain_labels(F.col("labels")),
+    )
     return _shaped(rows, F.array().cast("array<string>"), 1, "frame_pos", F.lit(None).cast("string"))
 
 

@@ -89,9 +89,13 @@ def overlap(segments: DataFrame, frames: DataFrame, width: int = BUCKET_MS, keep
 
     frames: video_id, ts_ms, labels, hand_active. Segments without frames are kept.
     """
-    seen = matches(frames.select("video_id", "ts_ms", F.array_distinct("labels").alias("labels"), "hand_active"), segments.select("video_id", "seg_pos", "start_ms", "end_ms"), True, width)
+    seen = matches(
+        frames.select("video_id", "ts_ms", F.array_distinct("labels").alias("labels"), "hand_active"),
+        segments.select("video_id", "seg_pos", "start_ms", "end_ms"), True, width,
+    )
     by = seen.groupBy(F.col("i.video_id").alias("video_id"), F.col("i.seg_pos").alias("seg_pos")).agg(
-        F.count(F.lit(1)).alias("n_frames"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("p.labels")))).alias("labels"), F.bool_or("p.hand_active").alias("hand_active")
+        F.count(F.lit(1)).alias("n_frames"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("p.labels")))).alias("labels"),
+        F.bool_or("p.hand_active").alias("hand_active")
     )
     return segments.select("video_id", "seg_pos", *keep).join(by, ["video_id", "seg_pos"], "left").select(
         "video_id",

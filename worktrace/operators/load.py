@@ -26,12 +26,18 @@ def attach_keys(children: DataFrame, videos: DataFrame) -> DataFrame:
 def frame_rows(frames: DataFrame) -> DataFrame:
     """video_id, frame_timestamp, and tools and hands as JSON text; a missing value is the JSON text null."""
     as_json = lambda c: F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit("null"))
-    return frames.select("video_id", F.col("timestamp_sec").cast("decimal(12,3)").alias("frame_timestamp"), as_json("detected_tools").alias("detected_tools"), as_json("hand_movement_vector").alias("hand_movement_vector"))
+    return frames.select(
+        "video_id", F.col("timestamp_sec").cast("decimal(12,3)").alias("frame_timestamp"),
+        as_json("detected_tools").alias("detected_tools"), as_json("hand_movement_vector").alias("hand_movement_vector"),
+    )
 
 
 def insight_rows(insights: DataFrame) -> DataFrame:
     """Rows of all statuses; status and evidence stay behind."""
-    return insights.select("video_id", F.col("step_number").cast("int").alias("step_number"), "standard_manual_text", "tacit_knowledge_description", F.lit(None).cast("array<float>").alias("insight_embedding"))
+    return insights.select(
+        "video_id", F.col("step_number").cast("int").alias("step_number"), "standard_manual_text", "tacit_knowledge_description",
+        F.lit(None).cast("array<float>").alias("insight_embedding"),
+    )
 
 
 def highlight_rows(highlights: DataFrame) -> DataFrame:
@@ -39,7 +45,8 @@ def highlight_rows(highlights: DataFrame) -> DataFrame:
     return highlights.select(
         "video_id", F.col("timestamp_sec").cast("decimal(12,3)").alias("timestamp_sec"), "highlight_type", "trigger_reason",
         F.coalesce("feature_description", F.lit("")).alias("feature_description"), "speech_quote",
-        F.coalesce(F.to_json("detected_tools"), F.lit("[]")).alias("detected_tools"), F.coalesce("hand_active", F.lit(False)).cast("int").alias("hand_active"),
+        F.coalesce(F.to_json("detected_tools"), F.lit("[]")).alias("detected_tools"),
+        F.coalesce("hand_active", F.lit(False)).cast("int").alias("hand_active"),
     )
 
 

@@ -74,7 +74,10 @@ silent as (
   from silent
 )"""
 _ALL = f"with {views.SEG_SQL}, {views.FRAMES_SQL}, {OVERLAP_SQL}, {CLASSIFIED_SQL}, {SILENT_SQL}"
-_SHOWN = ["video_id", "section", "pos", "ts_ms", "highlight_type", "trigger_reason", "feature_description", "speech_quote", "detected_tools", "hand_active"]
+_SHOWN = [
+    "video_id", "section", "pos", "ts_ms", "highlight_type", "trigger_reason", "feature_description", "speech_quote",
+    "detected_tools", "hand_active",
+]
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +88,9 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.withColumn("detected_tools", F.array_join("detected_tools", ",")).select(*_SHOWN)
 
 
-@query(f"{_ALL}, every as (select * from speech union all select * from quiet) select video_id, highlight_type, count(*) as n from every group by video_id, highlight_type")
+@query(
+    f"{_ALL}, every as (select * from speech union all select * from quiet) select video_id, highlight_type, count(*) as n from every group by video_id, highlight_type"
+)
 def highlight_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highlights.highlights(*_both(spark, sf_dir)).groupBy("video_id", "highlight_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -100,7 +105,9 @@ def highlights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(highlights.highlights(*_both(spark, sf_dir)))
 
 
-@query(f"with {views.SEG_SQL}, {views.FRAMES_SQL}, {SILENT_SQL} select video_id, frame_pos, ts_ms, array_to_string(labels, ',') as labels from silent")
+@query(
+    f"with {views.SEG_SQL}, {views.FRAMES_SQL}, {SILENT_SQL} select video_id, frame_pos, ts_ms, array_to_string(labels, ',') as labels from silent"
+)
 def silent_hand_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highlights.silent_hands(*_both(spark, sf_dir)).select("video_id", "frame_pos", "ts_ms", F.array_join("labels", ",").alias("labels"))
 
@@ -117,7 +124,9 @@ def timeline_audio_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.timeline(frames, segments).select("video_id", "frame_pos", "ts_ms", "audio_context")
 
 
-@query(f"with {views.SEG_SQL}, {views.FRAMES_SQL}, {OVERLAP_SQL} select video_id, seg_pos, n_frames, array_to_string(labels, ',') as labels, hand_active from overlap")
+@query(
+    f"with {views.SEG_SQL}, {views.FRAMES_SQL}, {OVERLAP_SQL} select video_id, seg_pos, n_frames, array_to_string(labels, ',') as labels, hand_active from overlap"
+)
 def segment_overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, frames = _both(spark, sf_dir)
     return intervals.overlap(segments, frames).withColumn("labels", F.array_join("labels", ","))
@@ -126,7 +135,9 @@ def segment_overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {views.SEG_SQL} select video_id, seg_pos, array_to_string({MEASURE_SQL}, '|') as mentions, len({MEASURE_SQL})::bigint as n from seg")
 def measurement_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.measurements(F.col("text"))
-    return views.segments(spark, sf_dir).select("video_id", "seg_pos", F.array_join(found, "|").alias("mentions"), F.size(found).cast("long").alias("n"))
+    return views.segments(spark, sf_dir).select(
+        "video_id", "seg_pos", F.array_join(found, "|").alias("mentions"), F.size(found).cast("long").alias("n"),
+    )
 
 
 @query(f"select doc_id, array_to_string({KEYWORDS_SQL}, '|') as keywords from documents")
@@ -162,10 +173,14 @@ USABLE_SQL = f"case when coalesce({FPS_SQL}, 0) = 0 then 30.0::double else ({FPS
 
 def _part_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = F.when(F.col("p_size") % 10 != 0, F.col("p_size"))
-    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video_id"), fps.alias("fps"), (F.col("p_partkey") % 997).alias("total_frames"))
+    return views.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("video_id"), fps.alias("fps"), (F.col("p_partkey") % 997).alias("total_frames"),
+    )
 
 
-@query(f"select p_partkey as video_id, round({USABLE_SQL}, 3) as fps, p_partkey % 997 as total_frames, round((p_partkey % 997) / ({USABLE_SQL}), 3) as duration_sec from part")
+@query(
+    f"select p_partkey as video_id, round({USABLE_SQL}, 3) as fps, p_partkey % 997 as total_frames, round((p_partkey % 997) / ({USABLE_SQL}), 3) as duration_sec from part"
+)
 def video_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.video_stats(_part_videos(spark, sf_dir)).select("video_id", "fps", "total_frames", "duration_sec")
 
@@ -190,7 +205,9 @@ def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     fps = F.when(F.col("user_id") % 10 != 0, F.col("user_id") % 50)
-    rows = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), fps.alias("fps"))
+    rows = views.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("video_id"), (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), fps.alias("fps"),
+    )
     return extraction.sampled_frames(rows).select("video_id", "frame_idx", "timestamp_sec")
 
 
@@ -200,7 +217,8 @@ def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hands_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _hands(spark, sf_dir).select(
-        F.floor(F.col("id") / 4).alias("frame"), F.when(F.col("id") % 3 == 0, "Left").otherwise("Right").alias("handedness"), "landmarks", F.col("id").alias("hand_pos")
+        F.floor(F.col("id") / 4).alias("frame"), F.when(F.col("id") % 3 == 0, "Left").otherwise("Right").alias("handedness"),
+        "landmarks", F.col("id").alias("hand_pos")
     )
     out = extraction.hands_by_side(rows, "frame")
     return out.select("frame", *[F.get(F.get(f"{s}_hand", F.lit(0)), F.lit(0)).alias(f"{s}_x") for s in ("left", "right")])
@@ -218,7 +236,10 @@ def _hands(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hand_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _hands(spark, sf_dir).select("id", hands.summary(F.col("landmarks")).alias("s"))
-    return rows.select("id", F.get("s.wrist_xy", F.lit(0)).alias("wrist_x"), F.get("s.wrist_xy", F.lit(1)).alias("wrist_y"), "s.mean_x", "s.mean_y", "s.landmark_count")
+    return rows.select(
+        "id", F.get("s.wrist_xy", F.lit(0)).alias("wrist_x"), F.get("s.wrist_xy", F.lit(1)).alias("wrist_y"), "s.mean_x",
+        "s.mean_y", "s.landmark_count",
+    )
 
 
 RELEVANT_SQL = "relevant as (select * from timeline where coalesce(length(audio_context), 0) > 0 or len(labels) > 0)"
@@ -248,7 +269,9 @@ def timeline_sample30(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MANUAL = f"with {views.VIDEOS_SQL}, {views.MANUALS_SQL}"
 
 
-@query(f"{_MANUAL} select v.video_id, nullif(v.ncs_code, '') as ncs_code, m.standard_manual_text as manual_text from videos v left join manuals m on m.ncs_code = nullif(v.ncs_code, '')")
+@query(
+    f"{_MANUAL} select v.video_id, nullif(v.ncs_code, '') as ncs_code, m.standard_manual_text as manual_text from videos v left join manuals m on m.ncs_code = nullif(v.ncs_code, '')"
+)
 def manual_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesis.with_manual(views.videos(spark, sf_dir), views.manuals(spark, sf_dir)).select("video_id", "ncs_code", "manual_text")
 
@@ -277,7 +300,9 @@ def _literal(value: str) -> str:
     "from json j join videos v on v.video_id = j.video_id join manuals m on m.ncs_code = nullif(v.ncs_code, '')"
 )
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = synthesis.sampled(_relevant(spark, sf_dir)).select("video_id", "sample_pos", F.col("ts_ms").alias("timestamp_ms"), F.array_join("labels", ",").alias("labels"))
+    entries = synthesis.sampled(_relevant(spark, sf_dir)).select(
+        "video_id", "sample_pos", F.col("ts_ms").alias("timestamp_ms"), F.array_join("labels", ",").alias("labels"),
+    )
     timelines = synthesis.timeline_json(entries, "timestamp_ms", "labels")
     return synthesis.prompts(timelines, synthesis.with_manual(views.videos(spark, sf_dir), views.manuals(spark, sf_dir)))
 
@@ -311,10 +336,14 @@ hand as (
 def prompt_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prompt_table with all keys of an entry. A frame with an active hand has that of the embedding numbered by video and frame, a left one every third time."""
     found = _hands(spark, sf_dir).select(F.col("id").alias("hand"), hands.rounded(F.col("landmarks")).alias("landmarks"))
-    entries = synthesis.sampled(_relevant(spark, sf_dir)).withColumn("hand", (F.col("video_id") + F.col("frame_pos")).cast("long")).join(found, "hand", "left")
+    entries = synthesis.sampled(_relevant(spark, sf_dir)).withColumn(
+        "hand", (F.col("video_id") + F.col("frame_pos")).cast("long"),
+    ).join(found, "hand", "left")
     left = F.col("hand") % 3 == 0
     sides = [F.when(F.col("hand_active") & side, F.col("landmarks")) for side in (left, ~left)]
-    entries = synthesis.slim_hands(entries.withColumn("hand_movement_vector", extraction.hand_vector(*sides))).withColumn("timestamp_ms", F.col("ts_ms"))
+    entries = synthesis.slim_hands(
+        entries.withColumn("hand_movement_vector", extraction.hand_vector(*sides))
+    ).withColumn("timestamp_ms", F.col("ts_ms"))
     timelines = synthesis.timeline_json(entries, "timestamp_ms", "audio_context", "labels", "hand_movement_vector")
     return synthesis.prompts(timelines, synthesis.with_manual(views.videos(spark, sf_dir), views.manuals(spark, sf_dir)))
 
@@ -323,10 +352,15 @@ _ITEMS = f"with {views.ITEMS_SQL}"
 _VALID = "parsable and not lacks_evidence and status <> 'UNKNOWN'"
 
 
-@query(f"{_ITEMS} select video_id, item_pos, step_number::int as step_number, status, standard_manual_text, tacit_knowledge_description from described where {_VALID}")
+@query(
+    f"{_ITEMS} select video_id, item_pos, step_number::int as step_number, status, standard_manual_text, tacit_knowledge_description from described where {_VALID}"
+)
 def answers_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answers.insights(views.answers(spark, sf_dir))
-    return rows.select("video_id", F.col("item_pos").cast("long").alias("item_pos"), "step_number", "status", "standard_manual_text", "tacit_knowledge_description")
+    return rows.select(
+        "video_id", F.col("item_pos").cast("long").alias("item_pos"), "step_number", "status", "standard_manual_text",
+        "tacit_knowledge_description",
+    )
 
 
 @query(
@@ -336,7 +370,9 @@ def answer_items_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.rejected_items(views.answers(spark, sf_dir)).select("video_id", F.col("item_pos").cast("long").alias("item_pos"), "reason")
 
 
-@query(f"{_ITEMS} select video_id, item_pos, step_number::varchar as step_number from described where {_VALID} and step_number is not null and try_cast(step_number as int) is null")
+@query(
+    f"{_ITEMS} select video_id, item_pos, step_number::varchar as step_number from described where {_VALID} and step_number is not null and try_cast(step_number as int) is null"
+)
 def answer_steps_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.rejected_steps(views.answers(spark, sf_dir)).select("video_id", F.col("item_pos").cast("long").alias("item_pos"), "step_number")
 
@@ -369,10 +405,15 @@ def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("video_id", F.col("item_pos").cast("long").alias("item_pos"), "rule", "detail")
 
 
-@query(f"{_ITEMS} select video_id, step_number::int as step_number, standard_manual_text, tacit_knowledge_description, true as no_embedding from described where {_VALID}")
+@query(
+    f"{_ITEMS} select video_id, step_number::int as step_number, standard_manual_text, tacit_knowledge_description, true as no_embedding from described where {_VALID}"
+)
 def load_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load.insight_rows(answers.insights(views.answers(spark, sf_dir)))
-    return rows.select("video_id", "step_number", "standard_manual_text", "tacit_knowledge_description", F.col("insight_embedding").isNull().alias("no_embedding"))
+    return rows.select(
+        "video_id", "step_number", "standard_manual_text", "tacit_knowledge_description",
+        F.col("insight_embedding").isNull().alias("no_embedding"),
+    )
 
 
 @query(
@@ -382,7 +423,10 @@ def load_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from worktrace.schemas import HANDS
 
-    frames = views.frames(spark, sf_dir).select("video_id", (F.col("ts_ms") / 1000).alias("timestamp_sec"), F.col("labels").alias("detected_tools"), F.lit(None).cast(HANDS).alias("hand_movement_vector"))
+    frames = views.frames(spark, sf_dir).select(
+        "video_id", (F.col("ts_ms") / 1000).alias("timestamp_sec"), F.col("labels").alias("detected_tools"),
+        F.lit(None).cast(HANDS).alias("hand_movement_vector"),
+    )
     return load.frame_rows(frames).withColumn("frame_timestamp", F.col("frame_timestamp").cast("double"))
 
 
@@ -414,10 +458,15 @@ def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def video_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, frames = _both(spark, sf_dir)
     found, said = highlights.highlights(segments, frames), answers.insights(views.answers(spark, sf_dir))
-    return load.counts(segments.select("video_id").distinct(), segments=segments, frames=frames, timeline=_relevant(spark, sf_dir), highlights=found, insights=said)
+    return load.counts(
+        segments.select("video_id").distinct(), segments=segments, frames=frames, timeline=_relevant(spark, sf_dir),
+        highlights=found, insights=said,
+    )
 
 
-@query("select 'orders/' || o_orderkey || '.mp4' as file_path, nullif(case when o_orderkey % 7 = 0 then '' else cast(o_custkey % 250 as varchar) end, '') as ncs_code, l_linenumber from orders join lineitem on l_orderkey = o_orderkey")
+@query(
+    "select 'orders/' || o_orderkey || '.mp4' as file_path, nullif(case when o_orderkey % 7 = 0 then '' else cast(o_custkey % 250 as varchar) end, '') as ncs_code, l_linenumber from orders join lineitem on l_orderkey = o_orderkey"
+)
 def attach_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = lambda k: F.concat(F.lit("orders/"), F.col(k).cast("string"), F.lit(".mp4"))
     parents = load.video_keys(views.videos(spark, sf_dir).select(path("video_id").alias("file_path"), "ncs_code"))
@@ -425,7 +474,9 @@ def attach_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return children.join(parents.select("video_id", "ncs_code"), "video_id").select("file_path", "ncs_code", "l_linenumber")
 
 
-@query("select l_orderkey as video_id, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') group by l_orderkey")
+@query(
+    "select l_orderkey as video_id, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') group by l_orderkey"
+)
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     deleted = views.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("video_id"))
     left = load.cascade(views.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "video_id"), deleted)
@@ -442,7 +493,9 @@ def frames_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.in_range(views.frames(spark, sf_dir), 5000, 15000).select("video_id", "frame_pos", "ts_ms")
 
 
-@query(f"{_ITEMS} select step_number::int as step_number, count(*) as n, count(distinct video_id) as n_videos from described where {_VALID} group by step_number")
+@query(
+    f"{_ITEMS} select step_number::int as step_number, count(*) as n, count(distinct video_id) as n_videos from described where {_VALID} group by step_number"
+)
 def insights_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.by_step(answers.insights(views.answers(spark, sf_dir)))
 

@@ -28,7 +28,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     start = F.col("turn") * 10000
     return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("video_id"), F.col("turn").alias("seg_pos"), start.alias("start_ms"), (start + 7000 + F.col("conv_id") % 5 * 1000).alias("end_ms"), spoken.alias("text")
+        F.col("conv_id").alias("video_id"), F.col("turn").alias("seg_pos"), start.alias("start_ms"),
+        (start + 7000 + F.col("conv_id") % 5 * 1000).alias("end_ms"), spoken.alias("text")
     )
 
 
@@ -36,7 +37,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two events to a sampled frame, in order of time."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     label = (
-        F.when(F.col("event_type") == "view", "person").when(F.col("event_type") == "signup", "scissors").when(F.col("event_type") == "purchase", "bottle")
+        F.when(F.col("event_type") == "view", "person").when(
+            F.col("event_type") == "signup", "scissors",
+        ).when(F.col("event_type") == "purchase", "bottle")
         .when(F.col("event_type") == "error", "chair").otherwise("dining table")
     )
     return table(spark, sf_dir, "events").select(
@@ -50,7 +53,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detections(spark, sf_dir)
     kept = F.collect_list(F.when(F.col("confidence") >= 0.4, F.struct("event_id", "label")))
     out = rows.groupBy("video_id", "frame_pos").agg(F.array_sort(kept).alias("l"), F.bool_or(F.col("k") % 7 == 0).alias("hand_active"))
-    return out.select("video_id", "frame_pos", (F.col("frame_pos") * 500).alias("ts_ms"), F.transform("l", lambda x: x["label"]).alias("labels"), "hand_active")
+    return out.select(
+        "video_id", "frame_pos", (F.col("frame_pos") * 500).alias("ts_ms"),
+        F.transform("l", lambda x: x["label"]).alias("labels"), "hand_active",
+    )
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +72,20 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer per order, an item per line: plain or fenced JSON, broken JSON, or an object instead of an array."""
     line = table(spark, sf_dir, "lineitem")
     status = (
-        F.when(F.col("l_returnflag") == "A", "SUCCESS").when(F.col("l_returnflag") == "N", "STANDARD_COMPLIANCE").when(F.col("l_linenumber") % 2 == 0, "MISMATCH").otherwise("UNKNOWN")
+        F.when(F.col("l_returnflag") == "A", "SUCCESS").when(
+            F.col("l_returnflag") == "N", "STANDARD_COMPLIANCE",
+        ).when(F.col("l_linenumber") % 2 == 0, "MISMATCH").otherwise("UNKNOWN")
     )
     common = [
-        F.col("l_linenumber").alias("step_number"), status.alias("status"), F.concat(F.lit("step "), F.col("l_linenumber").cast("string")).alias("standard_manual_text"),
-        F.when(status == "SUCCESS", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).otherwise("해당 없음").alias("tacit_knowledge_description"),
+        F.col("l_linenumber").alias("step_number"), status.alias("status"),
+        F.concat(F.lit("step "), F.col("l_linenumber").cast("string")).alias("standard_manual_text"),
+        F.when(
+            status == "SUCCESS", F.concat(F.lit("part "), F.col("l_partkey").cast("string")),
+        ).otherwise("해당 없음").alias("tacit_knowledge_description"),
     ]
-    evidence = F.struct(F.array(F.lit("person")).alias("detected_tools"), F.array().cast("array<string>").alias("verified_quotes")).alias("fact_evidence")
+    evidence = F.struct(
+        F.array(F.lit("person")).alias("detected_tools"), F.array().cast("array<string>").alias("verified_quotes"),
+    ).alias("fact_evidence")
     keep_null = {"ignoreNullFields": "false"}
     item = F.when(F.col("l_quantity") <= 5, F.to_json(F.struct(*common), keep_null)).otherwise(F.to_json(F.struct(*common, evidence), keep_null))
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", item.alias("item"))

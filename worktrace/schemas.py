@@ -32,7 +32,8 @@ HIGHLIGHT = _struct(
 
 EVIDENCE = _struct(detected_tools=T.ArrayType(T.StringType()), verified_quotes=T.ArrayType(T.StringType()))
 INSIGHT = _struct(
-    step_number=T.IntegerType(), status=T.StringType(), standard_manual_text=T.StringType(), tacit_knowledge_description=T.StringType(), fact_evidence=EVIDENCE
+    step_number=T.IntegerType(), status=T.StringType(), standard_manual_text=T.StringType(),
+    tacit_knowledge_description=T.StringType(), fact_evidence=EVIDENCE
 )
 
 # Tables of the load.
@@ -41,10 +42,12 @@ VIDEO_METADATA = _struct(
     created_at=T.TimestampType(), updated_at=T.TimestampType(),
 )
 FRAME_FEATURES = _struct(
-    feature_id=T.LongType(), video_id=T.LongType(), frame_timestamp=SECONDS, detected_tools=T.StringType(), hand_movement_vector=T.StringType(), created_at=T.TimestampType()
+    feature_id=T.LongType(), video_id=T.LongType(), frame_timestamp=SECONDS, detected_tools=T.StringType(),
+    hand_movement_vector=T.StringType(), created_at=T.TimestampType()
 )
 INSIGHTS_TABLE = _struct(
-    insight_id=T.LongType(), video_id=T.LongType(), step_number=T.IntegerType(), standard_manual_text=T.StringType(), tacit_knowledge_description=T.StringType(),
+    insight_id=T.LongType(), video_id=T.LongType(), step_number=T.IntegerType(), standard_manual_text=T.StringType(),
+    tacit_knowledge_description=T.StringType(),
     insight_embedding=T.ArrayType(T.FloatType()), created_at=T.TimestampType(), updated_at=T.TimestampType(),
 )
 HIGHLIGHTS_TABLE = _struct(

@@ -66,7 +66,10 @@ def nested_features(videos: DataFrame, segments: DataFrame, frames: DataFrame, t
 
     def nested(rows: DataFrame, pos: str, schema, name: str) -> DataFrame:
         fields = [f.name for f in schema.fields]
-        one = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(pos, F.struct(*fields).alias("x")))).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+        one = rows.groupBy(key).agg(
+            F.array_sort(F.collect_list(F.struct(pos, F.struct(*fields).alias("x")))).alias(name),
+            F.count(F.lit(1)).alias(f"n_{name}"),
+        )
         return one.withColumn(name, F.transform(name, lambda e: e["x"])).drop(f"n_{name}")
 
     out = videos.join(nested(segments, "seg_pos", schemas.SEGMENT, "audio_transcript"), key, "left")

@@ -25,5 +25,7 @@ def highlights_on_arrival(spark: SparkSession, features_path: str, out_path: str
         found = highlights.highlights(segments, frames)
         found.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
-    stream = spark.readStream.schema(schemas.FEATURES).option("multiLine", True).json(features_path).withColumn("source_path", F.col("_metadata.file_path"))
+    stream = spark.readStream.schema(schemas.FEATURES).option("multiLine", True).json(features_path).withColumn(
+        "source_path", F.col("_metadata.file_path"),
+    )
     return stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
