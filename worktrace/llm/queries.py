@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktrace.llm import bpe_tree, exact, hyperminhash, lines, mix, quality, suffix, token_counts, token_store, warc
+from worktrace.llm import (
+    bpe_tree, collocations, conversations, exact, hyperminhash, license_rules, licenses, lines, mix, quality, suffix, token_counts, token_store, warc,
+)
 from worktrace.llm.common import new_path
 
 
@@ -78,6 +80,20 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), conv_ids=rows)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 OP1_SQL = """
 with sized as (
   select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
@@ -239,6 +255,62 @@ select doc_id, size, source_size, target,
 from drawn
 """
 
+OP11_SQL = rf"""
+with piece as (
+  select r, coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+  from (select row_number() over () as r, * from documents)
+), cut as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from piece
+), phrase as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*)::hugeint as f
+  from (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from cut, (values (1), (2), (3), (4)) as size(k)) group by all
+), words as (select lang, sum(f)::bigint as n from phrase where k = 1 group by lang
+), candidate as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from phrase where k > 1 and f >= {collocations.MIN_COUNT}
+), cut_at as (
+  select c.lang, c.phrase, c.a, cut, x.f as l, y.f as r, 2000000::hugeint * a // (x.f + y.f) as score
+  from (select *, unnest(range(1, k)) as cut from candidate) c
+  join phrase x on x.lang = c.lang and x.phrase = array_to_string(w[1:cut], ' ') join phrase y on y.lang = c.lang and y.phrase = array_to_string(w[cut + 1:], ' ')
+), scored as (select * from cut_at qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inner_part as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as longer
+  from (select lang, w, a, m, unnest(range(1, k - m + 2)) as i from candidate, (values (2), (3)) as size(m) where m < k) group by all
+), stands as (
+  select s.* from scored s left join inner_part b using (lang, phrase) where b.longer is null or 100 * b.longer < 80 * s.a
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from stands)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join words using (lang) where rank <= {collocations.TOP}
+"""
+
+_RULES_SQL = ",\n".join(
+    f"({i}, '{r.label}', {r.strength}, {r.base}, '{license_rules.compiled(r.signature)}', ' {word} ')"
+    for i, (r, word) in enumerate(zip(license_rules.standard_rules(), license_rules.keywords(license_rules.standard_rules()), strict=True))
+)
+OP13_SQL = rf"""
+with rule(id, label, strength, base, pattern, keyword) as (values {_RULES_SQL}
+), cut as (
+  select row_number() over () as d, doc_id,
+         trim(regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.SEPARATORS}', '  ', 'g'), ' ') as t from documents
+), doc as (select d, doc_id, case when t = '' then '' else ' ' || t || ' ' end as s from cut
+), hit as (
+  select d, rule.*, string_split(regexp_replace(s, pattern, chr(1) || '\0' || chr(2), 'g'), chr(1)) as p
+  from doc join rule on contains(s, keyword) and regexp_matches(s, pattern)
+), place as (
+  select d, id, label, strength, base, len(regexp_replace(array_to_string(p[1:j], ''), '[^ ]', '', 'g')) // 2 as first, len(regexp_replace(split_part(p[j + 1], chr(2), 1), '[^ ]', '', 'g')) // 2 as n
+  from (select *, unnest(range(1, len(p))) as j from hit)
+), judged as (
+  select x.*, not exists (
+    select 1 from place y where y.d = x.d and y.first <= x.first and y.first + y.n >= x.first + x.n
+      and (y.strength < x.strength or y.strength = x.strength and (y.n > x.n or y.id < x.id))) as stands
+  from place x
+), per as (
+  select d, count(*) filter (where base) as n_base, min(first) filter (where base) as first_word, max(first) filter (where base) as last_word,
+         list_sort(list_distinct(list(label) filter (where base))) as bl, list_sort(list_distinct(list(label) filter (where base or stands))) as al,
+         max(case strength {" ".join(f"when {k} then {v}" for k, v in license_rules.WEIGHTS.items())} end) filter (where stands) as score
+  from judged group by d
+)
+select doc_id, (len(regexp_replace(s, '[^ ]', '', 'g')) // 2)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+       coalesce(array_to_string(bl, ','), '') as base_labels, coalesce(array_to_string(al, ','), '') as labels, coalesce(score, 0)::double as score
+from doc left join per using (d)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_transactions": op1_warc_transactions,
     "op2_quality_divergence": op2_quality_divergence,
@@ -251,6 +323,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_source_mix": op10_source_mix,
+    "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -261,4 +336,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
     "op6_site_lines": OP6_SQL,
     "op10_source_mix": OP10_SQL,
+    "op11_collocations": OP11_SQL,
+    "op13_license_scan": OP13_SQL,
 }
