@@ -1,18 +1,21 @@
-"""64-bit hashes of the words of texts and of other stretches, as array operations."""
+"""64-bit hashes of the words of texts and of other stretches, as array operations.
+
+A stretch is taken eight bytes at a time, each block through a non-linear step, so no
+pattern of equal words under sums or polynomials makes hashes meet; stretches of more
+than SHORT bytes, rare in texts, go through BLAKE2b. Callers that need equality of
+the stretches themselves compare them: see `equal_stretches`.
+"""
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
-from worktrace.llm.common import WORD
-
-_WORD = re.compile(WORD.encode())
 _U = np.uint64
-_BASE, PIECE = 0x9E3779B97F4A7C15 | 1, 1 << 20
+PIECE = 1 << 20  # bytes that are cut into words at a time
+SHORT = 64  # bytes
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -21,20 +24,52 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """_BASE to the power of 0, 1, 2, ... and its inverses, modulo 2^64."""
-    with np.errstate(over="ignore"):
-        both = [np.cumprod(np.concatenate([[_U(1)], np.full(2 * PIECE, _U(b))])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return both[0], both[1]
+class _Blocks:
+    """The bytes of an array, eight at a time from any place."""
+
+    def __init__(self, units: np.ndarray):
+        self.width = units.itemsize
+        self.raw = np.concatenate([np.ascontiguousarray(units).view(np.uint8), np.zeros(8, dtype=np.uint8)])
+        self.at = np.ndarray((len(self.raw) - 7,), "<u8", self.raw.data, strides=(1,))
+
+    def block(self, begin: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Of each stretch that goes on at byte `begin` for `left` more, the next eight bytes, zeros behind its end."""
+        gone = np.maximum(8 - left, 0).astype(_U) << _U(3)
+        return self.at[begin] << gone >> gone
 
 
 def stretch_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the stretches from starts to ends of at most 2 * PIECE units (bytes or code points)."""
-    powers, inverses = _powers()
+    """Hashes of the (not empty) stretches from starts to ends of an array of bytes or of wider units."""
+    blocks = _Blocks(units)
+    begin, size = starts * blocks.width, (ends - starts) * blocks.width
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[_U(0)], np.cumsum((units.astype(_U) + _U(1)) * powers[: len(units)])])
-        return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(_U))
+        h = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15))
+        live, j = np.flatnonzero(size <= SHORT), 0
+        while len(live):
+            block = blocks.block(begin[live] + j, size[live] - j)
+            h[live] = mix((h[live] ^ block) * _U(0x9FB21C651E98DF25) + (block >> _U(32)))
+            j += 8
+            live = live[size[live] > j]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(blocks.raw[begin[i] : begin[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def equal_stretches(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
+    """Whether each stretch equals that from its place in `others`, which is as long, on."""
+    blocks = _Blocks(units)
+    some = np.flatnonzero(starts != others)
+    a, b, size = starts[some] * blocks.width, others[some] * blocks.width, (ends - starts)[some] * blocks.width
+    if not all(np.array_equal(blocks.raw[a[i] : a[i] + size[i]], blocks.raw[b[i] : b[i] + size[i]]) for i in np.flatnonzero(size > SHORT).tolist()):
+        return False
+    live, j = np.flatnonzero(size <= SHORT), 0
+    while len(live):
+        left = size[live] - j
+        if (blocks.block(a[live] + j, left) != blocks.block(b[live] + j, left)).any():
+            return False
+        j += 8
+        live = live[size[live] > j]
+    return True
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -46,31 +81,16 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """word_hashes() and the place of each word's first byte; in pieces that end before white space."""
     out, places, at = [np.empty(0, dtype=_U)], [np.empty(0, dtype=np.int64)], 0
     for piece in _pieces(data):
-        if len(piece) > 2 * PIECE:  # one word of megabytes
-            found = list(_WORD.finditer(piece))
-            out.append(np.array([_long_word(m.group()) for m in found], dtype=_U))
-            places.append(np.array([m.start() for m in found], dtype=np.int64) + at)
-        else:
-            raw = np.frombuffer(piece, dtype=np.uint8)
-            inside = ~((raw == 0x20) | ((raw >= 9) & (raw <= 13)))
-            edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            out.append(stretch_hashes(raw, starts, ends))
-            places.append(starts + at)
+        raw = np.frombuffer(piece, dtype=np.uint8)
+        inside = ~((raw == 0x20) | ((raw >= 9) & (raw <= 13)))
+        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        out.append(stretch_hashes(raw, starts, ends))
+        places.append(starts + at)
         at += len(piece)
     return np.concatenate(out), np.concatenate(places)
 
 
-def _long_word(word: bytes) -> np.uint64:
-    """The hash of a word of any length, piece by piece."""
-    total, powers = 0, _powers()[0]
-    with np.errstate(over="ignore"):
-        for a in range(0, len(word), PIECE):
-            raw = np.frombuffer(word[a : a + PIECE], dtype=np.uint8).astype(_U) + _U(1)
-            total += int((raw * powers[: len(raw)]).sum(dtype=_U)) * pow(_BASE, a, 1 << 64)
-        return mix(np.array([(total + len(word)) % (1 << 64)], dtype=_U))[0]
-
-
 def _pieces(data: bytes) -> Iterator[bytes]:
     at = 0
     while len(data) - at > PIECE:

@@ -3,10 +3,10 @@
 Texts of plain characters are cut into pre-tokens where the library's own pattern
 cuts them, all texts of a batch at once as arrays of code points; other texts fall
 into chunks at places where the pattern always splits, and chunks with an odd
-character go to the library whole. Equal pre-tokens are found by their 64-bit hashes,
-and a batch asks for each once. Most are in a dict; the library's model merges those
-missing. The dict holds CACHE entries of pre-tokens of LONGEST characters at most,
-which bounds a worker's memory and changes no result.
+character go to the library whole. Equal pre-tokens of a batch are gathered by hashes,
+compared character by character, and asked for once. Most are in a dict by their text;
+the library's model merges those missing. The dict holds CACHE entries of pre-tokens of
+LONGEST characters at most, which bounds a worker's memory and changes no result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from worktrace.llm.hashing import PIECE, stretch_hashes
+from worktrace.llm.hashing import PIECE, equal_stretches, stretch_hashes
 
 #: The pre-token pattern of the byte-level vocabularies (fixed value of the format).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -131,22 +131,23 @@ def packed(ids: list[int]) -> bytes:
 
 
 class _Cache:
-    """Values by the hash of a pre-token. Two generations of CACHE / 2 entries: what is used again lives on. Long ones are not kept."""
+    """Values by pre-token. Two generations of CACHE / 2 entries: what is used again lives on. Long ones are not kept."""
 
     def __init__(self, find: Callable):
         self.find, self.new, self.old = find, {}, {}
 
-    def get(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> list:
+    def get(self, starts: np.ndarray, ends: np.ndarray, text: str) -> list:
         """The values of the stretches of `text` from starts to ends."""
         out, new, old = [], self.new, self.old
-        for h, a, b in zip(hashes.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            value = new.get(h)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            word = text[a:b]
+            value = new.get(word)
             if value is None:
-                value = old.get(h)
+                value = old.get(word)
                 if value is None:
-                    value = self.find(text[a:b])
+                    value = self.find(word)
                 if b - a <= LONGEST:
-                    new[h] = value
+                    new[word] = value
                     if len(new) >= CACHE // 2:
                         self.old, self.new = old, new = new, {}
             out.append(value)
@@ -259,11 +260,12 @@ class _Pieces:
         if not self.attach:
             real &= kind != _SPACE
         starts, ends, of_piece = starts[real], ends[real], of_piece[real]
-        if len(points) > 2 * PIECE:  # a text of megabytes without a place to cut
-            values, each = [self.cache.find(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.arange(len(starts))
-        else:
-            hashes, first, each = np.unique(stretch_hashes(points, starts, ends), return_index=True, return_inverse=True)
-            values = self.cache.get(hashes, starts[first], ends[first], text)
+        units = points.astype("<u2")  # plain characters are below 0x221
+        _, first, each = np.unique(stretch_hashes(units, starts, ends), return_index=True, return_inverse=True)
+        same = first[each]
+        if (ends - starts != (ends - starts)[same]).any() or not equal_stretches(units, starts, ends, starts[same]):
+            first = each = np.arange(len(starts))  # different ones with one hash: each is looked up
+        values = self.cache.get(starts[first], ends[first], text)
         return self.dealt(values, each, np.bincount(of_piece, minlength=len(pieces))[: len(pieces)])
 
 
