@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace.functions import hands, text
-from worktrace.operators import access, answers, extraction, highlights, intervals, load, synthesis
+from worktrace.operators import access, answers, extraction, highlights, intervals, load, synthesis, vector_index
 from worktrace.plans import views
+from worktrace.sources import storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -500,10 +501,22 @@ def insights_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.by_step(answers.insights(views.answers(spark, sf_dir)))
 
 
-@query(
+_SIMILAR_SQL = (
     "with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id as id, list_cosine_similarity(e::double[], embedding::double[]) as similarity from q, embeddings where query_id <> vec_id), "
     "r as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from s) select query_id, id, round(similarity, 6) as similarity, rank::int as rank from r where rank <= 5"
 )
+
+
+@query(_SIMILAR_SQL)
 def similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return access.most_similar(vectors.filter("id % 50 = 0"), vectors, 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_SIMILAR_SQL)
+def similar_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours by the index: it is built over all vectors and searched exactly."""
+    vectors = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = storage.new_path(spark, "vector-index")
+    vector_index.build(vectors, path)
+    return vector_index.search(vectors.filter("id % 50 = 0"), path, 5, exact=True).withColumn("similarity", F.round("similarity", 6))
