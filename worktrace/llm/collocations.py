@@ -29,7 +29,8 @@ COVERED = 80  # percent of its occurrences inside one longer candidate that drop
 TOP = 2000  # phrases of a language in the report
 
 BITS = 26  # of the table of pairs that may be frequent: 8 MB, whatever the input
-BATCH = 2_000_000  # words that a task counts at once
+BATCH = 1_500_000  # words that a task counts at once
+VOCABULARY = 400_000  # different words that a task numbers before it begins anew
 CHUNK = 4 << 20  # bytes of a text that are split at once
 
 # one byte for all that ends a piece; it stands in no UTF-8 text
@@ -92,7 +93,7 @@ def _batches(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[tuple[st
                     yield from flush(False)
                     total = 0
             held[lang].append(np.zeros(1, dtype=np.int64))
-            if len(words.list) > BATCH:
+            if len(words.list) > VOCABULARY:
                 yield from flush(True)
                 words, held, total = _Words(), {}, 0
     yield from flush(True)
