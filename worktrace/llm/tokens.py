@@ -260,7 +260,7 @@ class _Pieces:
         if not self.attach:
             real &= kind != _SPACE
         starts, ends, of_piece = starts[real], ends[real], of_piece[real]
-        units = points.astype("<u2")  # plain characters are below 0x221
+        units = points.astype("<u2" if points.max() > 0xFF else np.uint8)  # plain characters are below 0x221
         _, first, each = np.unique(stretch_hashes(units, starts, ends), return_index=True, return_inverse=True)
         same = first[each]
         if (ends - starts != (ends - starts)[same]).any() or not equal_stretches(units, starts, ends, starts[same]):
