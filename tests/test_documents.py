@@ -41,9 +41,34 @@ def test_features_round_trip(spark, tmp_path):
     assert [(r.seg_pos, r.start_ms, r.end_ms) for r in segs.orderBy("seg_pos").collect()] == [(0, 0, 1234), (1, 0, 0)]
     again = documents.nested_features(f.select("video_id", "file_path", "duration_sec", "fps", "total_frames"), segs, frames, line)
     documents.write_features(again, f"file://{tmp_path}/out")
-    back = spark.read.schema(schemas.FEATURES).json(f"file://{tmp_path}/out")
-    names = back.columns
-    assert back.collect() == read.select(*names).collect()
+    names = schemas.FEATURES.names
+    assert documents.read_features(spark, f"file://{tmp_path}/out").select(*names).collect() == read.select(*names).collect()
+
+
+def test_many_documents_a_file_come_back(spark, tmp_path):
+    for name in ("one", "two", "three"):
+        dropped(tmp_path / "in", name, 4)
+    read = documents.read_features(spark, f"file://{tmp_path}/in").select(*schemas.FEATURES.names)
+    want = sorted(map(str, read.collect()))
+    documents.write_features(read.coalesce(1), f"file://{tmp_path}/all")
+    documents.write_features(read, f"file://{tmp_path}/each", one_per_file=True)
+    read.coalesce(1).write.option("ignoreNullFields", "false").json(f"file://{tmp_path}/lines")
+    for path, lines in (("all", False), ("each", False), ("lines", True)):
+        back = documents.read_features(spark, f"file://{tmp_path}/{path}", lines).select(*schemas.FEATURES.names)
+        assert sorted(map(str, back.collect())) == want
+    (one,) = (tmp_path / "each" / "video=two").glob("*.txt")
+    assert json.loads(one.read_text())["file_path"] == "/v/two.mp4"
+    (file,) = (tmp_path / "all").glob("*.txt")
+    assert len(json.loads(file.read_text())) == 3
+
+
+def test_arrays_of_any_size(spark, tmp_path):
+    for n, parts in ((0, 1), (1, 3), (7, 2), (25_000, 2)):
+        rows = spark.range(n).repartition(parts).selectExpr("cast(id as int) step_number", "'SUCCESS' status", "cast(null as string) standard_manual_text")
+        documents.write_insights(rows, f"file://{tmp_path}/{n}")
+        back = documents.read_insights(spark, f"file://{tmp_path}/{n}")
+        assert sorted(r.step_number for r in back.collect()) == list(range(n))
+        assert all(isinstance(json.loads(f.read_text() or "[]"), list) for f in (tmp_path / str(n)).glob("*.txt"))
 
 
 def test_highlights_and_tables(spark, tmp_path):
@@ -61,7 +86,8 @@ def test_highlights_and_tables(spark, tmp_path):
         c for c in spark.read.parquet(f"file://{tmp_path}/h").columns if c != "highlight_type"
     ] == ["video_id", *[c for c in documents.COLUMNS if c != "highlight_type"]]
     documents.write_highlights(found, f"file://{tmp_path}/j", "json")
-    read = documents.read_highlights(spark, f"file://{tmp_path}/j/highlight_type=active_hands").first()
+    (read,) = documents.read_highlights(spark, f"file://{tmp_path}/j").filter("highlight_type = 'active_hands'").collect()
+    assert documents.read_highlights(spark, f"file://{tmp_path}/j").count() == 2
     assert (float(read.timestamp_sec), read.hand_active) == (3.5, True) and "발화 없는" in read.feature_description
 
 
@@ -95,6 +121,45 @@ def test_load_publishes_all_tables_or_none(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters: [IsNotNull(video_id)") :].split("ReadSchema")[0]
     assert some.count() == 3 and "EqualTo(video_id" in pushed and "frame_timestamp" in pushed, plan
+    # what the failed run and the replaced attempt wrote
+    folders = lambda: {p.parent.name + "/" + p.name for p in (tmp_path / "db" / "frame_features").glob("batch_id=*/attempt=*")}
+    assert len(folders()) == 2 and not any("b2" in f for f in folders())
+    assert tables.vacuum(spark, root) == []  # too young
+    assert len(tables.vacuum(spark, root, older_than_s=-1)) == 4 and len(folders()) == 1
+    assert {n: tables.read_parquet(spark, root, n).count() for n in sizes} == sizes
+
+
+def test_a_killed_run_leaves_nothing_after_the_vacuum(spark, tmp_path):
+    root, four = f"file://{tmp_path}/db", four_tables(spark, tmp_path)
+    tables.write_parquet(four, root, "b1")
+    for name in ("video_metadata", "frame_features"):  # as far as the run came
+        four[name].write.parquet(f"{root}/{name}/batch_id=b9/attempt=x")
+    assert tables.read_parquet(spark, root, "frame_features").count() == 10
+    assert len(tables.vacuum(spark, root, older_than_s=-1)) == 2
+    assert not list((tmp_path / "db").glob("*/batch_id=b9/attempt=*"))
+
+
+def test_batch_ids_are_text(spark, tmp_path):
+    root, rows = f"file://{tmp_path}/db", spark.createDataFrame([(1, "x")], "video_id long, file_path string")
+    for batch in ("first", "2", "007", "7"):
+        tables.write_parquet({"video_metadata": rows}, root, batch)
+    assert sorted(r.batch_id for r in tables.read_parquet(spark, root, "video_metadata").collect()) == ["007", "2", "7", "first"]
+    numbers = f"file://{tmp_path}/numbers"
+    for batch in ("2", "007"):
+        tables.write_parquet({"video_metadata": rows}, numbers, batch)
+    assert sorted(r.batch_id for r in tables.read_parquet(spark, numbers, "video_metadata").collect()) == ["007", "2"]
+
+
+def test_a_long_video_is_many_files_and_a_minute_reads_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 1000)
+    root = f"file://{tmp_path}/db"
+    rows = spark.range(12_000).selectExpr("if(id < 10000, 1L, id) as video_id", "cast(id / 2 as decimal(12,3)) as frame_timestamp", "'[]' as detected_tools")
+    tables.write_parquet({"frame_features": rows}, root, "b")
+    files = spark.read.parquet(f"{root}/frame_features").selectExpr("*", "_metadata.file_path f")
+    assert files.filter("video_id = 1").select("f").distinct().count() >= 10 and files.select("f").distinct().count() < 30
+    spans = files.groupBy("f").agg(F.min(F.struct("video_id", "frame_timestamp")).alias("a"), F.max(F.struct("video_id", "frame_timestamp")).alias("b"))
+    minute = spans.filter("b >= struct(1L, cast(1000 as decimal(12,3))) and a <= struct(1L, cast(1060 as decimal(12,3)))")
+    assert minute.count() <= 2
 
 
 def test_jdbc_load_and_manual_master(spark, tmp_path):
@@ -104,6 +169,12 @@ def test_jdbc_load_and_manual_master(spark, tmp_path):
     for _ in range(2):
         tables.write_jdbc(four, url, "b1")
         assert {n: tables.read_jdbc(spark, url, n).count() for n in sizes} == sizes
+    broken = four | {"behavioral_highlights": four["behavioral_highlights"].withColumn("hand_active", F.raise_error(F.lit("lost")).cast("int"))}
+    with pytest.raises(Exception, match="lost"):
+        tables.write_jdbc(broken, url, "b1")
+    assert {n: tables.read_jdbc(spark, url, n).count() for n in sizes} == sizes
+    tables.write_jdbc(four, url, "b2")
+    assert tables.read_jdbc(spark, url, "frame_features").count() == 20
     master = spark.createDataFrame([("c1", "m", "text")], schemas.NCS_MODULES)
     master.write.parquet(f"file://{tmp_path}/master")
     master.write.jdbc(url, "ncs_modules")
@@ -123,7 +194,7 @@ def test_insights_and_manual_text(spark, tmp_path):
     read = documents.read_insights(spark, f"file://{tmp_path}/x_insights.json")
     assert read.count() == 3 and read.first().stem == "x"
     documents.write_insights(read.drop("source_path", "stem"), f"file://{tmp_path}/out")
-    assert spark.read.schema(schemas.INSIGHT).json(f"file://{tmp_path}/out").collect() == read.drop("source_path", "stem").collect()
+    assert documents.read_insights(spark, f"file://{tmp_path}/out").drop("source_path", "stem").collect() == read.drop("source_path", "stem").collect()
     assert documents.read_manual_text(spark, f"file://{tmp_path}/m.txt").first().manual_text == "line 1\nline 2"
 
 

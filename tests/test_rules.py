@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+import random
+
 from worktrace.functions import hands, text
 from worktrace.operators import answers, extraction, highlights, load, synthesis
 
@@ -115,7 +117,7 @@ def test_steps_that_are_no_numbers_are_reported(spark):
 def test_evidence_audit(spark):
     df = spark.createDataFrame([(1, f"[{ITEM}, {ITEM.replace('SUCCESS', 'MISMATCH')}]"), (2, f"[{ITEM}]")], "video_id long, raw_response string")
     labels = spark.createDataFrame([(1, "car")], "video_id long, label string")
-    said = spark.createDataFrame([(2, " q ")], "video_id long, text string")
+    said = spark.createDataFrame([(2, 0, " q ")], "video_id long, seg_pos long, text string")
     rows = answers.evidence_audit(answers.insights(df), labels, said).collect()
     assert sorted(map(tuple, rows)) == [(1, 0, "quote", "q"), (1, 1, "description", "d"), (1, 1, "quote", "q"), (2, 0, "tool", "car")]
 
@@ -158,3 +160,35 @@ def test_manual_precedence_and_load(spark):
         (1, "no_insights"), (2, "no_insights"), (3, "no_timeline"), (3, "no_frames"), (3, "no_insights"),
     }
     assert load.cascade(some, videos.filter("video_id = 1")).count() == 1 and load.cascaded(some, videos.filter("video_id = 1")).count() == 2
+
+
+def test_only_one_strict_array_is_an_answer(spark):
+    good = [f"[{ITEM}]", "[]", f"```json\n[{ITEM}, {ITEM}]\n```", f"  [{ITEM}]  "]
+    bad = [
+        f"[{ITEM}] and so on", f"[{ITEM}] and so on []", f"[{ITEM}][{ITEM}]", f"[{ITEM}], [{ITEM}]", f"[{ITEM}]".replace('"', "'"),
+        f'[{ITEM}],"y":[]', f"[{ITEM}]]\n,[[{ITEM}]", f'[{ITEM}]}},{{"x":[{ITEM}]', ITEM, "[1, 2]", "", None, "[", f"[{ITEM},]",
+    ]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "video_id long, raw_response string")
+    got = {r.video_id: r["items"] is not None for r in answers.parsed(df).collect()}
+    assert got == {i: i < len(good) for i in range(len(good + bad))}
+
+
+def test_snippets_of_rejected_answers(spark):
+    df = spark.createDataFrame([(1, "한" * 700), (2, "no"), (3, None)], "video_id long, raw_response string")
+    assert {r.video_id: r.snippet for r in answers.rejected_answers(df).collect()} == {1: "한" * 500, 2: "no", 3: None}
+
+
+def test_quotes_against_brute_force(spark):
+    r = random.Random(3)
+    words = ["torque", "to", "10", "mm", "then", "stop", "the"]
+    said = [(v, p, " ".join(r.choices(words, k=r.choice([0, 1, 1, 2, 5, 9])))) for v in range(4) for p in range(12)]
+    whole = {v: " ".join(["", *(w for x, _, t in said if x == v for w in t.split()), ""]) for v in range(5)}
+    quotes = [(v, k, " ".join(r.choices(words, k=r.randint(1, 6)))) for v in range(5) for k in range(60)]
+    quotes += [(v, 100 + k, " ".join(whole[v].split()[k : k + n])) for v in range(4) for k, n in ((0, 4), (3, 12), (5, 1), (7, 2), (2, 30))]
+    segments = spark.createDataFrame(said, "video_id long, seg_pos long, text string")
+    df = spark.createDataFrame(quotes, "video_id long, item_pos long, text string")
+    got = {(x.video_id, x.item_pos) for x in answers.unspoken(df, segments).collect()}
+    assert got == {(v, k) for v, k, t in quotes if f" {t} " not in whole[v]} and 30 < len(got) < len(quotes)
+    said = spark.createDataFrame([(1, 0, "first torque to 10"), (1, 1, None), (1, 2, "mm then stop")], "video_id long, seg_pos long, text string")
+    df = spark.createDataFrame([(1, 0, "torque to 10 mm"), (1, 1, "torque to 1"), (2, 2, "stop")], "video_id long, item_pos long, text string")
+    assert {x.item_pos for x in answers.unspoken(df, said).collect()} == {1, 2}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from worktrace.functions.columns import once
 from worktrace.functions.text import strip
@@ -20,12 +21,24 @@ def unfenced(clean: Column) -> Column:
     return F.when(clean.startswith("```"), F.regexp_replace(opened, r"(?U)(?:^|[\r\n])[^\S\r\n]*```$", "")).otherwise(clean)
 
 
+def is_one_array(body: Column) -> Column:
+    """Whether a text is one JSON array and nothing else, by strict rules: double quotes, no text behind, not two in a row.
+
+    A parser may stop behind the first value, so the text is put inside an object and
+    inside an array: what follows the first value breaks one of them. NaN and repeated
+    keys of an object are not taken.
+    """
+    shaped = body.startswith("[") & body.endswith("]")
+    inside = [F.try_parse_json(F.concat(F.lit(a), body, F.lit(b))).isNotNull() for a, b in (('{"x":', "}"), ("[", "]"))]
+    alone = F.size(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")) == 1
+    return F.coalesce(shaped & inside[0] & inside[1] & alone, F.lit(False))
+
+
 def parsed(answers: DataFrame) -> DataFrame:
     """`answers` (video_id, raw_response) with items: array of maps; null where the answer is no JSON array of objects."""
     rows = once(answers, "_clean", strip(F.col("raw_response")))
     rows = once(rows, "_body", F.btrim(unfenced(F.col("_clean")), F.lit(" \t\n\r\x0b\f")))
-    is_array = F.col("_body").startswith("[") & F.col("_body").endswith("]")
-    return once(rows, "items", F.when(is_array, F.from_json("_body", "array<map<string,string>>"))).drop("_clean", "_body")
+    return once(rows, "items", F.when(is_one_array(F.col("_body")), F.from_json("_body", "array<map<string,string>>"))).drop("_clean", "_body")
 
 
 def rejected_answers(answers: DataFrame) -> DataFrame:
@@ -97,8 +110,9 @@ def evidence_audit(found: DataFrame, labels: DataFrame, segments: DataFrame) ->
     """Breaches of the evidence rules: video_id, item_pos, rule, detail. Nothing is dropped.
 
     description: an item other than SUCCESS describes something. tool: a cited tool
-    was not detected in the video (labels: video_id, label). quote: a cited quote is
-    in no segment of it.
+    was not detected in the video (labels: video_id, label). quote: the words of a
+    cited quote stand nowhere in the video's transcript one after the other, be it
+    inside a segment or across neighbouring ones. A quote without words cites nothing.
     """
     said = found.filter((F.col("status") != "SUCCESS") & (F.coalesce("tacit_knowledge_description", F.lit("")) != NOTHING))
     said = said.select("video_id", "item_pos", F.lit("description").alias("rule"), F.col("tacit_knowledge_description").alias("detail"))
@@ -106,8 +120,62 @@ def evidence_audit(found: DataFrame, labels: DataFrame, segments: DataFrame) ->
         labels.select("video_id", "label").distinct(), ["video_id", "label"], "left_anti",
     )
     quotes = found.select("video_id", "item_pos", F.explode("fact_evidence.verified_quotes").alias("text"))
-    spoken = segments.select("video_id", strip(F.col("text")).alias("text")).distinct()
-    quotes = quotes.withColumn("text", strip(F.col("text"))).join(spoken, ["video_id", "text"], "left_anti")
+    lost = unspoken(quotes.withColumn("text", strip(F.col("text"))).filter("text <> ''"), segments)
     return said.unionByName(tools.select("video_id", "item_pos", F.lit("tool").alias("rule"), F.col("label").alias("detail"))).unionByName(
-        quotes.select("video_id", "item_pos", F.lit("quote").alias("rule"), F.col("text").alias("detail"))
+        lost.select("video_id", "item_pos", F.lit("quote").alias("rule"), F.col("text").alias("detail"))
     )
+
+
+RUN = 3  # words of a run in the index of a transcript
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+
+
+def _runs(words: Column, width: int) -> Column:
+    """(i, run) for each run of `width` words, or none."""
+    starts = F.sequence(F.lit(0), F.size(words) - width)
+    each = F.transform(starts, lambda i: F.struct(i.cast("long").alias("i"), F.array_join(F.slice(words, i + 1, F.lit(width)), " ").alias("run")))
+    return F.when(F.size(words) >= width, each)
+
+
+def transcript_runs(segments: DataFrame, width: int) -> DataFrame:
+    """video_id, at, run: an index of the runs of `width` words of each transcript, by their place in it.
+
+    A segment is lengthened by the first words of those behind it, so runs go on across
+    segments. Places are counted by one narrow row per segment.
+    """
+    said = segments.select("video_id", "seg_pos", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    order = Window.partitionBy("video_id").orderBy("seg_pos")
+    edge = said.select("video_id", "seg_pos", F.size("w").alias("n"), F.slice("w", 1, RUN - 1).alias("head"))
+    heads = [F.coalesce(F.lead("head", k).over(order), F.array().cast("array<string>")) for k in range(1, RUN)]
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = edge.select("video_id", "seg_pos", "n", before.alias("before"), F.slice(F.concat(*heads), 1, RUN - 1).alias("next"))
+    rows = said.join(edge, ["video_id", "seg_pos"]).select("video_id", "before", "n", F.explode(_runs(F.concat("w", "next"), width)).alias("x"))
+    return rows.filter(F.col("x.i") < F.col("n")).select("video_id", (F.col("before") + F.col("x.i")).alias("at"), F.col("x.run").alias("run"))
+
+
+def unspoken(quotes: DataFrame, segments: DataFrame) -> DataFrame:
+    """The rows of `quotes` (video_id, text, more) whose words the transcript of their video doesn't hold in a row.
+
+    A quote of up to RUN words is looked up as one run. The runs of a longer one must all
+    stand at places that put the quote's beginning at the same word; its first run says
+    which places those can be. Words are compared as they are.
+    """
+    asked = quotes.select("video_id", "text").distinct().withColumn("w", _words(F.col("text")))
+    found = None
+    for width in range(1, RUN + 1):
+        some = asked.filter(F.size("w") == width if width < RUN else F.size("w") >= RUN)
+        index = transcript_runs(segments, width)
+        first = some.withColumn("run", F.array_join(F.slice("w", 1, width), " "))
+        if width < RUN:
+            hit = first.join(index.select("video_id", "run").distinct(), ["video_id", "run"], "left_semi").select("video_id", "text")
+        else:
+            needed = some.select("video_id", "text", F.size("w").alias("n"), F.explode(_runs(F.col("w"), width)).alias("x"))
+            needed = needed.select("video_id", "text", (F.col("n") - width + 1).alias("runs"), F.col("x.i").alias("i"), F.col("x.run").alias("run"))
+            placed = needed.join(index, ["video_id", "run"]).withColumn("begin", F.col("at") - F.col("i"))
+            whole = placed.groupBy("video_id", "text", "runs", "begin").agg(F.count("*").alias("c")).filter("c = runs")
+            hit = whole.select("video_id", "text").distinct()
+        found = hit if found is None else found.unionByName(hit)
+    return quotes.join(found, ["video_id", "text"], "left_anti")

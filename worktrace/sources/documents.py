@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +13,15 @@ from worktrace.functions.text import artefact_stem
 from worktrace.operators.highlights import COLUMNS
 
 
-def _json(spark: SparkSession, schema, path: str) -> DataFrame:
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+def _json(spark: SparkSession, schema, path: str, lines: bool = False) -> DataFrame:
+    """Rows of JSON files: each an object or a root array of objects, or (lines) an object a line."""
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return rows.withColumn("source_path", F.col("_metadata.file_path")).withColumn("stem", artefact_stem(F.col("source_path")))
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """One row per features document (each an indented JSON object in a file), with source_path and stem."""
-    return _json(spark, schemas.FEATURES, path)
+def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per features document, with source_path and stem: a file is one indented object, or a root array of them, or (lines) one a line."""
+    return _json(spark, schemas.FEATURES, path, lines)
 
 
 def _exploded(features: DataFrame, key: str, array: str, pos: str) -> DataFrame:
@@ -41,14 +45,14 @@ def timeline(features: DataFrame, key: str = "source_path") -> DataFrame:
     return _exploded(features, key, "integrated_timeline", "frame_pos")
 
 
-def read_insights(spark: SparkSession, path: str) -> DataFrame:
-    """One row per element of the root arrays."""
-    return _json(spark, schemas.INSIGHT, path)
+def read_insights(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per element of the root arrays, or (lines) per line."""
+    return _json(spark, schemas.INSIGHT, path, lines)
 
 
-def read_highlights(spark: SparkSession, path: str | None) -> DataFrame:
+def read_highlights(spark: SparkSession, path: str | None, lines: bool = False) -> DataFrame:
     """As read_insights; None gives an empty table."""
-    return spark.createDataFrame([], schemas.HIGHLIGHT) if path is None else _json(spark, schemas.HIGHLIGHT, path)
+    return spark.createDataFrame([], schemas.HIGHLIGHT) if path is None else _json(spark, schemas.HIGHLIGHT, path, lines)
 
 
 def read_manual_text(spark: SparkSession, path: str) -> DataFrame:
@@ -78,16 +82,43 @@ def nested_features(videos: DataFrame, segments: DataFrame, frames: DataFrame, t
     return out.select(*[f.name for f in schemas.FEATURES.fields])
 
 
-def write_features(documents: DataFrame, path: str) -> None:
-    documents.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The JSON texts of a partition as the lines of one root array."""
+    held: str | None = None
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        if lines:
+            shown = ["[" if held is None else held + ",", *(line + "," for line in lines[:-1])]
+            held = lines[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(shown)], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]"] if held is None else [held, "]"])], ["value"])
+
+
+def write_arrays(rows: DataFrame, path: str) -> None:
+    """`rows` as JSON documents: each file one root array with the rows of a partition in their order, nulls written. Streams, whatever the number of rows."""
+    text = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    rows.select(text.alias("value")).mapInArrow(_as_array, "value string").write.text(path)
+
+
+def write_features(documents: DataFrame, path: str, one_per_file: bool = False) -> None:
+    """Features documents as root arrays; or each alone in a file, in a folder named by the stem of its recording."""
+    if not one_per_file:
+        return write_arrays(documents, path)
+    text = F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"})
+    stem = F.regexp_extract("file_path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    rows = documents.select(stem.alias("video"), text.alias("value")).repartition("video")
+    return rows.write.partitionBy("video").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_highlights(rows: DataFrame, path: str, form: str = "parquet") -> None:
-    """The seven columns in their order, in the order of the highlights, a folder per type."""
+    """The seven columns in their order, in the order of the highlights: as JSON root arrays, or in another format with a folder per type."""
     ordered = rows.sortWithinPartitions("video_id", "section", "pos") if "section" in rows.columns else rows
     keys = [c for c in ("video_id",) if c in rows.columns]
-    ordered.select(*keys, *COLUMNS).write.partitionBy("highlight_type").format(form).save(path)
+    if form == "json":
+        return write_arrays(ordered.select(*keys, *COLUMNS), path)
+    return ordered.select(*keys, *COLUMNS).write.partitionBy("highlight_type").format(form).save(path)
 
 
 def write_insights(rows: DataFrame, path: str, form: str = "json") -> None:
-    rows.write.format(form).save(path)
+    """Insights as JSON root arrays, or in another format."""
+    return write_arrays(rows, path) if form == "json" else rows.write.format(form).save(path)
