@@ -64,6 +64,15 @@ def slim_hands(timeline: DataFrame) -> DataFrame:
     return timeline.withColumn("hand_movement_vector", F.struct(*[hands.summary(vector[side]).alias(side) for side in ("left_hand", "right_hand")]))
 
 
+#: The keys of an entry in a prompt, in their order (fixed values).
+ENTRY = ["timestamp_sec", "audio_context", "detected_tools", "hand_movement_vector"]
+
+
+def prompt_entries(timeline: DataFrame) -> DataFrame:
+    """Entries (sample_pos, timestamp_sec, detected_tools as structs, ...) with the keys of a prompt: seconds as a number, hands as summaries."""
+    return slim_hands(timeline).select("video_id", "sample_pos", F.col("timestamp_sec").cast("double").alias("timestamp_sec"), *ENTRY[1:])
+
+
 def timeline_json(entries: DataFrame, *columns: str) -> DataFrame:
     """video_id, timeline: the sampled entries of each video as one JSON array in order (at most `SAMPLE` of them)."""
     rows = entries.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("sample_pos", *columns))).alias("e"))

@@ -59,6 +59,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, frame_pos, detected_tools: the confident detections of a frame, as a timeline has them."""
+    from worktrace.operators import extraction
+
+    k = F.col("k")
+    box = F.struct("label", "confidence", k.alias("x1"), (k * 2).alias("y1"), (k + 10).alias("x2"), (k * 2 + 5).alias("y2"))
+    rows = detections(spark, sf_dir).groupBy("video_id", "frame_pos").agg(F.array_sort(F.collect_list(F.struct("event_id", box.alias("b")))).alias("x"))
+    boxes = extraction.confident_boxes(F.transform("x", lambda e: e["b"]))
+    return rows.select("video_id", "frame_pos", extraction.boxes_as_lists(boxes).alias("detected_tools"))
+
+
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("o_orderkey") % 7 == 0, "").otherwise((F.col("o_custkey") % 250).cast("string"))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"), code.alias("ncs_code"))
@@ -69,22 +80,29 @@ def manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer per order, an item per line: plain or fenced JSON, broken JSON, or an object instead of an array."""
+    """One answer per order, an item per line: plain or fenced JSON, broken JSON (text behind, two arrays, single quotes), or an object instead of an array.
+
+    Some step numbers are no numbers, some items that should describe nothing do, some cite tools or quotes that may not be there.
+    """
     line = table(spark, sf_dir, "lineitem")
     status = (
         F.when(F.col("l_returnflag") == "A", "SUCCESS").when(
             F.col("l_returnflag") == "N", "STANDARD_COMPLIANCE",
         ).when(F.col("l_linenumber") % 2 == 0, "MISMATCH").otherwise("UNKNOWN")
     )
+    turn = F.col("l_linenumber") - 1
+    unit = F.element_at(F.array(*[F.lit(u) for u in UNITS]), (turn % 6 + 1).cast("int"))
+    quote = F.concat(F.lit("tighten to "), (turn * 7 + 5).cast("string"), F.lit(" "), unit)
     common = [
-        F.col("l_linenumber").alias("step_number"), status.alias("status"),
+        F.when(F.col("l_suppkey") % 97 == 0, "n/a").otherwise(F.col("l_linenumber").cast("string")).alias("step_number"), status.alias("status"),
         F.concat(F.lit("step "), F.col("l_linenumber").cast("string")).alias("standard_manual_text"),
         F.when(
-            status == "SUCCESS", F.concat(F.lit("part "), F.col("l_partkey").cast("string")),
+            (status == "SUCCESS") | (F.col("l_partkey") % 50 == 0), F.concat(F.lit("part "), F.col("l_partkey").cast("string")),
         ).otherwise("해당 없음").alias("tacit_knowledge_description"),
     ]
     evidence = F.struct(
-        F.array(F.lit("person")).alias("detected_tools"), F.array().cast("array<string>").alias("verified_quotes"),
+        F.when(F.col("l_partkey") % 7 == 0, F.array(F.lit("person"), F.lit("drill"))).otherwise(F.array(F.lit("person"))).alias("detected_tools"),
+        F.when(F.col("l_quantity") > 30, F.array(quote)).otherwise(F.array().cast("array<string>")).alias("verified_quotes"),
     ).alias("fact_evidence")
     keep_null = {"ignoreNullFields": "false"}
     item = F.when(F.col("l_quantity") <= 5, F.to_json(F.struct(*common), keep_null)).otherwise(F.to_json(F.struct(*common, evidence), keep_null))
@@ -93,7 +111,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e["item"]), ","), F.lit("]"))
     k = F.col("l_orderkey")
     raw = (
-        F.when(k % 11 == 0, F.concat(body, F.lit(" and so on"))).when(k % 13 == 0, F.get(F.transform("x", lambda e: e["item"]), F.lit(0)))
+        F.when(k % 11 == 0, F.when(k % 3 == 0, F.concat(body, F.lit(" and so on []"))).when(k % 3 == 1, F.concat(body, body)).otherwise(F.replace(body, F.lit('"'), F.lit("'"))))
+        .when(k % 13 == 0, F.get(F.transform("x", lambda e: e["item"]), F.lit(0)))
         .when(k % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     )
     return per.select(k.alias("video_id"), raw.alias("raw_response"))
@@ -120,16 +139,25 @@ FRAMES_SQL = (
   from det group by video_id, frame_pos
 )"""
 )
+TOOLS_SQL = """
+tools as (
+  select video_id, frame_pos, '[' || coalesce(string_agg('{"label":"' || label || '","confidence":' || round(confidence, 4)::double || ',"bbox":[' || k || ',' || k * 2 || ',' || k + 10 || ',' || k * 2 + 5 || ']}',
+           ',' order by event_id) filter (where confidence >= 0.4), '') || ']' as detected_tools
+  from det group by video_id, frame_pos
+)"""
 VIDEOS_SQL = "videos as (select o_orderkey as video_id, case when o_orderkey % 7 = 0 then '' else cast(o_custkey % 250 as varchar) end as ncs_code from orders)"
 MANUALS_SQL = "manuals as (select cast(item_id as varchar) as ncs_code, text as standard_manual_text from benchmark)"
 #: The items of the answers, with whether the answer can be parsed; SQL needs no JSON text to say which are valid.
 ITEMS_SQL = """
 items as (
   select l_orderkey as video_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) - 1 as item_pos,
-         l_linenumber as step_number, 'step ' || l_linenumber as standard_manual_text, l_quantity <= 5 as lacks_evidence, l_partkey,
+         case when l_suppkey % 97 = 0 then null else l_linenumber end as step_number, case when l_suppkey % 97 = 0 then 'n/a' else l_linenumber::varchar end as step_text,
+         case when l_partkey % 7 = 0 then ['person', 'drill'] else ['person'] end as tools,
+         case when l_quantity > 30 then 'tighten to ' || (l_linenumber * 7 - 2) || ' ' || (['mm', 'N-m', 'ft-lb', 'in', 'degree', 'psi'])[((l_linenumber - 1) % 6 + 1)::int] end as quote,
+         'step ' || l_linenumber as standard_manual_text, l_quantity <= 5 as lacks_evidence, l_partkey,
          case l_returnflag when 'A' then 'SUCCESS' when 'N' then 'STANDARD_COMPLIANCE' else case when l_linenumber % 2 = 0 then 'MISMATCH' else 'UNKNOWN' end end as status,
          case when l_orderkey % 11 = 0 or l_orderkey % 13 = 0 then false else true end as parsable
   from lineitem
 ), described as (
-  select *, case when status = 'SUCCESS' then 'part ' || l_partkey else '해당 없음' end as tacit_knowledge_description from items
+  select *, case when status = 'SUCCESS' or l_partkey % 50 = 0 then 'part ' || l_partkey else '해당 없음' end as tacit_knowledge_description from items
 )"""
