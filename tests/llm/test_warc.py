@@ -115,7 +115,9 @@ def test_damaged_archives_give_reject_rows(spark, tmp_path):
     }
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
-    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    with pytest.raises(Exception):  # noqa: B017,PT011  by default nothing is left out in silence
+        warc.read(spark, f"file://{tmp_path}").collect()
+    rows = warc.read(spark, f"file://{tmp_path}", damaged="reject").collect()
     assert len([r for r in rows if r.record_id == "ok"]) == 5 and all(r.payload == b"body" for r in rows if r.record_id == "ok")
     bad = {(r.file.rpartition("/")[2], r.error): r.offset for r in warc.rejected(spark, f"file://{tmp_path}").collect()}
     assert bad.pop(("c.warc.gz", "damaged")) > len(good)
@@ -132,3 +134,30 @@ def test_archives_are_bounded(spark):
     warc.write(pages, path, archive_bytes=60_000)
     assert len(spark.read.format("binaryFile").load(path).select("path").collect()) >= 5
     assert warc.page_captures(warc.assemble(warc.read(spark, path))).count() == 60
+
+
+def test_a_read_error_in_mid_file_fails(spark, tmp_path):
+    """A block that fails its checksum is no end of file."""
+    data = "".join(record(b"response", b"%d" % k, b"HTTP/1.1 200 OK\r\n\r\n%d" % k).decode() for k in range(2000))
+    spark.createDataFrame([(data,)], "value string").coalesce(1).write.text(f"file://{tmp_path}/a")
+    (file,) = (tmp_path / "a").glob("part-*.txt")
+    assert warc.read(spark, f"file://{file}").count() == 2000
+    raw = bytearray(file.read_bytes())
+    raw[len(raw) // 2] ^= 1
+    file.write_bytes(raw)
+    for how in ("fail", "reject"):
+        with pytest.raises(Exception, match="(?i)checksum"):
+            warc.read(spark, f"file://{file}", damaged=how).count()
+
+
+def test_plain_archives_are_split_and_put_together(spark, tmp_path):
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n" + b"line\r\n" * (k % 50) + b"%d" % k for k in range(3000)]
+    (tmp_path / "a.warc").write_bytes(b"".join(record(b"response", b"%d" % k, b) for k, b in enumerate(blocks)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = warc.read(spark, f"file://{tmp_path}")
+        got = {r.record_id: bytes(r.payload) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {str(k): b.partition(b"\r\n\r\n")[2] for k, b in enumerate(blocks)}

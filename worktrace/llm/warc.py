@@ -221,31 +221,72 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(records())
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content, name) of files -> records."""
+def _lines(content: memoryview) -> Iterator[bytes]:
+    """The lines of a gzip file as far as it unpacks; only damage to its data ends it early."""
+    at, rest, end = 0, b"", _END.encode()
+    while at < len(content):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            while at < len(content) and not member.eof:
+                some = content[at : at + (1 << 20)]
+                *lines, rest = (rest + member.decompress(some)).split(end)
+                at += len(some) - len(member.unused_data)
+                yield from lines
+        except zlib.error:
+            break
+    if rest:
+        yield rest
+
+
+def _salvaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content, name) of damaged gzip files -> records."""
     return _batches(
         (f.as_py(), *record) for batch in batches for content,
-        f in zip(batch.column(0), batch.column(1), strict=True) for record in parse(content.as_py().split(_END.encode()))
+        f in zip(batch.column(0), batch.column(1), strict=True) for record in parse(_lines(memoryview(content.as_buffer())))
     )
 
 
-def parsed(spark: SparkSession, path: str) -> DataFrame:
+def _text(spark: SparkSession, pattern: str, path: str | list[str]) -> DataFrame:
+    """Lines as bytes with a hash of their file's name, and the name where a record may begin; in order in their partition. A read that fails fails the job."""
+    file = F.col("_metadata.file_path")
+    rows = spark.read.option("pathGlobFilter", pattern).option("lineSep", _END).option("ignoreCorruptFiles", False).text(path)
+    return rows.select(
+        F.col("value").cast("binary").alias("value"), F.xxhash64(file).alias("f"), F.when(F.col("value").startswith("WARC/"), file).alias("file"),
+        F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"),
+    )
+
+
+def _gzipped(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).filter("length > 0").select("content", "path")
+
+
+def parsed(spark: SparkSession, path: str, damaged: str = "fail") -> DataFrame:
     """All records of the archives at `path`, those that can't be used with an error, by file and offset (of the text that was compressed).
 
-    Archives whose names end in .gz are streamed: a record is the most that a task
-    holds. Others, whose names must not end in z, are taken whole. A damaged gzip
-    file ends before the damage, see rejected().
+    Archives whose names end in .gz are read as they come; others, whose names must not
+    end in z, may be split between tasks, so their lines are sorted by file and place.
+    Either way a record is the most that a task holds. Reads that fail, of damaged gzip
+    files too, fail the job. With damaged="reject" gzip files are unpacked once before,
+    and those that don't unpack give the records before the damage; see rejected().
     """
-    file = F.col("_metadata.file_path")
-    lines = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", _END).option("ignoreCorruptFiles", True).text(path)
-    lines = lines.select(F.col("value").cast("binary"), F.xxhash64(file).alias("f"), F.when(F.col("value").startswith("WARC/"), file).alias("file"))
-    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[^z]").load(path).select("content", "path")
-    return lines.mapInArrow(_streamed, _SCHEMA).unionByName(plain.mapInArrow(_whole, _SCHEMA))
+    columns, path_gz = ["value", "f", "file"], path
+    out = _text(spark, "*[^z]", path).repartition("f").sortWithinPartitions("f", "b", "n").select(*columns).mapInArrow(_streamed, _SCHEMA)
+    if damaged == "reject":
+        bad = {r["file"] for r in _gzipped(spark, path).mapInArrow(_damage, _DAMAGE).select("file").collect()}  # names of files
+        every = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).filter("length > 0").select("path")
+        path_gz = [r["path"] for r in every.collect() if r["path"] not in bad]
+        if bad:
+            some = spark.read.format("binaryFile").load(sorted(bad)).select("content", "path")
+            out = out.unionByName(some.mapInArrow(_salvaged, _SCHEMA))
+    return out.unionByName(_text(spark, "*.gz", path_gz).select(*columns).mapInArrow(_streamed, _SCHEMA)) if path_gz else out
+
+
+def read(spark: SparkSession, path: str, damaged: str = "fail") -> DataFrame:
+    """The records of all archives at `path` that can be used; see parsed()."""
+    return parsed(spark, path, damaged).filter("error is null").drop("file", "offset", "error")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives at `path` that can be used; see parsed()."""
-    return parsed(spark, path).filter("error is null").drop("file", "offset", "error")
+_DAMAGE = "file string, offset long, error string"
 
 
 def _damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,16 +315,15 @@ def rejected(spark: SparkSession, path: str) -> DataFrame:
 
     Errors: no_content_length (none, or no number), truncated (the archive ends
     before the record does), damaged (a gzip file that unpacks up to the offset
-    only; read() has its records up to somewhere before), no_record (an archive
+    only; read(damaged="reject") has its records up to there), no_record (an archive
     that is not empty, but without any).
     """
-    rows = materialise(parsed(spark, path).select("file", "offset", "error"), "warc-rejected")
+    rows = materialise(parsed(spark, path, "reject").select("file", "offset", "error"), "warc-rejected")
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"))
     none = files.join(rows.select("file").distinct(), "file", "left_anti").select(
         "file", F.lit(0).cast("long").alias("offset"), F.lit("no_record").alias("error"),
     )
-    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).filter("length > 0").select("content", "path")
-    return rows.filter("error is not null").unionByName(none).unionByName(packed.mapInArrow(_damage, "file string, offset long, error string"))
+    return rows.filter("error is not null").unionByName(none).unionByName(_gzipped(spark, path).mapInArrow(_damage, _DAMAGE))
 
 
 def assemble(records: DataFrame) -> DataFrame:
