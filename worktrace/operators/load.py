@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worktrace.operators import ranks
+
 
 def video_key(file_path: Column) -> Column:
     """The id of a video: the hash of the full path of its recording, in batches and streams alike."""
@@ -18,6 +20,11 @@ def video_keys(videos: DataFrame) -> DataFrame:
     return videos.withColumn("video_id", video_key(F.col("file_path"))).withColumn("ncs_code", F.nullif(F.col("ncs_code"), F.lit("")))
 
 
+def numbered_keys(videos: DataFrame) -> DataFrame:
+    """`videos` with dense video_ids from 1, in the order of file_path: those of a table that counts up by itself."""
+    return ranks.dense_ids(videos, ["file_path"], "video_id").withColumn("ncs_code", F.nullif(F.col("ncs_code"), F.lit("")))
+
+
 def attach_keys(children: DataFrame, videos: DataFrame) -> DataFrame:
     """`children` with the video_id of their file_path."""
     return children.join(videos.select("file_path", "video_id"), "file_path")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from worktrace.functions import hands
 from worktrace.functions.text import strip
+from worktrace.operators import ranks
 
 SAMPLE = 30
 
@@ -49,13 +49,14 @@ def relevant(timeline: DataFrame) -> DataFrame:
 def sampled(timeline: DataFrame, most: int = SAMPLE, pos: str = "frame_pos") -> DataFrame:
     """At most `most` entries of each video, evenly stepped: every (n div most)-th from the first. With sample_pos.
 
-    The timeline is read and sorted once, by video; the rows that stay are few.
+    Videos and positions alone are ranked (see `ranks`), so a long video fills many
+    tasks; the few that stay pick their entries. A position is one entry's.
     """
-    by_video = Window.partitionBy("video_id")
-    ranked = timeline.withColumn("_i", F.row_number().over(by_video.orderBy(pos)) - 1).withColumn("_n", F.count(F.lit(1)).over(by_video))
+    ranked = ranks.numbered(timeline.select("video_id", pos), ["video_id"], [pos], "_i", "_n")
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
     kept = ranked.filter((F.col("_n") <= most) | ((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < most)))
-    return kept.withColumn("sample_pos", F.when(F.col("_n") <= most, F.col("_i")).otherwise(F.floor(F.col("_i") / step)).cast("int")).drop("_i", "_n")
+    place = F.when(F.col("_n") <= most, F.col("_i")).otherwise(F.floor(F.col("_i") / step)).cast("int").alias("sample_pos")
+    return timeline.join(kept.select("video_id", pos, place), ["video_id", pos]).select(*timeline.columns, "sample_pos")
 
 
 def slim_hands(timeline: DataFrame) -> DataFrame:

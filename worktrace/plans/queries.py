@@ -480,6 +480,12 @@ def attach_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return children.join(parents.select("video_id", "ncs_code"), "video_id").select("file_path", "ncs_code", "l_linenumber")
 
 
+@query("select 'orders/' || o_orderkey || '.mp4' as file_path, row_number() over (order by 'orders/' || o_orderkey || '.mp4') as video_id from orders")
+def dense_video_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = F.concat(F.lit("orders/"), F.col("video_id").cast("string"), F.lit(".mp4"))
+    return load.numbered_keys(views.videos(spark, sf_dir).select(paths.alias("file_path"), "ncs_code")).select("file_path", "video_id")
+
+
 @query(
     "select l_orderkey as video_id, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') group by l_orderkey"
 )
