@@ -2,51 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worktrace.sources.storage import materialise, new_path, shared_dir
+
+__all__ = [
+    "BROADCAST_BYTES", "WORD", "lookup_join", "materialise", "new_path", "packed", "quoted", "salt_count", "shared_dir", "small_batches",
+]
+
 #: A word: a maximal run of anything but ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A lookup side of up to this many bytes (as measured, see `lookup_join`) is broadcast.
 BROADCAST_BYTES = 8 << 20
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where one machine does all, a temporary one if it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        base = _own_dir[0]
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used."""
-    return f"{shared_dir(spark)}/worktrace/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
-
-    A lost executor then costs tasks of the later stages only. Unlike
-    checkpoint() the files are columnar and compressed, so later reads prune.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows in an Arrow batch to Python: texts can be long, so fewer than Spark's default."""
