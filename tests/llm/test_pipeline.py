@@ -12,6 +12,7 @@ from tests.conftest import SF
 from tests.llm.test_exact_mix import targets
 from tests.llm.test_quality_lines import brute_repeats
 from worktrace.llm import hyperminhash, quality, tokens
+from worktrace.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,11 @@ def _distance(p, q):
 
 def good_documents(rows):
     """The numbers of the rows (text, lang) that the quality stage keeps, by its rules, without its code."""
+    return {k for k, (kept, *_) in judged_documents(rows).items() if kept}
+
+
+def judged_documents(rows):
+    """Number of each row (text, lang) that passes the base rules -> (kept, class distance, common distance)."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     of = {c: k for k, chars in enumerate(quality.CLASSES.values()) for c in chars}
     ranges = [(a, b, len(quality.CLASSES) + k) for k, spans in enumerate(quality.SCRIPTS.values()) for a, b in spans]
@@ -58,33 +64,45 @@ def good_documents(rows):
         if len(w) >= 10 and 100 * brute_repeats(text) <= 20 * len(w):
             docs.append((k, lang, classes, common, sum(classes), len(w)))
 
+    def verdict(d, ref):
+        _, _, classes, common, chars, n = d
+        by_class = _distance(classes, ref[0]) if ref is not None and chars >= quality.MIN_CLASS_CHARS else None
+        by_word = _distance(common, ref[1]) if ref is not None and n >= quality.MIN_COMMON_WORDS else None
+        far = by_class is not None and by_class > quality.MAX_CLASS_SPREAD + quality.CLASS_SPREAD_NOISE / chars**0.5
+        far |= by_word is not None and by_word > quality.MAX_COMMON_SPREAD + quality.COMMON_SPREAD_NOISE / n**0.5
+        return not far, by_class, by_word
+
     def judge(own, ref):
-        keep = []
-        for d in own:
-            _, _, classes, common, chars, n = d
-            far = False
-            if ref is not None and chars >= quality.MIN_CLASS_CHARS and (x := _distance(classes, ref[0])) is not None:
-                far |= x > quality.MAX_CLASS_SPREAD + quality.CLASS_SPREAD_NOISE / chars**0.5
-            if ref is not None and n >= quality.MIN_COMMON_WORDS and (x := _distance(common, ref[1])) is not None:
-                far |= x > quality.MAX_COMMON_SPREAD + quality.COMMON_SPREAD_NOISE / n**0.5
-            if not far:
-                keep.append(d)
-        return keep
+        return [d for d in own if verdict(d, ref)[0]]
 
     def summed(own):
         return [
             [sum(x) for x in zip(*(d[c] for d in own), strict=True)] for c in (2, 3)
         ] if sum(d[5] for d in own) >= quality.MIN_REFERENCE_WORDS else None
 
-    kept = set()
+    out = {}
     for lang in {d[1] for d in docs}:
         own = [d for d in docs if d[1] == lang]
         centre = []
         for c, total, least in ((2, 4, quality.MIN_CLASS_CHARS), (3, 5, quality.MIN_COMMON_WORDS)):
             shares = [[round(x / d[total], 4) for x in d[c]] for d in own if d[total] >= least]
             centre.append([statistics.median(x) for x in zip(*shares, strict=True)] if shares else [])
-        kept |= {d[0] for d in judge(own, summed(judge(own, centre)) or summed(own))}
-    return kept
+        ref = summed(judge(own, centre)) or summed(own)
+        out |= {d[0]: verdict(d, ref) for d in own}
+    return out
+
+
+def test_robust_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    want = judged_documents([(d.text, d.lang) for d in docs])
+    got = {r.doc_id: r for r in QUERIES["op2_robust_divergence"](spark, SF).collect()}
+    assert len(got) == len(docs) and {r.base_failed for r in got.values()} == {True, False}
+    for k, d in enumerate(docs):
+        r, (kept, *distances) = got[d.doc_id], want.get(k, (False, None, None))
+        assert r.kept == kept and r.base_failed == (k not in want)
+        if k in want:
+            for mine, theirs in zip((r.class_distance, r.common_distance), distances, strict=True):
+                assert (mine is None) == (theirs is None) and (mine is None or abs(mine - theirs) < 2e-6)
 
 
 def test_columns_stay(stages):
