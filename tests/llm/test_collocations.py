@@ -5,6 +5,7 @@ import random
 import re
 
 from worktrace.llm import collocations as C
+from worktrace.llm import common
 
 SCHEMA = "doc_id long, text string, lang string, words int, n string, `w0` int, `a.b` string"
 
@@ -77,7 +78,7 @@ def test_batches_and_chunks_cut_nothing(monkeypatch):
     import pyarrow as pa
 
     class Bits:
-        value = b"\xff" * (1 << (C.BITS - 3))
+        value = b"\xff" * (1 << (common.BITMAP_BITS - 3))
 
     rows = made(7)
     batch = pa.RecordBatch.from_arrays([pa.array([x or "und" for _, x in rows]), pa.array([t for t, _ in rows])], ["lang", "text"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worktrace.llm.common import materialise, quoted, salt_count, small_batches
+from worktrace.llm.common import bitmap, in_bitmap, materialise, quoted, salt_count, small_batches
 from worktrace.llm.hashing import mix
 
 SPAN = 4  # words of the longest phrase
@@ -28,7 +28,6 @@ MIN_COUNT = 30  # a candidate's least count
 COVERED = 80  # percent of its occurrences inside one longer candidate that drop a candidate
 TOP = 2000  # phrases of a language in the report
 
-BITS = 26  # of the table of pairs that may be frequent: 8 MB, whatever the input
 BATCH = 1_500_000  # words that a task counts at once
 VOCABULARY = 400_000  # different words that a task numbers before it begins anew
 CHUNK = 4 << 20  # bytes of a text that are split at once
@@ -119,14 +118,12 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["key", "n"])
 
 
-def _count_windows(bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """bitmap: a broadcast of the packed bits of pairs that may be frequent."""
+def _count_windows(frequent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """frequent: a broadcast bitmap of the pairs that may be frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
         for lang, numbers, n, words in _batches(batches, SPAN - 1):
-            place = (_pair_keys(lang, numbers, words) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-            goes_on = (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            goes_on = in_bitmap(frequent.value, _pair_keys(lang, numbers, words))
             goes_on &= (numbers[:-1] > 0) & (numbers[1:] > 0)
             lead = np.flatnonzero(numbers[:n] > 0)
             # equal windows: those of k words by the group of their first k - 1 and the next word
@@ -152,14 +149,9 @@ def _count_windows(bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _may_be_frequent(rows: DataFrame) -> bytes:
-    """One bit for each of 2^BITS places, set for the pairs that are seen MIN_COUNT times; of fixed size."""
+    """A bitmap of the pairs that are seen MIN_COUNT times."""
     pairs = rows.mapInArrow(_count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
-    place = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
-    packed = pairs.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
-    out = bytearray(1 << (BITS - 3))
-    for row in packed.toLocalIterator():
-        out[row["part"] << 12 : (row["part"] + 1) << 12] = row["bits"]
-    return bytes(out)
+    return bitmap(pairs, "key")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -167,9 +159,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(quoted(lang_col), F.lit("und")).alias("lang"), quoted(text_col).alias("text"))
-    bitmap = spark.sparkContext.broadcast(_may_be_frequent(rows))
+    frequent = spark.sparkContext.broadcast(_may_be_frequent(rows))
     names = [f"w{k}" for k in range(SPAN)]
-    windows = rows.mapInArrow(_count_windows(bitmap), f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
+    windows = rows.mapInArrow(_count_windows(frequent), f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
     windows = materialise(windows.groupBy("lang", *names).agg(F.sum("n").alias("n")), "collocation-windows")
     summed = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     words = F.filter(F.array(*names), lambda w: w.isNotNull())  # null: summed over; empty: padded

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktrace.sources.storage import materialise, new_path, shared_dir
 
 __all__ = [
-    "BROADCAST_BYTES", "WORD", "lookup_join", "materialise", "new_path", "packed", "quoted", "salt_count", "shared_dir", "small_batches",
+    "BROADCAST_BYTES", "WORD", "bitmap", "in_bitmap", "lookup_join", "materialise", "new_path", "packed", "quoted", "salt_count", "shared_dir", "small_batches",
 ]
 
 #: A word: a maximal run of anything but ASCII white space (fixed by the contracts).
@@ -42,6 +43,25 @@ def salt_count(spark: SparkSession) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+BITMAP_BITS = 26  # log of the places of a bitmap: 8 MB, whatever the input
+
+
+def bitmap(keys: DataFrame, column: str) -> bytes:
+    """One bit for each of 2^BITMAP_BITS places, set for those of the 64-bit keys: a filter of fixed size that passes all keys, and some others."""
+    place = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    parts = keys.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = bytearray(1 << (BITMAP_BITS - 3))
+    for row in parts.toLocalIterator():  # at most 2048 rows of 4 KB
+        out[row["part"] << 12 : (row["part"] + 1) << 12] = row["bits"]
+    return bytes(out)
+
+
+def in_bitmap(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys' places are set."""
+    place = keys.view(np.int64) & ((1 << BITMAP_BITS) - 1)
+    return (np.frombuffer(bits, dtype=np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Left join of `rows` with a (materialised) lookup `table`, one row per key, null keys equal.
 

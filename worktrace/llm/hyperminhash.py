@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from worktrace.llm.common import WORD, materialise, quoted, small_batches
+from worktrace.llm.common import WORD, bitmap, in_bitmap, materialise, quoted, small_batches
 from worktrace.llm.hashing import mix, word_hashes
 
 SHINGLE = 5
@@ -163,6 +163,16 @@ def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hashes), *same], names=["shingle", "id", "label", "n"])
 
 
+def _maybe(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows whose first column may be one of the keys of a broadcast bitmap."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(known.value, batch.column(0).to_numpy())))
+
+    return some
+
+
 def _estimated(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array, dense: pa.Array) -> pa.Array:
     """Whether a pair may be linked: its estimate is not more than MARGIN standard deviations below the threshold, or its sets are small."""
     n, m = n.to_numpy(), m.to_numpy()
@@ -268,6 +278,9 @@ def _open_pairs(rest: DataFrame, involved: DataFrame) -> DataFrame:
     shown = materialise(texts.mapInArrow(_shown, "shingle long, id long, label long, n long"), "near-shingles")
     held = shown.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     held = materialise(held.filter("lo <> hi").select("shingle", "c"), "near-held")
+    # most shingles are one component's: they stay out of the shuffles
+    known = shown.sparkSession.sparkContext.broadcast(bitmap(held, "shingle"))
+    shown = shown.mapInArrow(_maybe(known), "shingle long, id long, label long, n long")
     by_id = Window.partitionBy("id")
     place = F.row_number().over(by_id.orderBy("c", "shingle")) - 1 + F.col("n") - F.count(F.lit(1)).over(by_id)
     rare = shown.join(held, "shingle").withColumn("room", F.col("n") - place).filter(100 * F.col("room") >= PERCENT * F.col("n"))
