@@ -28,6 +28,8 @@ def dot(a: Column, b: Column) -> Column:
 
 #: Queries that a task holds at a time.
 QUERY_BLOCK = 2_000
+#: Bytes of queries that are broadcast at most.
+QUERY_BYTES = 16 << 20
 #: Vectors that meet a block in one task.
 PART = 20_000
 
@@ -35,7 +37,8 @@ PART = 20_000
 def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = QUERY_BLOCK, part: int = PART) -> DataFrame:
     """query_id, id, similarity, rank: the k nearest of `vectors` (id, embedding) by cosine, for each of `queries` (the same columns).
 
-    Counts the queries first. One block of them is broadcast; more blocks meet the
+    Counts the queries and their length first: a block has `block` of them, fewer if
+    these are over QUERY_BYTES. One block is broadcast; more blocks meet the
     vectors in a join by block and part, where a part holds PART of the vectors or
     so: each vector is copied once per block and each query once per part, so no
     task holds all of either. Each task ranks its vectors for each query and keeps
@@ -45,7 +48,8 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).withColumn("nq", norm("q")).filter("nq > 0")
     v = vectors.select("id", "embedding").withColumn("nv", norm("embedding")).filter("nv > 0").withColumn("_part", F.spark_partition_id())
-    blocks = -(-queries.count() // block)
+    about = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
+    blocks = -(-about["n"] // max(1, min(block, QUERY_BYTES // (8 * max(1, about["dims"] or 1)))))
     if blocks <= 1:
         pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
     else:
