@@ -74,7 +74,8 @@ def outside(points: DataFrame, intervals: DataFrame, width: int = BUCKET_MS) ->
     """
     levels = _levels(intervals, width)
     row = F.struct(*points.columns)
-    ends = _bucketed(intervals.select("video_id", "start_ms", "end_ms"), width).groupBy(*_KEYS, F.col("start_ms").alias("_at")).agg(F.max("end_ms").alias("_end"))
+    spans = _bucketed(intervals.select("video_id", "start_ms", "end_ms"), width)
+    ends = spans.groupBy(*_KEYS, F.col("start_ms").alias("_at")).agg(F.max("end_ms").alias("_end"))
     ends = ends.withColumn("_kind", F.lit(0)).withColumn("_row", F.lit(None).cast(points.select(row.alias("r")).schema["r"].dataType))
     marks = _points(points.withColumn("_row", row), levels, width).select(
         *_KEYS, F.col("ts_ms").alias("_at"), F.lit(None).cast("long").alias("_end"), F.lit(1).alias("_kind"), "_row"
@@ -137,12 +138,13 @@ def _stretches(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def cover(intervals: DataFrame, width: int = BUCKET_MS) -> DataFrame:
-    """Disjoint stretches of each video's buckets: from _at up to the next one belongs to the interval that is first in list order (half-open), or to none.
+    """Disjoint stretches of each video's buckets: each begins at _at and belongs to the interval first in list order there, or to none.
 
-    One pass in order of start holds the intervals that are open, no more.
+    Intervals are half-open. One pass in order of start holds the intervals that are open, no more.
     """
     rows = _bucketed(intervals.select("video_id", "seg_pos", "start_ms", "end_ms", "text"), width).filter("end_ms > start_ms")
-    rows = rows.select(F.col("video_id").cast("long").alias("video_id"), "_level", "_bucket", "start_ms", "end_ms", F.col("seg_pos").cast("long").alias("seg_pos"), "text")
+    as_long = lambda c: F.col(c).cast("long").alias(c)
+    rows = rows.select(as_long("video_id"), "_level", "_bucket", "start_ms", "end_ms", as_long("seg_pos"), "text")
     ordered = rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "start_ms")
     return ordered.mapInArrow(_sweep, _STRETCH)
 
@@ -155,9 +157,13 @@ def first_match(points: DataFrame, intervals: DataFrame, width: int = BUCKET_MS)
     """
     levels = _levels(intervals, width)
     none = F.lit(None)
-    stretches = cover(intervals, width).select(*_KEYS, "_at", F.lit(0).alias("_kind"), none.cast("long").alias("frame_pos"), F.struct("seg_pos", "text").alias("_owner"))
+    stretches = cover(intervals, width).select(
+        *_KEYS, "_at", F.lit(0).alias("_kind"), none.cast("long").alias("frame_pos"), F.struct("seg_pos", "text").alias("_owner")
+    )
     marks = _points(points.select("video_id", "frame_pos", "ts_ms"), levels, width)
-    marks = marks.select(*_KEYS, F.col("ts_ms").alias("_at"), F.lit(1).alias("_kind"), "frame_pos", none.cast("struct<seg_pos:long,text:string>").alias("_owner"))
+    marks = marks.select(
+        *_KEYS, F.col("ts_ms").alias("_at"), F.lit(1).alias("_kind"), "frame_pos", none.cast("struct<seg_pos:long,text:string>").alias("_owner")
+    )
     owner = F.last("_owner", ignorenulls=True).over(_before())
     seen = stretches.unionByName(marks).withColumn("_owner", owner).filter("_kind = 1")
     if len(levels) <= 1:
@@ -181,7 +187,8 @@ def _nodes(segments: DataFrame, levels: int) -> DataFrame:
         a, b = at(j)
         left, right = (a < b) & (F.pmod(a, F.lit(2)) == 1), (a < b) & (F.pmod(b, F.lit(2)) == 1)
         # one node may be the left and the right one
-        return F.array(F.when(left, F.struct(j.alias("l"), a.alias("n"))), F.when(right & ~(left & (a == b - 1)), F.struct(j.alias("l"), (b - 1).alias("n"))))
+        right = right & ~(left & (a == b - 1))
+        return F.array(F.when(left, F.struct(j.alias("l"), a.alias("n"))), F.when(right, F.struct(j.alias("l"), (b - 1).alias("n"))))
 
     nodes = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), two)), lambda x: x.isNotNull())
     return segments.filter("end_ms >= start_ms").select("video_id", "seg_pos", F.explode(nodes).alias("_x")).select(
@@ -192,13 +199,11 @@ def _nodes(segments: DataFrame, levels: int) -> DataFrame:
 def pyramid(frames: DataFrame, levels: int) -> DataFrame:
     """Counts, label sets and hand flags per node (video, _l, _n) of 2^_l cells. Cells are summed first, nodes from cells."""
     cell = F.floor(F.col("ts_ms") / CELL_MS)
-    cells = frames.groupBy("video_id", cell.alias("_c")).agg(
-        F.count(F.lit(1)).alias("n_frames"), F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"), F.bool_or("hand_active").alias("hand_active")
-    )
-    each = cells.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("_n", F.floor(F.col("_c") / F.pow(F.lit(2), F.col("_l"))))
-    return each.groupBy("video_id", "_l", "_n").agg(
-        F.sum("n_frames").alias("n_frames"), F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"), F.bool_or("hand_active").alias("hand_active")
-    )
+    what = [F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"), F.bool_or("hand_active").alias("hand_active")]
+    cells = frames.groupBy("video_id", cell.alias("_c")).agg(F.count(F.lit(1)).alias("n_frames"), *what)
+    each = cells.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    each = each.withColumn("_n", F.floor(F.col("_c") / F.pow(F.lit(2), F.col("_l"))))
+    return each.groupBy("video_id", "_l", "_n").agg(F.sum("n_frames").alias("n_frames"), *what)
 
 
 def _ends(segments: DataFrame) -> DataFrame:
@@ -222,8 +227,8 @@ def overlap(segments: DataFrame, frames: DataFrame, keep: Sequence[str] = ()) ->
     levels = _node_levels(slim)
     stats = ["n_frames", "labels", "hand_active"]
     whole = _nodes(slim, levels).join(pyramid(seen, levels), ["video_id", "_l", "_n"]).select("video_id", "seg_pos", *stats)
-    ends = _ends(slim).join(seen.withColumn("_c", F.floor(F.col("ts_ms") / CELL_MS)), ["video_id", "_c"]).filter(F.col("ts_ms").between(F.col("_a"), F.col("_b")))
-    ends = ends.select("video_id", "seg_pos", F.lit(1).cast("long").alias("n_frames"), "labels", "hand_active")
+    ends = _ends(slim).join(seen.withColumn("_c", F.floor(F.col("ts_ms") / CELL_MS)), ["video_id", "_c"])
+    ends = ends.filter(F.col("ts_ms").between(F.col("_a"), F.col("_b"))).select("video_id", "seg_pos", F.lit(1).cast("long").alias("n_frames"), "labels", "hand_active")
     by = whole.unionByName(ends).groupBy("video_id", "seg_pos").agg(
         F.sum("n_frames").alias("n_frames"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"),
         F.bool_or("hand_active").alias("hand_active"),

@@ -20,9 +20,9 @@ BROADCAST_ROWS = 500_000
 
 
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank", total: str | None = None) -> DataFrame:
-    """`rows` with their position (from 0, long) within equal `by` (none: the whole table) in the order of `order`, and the number of rows there as `total`.
+    """`rows` with their position (from 0, long) within equal `by`, in the order of `order`, and the number of rows there as `total`.
 
-    Nulls come first and are equal to each other. Rows that `order` does not tell apart
+    Without `by` the whole table is one group. Nulls come first and are equal to each other. Rows that `order` does not tell apart
     are in some order of their own: give columns that do for the same result on a rerun.
     """
     keys = [*by, *order]
@@ -34,7 +34,8 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str
     # one row per partition and group: a group has as many as the partitions it fills, and so has the table if there is no group
     within = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     before = F.coalesce(F.sum("_n").over(within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], "_first", before.alias("_before"), F.sum("_n").over(within).alias("_total"))
+    groups = [F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)]
+    runs = runs.select(F.col("_part").alias("_p"), *groups, "_first", before.alias("_before"), F.sum("_n").over(within).alias("_total"))
     runs = materialise(runs, "rank-runs")
     on = F.col("_part") == F.col("_p")
     for i, c in enumerate(by):

@@ -86,7 +86,10 @@ def _assign(centroids: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Itera
             codes = np.rint(rest / np.maximum(scale, 1e-30)[:, None]).astype(np.int8)
             cosine = np.einsum("ij,ij->i", unit, centroids[cell])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), batch.column(0), pa.array(scale), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), pa.array(cosine)],
+                [
+                    pa.array(cell.astype(np.int32)), batch.column(0), pa.array(scale), pa.array([c.tobytes() for c in codes], pa.binary()),
+                    batch.column(1), pa.array(cosine),
+                ],
                 ["cell", "id", "scale", "code", "embedding", "cosine"],
             )
 
@@ -120,7 +123,8 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, seed: int = 1
     entries.repartitionByRange("cell", "part", "id").sortWithinPartitions("cell", "part", "id").write.parquet(f"{path}/entries")
     stored = spark.read.parquet(f"{path}/entries")
     sizes = stored.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("cosine").alias("least"), F.max("scale").cast("double").alias("scale"), F.array_sort(F.collect_set("part")).alias("parts")
+        F.count("*").alias("n"), F.min("cosine").alias("least"), F.max("scale").cast("double").alias("scale"),
+        F.array_sort(F.collect_set("part")).alias("parts"),
     )
     center = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
     center.join(sizes, "cell").coalesce(1).write.parquet(f"{path}/cells")
@@ -160,9 +164,9 @@ def _probed(cells: _Cells, probes: int | None) -> Callable[[Iterator[pa.RecordBa
             else:
                 wanted = np.argsort(-(unit @ cells.centroid.T), axis=1)[:, :probes]
             rows = [(i, cells.cell[c], p) for i, found in enumerate(wanted) for c in found for p in cells.parts[c]]
-            at = pa.array([r[0] for r in rows], pa.int64())
+            at, cell, part = (pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), *(batch.column(k).take(at) for k in range(3))],
+                [cell, part, *(batch.column(k).take(at) for k in range(3))],
                 ["cell", "part", "query_id", "q", "least"],
             )
 

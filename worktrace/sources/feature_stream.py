@@ -71,7 +71,8 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     depth += 1
                 elif mark:
                     depth -= 1
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (file, b)] + [pa.array([depth], pa.int32()), pa.array([json.dumps(opened)])], ["file", "b", "net", "opened"])
+        row = [pa.array([file]), pa.array([b]), pa.array([depth], pa.int32()), pa.array([json.dumps(opened)])]
+        yield pa.RecordBatch.from_arrays(row, ["file", "b", "net", "opened"])
 
 
 def _begins(spark: SparkSession, path: str) -> dict[tuple[str, int], tuple[int, str | None]]:
@@ -165,6 +166,8 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     for name, schema in SECTIONS.items():
         rows = every.filter(F.col("section") == name).select(F.col("file").alias("source_path"), "pos", F.from_json("body", schema).alias("x"))
         out[name] = rows.select("source_path", "pos", "x.*")
-    scalar = [F.max(F.when(F.col("section") == f.name, F.get_json_object(F.concat(F.lit('{"x":'), "body", F.lit("}")), "$.x"))).try_cast(f.dataType).alias(f.name) for f in SCALARS]
-    out["videos"] = found.filter("at = -2").groupBy(F.col("file").alias("source_path")).agg(*scalar).withColumn("stem", artefact_stem(F.col("source_path")))
+    value = F.get_json_object(F.concat(F.lit('{"x":'), "body", F.lit("}")), "$.x")
+    scalars = [F.max(F.when(F.col("section") == f.name, value)).try_cast(f.dataType).alias(f.name) for f in SCALARS]
+    videos = found.filter("at = -2").groupBy(F.col("file").alias("source_path")).agg(*scalars)
+    out["videos"] = videos.withColumn("stem", artefact_stem(F.col("source_path")))
     return out
