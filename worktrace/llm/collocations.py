@@ -163,9 +163,12 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     names = [f"w{k}" for k in range(SPAN)]
     windows = rows.mapInArrow(_count_windows(frequent), f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
     windows = materialise(windows.groupBy("lang", *names).agg(F.sum("n").alias("n")), "collocation-windows")
-    summed = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
-    words = F.filter(F.array(*names), lambda w: w.isNotNull())  # null: summed over; empty: padded
-    counts = summed.filter(F.col("g") < (1 << SPAN)).select("lang", words.alias("words"), "f")
+    # windows are the counts of the longest phrases; the rollup sums them to those of all shorter ones and to n
+    *shorter, longest = names
+    summed = windows.rollup("lang", *shorter).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    words = F.filter(F.array(*shorter), lambda w: w.isNotNull())  # null: summed over; empty: padded
+    counts = summed.filter(F.col("g") < (1 << len(shorter))).select("lang", words.alias("words"), "f")
+    counts = counts.unionByName(windows.filter(F.col(longest) != "").select("lang", F.array(*names).alias("words"), F.col("n").alias("f")))
     last = F.get("words", F.size("words") - 1)
     return counts.filter((F.size("words") == 0) | (last != "") & (F.col("f") >= MIN_COUNT))
 
