@@ -6,8 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def signed_round(value: Column, digits: int = 4) -> Column:
+    """A double rounded; what becomes zero keeps its sign (Spark's round drops it)."""
+    short = F.round(value, digits)
+    return F.when(short == 0, value * F.lit(0.0)).otherwise(short)
+
+
 def rounded(landmarks: Column, digits: int = 4) -> Column:
-    return F.transform(landmarks, lambda p: F.transform(p, lambda v: F.round(v, digits)))
+    return F.transform(landmarks, lambda p: F.transform(p, lambda v: signed_round(v, digits)))
 
 
 def active(hands: Column) -> Column:
@@ -21,7 +27,7 @@ def summary(landmarks: Column) -> Column:
 
     def mean(k: int) -> Column:
         total = F.aggregate(full, F.lit(0.0), lambda a, p: a + F.get(p, F.lit(k)))
-        return F.when(F.size(full) > 0, F.round(total / F.size(full), 4))
+        return F.when(F.size(full) > 0, signed_round(total / F.size(full)))
 
     out = F.struct(
         F.slice(F.get(landmarks, F.lit(0)), 1, 2).alias("wrist_xy"), mean(0).alias("mean_x"), mean(1).alias("mean_y"),
