@@ -10,8 +10,9 @@ The exact search goes on from there. The cells hold their widest angle, so it is
 which of them may hold something better than what a query has, and codes come with the
 largest error they can have; what may be better is ranked by full vectors as well.
 
-Cells are split into parts of PART_ROWS vectors, and queries meet a part QUERY_ROWS at a
-time, so no task holds more than that, however many vectors or queries one cell draws.
+A cell of more than PART_ROWS vectors is split into parts, and queries meet a part
+QUERY_ROWS at a time, so no task holds more than that, however many vectors or queries
+one cell draws. Parts are numbered through all cells.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worktrace.operators.access import dot
+from worktrace.sources.storage import materialise
 
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 32 << 20  # of the sample, and of the centroids
@@ -35,10 +37,12 @@ MAX_CELLS = 4096
 TARGET = 0.95
 PART_ROWS = 20_000
 QUERY_ROWS = 2_000
+ASSIGN_ROWS = 1_024  # vectors that are compared with all centroids at a time
+PROBE_ROWS = 8_192  # rows of queries and cells in one batch, about
 RERANK = 4  # candidates per query: so many times k
 
 _ENTRY = "cell int, part int, id long, scale float, code binary, embedding array<double>"
-_FOUND = "query_id long, id long, cell int, part int"
+_FOUND = "query_id long, id long, cell int, part int, score double"
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -76,9 +80,7 @@ def _least_probes(sample: np.ndarray, centroids: np.ndarray, k: int = 5, queries
 
 def _assign(centroids: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(a, ASSIGN_ROWS) for whole in batches for a in range(0, whole.num_rows, ASSIGN_ROWS)):
             unit = _matrix(batch.column(1))
             cell = np.argmax(unit @ centroids.T, axis=1)
             rest = unit - centroids[cell]
@@ -117,9 +119,13 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, seed: int = 1
     else:
         centroids = held[:cells]
     probes = _least_probes(held, centroids)
-    entries = rows.mapInArrow(_assign(centroids), "cell int, id long, scale float, code binary, embedding array<double>, cosine double")
-    parts = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // PART_ROWS)))).cast("int")
-    entries = entries.withColumn("part", parts)
+    assigned = rows.mapInArrow(_assign(centroids), "cell int, id long, scale float, code binary, embedding array<double>, cosine double")
+    assigned = materialise(assigned, "assigned")
+    counts = sorted((r["cell"], -(-r["n"] // PART_ROWS)) for r in assigned.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row per cell
+    starts = np.cumsum([0] + [c for _, c in counts]).tolist()
+    parts = spark.createDataFrame([(c, a, m) for (c, m), a in zip(counts, starts, strict=False)], "cell int, _first int, _parts int")
+    part = (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_parts"))).cast("int")
+    entries = assigned.join(F.broadcast(parts), "cell").withColumn("part", part).drop("_first", "_parts")
     entries.repartitionByRange("cell", "part", "id").sortWithinPartitions("cell", "part", "id").write.parquet(f"{path}/entries")
     stored = spark.read.parquet(f"{path}/entries")
     sizes = stored.groupBy("cell").agg(
@@ -155,9 +161,8 @@ def _probed(cells: _Cells, probes: int | None) -> Callable[[Iterator[pa.RecordBa
     """(query_id, embedding, least) -> a row per part of a cell to look into: the nearest cells, or all that may hold more than `least`."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, PROBE_ROWS // max(1, sum(map(len, cells.parts))))
+        for batch in (whole.slice(a, step) for whole in batches for a in range(0, whole.num_rows, step)):
             unit, least = _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             if probes is None:
                 wanted = [np.flatnonzero(row >= t - 1e-9) for row, t in zip(cells.highest(unit), least, strict=True)]
@@ -178,22 +183,28 @@ def _scored(cells: _Cells, keep: int | None) -> Callable[[pa.Table, pa.Table], p
     where = {c: i for i, c in enumerate(cells.cell)}
 
     def score(queries: pa.Table, entries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int]] = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        cell = part = 0
         if queries.num_rows and entries.num_rows:
-            i = where[entries.column("cell")[0].as_py()]
-            unit, least = _matrix(queries.column("q")), queries.column("least").to_pylist()
+            cell, part = entries.column("cell")[0].as_py(), entries.column("part")[0].as_py()
+            i = where[cell]
+            unit, least = _matrix(queries.column("q")), queries.column("least").to_numpy()
             codes = np.frombuffer(b"".join(entries.column("code").to_pylist()), np.int8).reshape(entries.num_rows, -1)
             rebuilt = (cells.centroid[i] + codes * entries.column("scale").to_numpy()[:, None]).T
-            ids, names = entries.column("id").to_numpy(), queries.column("query_id").to_pylist()
-            place = entries.column("cell")[0].as_py(), entries.column("part")[0].as_py()
+            ids, names = entries.column("id").to_numpy(), queries.column("query_id").to_numpy()
             for a in range(0, len(unit), 128):
-                for name, t, row in zip(names[a : a + 128], least[a : a + 128], unit[a : a + 128] @ rebuilt, strict=True):
-                    row[ids == name] = -np.inf
-                    best = np.flatnonzero(row + cells.error[i] + 1e-6 >= t) if keep is None else np.argsort(-row)[:keep]
-                    out += [(name, int(x), *place) for x in ids[best[np.isfinite(row[best])]]]
-        names = [f.split()[0] for f in _FOUND.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.Table.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names)
+                about = unit[a : a + 128] @ rebuilt
+                about[names[a : a + 128, None] == ids[None, :]] = -np.inf
+                if keep is None:
+                    chosen = about + cells.error[i] + 1e-6 >= least[a : a + 128, None]
+                else:
+                    chosen = np.zeros(about.shape, bool)
+                    np.put_along_axis(chosen, np.argpartition(-about, min(keep, len(ids)) - 1, axis=1)[:, :keep], True, axis=1)
+                q, e = np.nonzero(chosen & np.isfinite(about))
+                found.append((names[a + q], ids[e], about[q, e]))
+        name, other, value = (np.concatenate([f[n] for f in found]) for n in range(3))
+        place = [pa.array(np.full(len(name), x, np.int32)) for x in (cell, part)]
+        return pa.Table.from_arrays([pa.array(name), pa.array(other), *place, pa.array(value)], [f.split()[0] for f in _FOUND.split(", ")])
 
     return score
 
@@ -207,8 +218,12 @@ def _ranked(spark: SparkSession, path: str, queries: DataFrame, cells: _Cells, k
     codes = entries.select("cell", "part", "id", "scale", "code").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["cell", "part", "block"]
     found = mine.groupBy(*keys).cogroup(codes.groupBy(*keys)).applyInArrow(_scored(cells, keep), _FOUND)
+    found = found.dropDuplicates(["query_id", "cell", "part", "id"])
+    if keep is not None:
+        nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+        found = found.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= keep)
     full = entries.select("cell", "part", "id", "embedding")
-    pairs = found.distinct().join(full, ["cell", "part", "id"]).join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    pairs = found.select("query_id", "id", "cell", "part").join(full, ["cell", "part", "id"]).join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     pairs = pairs.select("query_id", "id", "part", (dot(F.col("q"), F.col("embedding")) / (norm("q") * norm("embedding"))).alias("similarity"))
     order = [F.desc("similarity"), F.asc("id")]
@@ -221,7 +236,7 @@ def search(queries: DataFrame, path: str, k: int = 5, probes: int | None = None,
     """query_id, id, similarity, rank: for each of `queries` (id, embedding) the k entries with the largest cosine.
 
     By default from the `probes` nearest cells (as many as the index was measured to
-    need), RERANK * k candidates a cell part; with `exact`, the same as by comparing all.
+    need), RERANK * k candidates a query; with `exact`, the same as by comparing all.
     An entry does not answer a query of its own id; ties go to the smaller id. Queries
     without id, vector or direction have no answers; repeated ids ask once.
     """
@@ -231,9 +246,11 @@ def search(queries: DataFrame, path: str, k: int = 5, probes: int | None = None,
     asked = _usable(queries).dropDuplicates(["id"]).select(F.col("id").alias("query_id"), "embedding", F.lit(-2.0).alias("least"))
     if not cells.cell:
         return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
-    first = _ranked(spark, path, asked, cells, k, probes or settings["probes"], RERANK * k)
+    few = probes or settings["probes"]
     if not exact:
-        return first
+        return _ranked(spark, path, asked, cells, k, few, RERANK * k)
+    # what the nearest cells hold is enough for a bound; all that may be better is read after that
+    first = _ranked(spark, path, asked, cells, k, probes or max(1, few // 8), RERANK * k)
     worst = first.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("similarity"))).alias("kth"))
     bounded = asked.join(worst, "query_id", "left").select("query_id", "embedding", F.coalesce("kth", F.lit(-2.0)).alias("least"))
     return _ranked(spark, path, bounded, cells, k, None, None)
