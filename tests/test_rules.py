@@ -192,3 +192,20 @@ def test_quotes_against_brute_force(spark):
     said = spark.createDataFrame([(1, 0, "first torque to 10"), (1, 1, None), (1, 2, "mm then stop")], "video_id long, seg_pos long, text string")
     df = spark.createDataFrame([(1, 0, "torque to 10 mm"), (1, 1, "torque to 1"), (2, 2, "stop")], "video_id long, item_pos long, text string")
     assert {x.item_pos for x in answers.unspoken(df, said).collect()} == {1, 2}
+
+
+def test_evidence_audit_parses_answers_once(spark, monkeypatch):
+    """What items claim is written once; the rest reads it, and no text of an answer is parsed behind it."""
+    kept, keep = [], answers.storage.materialise
+    monkeypatch.setattr(answers.storage, "materialise", lambda df, name: kept.append((name, df._jdf.queryExecution().toString())) or keep(df, name))
+    evidence = '{"detected_tools": ["car", null, "saw"], "verified_quotes": [" a  b c d ", "b", "c d", "d e f", "  ", null, "x y"]}'
+    texts = [f"[{ITEM.replace('SUCCESS', 'MISMATCH')[:-1]}, \"fact_evidence\": {evidence}}}]".replace('"fact_evidence": {"detected_tools": ["car"], "verified_quotes": ["q"]}, ', "")]
+    df = spark.createDataFrame([(v, t) for v in (1, 2) for t in texts], "video_id long, raw_response string")
+    labels = spark.createDataFrame([(1, "car"), (1, "car"), (2, "saw")], "video_id long, label string")
+    said = spark.createDataFrame([(1, 0, "z a b"), (1, 1, " "), (1, 2, "c  d e"), (3, 0, "x y")], "video_id long, seg_pos long, text string")
+    rows = answers.evidence_audit(answers.insights(df), labels, said)
+    got = sorted((r.video_id, r.rule, str(r.detail)) for r in rows.collect())
+    assert [r for r in got if r[0] == 1] == [(1, "description", "d"), (1, "quote", "d e f"), (1, "quote", "x y"), (1, "tool", "None"), (1, "tool", "saw")]
+    assert [r[1:] for r in got if r[0] == 2] == [("description", "d"), *[("quote", q) for q in ("a  b c d", "b", "c d", "d e f", "x y")], ("tool", "None"), ("tool", "car")]
+    assert [name for name, _ in kept] == ["claims", "quotes"]
+    assert "from_json" not in rows._jdf.queryExecution().toString() and "from_json" not in kept[1][1]
