@@ -45,6 +45,35 @@ def test_a_small_cache_changes_nothing(tokenizer, monkeypatch):
     assert tokens.WordLevel(tokenizer("word_bpe_49k.json")).ids(texts) == want
 
 
+def test_many_pre_tokens_are_not_merged_again(tokenizer):
+    """Prose of ever new words: most of 300,000 different ones are known when they come again."""
+    path, r = tokenizer("byte_bpe_50k.json"), random.Random(3)
+    different = sorted({"".join(r.choices("abdeghilmnorstuz", k=9)) for _ in range(300_000)})
+    texts = [" ".join(different[k : k + 1000]) for k in range(0, len(different), 1000)]
+    mine, asked = tokens.ByteLevel(path), []
+    find = mine._ids.cache.find
+    mine._ids.cache.find = lambda w: asked.append(w) or find(w)
+    first, n = mine.ids(texts), len(asked)
+    assert n >= 299_000 and mine.ids(texts) == first
+    assert len(asked) - n < n // 4
+    assert first[-3:] == [le(e.ids) for e in tokens.load(path).encode_batch(texts[-3:], add_special_tokens=False)]
+
+
+def test_pre_tokens_that_share_a_place_are_told_apart(tokenizer, monkeypatch):
+    """Few places and few ids in each; characters of one byte and of two, up to the longest key and beyond."""
+    r = random.Random(4)
+    some = ["a", "A", "\xe9", "\u0141", "\u0142", "\u0220", "Aa", "zz", "9", "!", "'s"]
+    plain = [" ".join("".join(r.choices(some[: r.choice([3, 11])], k=r.randint(1, 40))) for _ in range(20)) for _ in range(200)]
+    texts = plain + odd_texts(300)
+    for name, make in (("byte_bpe_50k.json", tokens.ByteLevel), ("word_bpe_49k.json", tokens.WordLevel)):
+        want = [le(e.ids) for e in tokens.load(tokenizer(name)).encode_batch(texts, add_special_tokens=False)]
+        for slots, kept in ((1, 1), (16, 3), (1 << 10, 12)):
+            monkeypatch.setattr(tokens, "SLOTS", slots)
+            monkeypatch.setattr(tokens, "KEPT", kept)
+            mine = make(tokenizer(name))
+            assert [mine.ids([t])[0] for t in texts] == want and mine.ids(texts) == want
+
+
 def test_plain_pre_tokens_are_those_of_the_patterns():
     r = random.Random(8)
     plain = ["a", "The", "é", "ß", " ", "  ", "\n", "\t", "\r", "'", "'s", "'re", "'l", "'ll", "1", "23", "½", "!", "#'", "s", "ve", "d"]

@@ -55,6 +55,17 @@ def stretch_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return h
 
 
+def stretch_blocks(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """The bytes of stretches of 8 n bytes at most, a row of n blocks each, zeros behind their ends."""
+    blocks = _Blocks(units)
+    begin, size = starts * blocks.width, (ends - starts) * blocks.width
+    out = np.zeros((len(starts), n), dtype=_U)
+    for j in range(n):
+        live = np.flatnonzero(size > 8 * j)
+        out[live, j] = blocks.block(begin[live] + 8 * j, size[live] - 8 * j)
+    return out
+
+
 def equal_stretches(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
     """Whether each stretch equals that from its place in `others`, which is as long, on."""
     blocks = _Blocks(units)

@@ -4,9 +4,12 @@ Texts of plain characters are cut into pre-tokens where the library's own patter
 cuts them, all texts of a batch at once as arrays of code points; other texts fall
 into chunks at places where the pattern always splits, and chunks with an odd
 character go to the library whole. Equal pre-tokens of a batch are gathered by hashes,
-compared character by character, and asked for once. Most are in a dict by their text;
-the library's model merges those missing. The dict holds CACHE entries of pre-tokens of
-LONGEST characters at most, which bounds a worker's memory and changes no result.
+compared character by character, and asked for once. The library's model merges those
+that are not known yet. Counts are known in a dict by their text, of CACHE entries of
+pre-tokens of LONGEST characters at most. Ids are known in arrays of SLOTS places, looked
+up a batch at a time; each place holds the characters of one pre-token of KEY bytes at
+most and its KEPT ids at most, longer ones are in a dict as above. Both bound a worker's
+memory and change no result.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from worktrace.llm.hashing import PIECE, equal_stretches, stretch_hashes
+from worktrace.llm.hashing import PIECE, equal_stretches, stretch_blocks, stretch_hashes
 
 #: The pre-token pattern of the byte-level vocabularies (fixed value of the format).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 CACHE = 200_000
 LONGEST = 64
+SLOTS = 1 << 20  # a power of two; 81 bytes each
+KEY = 32  # bytes
+KEPT = 12
 SEGMENT = 1 << 16  # characters that are cut into pre-tokens at a time
 
 #: Characters whose letter, number, case and composition properties are the same
@@ -154,6 +160,54 @@ class _Cache:
         return out
 
 
+class _Slots:
+    """Ids of pre-tokens by their characters. The hash gives the place; who comes later takes it."""
+
+    def __init__(self, others: _Cache):
+        self.others = others  # for longer ones
+        self.keys = np.zeros((SLOTS, KEY // 8), "<u8")
+        self.ids = np.zeros((SLOTS, KEPT), "<u4")
+        self.sizes = np.zeros(SLOTS, np.uint8)
+
+    def get(self, hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stretch of `text` (and of `units`, its characters) the number of its ids and where they begin in the third array.
+
+        Keys are the characters, in one byte each or two, with zeros behind. No plain
+        character is 0, 1 or 2, and the second of two bytes always is: keys differ
+        if the stretches do.
+        """
+        fits = (ends - starts) * units.itemsize <= KEY
+        keys = stretch_blocks(units, starts, np.where(fits, ends, starts), KEY // 8)
+        slots = (hashes & np.uint64(len(self.keys) - 1)).astype(np.int64)
+        known = fits & (self.keys[slots] == keys).all(axis=1)
+        sizes = np.zeros(len(starts), dtype=np.int64)
+        sizes[known] = self.sizes[slots[known]]
+        kept = self.ids[slots[known]][_filled(sizes[known])]
+        new, long = np.flatnonzero(~known & fits), np.flatnonzero(~fits)
+        find = self.others.find
+        values = [find(text[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+        values += self.others.get(starts[long], ends[long], text)
+        sizes[np.concatenate([new, long])] = [len(v) // 4 for v in values]
+        flat = np.concatenate([kept, np.frombuffer(b"".join(values), "<u4")])
+        order = np.concatenate([np.flatnonzero(known), new, long])
+        begin = np.empty_like(sizes)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        self._keep(new[sizes[new] <= KEPT], slots, keys, sizes, begin, flat)
+        return sizes, begin, flat
+
+    def _keep(self, new: np.ndarray, slots: np.ndarray, keys: np.ndarray, sizes: np.ndarray, begin: np.ndarray, flat: np.ndarray) -> None:
+        new = new[np.unique(slots[new], return_index=True)[1]]  # one for a place
+        filled = _filled(sizes[new])
+        rows = np.zeros(filled.shape, "<u4")
+        rows[filled] = flat[(begin[new][:, None] + np.arange(KEPT))[filled]]
+        self.keys[slots[new]], self.ids[slots[new]], self.sizes[slots[new]] = keys[new], rows, sizes[new]
+
+
+def _filled(sizes: np.ndarray) -> np.ndarray:
+    """Which of KEPT places are filled, a row for each size."""
+    return np.arange(KEPT) < sizes[:, None]
+
+
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
 _END_MARK = "\0"  # ends each text of a batch; no plain character
 
@@ -202,8 +256,8 @@ def pre_tokens(points: np.ndarray, attach: bool) -> tuple[np.ndarray, np.ndarray
 class _Pieces:
     """Values of whole texts, from those of their pre-tokens and of chunks that the library takes whole.
 
-    of_plain and of_odd give the value of one; `joined` those of a text from its
-    pieces'; `sized` a number that adds up over them.
+    of_plain and of_odd give the value of one; `joined` that of a text from its
+    pieces'; `known` those of pre-tokens, as `dealt` takes them to those of pieces.
     """
 
     def __init__(self, path: str, attach: bool, of_plain: Callable, of_odd: Callable):
@@ -261,17 +315,21 @@ class _Pieces:
             real &= kind != _SPACE
         starts, ends, of_piece = starts[real], ends[real], of_piece[real]
         units = points.astype("<u2" if points.max() > 0xFF else np.uint8)  # plain characters are below 0x221
-        _, first, each = np.unique(stretch_hashes(units, starts, ends), return_index=True, return_inverse=True)
+        hashes = stretch_hashes(units, starts, ends)
+        _, first, each = np.unique(hashes, return_index=True, return_inverse=True)
         same = first[each]
         if (ends - starts != (ends - starts)[same]).any() or not equal_stretches(units, starts, ends, starts[same]):
             first = each = np.arange(len(starts))  # different ones with one hash: each is looked up
-        values = self.cache.get(starts[first], ends[first], text)
+        values = self.known(hashes[first], units, starts[first], ends[first], text)
         return self.dealt(values, each, np.bincount(of_piece, minlength=len(pieces))[: len(pieces)])
 
 
 class _Counts(_Pieces):
     joined = staticmethod(sum)
 
+    def known(self, hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> list[int]:
+        return self.cache.get(starts, ends, text)
+
     def dealt(self, values: list[int], each: np.ndarray, counts: np.ndarray) -> Iterator[int]:
         total = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[each])])
         return iter(np.diff(total[np.cumsum(counts)], prepend=0).tolist())
@@ -280,9 +338,12 @@ class _Counts(_Pieces):
 class _Ids(_Pieces):
     joined = staticmethod(b"".join)
 
-    def dealt(self, values: list[bytes], each: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
-        size = np.array([len(v) // 4 for v in values], dtype=np.int64)
-        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(values), "<u4")
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.known = _Slots(self.cache).get
+
+    def dealt(self, values: tuple[np.ndarray, np.ndarray, np.ndarray], each: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
+        size, begin, flat = values
         size, begin = size[each], begin[each]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)].tobytes()
