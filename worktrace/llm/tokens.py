@@ -169,7 +169,9 @@ class _Slots:
         self.ids = np.zeros((SLOTS, KEPT), "<u4")
         self.sizes = np.zeros(SLOTS, np.uint8)
 
-    def get(self, hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def get(
+        self, hashes: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each stretch of `text` (and of `units`, its characters) the number of its ids and where they begin in the third array.
 
         Keys are the characters, in one byte each or two, with zeros behind. No plain
