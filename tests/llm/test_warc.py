@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worktrace.llm import warc
-from worktrace.llm.common import new_path
+from worktrace.llm.common import BITMAP_BITS, bitmap_parts, new_path, with_bit
 
 SCHEMA = "page_id long, url string, html string, digest string, salt int, first string, me string"
 
@@ -161,3 +161,60 @@ def test_plain_archives_are_split_and_put_together(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {str(k): b.partition(b"\r\n\r\n")[2] for k, b in enumerate(blocks)}
+
+
+def shuffled_bytes(spark, path, pages):
+    """Bytes that write() shuffles of `pages`, by Spark's own stages."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    seen = set(written())
+    warc.write(pages, path)
+    return sum(v for k, v in written().items() if k not in seen)
+
+
+def test_only_responses_with_shared_payloads_are_shuffled_whole(spark):
+    """Payloads of their own are written where they are read, revisits go without; before, each was shuffled."""
+    text = [hashlib.sha512(b"%d" % k).hexdigest() * 200 for k in range(3)]
+    rows = [(k, f"http://x/{k}", "".join(hashlib.sha512(b"%d %d" % (k, j)).hexdigest() for j in range(200))) for k in range(200)]
+    rows += [(1000 + k, f"http://y/{k}", text[k % 3]) for k in range(300)] + [(2000, "u", "tiny"), (2000, "u", "tiny"), (2001, "u", "tiny")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_path(spark, "test-warc")
+    assert shuffled_bytes(spark, path, pages) < 500_000 < sum(len(r[2]) for r in rows) / 20
+    captures = warc.assemble(warc.read(spark, path))
+    assert Counter(map(tuple, warc.page_captures(captures).collect())) == brute(rows)
+    assert captures.select("capture_id").distinct().count() == len(rows)
+
+
+def test_bits_pass_all_keys(spark):
+    """Also negative keys and those on the edges of bytes and parts; keys that share a place with none are told apart."""
+    edges = [(1 << 15) - 1, 1 << 15, (1 << BITMAP_BITS) - 1, -(1 << 63), (1 << 63) - 1]
+    keys = [0, 7, 8, -1, *edges, *range(12345, 10**12, 10**10)]
+    others = [k + 3 for k in keys if k + 3 < 1 << 63]
+    parts = bitmap_parts(spark.createDataFrame([(k,) for k in keys], "key long"), "key")
+    rows = spark.createDataFrame([(k,) for k in keys + others], "key long")
+    got = {r.key: r.hit for r in with_bit(rows, parts, F.col("key"), "hit").collect()}
+    places = {k % (1 << BITMAP_BITS) for k in keys}
+    assert all(hit == (k % (1 << BITMAP_BITS) in places) for k, hit in got.items()) and not all(got.values())
+    none = with_bit(spark.range(5), parts.limit(0), F.col("id"), "hit")
+    assert [r.hit for r in none.collect()] == [False] * 5
+
+
+def test_rows_that_a_bitmap_takes_for_shared_are_responses(spark, monkeypatch):
+    """A payload of its own whose place is taken goes the other way with the same result, whether or not the second bitmap is right."""
+    exact = warc.with_bit
+    for names in (("shared",), ("shared", "whole")):
+        def every(rows, parts, key, name, names=names):
+            return rows.withColumn(name, F.lit(True)) if name in names else exact(rows, parts, key, name)
+
+        monkeypatch.setattr(warc, "with_bit", every)
+        path = new_path(spark, "test-warc")
+        warc.write(spark.createDataFrame(edge_pages(), SCHEMA), path)
+        captures = warc.assemble(warc.read(spark, path))
+        assert Counter(map(tuple, warc.page_captures(captures).collect())) == brute(edge_pages())
+        whole = captures.filter("response.type = 'response'").select("response.payload_bytes", F.octet_length("response.payload").alias("n")).collect()
+        assert all(r.payload_bytes == r.n for r in whole)

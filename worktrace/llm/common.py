@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from worktrace.sources.storage import materialise, new_path, shared_dir
 
 __all__ = [
-    "BROADCAST_BYTES", "WORD", "bitmap", "in_bitmap", "lookup_join", "materialise", "new_path", "packed", "quoted", "salt_count", "shared_dir", "small_batches",
+    "BROADCAST_BYTES", "WORD", "bitmap", "bitmap_parts", "in_bitmap", "lookup_join", "materialise", "new_path", "packed", "quoted", "salt_count", "shared_dir", "small_batches",
+    "with_bit",
 ]
 
 #: A word: a maximal run of anything but ASCII white space (fixed by the contracts).
@@ -46,12 +47,26 @@ def salt_count(spark: SparkSession) -> int:
 BITMAP_BITS = 26  # log of the places of a bitmap: 8 MB, whatever the input
 
 
+def bitmap_parts(keys: DataFrame, column: str) -> DataFrame:
+    """The bitmap of the 64-bit keys as at most 2048 rows (part, bits) of 4 KB; parts without a key are left out."""
+    place = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    return keys.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+
+
+def with_bit(rows: DataFrame, parts: DataFrame, key: Column, name: str) -> DataFrame:
+    """`rows` and whether the place of their 64-bit key is set in `parts`, which are broadcast: 8 MB at most."""
+    place = key.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    at = place.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    bits = F.broadcast(parts.select(F.col("part").alias("_part"), F.col("bits").alias("_bits")))
+    joined = rows.join(bits, F.shiftright(place, 15) == F.col("_part"), "left")
+    return joined.withColumn(name, F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))).drop("_part", "_bits")
+
+
 def bitmap(keys: DataFrame, column: str) -> bytes:
     """One bit for each of 2^BITMAP_BITS places, set for those of the 64-bit keys: a filter of fixed size that passes all keys, and some others."""
-    place = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    parts = keys.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
     out = bytearray(1 << (BITMAP_BITS - 3))
-    for row in parts.toLocalIterator():  # at most 2048 rows of 4 KB
+    for row in bitmap_parts(keys, column).toLocalIterator():  # at most 2048 rows of 4 KB
         out[row["part"] << 12 : (row["part"] + 1) << 12] = row["bits"]
     return bytes(out)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from worktrace.llm.common import materialise, quoted, salt_count
+from worktrace.llm.common import bitmap_parts, materialise, quoted, salt_count, with_bit
 
 MIN_REVISIT_BYTES = 100
 _END = "\r\n"
@@ -66,7 +66,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     in id, url and html are captures of their own. Control characters and spaces
     in a URL are percent-encoded, since it stands in headers. An empty table
     writes an archive without records. An archive holds about `archive_bytes` of
-    payload at most, by the mean size of payloads.
+    payload at most, by the mean size of payloads. Rows whose payload no other
+    row has are written where they are read; the others, and those few that a
+    bitmap of digests doesn't tell from them, meet in a shuffle. There a second
+    bitmap, which passes every response and few revisits, leaves payloads out.
     """
     salts = salt_count(pages.sparkSession)
     url = F.regexp_replace(quoted(url_col), r"[\x00-\x20\x7F]", "%20")
@@ -78,12 +81,23 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
     large = F.col("size") >= MIN_REVISIT_BYTES
     known = F.when(F.col("id").isNotNull(), F.struct("id", "url"))
-    salted = rows.filter(large).groupBy("digest", "salt").agg(F.min(known).alias("first"))
-    firsts = materialise(salted.groupBy("digest").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts")), "warc-firsts")
-    both = rows.join(firsts.select("digest", "first", F.explode("salts").alias("salt")), ["digest", "salt"], "left")
-    both = both.withColumn("first", F.when(large, F.col("first")))
+    sums = [F.sum("n").alias("n"), F.sum("bytes").alias("bytes")]
+    salted = rows.groupBy("digest", "salt").agg(F.min(F.when(large, known)).alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    groups = salted.groupBy("digest").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts"), *sums)
+    groups = materialise(groups, "warc-firsts")
+    key, answer = F.xxhash64("digest"), lambda i: F.xxhash64("digest", F.coalesce(F.col(i), F.lit(0)))
+    shared = materialise(bitmap_parts(groups.filter("n > 1").select(key.alias("key")), "key"), "warc-shared")
+    firsts = with_bit(groups, shared, key, "shared").filter("shared")
+    answers = materialise(bitmap_parts(firsts.select(answer("first.id").alias("key")), "key"), "warc-answers")
+    marked = with_bit(rows, shared, key, "shared")
+    both = with_bit(marked.filter("shared"), answers, answer("id"), "whole")
+    both = both.withColumn("payload", F.when(F.col("whole") | ~large, F.col("payload"))).drop("whole")
+    both = both.join(firsts.select("digest", "first", F.explode("salts").alias("salt")), ["digest", "salt"], "left")
     copy = F.row_number().over(Window.partitionBy("digest", "salt", "id", "url").orderBy("size"))
-    both = both.withColumn("me", _record_id(F.col("id"), F.col("url"), F.col("digest"), copy))
+    both = both.withColumn("copy", copy).unionByName(
+        marked.filter(~F.col("shared")).withColumns({"first": F.lit(None).cast(firsts.schema["first"].dataType), "copy": F.lit(1)})
+    )
+    both = both.withColumn("me", _record_id(F.col("id"), F.col("url"), F.col("digest"), F.col("copy")))
     revisit = large & F.col("first").isNotNull() & ~F.coalesce(F.col("id") == F.col("first.id"), F.lit(False))
     target = _record_id(F.col("first.id"), F.col("first.url"), F.col("digest"), F.lit(1))
     me, uri, named = F.col("me"), F.col("url"), F.concat(F.lit("sha256:"), F.col("digest"))
@@ -109,8 +123,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     fields = F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("id").cast("string"), F.lit(_END)), F.lit("")), F.lit("charset: utf-8" + _END))
     metadata = _record("metadata", _uuid(me, F.lit("metadata")), date, "application/warc-fields", fields, Target_URI=uri, Concurrent_To=concurrent)
     records = both.select(F.explode(F.array(F.when(revisit, again).otherwise(response), request, metadata)).alias("value"))
-    total = rows.agg(F.avg("size").alias("size")).first()
-    most = max(3, int(3 * archive_bytes / ((total["size"] or 0) + 1000)))
+    total = groups.agg(*sums).first()
+    most = max(3, int(3 * archive_bytes / ((total["bytes"] or 0) / (total["n"] or 1) + 1000)))
     records.write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
@@ -337,7 +351,7 @@ def assemble(records: DataFrame) -> DataFrame:
     written to the shared folder first, so that archives are parsed once; a query
     that takes no payloads from the rows doesn't read them there.
     """
-    records = materialise(records, "warc-records")
+    records = materialise(records, "warc-records", "zstd")
     captures, slim = records.filter("type in ('response', 'revisit')"), records.drop("payload")
     side = slim.filter("type in ('request', 'metadata')").select("type", "record_id", "target_uri", "block_fields", "concurrent_to")
     named = side.select("record_id", F.explode("concurrent_to").alias("other"))

@@ -28,8 +28,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/worktrace/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: a lost executor then costs tasks of later stages only."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
